@@ -2,7 +2,10 @@
 
 from tidemark.llm.exact_dedup import ORACLE as OP3_SQL
 from tidemark.llm.exact_dedup import op3_exact_dedup
+from tidemark.llm.mixing import op5_mix
+from tidemark.llm.secrets import op9_secrets
 from tidemark.llm.token_counts import op8_token_counts
+from tidemark.llm.url_filter import op4_url_filter
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op8_token_counts": op8_token_counts}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_url_filter, op5_mix, op8_token_counts, op9_secrets)}
 ORACLES = {"op3_exact_dedup": OP3_SQL}
