@@ -76,3 +76,20 @@ def n_words(c: Column) -> Column:
 def with_tables(df: DataFrame, **kinds: str) -> DataFrame:
     """df's named columns cast to the given types; columns that are missing are added as nulls."""
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def remainder(c: Column, divisor: int) -> Column:
+    """crc32 of the id as text, modulo divisor: what folds are made of."""
+    return F.coalesce(F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(divisor)), F.lit(0)).cast("int")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and y of at most `most` labelled documents, the first in order of a hash of the id.
+
+    Only rows where learn holds are looked at. The chosen ids are few, as `most` bounds them, so they are broadcast.
+    A repeated id comes as often as documents repeat it; contradicting labels of an id count as their largest.
+    """
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("y")).filter(learn & F.col("y").isNotNull())
+    chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id")
