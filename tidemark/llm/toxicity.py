@@ -230,14 +230,31 @@ def _merged(held: list) -> tuple:
     return rows, s, e, h, np.concatenate([[0], np.cumsum(n)])
 
 
-def _log_odds(rows: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
-    """Of each row's presence in documents of label 1 against label 0."""
-    seen = np.unique(rows * len(y) + doc)
-    row, one = seen // len(y), y[seen % len(y)] > 0
-    p, q = (np.bincount(row[k], minlength=size) for k in (one, ~one))
+def _log_odds(presence, y: np.ndarray, size: int) -> np.ndarray:
+    """Of each row's presence in documents of label 1 against label 0; presence gives (rows, documents), distinct pairs, in parts."""
+    p, q = np.zeros(size), np.zeros(size)
+    for rows, doc in presence:
+        seen = np.unique(rows * len(y) + doc)
+        row, one = seen // len(y), y[seen % len(y)] > 0
+        p += np.bincount(row[one], minlength=size)
+        q += np.bincount(row[~one], minlength=size)
     return (np.log((p + 0.5) / (y.sum() + 1)) - np.log((q + 0.5) / (len(y) - y.sum() + 1))) * (p + q > 0)
 
 
+def _presence(inverse: np.ndarray, bounds: np.ndarray, grams: list | None, word_rows: np.ndarray, step: int = 128) -> Iterator[tuple]:
+    """Rows of the words, or of their n-grams, with the documents that have them; `step` documents at a time."""
+    for i in range(0, len(bounds) - 1, step):
+        j = min(i + step, len(bounds) - 1)
+        doc = np.repeat(np.arange(i, j), np.diff(bounds[i : j + 1]))
+        own = inverse[bounds[i] : bounds[j]]
+        if grams is None:
+            yield word_rows[own], doc
+            continue
+        some = np.unique(own * (len(bounds) - 1) + doc)
+        for rows, at in _some(grams, some // (len(bounds) - 1)):
+            yield rows, np.repeat(some % (len(bounds) - 1), np.diff(at))
+
+
 def train(texts: list[str], y: np.ndarray) -> Network:
     """Without both labels, all scores are near the labels' mean (0.5 without any)."""
     net, n = Network(), len(y)
@@ -252,13 +269,10 @@ def train(texts: list[str], y: np.ndarray) -> Network:
     distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
     word_rows, grams = _word_rows(distinct), _grams(data, s[at], e[at])
     first, end, owner = _windows(bounds)
+    del s, e, h, rows
     # the first coordinate of both tables starts as log odds, so training begins at the words that tell
-    doc = np.repeat(np.arange(n), np.diff(bounds))
-    net.p["words"][:, 0] = np.clip(_log_odds(word_rows[inverse], doc, y, WORD_ROWS), -4, 4) / 4
-    some = np.unique(inverse * n + doc)
-    present = _some(grams, some // n)
-    net.p["grams"][:, 0] = np.clip(_log_odds(np.concatenate([r for r, _ in present]), np.concatenate([np.repeat(some % n, np.diff(b)) for _, b in present]), y, GRAM_ROWS), -4, 4) / 4
-    del some, present
+    net.p["words"][:, 0] = np.clip(_log_odds(_presence(inverse, bounds, None, word_rows), y, WORD_ROWS), -4, 4) / 4
+    net.p["grams"][:, 0] = np.clip(_log_odds(_presence(inverse, bounds, grams, word_rows), y, GRAM_ROWS), -4, 4) / 4
     # the windows that training chooses from, in order of their documents
     drawn = rng.permutation(len(first))
     drawn = drawn[np.argsort(owner[drawn], kind="stable")]
@@ -267,7 +281,7 @@ def train(texts: list[str], y: np.ndarray) -> Network:
     open_ = np.sort(drawn[(y[owner[drawn]] > 0) | (nth < OTHERS)])
     first, end, owner = first[open_], end[open_], owner[open_]
     likely = net.inputs(word_rows, grams)[:, [0, DIM]].sum(axis=1)
-    reach = likely[inverse[np.minimum(first[:, None] + np.arange(WINDOW), end[:, None] - 1)]].max(axis=1)
+    reach = np.concatenate([likely[inverse[np.minimum(first[i : i + TOGETHER, None] + np.arange(WINDOW), end[i : i + TOGETHER, None] - 1)]].max(axis=1) for i in range(0, len(first), TOGETHER)])
     spread, squares, step = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}, 0
     for epoch in range(EPOCHS):
         # the window of each document that scores highest, and for label 0 one more at random
