@@ -1,5 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
+from tidemark.llm.decontaminate import op7_decontaminate
 from tidemark.llm.exact_dedup import ORACLE as OP3_SQL
 from tidemark.llm.exact_dedup import op3_exact_dedup
 from tidemark.llm.line_dedup import op10_line_dedup
@@ -10,5 +11,5 @@ from tidemark.llm.token_counts import op8_token_counts
 from tidemark.llm.toxicity import op1_toxicity
 from tidemark.llm.url_filter import op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_url_filter, op5_mix, op8_token_counts, op9_secrets, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_url_filter, op5_mix, op7_decontaminate, op8_token_counts, op9_secrets, op10_line_dedup)}
 ORACLES = {"op3_exact_dedup": OP3_SQL}
