@@ -1,10 +1,64 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: quality, repeated lines, near-duplicates, benchmark leaks, then the mix of sources.
+
+Each stage takes the documents that its predecessor kept and is written before the next one reads it. All but the
+last return the columns of documents; the last returns, for each document left, what the mix takes of it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm._common import Scratch, table
+from tidemark.llm.decontaminate import drop_leaks
+from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.mixing import mix
+from tidemark.llm.near_dedup import keep_one
+from tidemark.llm.quality import keep_good
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model accepts."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the chunks of lines that an earlier document has; one left without words goes."""
+    return dedup_lines(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five words, similarity 0.8."""
+    return keep_one(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item stands."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of each document left."""
+    return mix(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("lines", lines),
+    ("near", near),
+    ("leaks", leaks),
+    ("mix", mixing),
+]
+
+#: A fitted model, minwise trees and Newton steps aren't SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
