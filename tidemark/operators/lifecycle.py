@@ -9,7 +9,10 @@ from tidemark.operators.temporal import latest_by, next_at_or_after
 from tidemark.sources.hooks import STATUS, tracked
 
 IDLE = "interval 1800 seconds"
-_SESSION = Window.partitionBy("session_id").orderBy("ts", "event_id")
+
+
+def _session():
+    return Window.partitionBy("session_id").orderBy("ts", "event_id")
 
 
 def status_of(hook: Column) -> Column:
@@ -32,14 +35,14 @@ def board_snapshot(log: DataFrame) -> DataFrame:
 
 def status_history(log: DataFrame) -> DataFrame:
     """Every event with its session's status after it, and whether it is the last one."""
-    so_far = _SESSION.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _session().rowsBetween(Window.unboundedPreceding, 0)
     out = tracked(log).withColumn("status", F.last(status_of(F.col("hook")), ignorenulls=True).over(so_far))
-    return out.select("event_id", "session_id", "hook", "status", F.lead("event_id").over(_SESSION).isNull().alias("is_current"))
+    return out.select("event_id", "session_id", "hook", "status", F.lead("event_id").over(_session()).isNull().alias("is_current"))
 
 
 def idle_close(log: DataFrame) -> DataFrame:
     """Each stop's deadline, and whether it closes the session: no event that cancels the timer comes before it."""
-    w = writes(log).withColumn("next_ts", F.lead("ts").over(_SESSION)).filter("hook = 'Stop'")
+    w = writes(log).withColumn("next_ts", F.lead("ts").over(_session())).filter("hook = 'Stop'")
     deadline = F.expr(f"ts + {IDLE}")
     return w.select("event_id", "session_id", F.col("ts").alias("stop_ts"), deadline.alias("deadline"), (F.col("next_ts").isNull() | (F.col("next_ts") >= deadline)).alias("closes"))
 
@@ -64,7 +67,7 @@ def latest_first(df: DataFrame) -> DataFrame:
 
 def stale_sweep(log: DataFrame) -> DataFrame:
     """Sessions that a start in any workspace finds open and unwritten for the idle time, once for each such write."""
-    w = writes(log).withColumns({"next_ts": F.lead("ts").over(_SESSION), "due": F.expr(f"ts + {IDLE}")}).filter("hook <> 'SessionEnd'").select("event_id", "session_id", "due", "next_ts")
+    w = writes(log).withColumns({"next_ts": F.lead("ts").over(_session()), "due": F.expr(f"ts + {IDLE}")}).filter("hook <> 'SessionEnd'").select("event_id", "session_id", "due", "next_ts")
     starts = log.filter("hook = 'SessionStart'").select(F.col("ts").alias("start_ts"), F.col("event_id").alias("start_id"))
     # a start's own write comes after its sweep, so a session written at that very time is still swept
     out = next_at_or_after(w, starts, "due", "start_ts", ["start_ts", "start_id"], right_order="start_id")

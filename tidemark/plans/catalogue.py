@@ -1,4 +1,137 @@
 """Every registered query with its SQL counterpart."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import env, urls
+from tidemark.functions import text as T
+from tidemark.operators import audit as A
+from tidemark.operators import content as C
+from tidemark.operators import gates as G
+from tidemark.operators import install as I
+from tidemark.operators import lifecycle as L
+from tidemark.operators import reports as R
+from tidemark.plans.sql import ORACLES  # noqa: F401
+from tidemark.sources import hooks as H
+
+
+def _log(f):
+    return lambda spark, d: f(H.hook_log(spark, d))
+
+
+def _audit(f):
+    return lambda spark, d: f(H.board_audit(spark, d, G.MARKER))
+
+
+def _both(f):
+    return lambda spark, d: f(H.hook_log(spark, d), H.board_audit(spark, d, G.MARKER))
+
+
+def _of(name, f):
+    return lambda spark, d: f(H.table(spark, d, name))
+
+
+def _turns(f):
+    return lambda spark, d: f(H.turns(spark, d))
+
+
+def _machines(f):
+    return lambda spark, d: f(I.machines(H.table(spark, d, "customer")))
+
+
+def _privacy(pages):
+    seen = F.when(F.col("page_id") % 5 == 0, " PRIVATE ").when(F.col("page_id") % 5 == 1, "true").when(F.col("page_id") % 5 == 2, "public").when(F.col("page_id") % 5 == 3, "False").otherwise("HTTP 404")
+    return pages.select("page_id", G.privacy(seen).alias("decision"))
+
+
+def _remotes(f):
+    return lambda spark, d: H.remotes(spark, d).select("page_id", f(F.col("url")).alias("repo"))
+
+
+def _context(spark, d):
+    r = H.remotes(spark, d)
+    notes = F.when(F.col("page_id") % 3 == 0, "team/notes").otherwise("")
+    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/home/u/p"), F.col("page_id").cast("string"), F.lit("/"))).otherwise("/")
+    return r.select("page_id", F.coalesce(urls.repo_strict(F.col("url")), F.nullif(notes, F.lit("")), T.folder_name(T.normal_path(path))).alias("context"))
+
+
+def _env(last):
+    return lambda spark, d: env.env_map(H.env_lines(spark, d), "line", ["line_no"], ["page_id"], last)
+
+
+def _tools(f):
+    return lambda spark, d: f(C.question_events(H.hook_log(spark, d), H.table(spark, d, "part")))
+
+
+def _labels(spark, d):
+    t = H.turns(spark, d)
+    context = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("area"), (F.col("conv_id") % 7).cast("string"))).otherwise("")
+    mode = F.when(F.col("conv_id") % 2 == 0, "label").otherwise("prefix")
+    wanted = t.select(F.concat(F.lit("team/r"), (F.col("conv_id") % 4).cast("string")).alias("repo"), C.labels_of(context, mode).alias("labels"))
+    there = t.filter("conv_id % 5 = 0").select(F.concat(F.lit("team/r"), (F.col("conv_id") % 4).cast("string")).alias("repo"), F.concat(F.lit("area"), (F.col("conv_id") % 7).cast("string")).alias("label"))
+    return C.missing_labels(wanted, there)
+
+
+def _stream(spark, d):
+    from tidemark.streaming.lifecycle import run_available
+
+    return run_available(spark, d)
+
+
+def _events_wide(log):
+    return log.select("event_id", "ts", "cwd", "hook", "n", "session_id", "k", "is_resume")
+
+
+def _addresses(spark, d):
+    o = H.table(spark, d, "orders")
+    repo, number = F.when(F.col("o_orderkey") % 3 != 0, "team/notes").otherwise(""), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey"))
+    return o.select("o_orderkey", urls.issue_url(repo, number).alias("issue"), urls.board_url(F.nullif(repo, F.lit("")), F.col("o_orderkey") % 5).alias("board"), T.short_id(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))).alias("short"), T.yes_no(F.col("o_orderstatus") == "F").alias("done"), T.minutes(F.col("o_orderkey") * 61).alias("minutes"))
+
+
+QUERIES = {
+    "hook_log": _log(_events_wide),
+    "orphan_events": _log(lambda log: log.filter("n = 0").select("event_id", "cwd", "hook")),
+    "board_snapshot": _log(L.board_snapshot),
+    "status_history": _log(L.status_history),
+    "idle_close": _log(L.idle_close),
+    "duplicate_start": _log(L.duplicate_start),
+    "first_prompt_notice": _log(L.first_prompt_notice),
+    "stale_sweep": _log(L.stale_sweep),
+    "sweep_count": _log(L.sweep_count),
+    "resume_match": _log(lambda log: L.resume_match(log).select("event_id", "session_id", "resumes")),
+    "issue_chain": _log(L.issue_chain),
+    "latest_session_by_cwd": _log(L.latest_session),
+    "active_dates": _log(L.active_dates),
+    "effects": _log(L.effects),
+    "last_state": _log(lambda log: L.last_state(L.writes(log).select("session_id", "ts", "event_id", "cwd", "hook", L.status_of(F.col("hook")).alias("status")))),
+    "board_gate": _both(lambda log, audit: G.board_asof(log, audit).select("event_id", "board_status", F.coalesce(F.col("board_status") == "INACTIVE", F.lit(False)).alias("gated"))),
+    "board_status_now": _audit(G.board_inactive),
+    "gated_status": _both(lambda log, audit: G.decisions(log, audit).select("event_id", "hook", "decision")),
+    "runtime_status": _both(G.runtime_status),
+    "audit_cache": _audit(lambda a: A.cache(A.tries(a))),
+    "audit_body": _audit(A.bodies),
+    "privacy_gate": _of("pages", _privacy),
+    "issue_title_prefix": _turns(lambda t: C.titles(t, "prefix")),
+    "issue_title_label": _turns(lambda t: C.titles(t, "label")),
+    "latest_title": _turns(C.latest_title),
+    "session_comments": _turns(C.comments),
+    "repo_from_url_strict": _remotes(urls.repo_strict),
+    "repo_from_url_loose": _remotes(urls.repo_loose),
+    "context_repo": _context,
+    "env_parse_last": _env(True),
+    "env_parse_first": _env(False),
+    "answer_lines": _tools(C.answers),
+    "answer_comment": _tools(C.answer_comments),
+    "labels_ensure": _labels,
+    "addresses": _addresses,
+    "hooks_merge": _of("nation", I.hooks_merged),
+    "hooks_remove": _of("nation", I.hooks_removed),
+    "install_state": _machines(I.install_states),
+    "doctor_report": _machines(I.doctor),
+    "doctor_verdict": _machines(I.verdicts),
+    "setup_next_step": _of("customer", I.setup_next_step),
+    "meta_complete": _of("customer", I.meta_complete),
+    "status_report": _both(R.status_report),
+    "stream_lifecycle": _stream,
+}
