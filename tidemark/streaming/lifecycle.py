@@ -1 +1,108 @@
-"""placeholder"""
+"""Session lifecycle as a stream: one state for each workspace, event-time timers for idle sessions.
+
+Keyed by workspace rather than session, so a start can find the session before it. Events of a batch are taken in order
+of time; a deadline that an event passes is settled before the event, so the outcome doesn't depend on how events
+fall into batches. Events later than DELAY behind the newest one are dropped by the watermark.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from tidemark.sources.hooks import HOOKS, STATUS
+
+IDLE_US = 1800 * 1_000_000
+DELAY = "12 seconds"
+OUTPUT = "cwd long, session_id string, event_id long, cause string, status string, at timestamp"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Lifecycle(StatefulProcessor):
+    """State: the number of the workspace's current session, and the deadlines that are pending, by session, in microseconds."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.current = handle.getValueState("current", "n long")
+        self.pending = handle.getMapState("pending", "session_id string", "deadline long")
+
+    def _settle(self, cwd: int, until: int) -> list[tuple]:
+        """Sessions whose deadline is at or before `until` close then."""
+        due = sorted((d[0], s[0]) for s, d in self.pending.iterator() if d[0] <= until)
+        for deadline, session in due:
+            self.pending.removeKey((session,))
+        return [(cwd, s, None, "timer", "closed", pd.Timestamp(d, unit="us")) for d, s in due]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        cwd, out = int(key[0]), []
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        n = self.current.get()[0] if self.current.exists() else 0
+        for event_id, ts, hook in zip(events["event_id"], events["ts"], events["hook"], strict=True):
+            at = ts.value // 1000
+            out += self._settle(cwd, at)
+            if hook == "SessionStart":
+                n += 1
+            session = f"{cwd}-{n}"
+            if n == 0 or hook not in STATUS:
+                continue
+            self.pending.removeKey((session,)) if self.pending.containsKey((session,)) else None
+            if hook == "Stop":
+                self.pending.updateValue((session,), (at + IDLE_US,))
+                self.handle.registerTimer(-(-(at + IDLE_US) // 1000))
+            out.append((cwd, session, int(event_id), "event", STATUS[hook], ts))
+        self.current.update((n,))
+        yield _frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # a deadline that was cancelled or replaced is no longer pending, so its timer settles nothing
+        yield _frame(self._settle(int(key[0]), expiredTimerInfo.getExpiryTimeInMs() * 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["cwd", "session_id", "event_id", "cause", "status", "at"])
+    out["event_id"] = out["event_id"].astype("Int64")
+    out["at"] = pd.to_datetime(out["at"])
+    return out
+
+
+def read_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
+    name = F.create_map(*[F.lit(x) for kv in HOOKS.items() for x in kv])[F.col("event_type")]
+    return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("cwd"), name.alias("hook"))
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    """Every change of a session's status, by an event or by its timer. Events: event_id, ts, cwd, hook."""
+    return events.withWatermark("ts", DELAY).groupBy("cwd").transformWithStateInPandas(statefulProcessor=Lifecycle(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+
+
+def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events there are, through the stream, and the transitions that came out.
+
+    Deadlines after the last watermark are still pending. State and output lie in the folder that spark.checkpoint.dir
+    names, so a run that is cut short goes on where it was.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    root = f"{folder}/stream-{uuid.uuid4().hex}"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        query = transitions(read_events(spark, sf_dir)).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out")
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(OUTPUT).parquet(f"{root}/out")
