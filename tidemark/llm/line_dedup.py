@@ -120,14 +120,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row of which no word is left goes; one that had none before stays, as does a null text. n_chars, where docs has
     it, becomes the new length. See line_report for all else.
     """
-    names = docs.columns
-    out = _dedup(docs, id_col, text_col)
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*others).alias("row_others"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = _dedup(packed, "doc_id", "text")
     out = out.filter(~((F.col("row_removed") > 0) & ~F.col("row_kept").rlike(r"[^\x20\x09-\x0D]")))
     changed = F.col("row_removed") > 0
-    new = {text_col: F.when(changed, F.col("row_kept")).otherwise(F.col(text_col))}
-    if "n_chars" in names:
-        new["n_chars"] = F.when(changed, F.length("row_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*names)
+    new = {c: F.col("row_others")[c] for c in others} | {text_col: F.when(changed, F.col("row_kept")).otherwise(F.col("text"))}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(changed, F.length("row_kept").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return out.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

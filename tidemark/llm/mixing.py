@@ -43,7 +43,7 @@ def _targets(hist: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     # sources in order of ratio are full until one's ratio exceeds the level there; that level holds for the rest
     per = per.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct(F.col("ratio"), F.col("key"), F.col("level")))).over(whole)["level"])
     per = per.withColumn("target", F.least(F.col("most"), F.coalesce(F.col("level"), F.lit(math.inf)) * F.col("w")))
-    return per.select("key", "source_size", "target", F.greatest(F.coalesce(F.col("squares") / F.col("source_size"), F.lit(1.0)), F.lit(1.0)).alias("scale"))
+    return per.select("key", "source_size", "target", F.greatest(F.coalesce(F.try_divide("squares", "source_size"), F.lit(1.0)), F.lit(1.0)).alias("scale"))
 
 
 def _balance(hist: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -58,7 +58,7 @@ def _balance(hist: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame
         new = state.join(sums, "key", "left")
         gap = F.log("got") - F.log("target")
         new = new.withColumn("lo", F.when(F.col("got") < F.col("target"), F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("got") > F.col("target"), F.col("lam")).otherwise(F.col("hi")))
-        step = F.col("lam") - gap * F.col("got") / F.col("slope")
+        step = F.col("lam") - F.try_divide(gap * F.col("got"), F.col("slope"))
         wide = (F.col("hi") - F.col("lo")) > 1e5
         halved = F.when(wide & (F.col("got") < F.col("target")), F.col("lam") * 2 + 1).when(wide, F.col("lam") - F.abs("lam") - 1).otherwise((F.col("lo") + F.col("hi")) / 2)
         good = (F.col("slope") > 0) & (step > F.col("lo")) & (step < F.col("hi")) & (F.abs(step - F.col("lam")) <= 50 + F.abs("lam"))

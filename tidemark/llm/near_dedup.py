@@ -265,7 +265,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that near_groups keeps: one document of each component."""
     gone = near_groups(docs, words, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["gone_id"], "left_anti")
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
