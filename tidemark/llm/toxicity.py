@@ -22,12 +22,14 @@ from tidemark.llm import _words as W
 from tidemark.llm._common import labelled_sample, remainder, table
 
 WINDOW, STRIDE = 32, 24
-WORD_ROWS, GRAM_BITS, DIM, HIDDEN = 1 << 14, 15, 8, 8
-GRAM_ROWS = 1 << GRAM_BITS
+WORD_BITS, GRAM_BITS, DIM, HIDDEN = 16, 16, 8, 8
+WORD_ROWS, GRAM_ROWS = 1 << WORD_BITS, 1 << GRAM_BITS
 GRAMS = (3, 5)
 #: The most labelled documents that are learnt from, and the longest of them (in bytes); both bound the driver's memory.
 MOST_LABELLED, LONGEST_LABELLED = 4000, 32_768
-EPOCHS, BATCH, RATE, SEED = 5, 256, 0.01, 7
+STEPS, BATCH, RATE, SEED = 150, 256, 0.01, 7
+#: A word or n-gram in fewer training documents has no vector; log odds shrink as if so many more had been undecided.
+LEAST_SEEN, SHRINK = 3, 5
 #: Windows of a document of label 0 that training chooses from, drawn at random; of label 1 it sees all.
 OTHERS = 10
 THRESHOLD = 0.3
@@ -36,7 +38,7 @@ BLOCK, TOGETHER = 1 << 21, 2048
 
 
 def _word_rows(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(50)).astype(np.int64) & (WORD_ROWS - 1)
+    return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
 
 def _grams(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -230,15 +232,16 @@ def _merged(held: list) -> tuple:
     return rows, s, e, h, np.concatenate([[0], np.cumsum(n)])
 
 
-def _log_odds(presence, y: np.ndarray, size: int) -> np.ndarray:
-    """Of each row's presence in documents of label 1 against label 0; presence gives (rows, documents), distinct pairs, in parts."""
+def _log_odds(presence, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's presence in documents of label 1 against label 0, and whether enough have it; presence gives (rows, documents) in parts."""
     p, q = np.zeros(size), np.zeros(size)
     for rows, doc in presence:
         seen = np.unique(rows * len(y) + doc)
         row, one = seen // len(y), y[seen % len(y)] > 0
         p += np.bincount(row[one], minlength=size)
         q += np.bincount(row[~one], minlength=size)
-    return (np.log((p + 0.5) / (y.sum() + 1)) - np.log((q + 0.5) / (len(y) - y.sum() + 1))) * (p + q > 0)
+    odds = np.log((p + 0.5) / (y.sum() + 1)) - np.log((q + 0.5) / (len(y) - y.sum() + 1))
+    return odds * (p + q) / (p + q + SHRINK), p + q >= LEAST_SEEN
 
 
 def _presence(inverse: np.ndarray, bounds: np.ndarray, grams: list | None, word_rows: np.ndarray, step: int = 128) -> Iterator[tuple]:
@@ -271,8 +274,12 @@ def train(texts: list[str], y: np.ndarray) -> Network:
     first, end, owner = _windows(bounds)
     del s, e, h, rows
     # the first coordinate of both tables starts as log odds, so training begins at the words that tell
-    net.p["words"][:, 0] = np.clip(_log_odds(_presence(inverse, bounds, None, word_rows), y, WORD_ROWS), -4, 4) / 4
-    net.p["grams"][:, 0] = np.clip(_log_odds(_presence(inverse, bounds, grams, word_rows), y, GRAM_ROWS), -4, 4) / 4
+    held = {}
+    for name, own, size in (("words", None, WORD_ROWS), ("grams", grams, GRAM_ROWS)):
+        odds, enough = _log_odds(_presence(inverse, bounds, own, word_rows), y, size)
+        net.p[name][:, 0] = np.clip(odds, -4, 4) / 4
+        net.p[name][~enough] = 0
+        held[name] = ~enough
     # the windows that training chooses from, in order of their documents
     drawn = rng.permutation(len(first))
     drawn = drawn[np.argsort(owner[drawn], kind="stable")]
@@ -283,7 +290,7 @@ def train(texts: list[str], y: np.ndarray) -> Network:
     likely = net.inputs(word_rows, grams)[:, [0, DIM]].sum(axis=1)
     reach = np.concatenate([likely[inverse[np.minimum(first[i : i + TOGETHER, None] + np.arange(WINDOW), end[i : i + TOGETHER, None] - 1)]].max(axis=1) for i in range(0, len(first), TOGETHER)])
     spread, squares, step = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}, 0
-    for epoch in range(EPOCHS):
+    while step < STEPS:
         # the window of each document that scores highest, and for label 0 one more at random
         order = np.lexsort((reach, owner))
         top = order[np.flatnonzero(np.append(owner[order][1:] != owner[order][:-1], True))]
@@ -308,12 +315,14 @@ def train(texts: list[str], y: np.ndarray) -> Network:
             each = dx[:, DIM:] / np.maximum(sum(np.diff(b) for _, b in few), 1)[:, None]
             hit, per = np.concatenate([r for r, _ in few]), np.concatenate([np.repeat(each, np.diff(b), axis=0) for _, b in few])
             g["grams"] = np.stack([np.bincount(hit, per[:, k], GRAM_ROWS) for k in range(DIM)], axis=1).astype(np.float32)
+            for k, rows in held.items():
+                g[k][rows] = 0
             step += 1
             for k, v in net.p.items():  # Adam
                 spread[k] += 0.1 * (g[k] - spread[k])
                 squares[k] += 0.001 * (g[k] * g[k] - squares[k])
                 v -= (RATE / (1 - 0.9**step) * spread[k] / (np.sqrt(squares[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        if epoch < EPOCHS - 1:
+        if step < STEPS:
             whole = net.project(net.inputs(word_rows, grams))
             reach = np.concatenate([net.run(whole, _index(first[i : i + TOGETHER], end[i : i + TOGETHER], inverse, len(distinct)))[0] for i in range(0, len(first), TOGETHER)])
     return net
