@@ -11,8 +11,10 @@ from tidemark.operators import content as C
 from tidemark.operators import gates as G
 from tidemark.operators import install as I
 from tidemark.operators import lifecycle as L
+from tidemark.operators import remote as B
 from tidemark.operators import reports as R
 from tidemark.plans.sql import ORACLES  # noqa: F401
+from tidemark.sources import files
 from tidemark.sources import hooks as H
 
 
@@ -89,6 +91,34 @@ def _addresses(spark, d):
     return o.select("o_orderkey", urls.issue_url(repo, number).alias("issue"), urls.board_url(F.nullif(repo, F.lit("")), F.col("o_orderkey") % 5).alias("board"), T.short_id(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))).alias("short"), T.yes_no(F.col("o_orderstatus") == "F").alias("done"), T.minutes(F.col("o_orderkey") * 61).alias("minutes"))
 
 
+def _config(orders):
+    key = F.col("o_orderkey").cast("string")
+    text_ = env.env_text({"OWNER": F.concat(F.lit("u"), key), "NUMBER": key}, {"LABEL": F.when(F.col("o_orderkey") % 2 == 0, "label"), "NOTE": F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("n")})
+    return orders.select("o_orderkey", text_.alias("text"))
+
+
+def _families(customer):
+    """Distributions of machines by name, like, and what family that makes."""
+    ids = F.get(F.array(*[F.lit(x) for x in ("ubuntu", "rocky", "manjaro", "opensuse-leap", "Void", "")]), (F.col("c_custkey") % 6).cast("int"))
+    alike = F.get(F.array(*[F.lit(x) for x in ("debian", "rhel fedora", "arch", "suse opensuse", "", "")]), (F.col("c_custkey") % 6).cast("int"))
+    return customer.select("c_custkey", files.family(F.lower(ids), alike).alias("family"))
+
+
+def _uninstall(nation):
+    found, known = nation.select(F.col("n_name").alias("name")), nation.filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("name"))
+    return I.uninstall(found, known)
+
+
+def _open_sessions(log):
+    w = L.last_state(L.writes(log).select("session_id", F.col("ts").alias("last_write_ts"), "ts", "event_id", L.status_of(F.col("hook")).alias("status"), (F.col("k") % 3 == 0).alias("tracking_paused")))
+    return B.sessions(w, active_only=True, paused_only=True).select("session_id", "last_write_ts", "status")
+
+
+def _sync(audit):
+    a = A.tries(audit).withColumn("s", B.sync_record(F.col("status"), F.col("created_at"), F.col("ok"), F.col("update_id"), F.lit("simulated sync error")))
+    return a.select("update_id", "s.status", "s.success", "s.synced_at", "s.status_update_id", "s.error")
+
+
 QUERIES = {
     "hook_log": _log(_events_wide),
     "orphan_events": _log(lambda log: log.filter("n = 0").select("event_id", "cwd", "hook")),
@@ -133,5 +163,15 @@ QUERIES = {
     "setup_next_step": _of("customer", I.setup_next_step),
     "meta_complete": _of("customer", I.meta_complete),
     "status_report": _both(R.status_report),
+    "pause_spans": _audit(lambda a: G.pause_spans(G.controls(a))),
+    "sync_record": _audit(_sync),
+    "open_sessions": _log(_open_sessions),
+    "board_projects": _of("orders", B.board_projects),
+    "create_response": _of("orders", B.responses),
+    "meta_decode": _of("orders", B.metadata),
+    "first_project": _of("orders", lambda o: B.first_titled(o.select(F.col("o_orderkey").alias("number"), F.col("o_orderpriority").alias("title")), "1-URGENT")),
+    "config_text": _of("orders", _config),
+    "distro_family": _of("customer", _families),
+    "uninstall_report": _of("nation", _uninstall),
     "stream_lifecycle": _stream,
 }

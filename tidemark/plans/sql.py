@@ -173,4 +173,20 @@ ORACLES = {
       UNION ALL SELECT cwd, 4, 'sync', CASE WHEN synced IS NULL THEN 'never' WHEN err IS NULL THEN concat(last_status, ' at ', synced) ELSE concat('failed (', err, ')') END FROM a
       UNION ALL SELECT cwd, 5, 'blocked', CASE WHEN coalesce(decision <> 'ok', false) THEN 'yes' ELSE 'no' END FROM a
       UNION ALL SELECT cwd, 6, 'note', CASE WHEN decision IS NULL THEN 'no event was gated' ELSE {_TEXTS} END FROM a""",
+    "pause_spans": f"""WITH {_LOG}, c AS (SELECT project AS cwd, status = 'INACTIVE' AS pause, created_at AS ts FROM audit WHERE status = 'INACTIVE' OR update_id % 5 <> 0),
+      x AS (SELECT *, lead(ts) OVER (PARTITION BY cwd ORDER BY ts) AS until FROM c) SELECT cwd, ts AS paused_at, until FROM x WHERE pause""",
+    "sync_record": f"""WITH {_LOG} SELECT update_id, status, update_id % 4 <> 0 AS success, CASE WHEN update_id % 4 <> 0 THEN created_at END AS synced_at,
+      CASE WHEN update_id % 4 <> 0 THEN update_id END AS status_update_id, CASE WHEN update_id % 4 = 0 THEN 'simulated sync error' END AS error FROM audit""",
+    "open_sessions": f"""WITH {_LOG}, x AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS r FROM w)
+      SELECT session_id, ts AS last_write_ts, status FROM x WHERE r = 1 AND status <> 'closed' AND k % 3 = 0""",
+    "board_projects": """SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN concat('u', o_orderkey) END, CASE WHEN o_orderkey % 2 = 0 THEN concat('g', o_orderkey) END) AS project,
+      CASE WHEN 1 + o_orderkey % 40 <= 30 THEN 1 + o_orderkey % 40 END AS field,
+      array_to_string(list_sort(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'registered' END, CASE WHEN o_orderkey % 3 = 0 THEN 'responding' END, CASE WHEN o_orderkey % 4 = 0 THEN 'waiting' END, CASE WHEN o_orderkey % 5 = 0 THEN 'closed' END], lambda x: x IS NOT NULL)), ',') AS missing FROM orders""",
+    "create_response": """SELECT o_orderkey, concat('I_', o_orderkey) AS item_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey + 7 END AS number, o_orderkey % 6 = 0 AS scopes,
+      CASE WHEN o_orderkey % 4 = 0 THEN concat('AB12-', lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0')) END AS code FROM orders""",
+    "meta_decode": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN concat('P', o_orderkey) END AS project, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey END AS number, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS waiting FROM orders",
+    "first_project": "SELECT number, title FROM (SELECT o_orderkey AS number, o_orderpriority AS title FROM orders ORDER BY 1 DESC LIMIT 20) WHERE title = '1-URGENT' ORDER BY number DESC LIMIT 1",
+    "config_text": """SELECT o_orderkey, concat('OWNER=u', o_orderkey, chr(10), 'NUMBER=', o_orderkey, chr(10), CASE WHEN o_orderkey % 2 = 0 THEN concat('LABEL=label', chr(10)) ELSE '' END, CASE WHEN o_orderkey % 3 <> 0 THEN concat('NOTE=n', chr(10)) ELSE '' END) AS text FROM orders""",
+    "distro_family": "SELECT c_custkey, ['debian', 'fedora', 'arch', 'opensuse', 'void', 'unknown'][c_custkey % 6 + 1] AS family FROM customer",
+    "uninstall_report": "SELECT count(*) FILTER (WHERE n_nationkey % 3 = 0) AS removed, count(*) FILTER (WHERE n_nationkey % 3 <> 0) AS \"left\" FROM nation",
 }

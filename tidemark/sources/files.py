@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.env import env_map
@@ -56,9 +56,18 @@ def settings(spark: SparkSession, scopes: list[tuple[str, str]], commands: list[
     return wanted.join(found, "path", "left").select("scope", "path", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("exists", "installed", "invalid")])
 
 
+def family(name: Column, alike: Column) -> Column:
+    """The package family of a distribution's ID and ID_LIKE: the first of four that either names, else the ID."""
+    both = F.concat_ws(" ", name, alike)
+    found = F.lit(None).cast("string")
+    for kind, words in (("opensuse", ("suse",)), ("arch", ("arch",)), ("fedora", ("fedora", "rhel")), ("debian", ("debian", "ubuntu"))):
+        for word in words:
+            found = F.when(F.contains(both, F.lit(word)), kind).otherwise(found)
+    return F.coalesce(found, F.nullif(name, F.lit("")), F.lit("unknown"))
+
+
 def distro_family(values: DataFrame) -> DataFrame:
-    """family out of ID and ID_LIKE of an os-release map (key, value)."""
-    row = values.groupBy().agg(F.max(F.when(F.col("key") == "ID", F.lower("value"))).alias("id"), F.max(F.when(F.col("key") == "ID_LIKE", F.lower("value"))).alias("alike"))
-    both = F.concat_ws(" ", "id", "alike")
-    family = F.when(F.contains(both, F.lit("debian")) | F.contains(both, F.lit("ubuntu")), "debian").when(F.contains(both, F.lit("fedora")) | F.contains(both, F.lit("rhel")), "fedora").when(F.contains(both, F.lit("arch")), "arch").when(F.contains(both, F.lit("suse")), "opensuse")
-    return row.select(F.coalesce(family, F.nullif("id", F.lit("")), F.lit("unknown")).alias("family"))
+    """family out of an os-release map (key, value)."""
+    value = lambda k: F.max(F.when(F.col("key") == k, F.lower("value")))
+    row = values.groupBy().agg(value("ID").alias("id"), value("ID_LIKE").alias("alike"))
+    return row.select(family(F.col("id"), F.col("alike")).alias("family"))
