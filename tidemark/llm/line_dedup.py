@@ -5,8 +5,8 @@ pasted into a paragraph must still be found. A hash that rolls over the hashes o
 boundary after most of them; it looks no further back, so text inserted elsewhere doesn't shift the boundaries of a
 shared passage. A chunk goes from each boundary over as few others, two at least, as make it LEAST_CHARS long.
 
-Chunks meet by hash, as a few numbers each. Where a hash repeats, the first occurrence (least id, then position)
-stays, and another one is removed if its text equals the first one's byte for byte.
+Chunks meet by hash, as a few numbers each. Where documents share a hash, the one with the least id keeps the chunk, and
+another one loses it if its text equals the kept one's byte for byte.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from tidemark.llm._common import Scratch, table
 
 ROLL = 2
 #: One pair of lines in so many is no boundary.
-JOINED = 6
+JOINED = 4
 LEAST_CHARS = 64
 #: A chunk spans the first of these numbers of boundaries that makes it LEAST_CHARS long; shorter lines are left alone.
 SPANS = (2, 4, 8)
@@ -48,10 +48,10 @@ def _end(spans: tuple[int, ...]) -> str:
 
 
 _ENDS = f"transform(bounds, (a, k) -> {_end(SPANS)})"
-_CHUNKS = """transform(filter(arrays_zip(bounds, ends), p -> p.ends is not null), p ->
-  named_struct('a', p.bounds, 'b', p.ends, 'hash', xxhash64(slice(hashes, p.bounds + 1, p.ends - p.bounds))))"""
-#: Where a chunk is, as one number in order of id and line; a row without id comes first.
-_PLACE = "cast(coalesce(row_id, -9223372036854775808) as decimal(38, 0)) * 1000000000 + a"
+_CHUNKS = """transform(filter(arrays_zip(bounds, ends), p -> p.ends is not null and p.ends - p.bounds < 1048576), p ->
+  named_struct('span', shiftleft(cast(p.bounds as bigint), 20) + (p.ends - p.bounds), 'hash', xxhash64(slice(hashes, p.bounds + 1, p.ends - p.bounds))))"""
+#: A span's first line and its number of lines, in one number; a chunk has fewer than 2^20 lines.
+_A, _N = "cast(shiftright({0}, 20) as int)", "cast({0} & 1048575 as int)"
 
 
 def _once(df: DataFrame, keep: list[str], **made: str) -> DataFrame:
@@ -61,57 +61,56 @@ def _once(df: DataFrame, keep: list[str], **made: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"row_id": F.col(id_col), "row_text": F.coalesce(F.col(text_col), F.lit(""))}).withColumn("row_hash", F.xxhash64("row_text"))
-
-
-def _same(a: DataFrame, b: DataFrame):
-    return a["row_id"].eqNullSafe(b["row_id"]) & a["row_hash"].eqNullSafe(b["row_hash"])
+    others = ["row_others"] if "row_others" in docs.columns else []
+    return docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("row_text"), *others)
 
 
 def _dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with row_id, row_text, row_hash, kept (the text that stays), n_lines and n_removed (lines)."""
+    """row_id, row_text (null as empty), row_kept (what stays of it), row_removed (lines); and row_others, if docs has it."""
     scratch = Scratch(docs.sparkSession, "lines")
     keyed = _keyed(docs, id_col, text_col)
-    key = ["row_id", "row_hash"]
-    found = _once(keyed, key, lines=_lines("row_text"))
-    found = _once(found, [*key, "lines"], hashes="transform(lines, x -> xxhash64(x))", lengths="transform(lines, x -> length(x))")
-    found = _once(found, [*key, "hashes", "lengths"], bounds=_BOUNDS)
-    found = _once(found, [*key, "hashes", "bounds"], ends=_ENDS)
-    found = _once(found, key, chunks=_CHUNKS)
+    found = _once(keyed, ["row_id"], lines=_lines("row_text"))
+    found = _once(found, ["row_id", "lines"], hashes="transform(lines, x -> xxhash64(x))", lengths="transform(lines, x -> length(x))")
+    found = _once(found, ["row_id", "hashes", "lengths"], bounds=_BOUNDS)
+    found = _once(found, ["row_id", "hashes", "bounds"], ends=_ENDS)
+    found = _once(found, ["row_id"], chunks=_CHUNKS)
     chunks = scratch.write(found.filter("size(chunks) > 0"), "chunks")
-    found = chunks.selectExpr("row_id", "row_hash", "inline(chunks)").withColumn("place", F.expr(_PLACE))
-    # a repeated row (same id, same text) has the same chunks as the row it repeats: they count once
-    firsts = found.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last").select("hash", "first")
-    again = found.join(firsts, "hash").select("row_id", "row_hash", "a", "b", "hash", (F.col("place") == F.col("first")).alias("stays"))
+    found = chunks.selectExpr("row_id", "inline(chunks)")
+    # written, so that the join with it is a plain one, of which Spark splits what a frequent chunk makes large
+    firsts = found.groupBy("hash").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last")).filter("first <> last").select("hash", "first")
+    firsts = scratch.write(firsts, "firsts")
+    again = found.join(firsts, "hash").select("row_id", F.struct("span", "hash", (F.col("row_id") == F.col("first")).alias("stays")).alias("c"))
     # a list for each document: no longer than its own chunks
-    lists = scratch.write(again.groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("a", "b", "hash", "stays")).alias("again")), "again")
-    scratch.drop(chunks)
-    texts = keyed.join(lists, _same(keyed, lists)).select(keyed["row_id"], keyed["row_hash"], "row_text", "again")
-    texts = _once(texts, [*key, "again"], lines=_lines("row_text")).select(*key, "lines", F.explode("again").alias("c"))
-    texts = texts.select("row_id", "row_hash", "c.*", F.expr("array_join(slice(lines, c.a + 1, c.b - c.a), '')").alias("bytes"))
+    lists = scratch.write(again.groupBy(F.col("row_id").alias("list_id")).agg(F.collect_set("c").alias("again")), "again")
+    scratch.drop(chunks, firsts)
+    # Both joins deal out the same columns of the documents alike, so their texts shuffle once; the lists are what is hashed
+    texts = keyed.select("row_id", "row_text").join(lists.hint("shuffle_hash"), keyed["row_id"].eqNullSafe(lists["list_id"])).select("row_id", "row_text", "again")
+    texts = _once(texts, ["row_id", "again"], lines=_lines("row_text"), row_hash="xxhash64(row_text)").select("row_id", "row_hash", "lines", F.explode("again").alias("c"))
+    texts = texts.select("row_id", "row_hash", "c.*", F.expr(f"array_join(slice(lines, {_A.format('c.span')} + 1, {_N.format('c.span')}), '')").alias("bytes"))
     kept = texts.filter("stays").groupBy("hash").agg(F.first("bytes").alias("kept_bytes"))
     equal = texts.filter("not stays").join(kept, "hash").filter("bytes = kept_bytes")
-    cuts = equal.groupBy("row_id", "row_hash").agg(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(a, b - 1)")))).alias("cuts"))
-    cuts = scratch.write(cuts, "cuts")
-    scratch.drop(lists)
-    out = keyed.join(cuts, _same(keyed, cuts), "left").drop(cuts["row_id"]).drop(cuts["row_hash"])
+    cuts = equal.groupBy(F.col("row_id").alias("cut_id")).agg(F.collect_set(F.struct("row_hash", "span")).alias("spans"))
+    out = keyed.join(cuts.hint("shuffle_hash"), keyed["row_id"].eqNullSafe(cuts["cut_id"]), "left").drop("cut_id")
+    # of rows that share an id, each is cut where its own text was found
+    own = f"array_distinct(flatten(transform(filter(spans, s -> s.row_hash = xxhash64(row_text)), s -> sequence({_A.format('s.span')}, {_A.format('s.span')} + {_N.format('s.span')} - 1))))"
+    out = _once(out, [c for c in out.columns if c != "spans"], cuts=f"if(spans is null, null, {own})")
     names = [c for c in out.columns if c != "cuts"]
     out = _once(out, [*names, "cuts"], row_lines=f"if(cuts is null, null, {_lines('row_text')})")
     out = _once(out, [*names, "cuts", "row_lines"], row_left="filter(row_lines, (x, i) -> not array_contains(cuts, i))")
     out = out.withColumn("row_kept", F.when(F.col("cuts").isNull(), F.col("row_text")).otherwise(F.array_join("row_left", "")))
-    return out.withColumn("row_removed", F.coalesce(F.size("row_lines") - F.size("row_left"), F.lit(0)).cast("long")).drop("cuts", "row_lines", "row_left", "row_hash")
+    return out.withColumn("row_removed", F.coalesce(F.size("row_lines") - F.size("row_left"), F.lit(0)).cast("long")).drop("cuts", "row_lines", "row_left")
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text (what stays of it), n_removed (lines), removed_chars.
 
-    A null text counts as empty, and an empty one has no chunks. Rows that repeat an id and its text count once and
-    share their fate; ids are integers; of equal texts under different ids, the least id keeps them (a null id before all). A chunk
-    repeated within one text is removed there too. Other columns are ignored. An empty table gives an empty result.
+    A null text counts as empty, and an empty one has no chunks. Rows that share an id count as one document; of equal
+    texts under different ids, the least id keeps them. A row without id is never the one that keeps a chunk, nor
+    loses one. A chunk that repeats within one document alone stays. Other columns are ignored. An empty table gives an empty result.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = _dedup(plain, "doc_id", "text")
-    return out.select("doc_id", F.col("row_kept").alias("text"), F.col("row_removed").alias("n_removed"), (F.length("row_text") - F.length("row_kept")).cast("long").alias("removed_chars"))
+    return out.select(F.col("row_id").alias("doc_id"), F.col("row_kept").alias("text"), F.col("row_removed").alias("n_removed"), (F.length("row_text") - F.length("row_kept")).cast("long").alias("removed_chars"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,11 +120,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     it, becomes the new length. See line_report for all else.
     """
     others = [c for c in docs.columns if c != text_col]
-    packed = docs.select(F.struct(*others).alias("row_others"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    packed = docs.select(F.struct(F.col(text_col).isNotNull().alias("had"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("row_others"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = _dedup(packed, "doc_id", "text")
     out = out.filter(~((F.col("row_removed") > 0) & ~F.col("row_kept").rlike(r"[^\x20\x09-\x0D]")))
     changed = F.col("row_removed") > 0
-    new = {c: F.col("row_others")[c] for c in others} | {text_col: F.when(changed, F.col("row_kept")).otherwise(F.col("text"))}
+    new = {c: F.col("row_others")[f"c{i}"] for i, c in enumerate(others)} | {text_col: F.when(changed | F.col("row_others")["had"], F.col("row_kept"))}
     if "n_chars" in others:
         new["n_chars"] = F.when(changed, F.length("row_kept").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
     return out.select(*[new[c].alias(c) for c in docs.columns])
