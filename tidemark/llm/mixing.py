@@ -69,7 +69,8 @@ def _balance(hist: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame
         scratch.drop(before)
         if state.filter("not done").isEmpty():
             break
-    return state.select("key", "source_size", "target", "scale", "lam")
+    # sums of doubles depend on their order in the last places; reruns have to agree
+    return state.select("key", "source_size", "target", "scale", F.round("lam", 6).alias("lam"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
