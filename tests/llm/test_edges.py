@@ -122,7 +122,7 @@ def test_stages_take_messy_documents(spark, messy, sf_dir):
         assert out.count() <= docs.count()
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup"])
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op6_near_dedup"])
 def test_sql(spark, sf_dir, name):
     from tests.compare import assert_equal
     from tidemark.llm.registry import ORACLES, QUERIES

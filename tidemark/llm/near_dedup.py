@@ -270,3 +270,22 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), words=2)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS g FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+f AS (SELECT g, count(*) AS df FROM s GROUP BY 1 HAVING count(*) > 1),
+-- documents of similarity 0.8 share one of the rarest fifth of either's shingles
+r AS (SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY coalesce(f.df, 1), s.g) AS k FROM s JOIN n USING (doc_id) LEFT JOIN f USING (g)),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id WHERE a.k <= a.n - ceil(a.n * 0.8) + 1 AND b.k <= b.n - ceil(b.n * 0.8) + 1),
+m AS (SELECT c.a, c.b, count(*) AS both_ FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND y.g = x.g GROUP BY 1, 2),
+l AS (SELECT a, b FROM m JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both_ >= 80 * (p.n + q.n - both_)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT a AS doc_id, a AS r FROM e UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON reach.r = e.a)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(x.r, documents.doc_id) AS component_id, coalesce(x.r, documents.doc_id) = documents.doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS r FROM reach GROUP BY 1) x USING (doc_id)
+"""

@@ -5,6 +5,7 @@ from tidemark.llm.exact_dedup import ORACLE as OP3_SQL
 from tidemark.llm.exact_dedup import op3_exact_dedup
 from tidemark.llm.line_dedup import op10_line_dedup
 from tidemark.llm.mixing import op5_mix
+from tidemark.llm.near_dedup import ORACLE as OP6_SQL
 from tidemark.llm.near_dedup import op6_near_dedup
 from tidemark.llm.quality import op2_quality
 from tidemark.llm.secrets import op9_secrets
@@ -13,4 +14,4 @@ from tidemark.llm.toxicity import op1_toxicity
 from tidemark.llm.url_filter import op4_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_url_filter, op5_mix, op6_near_dedup, op7_decontaminate, op8_token_counts, op9_secrets, op10_line_dedup)}
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op6_near_dedup": OP6_SQL}
