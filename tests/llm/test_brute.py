@@ -242,3 +242,34 @@ def test_shared_passages_go_and_nothing_else(spark, texts):
             assert out[i]["text"] == t
         else:
             assert passage[i % 2] not in out[i]["text"] and out[i]["removed_chars"] > 64
+
+
+def words_of(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+
+
+def prose(rng, n):
+    """n words in clauses of 4 to 18 words."""
+    out, left = words_of(rng, n), 0
+    for i in range(n):
+        if left == 0:
+            left = rng.randint(4, 18)
+        left -= 1
+        if left == 0:
+            out[i] += rng.choice(",,,.;:")
+    return out
+
+
+def test_most_pasted_passages_are_found(spark):
+    rng, rows = random.Random(7), []
+    for i in range(400):
+        passage = prose(rng, rng.randint(51, 65))
+        for k in range(2):
+            host = prose(rng, 120)
+            at = rng.randrange(20, 100)
+            rows.append((2 * i + k, " ".join([*host[:at], *passage, *host[at:]])))
+    out = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not any(r["n_removed"] for r in out if r["doc_id"] % 2 == 0)
+    found = sum(r["n_removed"] > 0 for r in out if r["doc_id"] % 2)
+    print(f"{found} of 400 passages of 51 to 65 words found")
+    assert found >= 340

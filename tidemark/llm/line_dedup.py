@@ -18,7 +18,7 @@ from tidemark.llm._common import Scratch, table
 
 ROLL = 2
 #: One pair of lines in so many is no boundary.
-JOINED = 4
+JOINED = 16
 LEAST_CHARS = 64
 #: A chunk spans the first of these numbers of boundaries that makes it LEAST_CHARS long; shorter lines are left alone.
 SPANS = (2, 4, 8)
