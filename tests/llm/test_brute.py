@@ -273,3 +273,27 @@ def test_most_pasted_passages_are_found(spark):
     found = sum(r["n_removed"] > 0 for r in out if r["doc_id"] % 2)
     print(f"{found} of 400 passages of 51 to 65 words found")
     assert found >= 340
+
+
+def test_repeats_within_one_document_go(spark):
+    rng = random.Random(11)
+
+    def text(*parts):
+        return "\n".join([*parts, ""])
+
+    def own():
+        return " ".join(prose(rng, 60))
+
+    p, q, r = (" ".join(prose(rng, 80)) for _ in range(3))
+    a, b, c, d = own(), own(), own(), own()
+    rows = [(1, text(own(), p, a, p, b, p)), (2, text(own(), q)), (2, text(own(), q)), (None, text(own(), r)), (None, text(own(), r)), (3, text(own(), r)), (4, text(c)), (5, text(d)), (5, text(d))]
+    out = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    one = next(x for x in out if x["doc_id"] == 1)
+    inner = " ".join(p.split(" ")[20:-20])
+    assert one["text"].startswith(rows[0][1][: rows[0][1].index(a)]) and one["text"].count(inner) == 1 and a[20:-20] in one["text"] and b[20:-20] in one["text"]
+    for i, x in ((2, q), (None, r)):
+        assert sum(" ".join(x.split(" ")[20:-20]) in y["text"] for y in out if y["doc_id"] == i) == 1
+    assert sorted(x["n_removed"] > 0 for x in out if x["doc_id"] is None) == [False, True]
+    assert next(x for x in out if x["doc_id"] == 3)["n_removed"] > 0
+    assert not any(x["n_removed"] for x in out if x["doc_id"] in (4, 5))

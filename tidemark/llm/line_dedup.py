@@ -5,8 +5,8 @@ pasted into a paragraph must still be found. A hash that rolls over the hashes o
 boundary after most of them; it looks no further back, so text inserted elsewhere doesn't shift the boundaries of a
 shared passage. A chunk goes from each boundary over as few others, two at least, as make it LEAST_CHARS long.
 
-Chunks meet by hash, as a few numbers each. Where documents share a hash, the one with the least id keeps the chunk, and
-another one loses it if its text equals the kept one's byte for byte.
+Chunks meet by hash, as a few numbers each. Where a hash repeats, in one document or several, the first occurrence (least
+id, then hash of the text, then line) stays, and another one is removed if its text equals the first one's byte for byte.
 """
 
 from __future__ import annotations
@@ -62,41 +62,49 @@ def _once(df: DataFrame, keep: list[str], **made: str) -> DataFrame:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     others = ["row_others"] if "row_others" in docs.columns else []
-    return docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("row_text"), *others)
+    return docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("row_text"), *others).withColumn("row_hash", F.xxhash64("row_text"))
+
+
+def _same(keyed: DataFrame, found: DataFrame):
+    return keyed["row_id"].eqNullSafe(found["own_id"]) & keyed["row_hash"].eqNullSafe(found["own_hash"])
 
 
 def _dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row_id, row_text (null as empty), row_kept (what stays of it), row_removed (lines); and row_others, if docs has it."""
     scratch = Scratch(docs.sparkSession, "lines")
     keyed = _keyed(docs, id_col, text_col)
-    found = _once(keyed, ["row_id"], lines=_lines("row_text"))
-    found = _once(found, ["row_id", "lines"], hashes="transform(lines, x -> xxhash64(x))", lengths="transform(lines, x -> length(x))")
-    found = _once(found, ["row_id", "hashes", "lengths"], bounds=_BOUNDS)
-    found = _once(found, ["row_id", "hashes", "bounds"], ends=_ENDS)
-    found = _once(found, ["row_id"], chunks=_CHUNKS)
+    key = ["row_id", "row_hash"]
+    own = [F.col("row_id").alias("own_id"), F.col("row_hash").alias("own_hash")]
+    found = _once(keyed, key, lines=_lines("row_text"))
+    found = _once(found, [*key, "lines"], hashes="transform(lines, x -> xxhash64(x))", lengths="transform(lines, x -> length(x))")
+    found = _once(found, [*key, "hashes", "lengths"], bounds=_BOUNDS)
+    found = _once(found, [*key, "hashes", "bounds"], ends=_ENDS)
+    found = _once(found, key, chunks=_CHUNKS)
     chunks = scratch.write(found.filter("size(chunks) > 0"), "chunks")
-    found = chunks.selectExpr("row_id", "inline(chunks)")
+    found = chunks.selectExpr(*key, "inline(chunks)")
     # written, so that the join with it is a plain one, of which Spark splits what a frequent chunk makes large
-    firsts = found.groupBy("hash").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last")).filter("first <> last").select("hash", "first")
-    firsts = scratch.write(firsts, "firsts")
-    again = found.join(firsts, "hash").select("row_id", F.struct("span", "hash", (F.col("row_id") == F.col("first")).alias("stays")).alias("c"))
+    firsts = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max(F.isnull("row_id")).alias("none"))
+    firsts = scratch.write(firsts.filter("n > 1").select("hash", F.expr("if(none, null, first)").alias("first")), "firsts")
+    again = found.join(firsts, "hash").select(*key, F.struct("hash", "span", F.col("row_id").eqNullSafe(F.col("first")).alias("least")).alias("c"))
     # a list for each document: no longer than its own chunks
-    lists = scratch.write(again.groupBy(F.col("row_id").alias("list_id")).agg(F.collect_set("c").alias("again")), "again")
+    lists = scratch.write(again.groupBy(*own).agg(F.array_sort(F.collect_set("c")).alias("again")), "again")
     scratch.drop(chunks, firsts)
     # Both joins deal out the same columns of the documents alike, so their texts shuffle once; the lists are what is hashed
-    texts = keyed.select("row_id", "row_text").join(lists.hint("shuffle_hash"), keyed["row_id"].eqNullSafe(lists["list_id"])).select("row_id", "row_text", "again")
-    texts = _once(texts, ["row_id", "again"], lines=_lines("row_text"), row_hash="xxhash64(row_text)").select("row_id", "row_hash", "lines", F.explode("again").alias("c"))
-    texts = texts.select("row_id", "row_hash", "c.*", F.expr(f"array_join(slice(lines, {_A.format('c.span')} + 1, {_N.format('c.span')}), '')").alias("bytes"))
-    kept = texts.filter("stays").groupBy("hash").agg(F.first("bytes").alias("kept_bytes"))
-    equal = texts.filter("not stays").join(kept, "hash").filter("bytes = kept_bytes")
-    cuts = equal.groupBy(F.col("row_id").alias("cut_id")).agg(F.collect_set(F.struct("row_hash", "span")).alias("spans"))
-    out = keyed.join(cuts.hint("shuffle_hash"), keyed["row_id"].eqNullSafe(cuts["cut_id"]), "left").drop("cut_id")
-    # of rows that share an id, each is cut where its own text was found
-    own = f"array_distinct(flatten(transform(filter(spans, s -> s.row_hash = xxhash64(row_text)), s -> sequence({_A.format('s.span')}, {_A.format('s.span')} + {_N.format('s.span')} - 1))))"
-    out = _once(out, [c for c in out.columns if c != "spans"], cuts=f"if(spans is null, null, {own})")
+    texts = keyed.select("row_id", "row_text", "row_hash").join(lists.hint("shuffle_hash"), _same(keyed, lists)).select(*key, "row_text", "again")
+    texts = _once(texts, [*key, "again"], lines=_lines("row_text"))
+    # Of the least id's chunks, the first with a hash in its text may stay
+    texts = texts.select(*key, F.expr(f"""inline(transform(again, (c, i) -> named_struct('hash', c.hash, 'span', c.span,
+      'may_stay', c.least and (i = 0 or get(again, i - 1).hash <> c.hash), 'bytes', array_join(slice(lines, {_A.format('c.span')} + 1, {_N.format('c.span')}), ''))))"""))
+    kept = texts.filter("may_stay").groupBy("hash").agg(F.min(F.struct("row_hash", "span", "bytes")).alias("kept"))
+    # a repeated row (same id, same text) has the same chunks as the row it repeats: they stay, or go, in both
+    equal = texts.join(kept, "hash").filter("not (may_stay and row_hash = kept.row_hash and span = kept.span) and bytes = kept.bytes")
+    cuts = equal.groupBy(*own).agg(F.collect_set("span").alias("spans"))
+    out = keyed.join(cuts.hint("shuffle_hash"), _same(keyed, cuts), "left").drop("own_id", "own_hash", "row_hash")
+    lost = f"array_distinct(flatten(transform(spans, s -> sequence({_A.format('s')}, {_A.format('s')} + {_N.format('s')} - 1))))"
+    out = _once(out, [c for c in out.columns if c != "spans"], cuts=f"if(spans is null, null, {lost})")
     names = [c for c in out.columns if c != "cuts"]
     out = _once(out, [*names, "cuts"], row_lines=f"if(cuts is null, null, {_lines('row_text')})")
-    out = _once(out, [*names, "cuts", "row_lines"], row_left="filter(row_lines, (x, i) -> not array_contains(cuts, i))")
+    out = _once(out, [*names, "cuts", "row_lines"], row_left="transform(array_except(sequence(0, size(row_lines) - 1), cuts), i -> get(row_lines, i))")
     out = out.withColumn("row_kept", F.when(F.col("cuts").isNull(), F.col("row_text")).otherwise(F.array_join("row_left", "")))
     return out.withColumn("row_removed", F.coalesce(F.size("row_lines") - F.size("row_left"), F.lit(0)).cast("long")).drop("cuts", "row_lines", "row_left")
 
@@ -104,9 +112,9 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text (what stays of it), n_removed (lines), removed_chars.
 
-    A null text counts as empty, and an empty one has no chunks. Rows that share an id count as one document; of equal
-    texts under different ids, the least id keeps them. A row without id is never the one that keeps a chunk, nor
-    loses one. A chunk that repeats within one document alone stays. Other columns are ignored. An empty table gives an empty result.
+    A null text counts as empty, and an empty one has no chunks. Rows that repeat an id and its text count once and
+    share their fate; of equal texts under different ids, the least id keeps them (a null id before all). A chunk that
+    repeats within one text, or in different texts under one id, is removed there too. Other columns are ignored. An empty table gives an empty result.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = _dedup(plain, "doc_id", "text")
