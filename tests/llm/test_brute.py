@@ -297,3 +297,24 @@ def test_repeats_within_one_document_go(spark):
     assert sorted(x["n_removed"] > 0 for x in out if x["doc_id"] is None) == [False, True]
     assert next(x for x in out if x["doc_id"] == 3)["n_removed"] > 0
     assert not any(x["n_removed"] for x in out if x["doc_id"] in (4, 5))
+
+
+def test_passages_of_short_lines_go(spark):
+    rng, rows, lists = random.Random(13), [], []
+    for i, make in enumerate((lambda: str(rng.randrange(1000, 10000)), lambda: str(rng.randrange(10)), lambda: rng.choice("abcdefghij") * rng.randint(1, 4))):
+        for end in (", ", "\n"):
+            lists.append(end.join(make() for _ in range(60)) + end)
+            for k in range(2):
+                rows.append((len(rows), " ".join(prose(rng, 60)) + ".\n" + lists[-1] + " ".join(prose(rng, 60))))
+    out = {r["doc_id"]: r for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, shared in enumerate(lists):
+        assert out[2 * n]["text"] == rows[2 * n][1]
+        assert out[2 * n + 1]["n_removed"] >= 52, (n, out[2 * n + 1]["n_removed"])
+        assert out[2 * n + 1]["removed_chars"] <= len(shared)
+
+
+def test_a_long_document_of_short_lines(spark):
+    rng = random.Random(17)
+    once = "\n".join(str(rng.randrange(10**9)) for _ in range(4_000)) + "\n"
+    r = line_dedup.line_report(spark.createDataFrame([(1, once * 5)], "doc_id long, text string")).first()
+    assert once[:-200] in r["text"] and len(r["text"]) < 1.01 * len(once)

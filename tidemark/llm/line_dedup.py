@@ -20,8 +20,8 @@ ROLL = 2
 #: One pair of lines in so many is no boundary.
 JOINED = 16
 LEAST_CHARS = 64
-#: A chunk spans the first of these numbers of boundaries that makes it LEAST_CHARS long; shorter lines are left alone.
-SPANS = (2, 4, 8)
+#: Most chunks span so many boundaries; these are tried in turn, and where all give too few characters, lines are counted.
+SPANS = (2, 3, 4)
 
 _MARK = "\x01"
 _ENDINGS = ("\n", ". ", ", ", "! ", "? ", "; ", ": ")
@@ -40,18 +40,24 @@ _BOUNDS = f"""filter(sequence(0, size(hashes)), i -> i = 0 or i = size(hashes) o
   (i >= {ROLL} and pmod(xxhash64(slice(hashes, i - {ROLL - 1}, {ROLL})), {JOINED}) <> 0))"""
 
 
+#: A line has a character at least, so that LEAST_CHARS lines, or boundaries, always suffice.
+_COUNTED = f"""aggregate(slice(lengths, a + 1, {LEAST_CHARS}), named_struct('lines', 0, 'chars', 0),
+  (s, n) -> if(s.chars >= {LEAST_CHARS}, s, named_struct('lines', s.lines + 1, 'chars', s.chars + n)), s -> if(s.chars >= {LEAST_CHARS}, s.lines, null))"""
+_FURTHER = f"get(transform(array({_COUNTED}), n -> get(filter(slice(bounds, k + {SPANS[-1] + 2}, {LEAST_CHARS}), b -> b - a >= n), 0)), 0)"
+
+
 def _end(spans: tuple[int, ...]) -> str:
     if not spans:
-        return "cast(null as int)"
+        return _FURTHER
     b = f"get(bounds, k + {spans[0]})"
     return f"if({b} is null, null, if(aggregate(slice(lengths, a + 1, {b} - a), 0, (s, n) -> s + n) >= {LEAST_CHARS}, {b}, {_end(spans[1:])}))"
 
 
 _ENDS = f"transform(bounds, (a, k) -> {_end(SPANS)})"
-_CHUNKS = """transform(filter(arrays_zip(bounds, ends), p -> p.ends is not null and p.ends - p.bounds < 1048576), p ->
-  named_struct('span', shiftleft(cast(p.bounds as bigint), 20) + (p.ends - p.bounds), 'hash', xxhash64(slice(hashes, p.bounds + 1, p.ends - p.bounds))))"""
-#: A span's first line and its number of lines, in one number; a chunk has fewer than 2^20 lines.
-_A, _N = "cast(shiftright({0}, 20) as int)", "cast({0} & 1048575 as int)"
+_CHUNKS = """transform(filter(arrays_zip(bounds, ends), p -> p.ends is not null), p ->
+  named_struct('span', shiftleft(cast(p.bounds as bigint), 32) + (p.ends - p.bounds), 'hash', xxhash64(slice(hashes, p.bounds + 1, p.ends - p.bounds))))"""
+#: A span's first line and its number of lines, in one number.
+_A, _N = "cast(shiftright({0}, 32) as int)", "cast({0} & 4294967295 as int)"
 
 
 def _once(df: DataFrame, keep: list[str], **made: str) -> DataFrame:
