@@ -94,6 +94,27 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert sum(got[i] != find(i) for i in got) <= 1  # the recall of a pair at 0.8 is 0.999
 
 
+def test_pairs_among_many_documents_apart(spark, monkeypatch):
+    """Documents that share a passage, at 0.7 to each other, and among them pairs at 0.8, in nodes that branch down to the deepest level."""
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    monkeypatch.setattr(near_dedup, "AFFORDED", 64)
+    rng, rows = random.Random(19), []
+    shared = [f"s{i}" for i in range(100)]
+    for i in range(600):
+        own = [f"o{i}x{k}" for k in range(21)]
+        for k in range(2):
+            at = rng.randrange(9)
+            rows.append((2 * i + k, " ".join(shared + (own[:at] + [f"p{i}x{j}" for j in range(12)] + own[at + 12 :] if k else own))))
+    sets = {i: runs(t, 2) for i, t in rows}
+    pairs = [(j, i) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(pairs) == 600 and all(i == j + 1 for j, i in pairs)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    lost = sum(got[j] != got[i] for j, i in pairs)
+    print(f"{lost} of {len(pairs)} pairs lost")
+    assert lost <= 3
+
+
 def test_bm25_passages(spark, sf_dir, texts):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
     index = decontaminate.Index.build([(r["item_id"], *decontaminate.split_item(r["text"])) for r in items])
