@@ -339,3 +339,10 @@ def test_a_long_document_of_short_lines(spark):
     once = "\n".join(str(rng.randrange(10**9)) for _ in range(4_000)) + "\n"
     r = line_dedup.line_report(spark.createDataFrame([(1, once * 5)], "doc_id long, text string")).first()
     assert once[:-200] in r["text"] and len(r["text"]) < 1.01 * len(once)
+
+
+def test_a_passage_of_17_words_lies_whole_in_a_window():
+    first, end, row = toxicity._windows(np.array([0, 10, 10, 210]))
+    assert set(row) == {0, 2} and first[0] == 0 and end[0] == 10
+    for at in range(10, 210 - 16):
+        assert any(f <= at and at + 17 <= e for f, e in zip(first, end, strict=True))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import _words as W
 from tidemark.llm._common import labelled_sample, remainder, table
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 WORD_BITS, GRAM_BITS, DIM, HIDDEN = 16, 16, 8, 8
 WORD_ROWS, GRAM_ROWS = 1 << WORD_BITS, 1 << GRAM_BITS
 GRAMS = (3, 5)
