@@ -346,3 +346,27 @@ def test_a_passage_of_17_words_lies_whole_in_a_window():
     assert set(row) == {0, 2} and first[0] == 0 and end[0] == 10
     for at in range(10, 210 - 16):
         assert any(f <= at and at + 17 <= e for f, e in zip(first, end, strict=True))
+
+
+def test_leaks_are_the_same_in_parts(spark, monkeypatch):
+    rng = random.Random(23)
+    vocabulary = words_of(rng, 150)
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(20, 120))), " ".join(rng.choice(vocabulary) for _ in range(400))) for i in range(24)]
+    docs = spark.createDataFrame([(i, f"{q} {a} " + " ".join(rng.choice(vocabulary) for _ in range(50))) for i, q, a in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string, answer string")
+
+    def found():
+        return sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontaminate.find_leaks(docs, bench, answer_col="answer").collect())
+
+    built, build = [], decontaminate.Index.build
+    monkeypatch.setattr(decontaminate.Index, "build", staticmethod(lambda *a: built.append(build(*a)) or built[-1]))
+    one = found()
+    whole = built.pop()
+    monkeypatch.setattr(decontaminate, "MOST_PIECES", 150)
+    assert one == found() and len(one) >= 24 and len(built) > 1
+    impact = {(whole.items[whole.item_of[p]][0], int(t)): x for t, p, x in zip(np.repeat(whole.terms, np.diff(whole.bounds)), whole.pieces, whole.impacts, strict=True)}
+    for index in built:
+        once = Counter((index.items[index.item_of[p]][0], int(t)) for t, p in zip(np.repeat(index.terms, np.diff(index.bounds)), index.pieces, strict=True))
+        for t, p, x in zip(np.repeat(index.terms, np.diff(index.bounds)), index.pieces, index.impacts, strict=True):
+            k = index.items[index.item_of[p]][0], int(t)
+            assert once[k] > 1 or abs(impact[k] - x) < 1e-9

@@ -61,6 +61,42 @@ def _at_least(threshold: float, cell: np.ndarray, weight: np.ndarray, cells: int
     return cell[np.bincount(of, weight, len(cell)) >= threshold]
 
 
+def _pieces(rows: list[tuple]) -> tuple[list, list[np.ndarray], list[int]]:
+    """Items with words, their pieces, and the item of each piece. rows: (item id, question, answer)."""
+    items, pieces, item_of = [], [], []
+    for item_id, question, answer in rows:
+        whole = np.concatenate([_hashes(question), _hashes(answer)])
+        if not len(whole):
+            continue
+        items.append((item_id, _runs(_hashes(question)), _runs(_hashes(answer))))
+        for k in range(0, len(whole), PIECE):
+            # a short rest is taken with the words before it, so no piece is but a few words
+            pieces.append(whole[max(0, min(k, len(whole) - PIECE)) : k + PIECE])
+            item_of.append(len(items) - 1)
+    return items, pieces, item_of
+
+
+@dataclass
+class Counts:
+    """Of all pieces of a benchmark: their number, their words, and of each term (sorted) how many have it."""
+
+    n: int
+    words: int
+    terms: np.ndarray
+    df: np.ndarray
+
+    @staticmethod
+    def of(pieces: list[np.ndarray]) -> Counts:
+        terms, df = np.unique(np.concatenate([np.unique(p) for p in pieces]) if pieces else np.zeros(0, np.uint64), return_counts=True)
+        return Counts(len(pieces), sum(len(p) for p in pieces), terms, df)
+
+    def plus(self, other: Counts) -> Counts:
+        terms, at = np.unique(np.concatenate([self.terms, other.terms]), return_inverse=True)
+        df = np.zeros(len(terms), np.int64)
+        np.add.at(df, at, np.concatenate([self.df, other.df]))
+        return Counts(self.n + other.n, self.words + other.words, terms, df)
+
+
 @dataclass
 class Index:
     terms: np.ndarray  # hashes, sorted
@@ -79,26 +115,19 @@ class Index:
     items: list  # (item id, runs of its question, runs of its answer)
 
     @staticmethod
-    def build(rows: list[tuple]) -> Index:
-        """rows: (item id, question, answer)."""
-        items, pieces, item_of = [], [], []
-        for item_id, question, answer in rows:
-            whole = np.concatenate([_hashes(question), _hashes(answer)])
-            if not len(whole):
-                continue
-            items.append((item_id, _runs(_hashes(question)), _runs(_hashes(answer))))
-            for k in range(0, len(whole), PIECE):
-                # a short rest is taken with the words before it, so no piece is but a few words
-                pieces.append(whole[max(0, min(k, len(whole) - PIECE)) : k + PIECE])
-                item_of.append(len(items) - 1)
+    def build(rows: list[tuple], counts: Counts | None = None) -> Index:
+        """rows: (item id, question, answer). counts: those of all items, where rows are a part of them."""
+        items, pieces, item_of = _pieces(rows)
+        counts = counts or Counts.of(pieces)
         owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
         flat = np.concatenate(pieces) if pieces else np.zeros(0, np.uint64)
         terms, term = np.unique(flat, return_inverse=True)
         pair, tf = np.unique(term * max(1, len(pieces)) + owner, return_counts=True)
         term, piece = pair // max(1, len(pieces)), pair % max(1, len(pieces))
         df, size = np.bincount(term, minlength=len(terms)), np.array([len(p) for p in pieces])
-        idf = np.log1p((len(pieces) - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[piece] / size.mean())) if len(pair) else np.zeros(0)
+        among = counts.df[np.searchsorted(counts.terms, terms)]
+        idf = np.log1p((counts.n - among + 0.5) / (among + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[piece] / (counts.words / counts.n))) if len(pair) else np.zeros(0)
         impact = impact / np.bincount(piece, impact, len(pieces))[piece]
         bounds = np.concatenate([[0], np.cumsum(df)])
         cell = term * (len(pieces) // BLOCK + 1) + piece // BLOCK
@@ -203,12 +232,21 @@ def _indexes(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str |
     spark = benchmark.sparkSession
     answer = F.coalesce(F.col(answer_col), F.lit("")) if answer_col else F.lit(None).cast("string")
     items = benchmark.select(F.col(id_col).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), answer.alias("answer"))
-    pieces = items.agg(F.sum(F.length("text") / (2 * PIECE) + 1)).first()[0] or 0  # two characters a word at least
+    pieces = items.agg(F.sum((F.length("text") + F.length(F.coalesce("answer", F.lit("")))) / (2 * PIECE) + 1)).first()[0] or 0  # two characters a word at least
     parts = int(pieces // MOST_PIECES) + 1
-    for k in range(parts):
+
+    def part(k: int) -> list[tuple]:
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
         rows = [(r["item_id"], *((r["text"], r["answer"]) if answer_col else split_item(r["text"]))) for r in own.collect()]  # bounded by MOST_PIECES
-        yield spark.sparkContext.broadcast(Index.build(sorted(rows, key=repr)))
+        return sorted(rows, key=repr)
+
+    # an item's score is the same however many parts there are
+    counts = None
+    for k in range(parts if parts > 1 else 0):
+        own = Counts.of(_pieces(part(k))[1])
+        counts = own if counts is None else counts.plus(own)
+    for k in range(parts):
+        yield spark.sparkContext.broadcast(Index.build(part(k), counts))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None) -> DataFrame:
