@@ -370,3 +370,14 @@ def test_leaks_are_the_same_in_parts(spark, monkeypatch):
         for t, p, x in zip(np.repeat(index.terms, np.diff(index.bounds)), index.pieces, index.impacts, strict=True):
             k = index.items[index.item_of[p]][0], int(t)
             assert once[k] > 1 or abs(impact[k] - x) < 1e-9
+
+
+def test_distinct_words_of_whole_texts():
+    rng = random.Random(29)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrst") * rng.randint(1, 4) for _ in range(n)) for n in (0, 1, 30, 64, 65, 300)]
+    texts.append(" ".join([f"w{i}" for i in range(64)] + ["same"] * 300))
+    got = quality.features(pa.array(texts))[:, quality.FEATURES.index("distinct_64")]
+    for t, x in zip(texts, got, strict=True):
+        w = SPACE.findall(t)
+        shares = [len(set(w[i : i + 64])) / len(w[i : i + 64]) for i in range(max(1, len(w) - 63)) if w]
+        assert abs(x - (sum(shares) / len(shares) if shares else 0)) < 1e-9

@@ -41,6 +41,21 @@ _CLASSES = _class_matrix()
 _SYMBOL = _CLASSES[:, 2].astype(bool)
 
 
+def _distinct_within(h: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
+    """Mean share of distinct words over all windows of so many words of each text, or of the whole text if it has fewer.
+
+    A word is the first of its kind in the windows that start after its last occurrence before."""
+    order, before = np.argsort(h, kind="stable"), np.full(len(h), -1, np.int64)
+    again = h[order[1:]] == h[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    n = np.diff(bounds)
+    own = np.minimum(n, size)
+    start, end, width, at = np.repeat(bounds[:-1], n), np.repeat(bounds[1:], n), np.repeat(own, n), np.arange(len(h))
+    windows = np.minimum(at, end - width) - np.maximum(np.maximum(before + 1, at - width + 1), start) + 1
+    counted = np.concatenate([[0], np.cumsum(np.maximum(windows, 0))])
+    return np.diff(counted[bounds]) / np.maximum((n - own + 1) * own, 1)
+
+
 def features(column: pa.Array) -> np.ndarray:
     """FEATURES of each text of a string column."""
     offsets, data = W.buffers(column)
@@ -55,10 +70,10 @@ def features(column: pa.Array) -> np.ndarray:
         same[1:] = h[1:] == h[:-1]
         same[bounds[:-1][n > 0]] = False
         distinct = np.array([len(np.unique(h[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-        first = np.array([len(np.unique(h[a : min(b, a + 64)])) / max(1, min(b - a, 64)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+        within = _distinct_within(h, bounds, 64)
         ends = _SYMBOL[data[e - 1]] if len(e) else np.zeros(0, bool)
         out[i:j] = np.stack(
-            [np.log1p(n), sums(e - s) / many, upper / np.maximum(letters, 1), symbols / size, sums(ends) / many, digits / size, beyond / size, stops / many, lines / many, sums(same) / many, distinct / many, first, sums(e - s == 1) / many], axis=1
+            [np.log1p(n), sums(e - s) / many, upper / np.maximum(letters, 1), symbols / size, sums(ends) / many, digits / size, beyond / size, stops / many, lines / many, sums(same) / many, distinct / many, within, sums(e - s == 1) / many], axis=1
         )
     return out
 
