@@ -1,23 +1,28 @@
 """Near-duplicates by chosen-path set similarity join.
 
-Documents with equal shingle sets become one class. Every class walks down TREES trees: a node, named by the path so
-far, picks one of the COORDINATES minwise hashes, and documents with the same value there go on together. At depth
-DEPTH, nodes of one document end; those of at most SMALL are compared exhaustively; larger ones take a few anchors that
-are compared with all the others, and where documents stay apart, all that are apart are compared if that is
-affordable, and the node branches further, over two coordinates a level, if not. The deepest nodes are always
-compared. Every comparison is of whole shingle sets.
+Documents with equal shingle sets (by a digest of the whole set) become one class. Every class walks down TREES trees: a
+node, named by the path so far, picks one of the COORDINATES minwise hashes, and documents with the same value there go
+on together. At depth DEPTH, nodes of one document end; those of at most MOST documents and HEAVY shingles are compared
+exhaustively, in one task. A larger node takes a few anchors that are compared with all the others; then what isn't in
+the component of most is compared with all the others too if that is at most FEW times as much as a small node, and the
+node branches further if not, until nodes are small or have little apart. Every comparison is of whole shingle sets.
 
 Two sets of similarity 0.8 share a node of depth 3 in one tree with probability 0.51, so in one of 16 trees with 0.9998.
-Below, a pair that shares a node shares one of its two children with 0.96: with that, 0.9993 share a node of depth 9
-in one of the trees (both allow for 64 coordinates, of which more or fewer than 0.8 may agree).
+Below, a node picks a second coordinate in SECOND of 16 cases, so a pair has 0.8 * (1 + SECOND / 16) = 1.05 children in
+common on average, and its chance of being together in some tree falls slowly with depth: 0.99 at depth 9, 0.97 at 16, 0.93
+at 32 (recall() computes it). A node of documents at 0.75 to each other shrinks all the while.
 
-A comparison works on a group: some anchors and some members, of bounded number. It links an anchor with another
-document only where the group hasn't joined them by other links, so a group gives fewer links than it has documents.
-Components are found over all links and lose nothing by that.
+What a level writes is in proportion to the entries of its nodes: a small node's documents once, a larger node's FEW
+times at most, and its anchors, or the FEW * MOST documents apart at most, once for each MOST documents of it: as many
+rows again. Only nodes that still have more than that apart at depth DEEPEST cost more: blocks of MOST by MOST.
+
+A comparison links a document with another one only where the group hasn't joined them by other links, so a group gives
+fewer links than it has documents. Components are found over all links and lose nothing by that.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,33 +35,34 @@ from tidemark.llm._common import Scratch, table
 from tidemark.llm.components import components
 
 WORDS, PERCENT = 5, 80
-COORDINATES, TREES, DEPTH, DEEPEST = 64, 16, 3, 9
-#: Documents of a node that is compared exhaustively; anchors of a larger one; members that an anchor meets in one group.
-SMALL, ANCHORS, MEMBERS = 96, 8, 256
-#: Anchors of a group when those apart meet all others, and the comparisons that a node may take before it branches.
-APART, AFFORDED = 64, 1_000_000
+COORDINATES, TREES, DEPTH, DEEPEST = 64, 16, 3, 32
+#: Below DEPTH, so many of 16 nodes pick two coordinates.
+SECOND = 5
+#: Documents and shingles of a group that is compared in one task, and anchors of a larger node.
+MOST, HEAVY, ANCHORS = 2048, 1 << 22, 8
+#: So many times MOST documents, or HEAVY shingles, that are apart are still compared with all others of their node.
+FEW = 4
 
 _U = np.uint64
 _FACTORS = np.random.default_rng(16).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
-_SKETCH = "n_shingles bigint, set_a bigint, set_b bigint, hashes binary"
+_SKETCH = "n_shingles bigint, digest binary, hashes binary"
 
 
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, hashes = [], [], [], []
+            n, digests, hashes = [], [], []
             for i, j, h, bounds in W.documents(batch.column("text")):
                 shingles, at = W.shingles(h, bounds, words)
                 for r in range(j - i):
                     own = np.unique(shingles[at[r] : at[r + 1]])
                     n.append(len(own))
-                    a.append(int(np.bitwise_xor.reduce(own).astype(np.int64)) if len(own) else 0)
-                    b.append(int(W.mix(own, 99).sum(dtype=np.uint64).astype(np.int64)) if len(own) else 0)
+                    digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
                     for k in range(0, len(own), 2048):
                         np.minimum(least, (own[k : k + 2048, None] * _FACTORS).min(axis=0), out=least)
                     hashes.append((least >> _U(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(hashes, pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(hashes, pa.binary())], ["doc_id", "n_shingles", "digest", "hashes"])
 
     return run
 
@@ -65,10 +71,10 @@ def _hashes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), COORDINATES).astype(np.uint64)
 
 
-def _picks(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two coordinates of each node, never the same."""
-    one = (W.mix(node, 1) >> _U(40)).astype(np.int64) % COORDINATES
-    return one, (one + 1 + (W.mix(node, 2) >> _U(40)).astype(np.int64) % (COORDINATES - 1)) % COORDINATES
+def _picks(node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two coordinates of each node, never the same, and whether it takes the second as well."""
+    one, more = (W.mix(node, 1) >> _U(40)).astype(np.int64) % COORDINATES, W.mix(node, 2)
+    return one, (one + 1 + (more >> _U(40)).astype(np.int64) % (COORDINATES - 1)) % COORDINATES, (more & _U(15)) < _U(SECOND)
 
 
 def _step(node: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -83,45 +89,77 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = np.full(len(batch), W.mix(np.array([tree + 1], np.uint64))[0])
             for _ in range(DEPTH):
                 node = _step(node, hashes, _picks(node)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("rep")], ["node", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("rep"), batch.column("weight")], ["node", "rep", "weight"])
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One level on, by two coordinates: by one alone, a pair of 0.8 would be lost in more of the trees at each level."""
+    """One level on."""
     for batch in batches:
         hashes, node = _hashes(batch.column("hashes")), batch.column("node").to_numpy().view(np.uint64)
-        for at in _picks(node):
-            yield pa.RecordBatch.from_arrays([pa.array(_step(node, hashes, at).view(np.int64)), batch.column("rep")], ["node", "rep"])
-
-
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
+        one, two, both = _picks(node)
+        for at, own in ((one, np.ones(len(node), bool)), (two, both)):
+            rest = [batch.column(c).filter(pa.array(own)) for c in ("rep", "weight")]
+            yield pa.RecordBatch.from_arrays([pa.array(_step(node[own], hashes[own], at[own]).view(np.int64)), *rest], ["node", "rep", "weight"])
+
+
+def recall(depth: int, similarity: float = PERCENT / 100) -> float:
+    """The chance that two sets share a node of that depth in one of the trees, were each coordinate to agree by itself."""
+    apart = 0.0
+    for _ in range(depth - DEPTH):
+        one = 1 - similarity * (1 - apart)
+        apart = one * (1 - SECOND / 16) + one * one * SECOND / 16
+    return 1 - (1 - similarity**DEPTH * (1 - apart)) ** TREES
+
+
+class _Sets:
+    """The shingle sets of a group, with an index of the shingles that several of them have: a matrix of those that a
+    good part of the documents has, lists of documents for the others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size, n = np.array([len(s) for s in sets]), len(sets)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), self.size)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        length = np.diff(np.append(first, len(flat)))
+        often = length >= max(16, n // 4)
+        column = np.repeat(np.where(often, np.cumsum(often) - 1, -1), length)
+        self.matrix = np.zeros((n, int(often.sum())), np.float32)
+        self.matrix[owner[column >= 0], column[column >= 0]] = 1
+        # lists of the others, and for each document the lists that it is in
+        rare = (length > 1) & ~often
+        self.first, self.length, self.owner = first[rare], length[rare], owner
+        which = np.repeat(np.where(rare, np.cumsum(rare) - 1, -1), length)
+        held = np.flatnonzero(which >= 0)
+        held = held[np.argsort(owner[held], kind="stable")]
+        self.lists, self.bounds = which[held], np.searchsorted(owner[held], np.arange(n + 1))
+
+    def similar(self, i: int, percent: int) -> np.ndarray:
+        """The documents whose sets are similar to that of i, which is among them."""
+        at = self.lists[self.bounds[i] : self.bounds[i + 1]]
+        length = self.length[at]
+        inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        common = np.bincount(self.owner[np.repeat(self.first[at], length) + inner], minlength=len(self.size))
+        if self.matrix.shape[1]:
+            common = common + (self.matrix @ self.matrix[i]).astype(np.int64)  # exact below 2^24
+        own = self.size[i]
+        return np.flatnonzero(100 * common >= percent * (own + self.size - common))
 
 
 def _links(reps: list, anchors: list[bool], sets: list[np.ndarray], percent: int) -> Iterator[tuple]:
-    """Anchors with whatever they are similar to and not yet joined with."""
-    forest, size = _Forest(len(reps)), np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    """Anchors with whatever they are similar to and not yet joined with.
+
+    Where all are anchors, those that lie in a component of more than half of the group needn't be asked: what is similar
+    to them lies there too, or is asked itself.
+    """
+    index, name, everyone = _Sets(sets), np.arange(len(sets)), all(anchors)
     for i in (k for k, x in enumerate(anchors) if x):
-        root = forest.find(i)
-        other = np.array([k for k in range(len(reps)) if forest.find(k) != root and not (anchors[k] and k < i)], np.int64)
-        other = other[(100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))] if len(other) else other
-        if not len(other):
+        if everyone and 2 * int((name != name[i]).sum()) < len(sets):
             continue
-        if len(other) > 8:
-            at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
-            common = np.bincount(owner[sets[i][at] == flat], minlength=len(sets))[other]
-        else:
-            common = np.array([len(np.intersect1d(sets[i], sets[k], assume_unique=True)) for k in other])
-        for k in other[100 * common >= percent * (size[i] + size[other] - common)]:
-            if forest.find(int(k)) != forest.find(i):
-                forest.up[forest.find(int(k))] = forest.find(i)
+        near = index.similar(i, percent)
+        for k in near[name[near] != name[i]]:
+            if name[k] != name[i]:
+                name[name == name[k]] = name[i]
                 if reps[i] != reps[k]:
                     yield reps[i], reps[k]
 
@@ -166,47 +204,69 @@ class _Join:
 
 
 def _crowds(entries: DataFrame, scratch: Scratch) -> DataFrame:
-    """Entries of nodes with more than one document, with their number."""
-    counts = entries.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-    return scratch.write(entries.join(counts, "node"), "nodes")
+    """Entries (node, rep, weight) of nodes with more than one document, with their number n and weight w.
+
+    The counts are written, so that the join with them is a plain one, of which Spark splits what a large node makes large.
+    """
+    entries = scratch.write(entries, "entries")
+    counts = scratch.write(entries.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).filter("n > 1"), "counts")
+    found = scratch.write(entries.join(counts, "node"), "nodes")
+    scratch.drop(entries, counts)
+    return found
 
 
 def _group(*columns) -> F.Column:
     return F.xxhash64(*columns).alias("group")
 
 
+def _fits(n: F.Column, w: F.Column) -> F.Column:
+    return (n <= MOST) & (w <= HEAVY)
+
+
+def _parts(n: F.Column, w: F.Column) -> F.Column:
+    return F.greatest(F.ceil(n / MOST), F.ceil(w / HEAVY)).cast("int")
+
+
 def _small(crowds: DataFrame) -> DataFrame:
     """Groups of the small nodes; nodes of the same documents, in other trees, make one group."""
-    sets = crowds.filter(F.col("n") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct()
-    return sets.select(_group("reps"), F.explode("reps").alias("rep"), F.lit(True).alias("anchor"))
+    sets = crowds.filter(_fits(F.col("n"), F.col("w"))).groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps"))  # MOST at most
+    return sets.select("reps").distinct().select(_group("reps"), F.explode("reps").alias("rep"), F.lit(True).alias("anchor"))
+
+
+def _large(crowds: DataFrame) -> DataFrame:
+    return crowds.filter(~_fits(F.col("n"), F.col("w")))
 
 
 def _members(large: DataFrame) -> DataFrame:
-    parts = F.ceil(F.col("n") / MEMBERS).cast("int")
+    parts = _parts(F.col("n"), F.col("w"))
     return large.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int"))
 
 
 def _stars(large: DataFrame) -> DataFrame:
     """Groups of a few anchors of each large node, chosen by a hash of the document, with every part of its members."""
     members = _members(large)
-    chosen = members.filter((F.xxhash64("rep", F.lit(5)).cast("double") / 2.0**64 + 0.5) * F.col("n") < ANCHORS)
+    most = F.greatest(F.lit(1.0), F.least(F.lit(float(ANCHORS)), F.lit(HEAVY / 2) * F.col("n") / F.col("w")))
+    chosen = members.filter((F.xxhash64("rep", F.lit(5)).cast("double") / 2.0**64 + 0.5) * F.col("n") < most)
     anchors = chosen.select("node", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return members.select(_group("node", "part"), "rep", F.lit(False).alias("anchor")).unionByName(anchors.select(_group("node", "part"), "rep", F.lit(True).alias("anchor")))
 
 
 def _apart(large: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """large with `away`: whether the document is in another component than most of its node's, and n_away."""
-    named = large.join(labels, large["rep"] == labels["node_rep"], "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    sizes = named.groupBy("node", "component").agg(F.count("*").alias("m"))
-    most = sizes.groupBy("node").agg(F.max(F.struct("m", "component")).alias("most"))
-    out = named.join(most, "node").select("node", "rep", "n", (F.col("component") != F.col("most.component")).alias("away"), (F.col("n") - F.col("most.m")).alias("n_away"))
-    return scratch.write(out.filter("n_away > 0"), "apart")
+    """large with `away`: whether the document is in another component than most of its node's, and the number and weight of those."""
+    named = large.join(labels, large["rep"] == labels["node_rep"], "left").select("node", "rep", "weight", "n", "w", F.coalesce("component", "rep").alias("component"))
+    named = scratch.write(named, "named")
+    sizes = named.groupBy("node", "component").agg(F.count("*").alias("m"), F.sum("weight").alias("v"))
+    most = scratch.write(sizes.groupBy("node").agg(F.max(F.struct("m", "component", "v")).alias("most")), "most")
+    out = named.join(most, "node").select("node", "rep", "weight", "n", "w", (F.col("component") != F.col("most.component")).alias("away"), (F.col("n") - F.col("most.m")).alias("n_away"), (F.col("w") - F.col("most.v")).alias("w_away"))
+    out = scratch.write(out.filter("n_away > 0"), "apart")
+    scratch.drop(named, most)
+    return out
 
 
 def _blocks(apart: DataFrame) -> DataFrame:
-    """Groups in which all documents apart meet all documents of their node."""
+    """Groups in which all documents apart meet all documents of their node: FEW rows of those apart, by parts of the members."""
     members = _members(apart)
-    rows = F.ceil(F.col("n_away") / APART).cast("int")
+    rows = _parts(F.col("n_away"), F.col("w_away"))
     anchors = members.filter("away").withColumn("row", F.pmod(F.xxhash64("rep", F.lit(11)), rows).cast("int"))
     anchors = anchors.select("node", "rep", "row", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     others = members.select("node", "rep", "part", F.explode(F.sequence(F.lit(0), rows - 1)).alias("row"))
@@ -228,41 +288,43 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketch = scratch.write(plain.mapInArrow(_sketch(words), "doc_id bigint, " + _SKETCH), "sketch")
     known = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "hashes")).alias("first"))
-    classes = scratch.write(classes.select("set_a", "set_b", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.hashes").alias("hashes")), "classes")
+    classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "hashes")).alias("first"))
+    classes = scratch.write(classes.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.n_shingles").alias("weight"), F.col("first.hashes").alias("hashes")), "classes")
     join = _Join(plain, scratch, words, percent)
 
-    crowds = _crowds(classes.select("rep", "hashes").mapInArrow(_roots, "node bigint, rep bigint"), scratch)
-    small, large = _small(crowds), crowds.filter(F.col("n") > SMALL)
+    crowds = _crowds(classes.select("rep", "weight", "hashes").mapInArrow(_roots, "node bigint, rep bigint, weight bigint"), scratch)
+    large = _large(crowds)
     any_large = not large.isEmpty()
-    links = join.links(small.unionByName(_stars(large)) if any_large else small)
-    # ids that share a text of several texts are one document: their classes are linked by the id
-    own = known.join(classes.select("set_a", "set_b", "n_shingles", "rep"), ["set_a", "set_b", "n_shingles"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    repeated = known.groupBy("doc_id").agg(F.countDistinct("set_a", "set_b").alias("texts")).filter("texts > 1")
-    links = links.unionByName(own.join(repeated.select(F.col("doc_id").alias("a")), "a", "left_semi"))
+    links = join.links(_small(crowds).unionByName(_stars(large)) if any_large else _small(crowds))
+    # an id with several texts is one document: the classes of its texts are linked by the id
+    repeated = scratch.write(known.groupBy("doc_id").agg(F.countDistinct("digest").alias("texts")).filter("texts > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        own = known.join(repeated, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "rep"), "digest")
+        links = links.unionByName(own.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = components(links, scratch)
     for depth in range(DEPTH + 1, DEEPEST + 1):
         if not any_large:
             break
         apart = _apart(large, found.select(F.col("node").alias("node_rep"), "component"), scratch)
-        cost = F.col("n").cast("double") * F.col("n_away")
-        near = apart.filter(cost <= AFFORDED) if depth < DEEPEST else apart
-        far = apart.filter(cost > AFFORDED) if depth < DEEPEST else apart.limit(0)
-        new = join.links(_blocks(near)) if not near.isEmpty() else None
+        few = _parts(F.col("n_away"), F.col("w_away")) <= FEW if depth < DEEPEST else F.lit(True)
+        near, far, groups = apart.filter(few), apart.filter(~few), []
+        if not near.isEmpty():
+            groups.append(_blocks(near))
         any_large = not far.isEmpty()
         if any_large:
-            deeper = far.select("node", "rep").join(classes.select("rep", "hashes"), "rep").select("node", "rep", "hashes").mapInArrow(_children, "node bigint, rep bigint")
-            crowds = _crowds(deeper, scratch)
-            small, large = _small(crowds), crowds.filter(F.col("n") > SMALL)
+            deeper = far.select("node", "rep").join(classes.select("rep", "weight", "hashes"), "rep").select("node", "rep", "weight", "hashes")
+            crowds = _crowds(deeper.mapInArrow(_children, "node bigint, rep bigint, weight bigint"), scratch)
+            large = _large(crowds)
             any_large = not large.isEmpty()
-            more = join.links(small.unionByName(_stars(large)) if any_large else small)
-            new = more if new is None else new.unionByName(more)
-        if new is not None:
-            links = links.unionByName(new)
+            groups += [_small(crowds), _stars(large)] if any_large else [_small(crowds)]
+        if groups:
+            for g in groups[1:]:
+                groups[0] = groups[0].unionByName(g)
+            links = links.unionByName(join.links(groups[0]))
             found = components(links, scratch)
-    named = classes.select("set_a", "set_b", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
+    named = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    named = scratch.write(named.select("digest", F.coalesce("component", "rep").alias("component")), "named")
+    out = sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
