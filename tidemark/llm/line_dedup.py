@@ -1,12 +1,13 @@
 """Removal of multi-line chunks that repeat across the corpus, with DataFrame operations alone.
 
 A line ends at a line end, or at the end of a clause within one: many texts keep a paragraph to a line, and a passage
-pasted into a paragraph must still be found. A hash that rolls over the hashes of ROLL consecutive lines puts a
-boundary after most of them; it looks no further back, so text inserted elsewhere doesn't shift the boundaries of a
-shared passage. A chunk goes from each boundary over as few others, two at least, as make it LEAST_CHARS long.
+pasted into a paragraph must still be found. A hash that rolls over the hashes of two consecutive lines puts a boundary
+after most of them; it looks no further back, so text inserted elsewhere doesn't shift the boundaries of a shared
+passage. A chunk goes from each boundary to the first one that makes it two lines and LEAST_CHARS long.
 
 Chunks meet by hash, as a few numbers each. Where a hash repeats, in one document or several, the first occurrence (least
 id, then hash of the text, then line) stays, and another one is removed if its text equals the first one's byte for byte.
+Of chunks that overlap in one document, as many are compared as cover the same lines.
 """
 
 from __future__ import annotations
@@ -16,12 +17,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import Scratch, table
 
-ROLL = 2
-#: One pair of lines in so many is no boundary.
+#: One pair of lines in so many, a power of two, is no boundary.
 JOINED = 16
 LEAST_CHARS = 64
-#: Most chunks span so many boundaries; these are tried in turn, and where all give too few characters, lines are counted.
-SPANS = (2, 3, 4)
 
 _MARK = "\x01"
 _ENDINGS = ("\n", ". ", ", ", "! ", "? ", "; ", ": ")
@@ -36,26 +34,24 @@ def _lines(text: str) -> str:
     return f"if(contains({text}, '\\u0001'), split({text}, '(?<=[.!?,;:] )|(?<=\\\\n)'), split({marked}, '\\u0001'))"
 
 
-_BOUNDS = f"""filter(sequence(0, size(hashes)), i -> i = 0 or i = size(hashes) or
-  (i >= {ROLL} and pmod(xxhash64(slice(hashes, i - {ROLL - 1}, {ROLL})), {JOINED}) <> 0))"""
+def _sum(n: int) -> str:
+    return " + ".join(f"get(lengths, a + {i})" for i in range(n))
 
 
-#: A line has a character at least, so that LEAST_CHARS lines, or boundaries, always suffice.
-_COUNTED = f"""aggregate(slice(lengths, a + 1, {LEAST_CHARS}), named_struct('lines', 0, 'chars', 0),
-  (s, n) -> if(s.chars >= {LEAST_CHARS}, s, named_struct('lines', s.lines + 1, 'chars', s.chars + n)), s -> if(s.chars >= {LEAST_CHARS}, s.lines, null))"""
-_FURTHER = f"get(transform(array({_COUNTED}), n -> get(filter(slice(bounds, k + {SPANS[-1] + 2}, {LEAST_CHARS}), b -> b - a >= n), 0)), 0)"
-
-
-def _end(spans: tuple[int, ...]) -> str:
-    if not spans:
-        return _FURTHER
-    b = f"get(bounds, k + {spans[0]})"
-    return f"if({b} is null, null, if(aggregate(slice(lengths, a + 1, {b} - a), 0, (s, n) -> s + n) >= {LEAST_CHARS}, {b}, {_end(spans[1:])}))"
+def _chunk(n: str, hashed: str) -> str:
+    return f"named_struct('span', shiftleft(cast(a as bigint), 32) + {n}, 'hash', xxhash64({hashed}))"
 
 
-_ENDS = f"transform(bounds, (a, k) -> {_end(SPANS)})"
-_CHUNKS = """transform(filter(arrays_zip(bounds, ends), p -> p.ends is not null), p ->
-  named_struct('span', shiftleft(cast(p.bounds as bigint), 32) + (p.ends - p.bounds), 'hash', xxhash64(slice(hashes, p.bounds + 1, p.ends - p.bounds))))"""
+_BOUND = f"""transform(sequence(0, size(hashes)), i -> i = 0 or i = size(hashes) or
+  (i >= 2 and (xxhash64(get(hashes, i - 2), get(hashes, i - 1)) & {JOINED - 1}) <> 0))"""
+#: Most chunks have two to four lines. For others lines are counted first; one has a character at least, so that LEAST_CHARS
+#: lines always suffice. The last boundary is the end of the text.
+_COUNTED = f"""aggregate(slice(lengths, a + 1, {LEAST_CHARS}), named_struct('lines', 0, 'chars', 0),
+  (s, n) -> if(s.chars >= {LEAST_CHARS}, s, named_struct('lines', s.lines + 1, 'chars', s.chars + n)), s -> if(s.chars >= {LEAST_CHARS}, greatest(s.lines, 2), null))"""
+_NEXT = "coalesce(nullif(array_position(slice(bound, a + n + 1, 64), true), 0), array_position(slice(bound, a + n + 1, size(bound)), true))"
+_LONGER = f"get(transform(transform(array({_COUNTED}), n -> if(n is null or a + n >= size(bound), null, n + cast({_NEXT} as int) - 1)), m -> if(m is null, null, {_chunk('m', 'slice(hashes, a + 1, m)')})), 0)"
+_CASES = " ".join(f"when get(bound, a + {n}) and {_sum(n)} >= {LEAST_CHARS} then {_chunk(str(n), ', '.join(f'get(hashes, a + {i})' for i in range(n)))}" for n in (2, 3, 4))
+_CHUNKS = f"if(size(hashes) < 2, array(), array_compact(transform(sequence(0, size(hashes) - 2), a -> case when not get(bound, a) then null {_CASES} else {_LONGER} end)))"
 #: A span's first line and its number of lines, in one number.
 _A, _N = "cast(shiftright({0}, 32) as int)", "cast({0} & 4294967295 as int)"
 
@@ -75,6 +71,27 @@ def _same(keyed: DataFrame, found: DataFrame):
     return keyed["row_id"].eqNullSafe(found["own_id"]) & keyed["row_hash"].eqNullSafe(found["own_hash"])
 
 
+def _start(c: str) -> str:
+    return _A.format(f"{c}.span")
+
+
+def _end(c: str) -> str:
+    return f"{_start(c)} + {_N.format(f'{c}.span')}"
+
+
+#: again, in order of hash and span, in order of span, and whether each may stay: the least id's first with that hash.
+_PLACED = "array_sort(transform(again, (c, i) -> named_struct('span', c.span, 'hash', c.hash, 'may_stay', c.least and (i = 0 or get(again, i - 1).hash <> c.hash))))"
+#: One of three consecutive chunks that the two others cover needn't be compared.
+_CHOSEN = f"filter(goes, (c, i) -> i % 2 = 0 or i = size(goes) - 1 or {_end('get(goes, i - 1)')} < {_start('get(goes, i + 1)')})"
+
+
+def _bytes(texts: DataFrame, key: list[str], chunks: str) -> DataFrame:
+    """A row for each of the chunks: hash, span, may_stay and its bytes."""
+    lines = _once(texts, [*key, chunks], lines=_lines("row_text"))
+    return lines.select(*key, F.expr(f"""inline(transform({chunks}, c -> named_struct('hash', c.hash, 'span', c.span, 'may_stay', c.may_stay,
+      'bytes', array_join(slice(lines, {_start('c')} + 1, {_N.format('c.span')}), ''))))"""))
+
+
 def _dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row_id, row_text (null as empty), row_kept (what stays of it), row_removed (lines); and row_others, if docs has it."""
     scratch = Scratch(docs.sparkSession, "lines")
@@ -82,29 +99,35 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = ["row_id", "row_hash"]
     own = [F.col("row_id").alias("own_id"), F.col("row_hash").alias("own_hash")]
     found = _once(keyed, key, lines=_lines("row_text"))
-    found = _once(found, [*key, "lines"], hashes="transform(lines, x -> xxhash64(x))", lengths="transform(lines, x -> length(x))")
-    found = _once(found, [*key, "hashes", "lengths"], bounds=_BOUNDS)
-    found = _once(found, [*key, "hashes", "bounds"], ends=_ENDS)
+    found = _once(found, key, hashes="transform(lines, x -> xxhash64(x))", lengths="transform(lines, x -> length(x))")
+    found = _once(found, [*key, "hashes", "lengths"], bound=_BOUND)
     found = _once(found, key, chunks=_CHUNKS)
     chunks = scratch.write(found.filter("size(chunks) > 0"), "chunks")
     found = chunks.selectExpr(*key, "inline(chunks)")
+    # an id that repeats may have several texts, or one text several times
+    repeated = not chunks.groupBy("row_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     # written, so that the join with it is a plain one, of which Spark splits what a frequent chunk makes large
     firsts = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max(F.isnull("row_id")).alias("none"))
     firsts = scratch.write(firsts.filter("n > 1").select("hash", F.expr("if(none, null, first)").alias("first")), "firsts")
     again = found.join(firsts, "hash").select(*key, F.struct("hash", "span", F.col("row_id").eqNullSafe(F.col("first")).alias("least")).alias("c"))
     # a list for each document: no longer than its own chunks
-    lists = scratch.write(again.groupBy(*own).agg(F.array_sort(F.collect_set("c")).alias("again")), "again")
+    gathered = F.collect_set("c") if repeated else F.collect_list("c")
+    lists = scratch.write(again.groupBy(*own).agg(F.array_sort(gathered).alias("again")), "again")
     scratch.drop(chunks, firsts)
-    # Both joins deal out the same columns of the documents alike, so their texts shuffle once; the lists are what is hashed
+    # All joins with the documents deal out the same columns alike, so in one plan their texts shuffle once; the lists are what is hashed
     texts = keyed.select("row_id", "row_text", "row_hash").join(lists.hint("shuffle_hash"), _same(keyed, lists)).select(*key, "row_text", "again")
-    texts = _once(texts, [*key, "again"], lines=_lines("row_text"))
-    # Of the least id's chunks, the first with a hash in its text may stay
-    texts = texts.select(*key, F.expr(f"""inline(transform(again, (c, i) -> named_struct('hash', c.hash, 'span', c.span,
-      'may_stay', c.least and (i = 0 or get(again, i - 1).hash <> c.hash), 'bytes', array_join(slice(lines, {_A.format('c.span')} + 1, {_N.format('c.span')}), ''))))"""))
-    kept = texts.filter("may_stay").groupBy("hash").agg(F.min(F.struct("row_hash", "span", "bytes")).alias("kept"))
-    # a repeated row (same id, same text) has the same chunks as the row it repeats: they stay, or go, in both
-    equal = texts.join(kept, "hash").filter("not (may_stay and row_hash = kept.row_hash and span = kept.span) and bytes = kept.bytes")
-    cuts = equal.groupBy(*own).agg(F.collect_set("span").alias("spans"))
+    texts = _once(texts, [*key, "row_text"], placed=_PLACED)
+    texts = _once(texts, [*key, "row_text"], stays="filter(placed, c -> c.may_stay)", goes="filter(placed, c -> not c.may_stay)")
+    stays = _bytes(texts.filter("size(stays) > 0"), key, "stays")
+    goes = _bytes(_once(texts.filter("size(goes) > 0"), [*key, "row_text"], chosen=_CHOSEN), key, "chosen")
+    if repeated:
+        # of several texts under the least id one has the chunk that stays; a repeated row (same id, same text) shares its fate
+        kept = stays.groupBy("hash").agg(F.min(F.struct("row_hash", "span", "bytes")).alias("kept"))
+        kept = scratch.write(kept.select("hash", F.col("kept.row_hash").alias("kept_row"), F.col("kept.span").alias("kept_span"), F.col("kept.bytes").alias("kept_bytes")), "kept")
+        equal = goes.unionByName(stays).join(kept, "hash").filter("not (may_stay and row_hash = kept_row and span = kept_span)")
+    else:
+        equal = goes.join(stays.select("hash", F.col("bytes").alias("kept_bytes")), "hash")
+    cuts = equal.filter("bytes = kept_bytes").groupBy(*own).agg(F.collect_set("span").alias("spans"))
     out = keyed.join(cuts.hint("shuffle_hash"), _same(keyed, cuts), "left").drop("own_id", "own_hash", "row_hash")
     lost = f"array_distinct(flatten(transform(spans, s -> sequence({_A.format('s')}, {_A.format('s')} + {_N.format('s')} - 1))))"
     out = _once(out, [c for c in out.columns if c != "spans"], cuts=f"if(spans is null, null, {lost})")
