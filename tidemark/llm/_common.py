@@ -73,11 +73,6 @@ def n_words(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def with_tables(df: DataFrame, **kinds: str) -> DataFrame:
-    """df's named columns cast to the given types; columns that are missing are added as nulls."""
-    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
-
-
 def remainder(c: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor: what folds are made of."""
     return F.coalesce(F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(divisor)), F.lit(0)).cast("int")

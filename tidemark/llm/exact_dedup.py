@@ -11,6 +11,7 @@ written in ranges, and each range has a filter of its own.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,15 +125,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # at most max_filter_bytes come to the driver, and go out again
         twice = {r["block"]: bytes(r["twice"]) for r in made.select("block", "twice").collect()}
         flagged.append(own.mapInArrow(_ask(spark.sparkContext.broadcast(twice), blocks), "doc_id " + dict(own.dtypes)["doc_id"] + ", text_sha256 string, h bigint, suspect boolean"))
-    out = None
-    for f in flagged:
-        single = f.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-        again = f.filter("suspect").select("doc_id", "text_sha256")
-        groups = again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        again = again.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-        part = single.unionByName(again)
-        out = part if out is None else out.unionByName(part)
-    return out
+    every = functools.reduce(DataFrame.unionByName, flagged)
+    single = every.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    # both sides written, so that the join is a plain one, of which Spark splits what a text with very many copies makes large
+    again = scratch.write(every.filter("suspect").select("doc_id", "text_sha256"), "again")
+    groups = scratch.write(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    again = again.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return single.unionByName(again)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,9 +3,12 @@
 Each document gets the rate exp(lambda * size), at most MOST_COPIES, that moves the least from one copy each, in
 relative entropy, while its source's tokens come to the target. lambda of a source is the root of a convex dual's
 gradient; Newton steps for all sources run together, each one aggregation over (source, size, documents) counts.
-Rates become copies by size class from long to short, carrying what is over in tokens, so a source misses its
-target by about half of its shortest document. Copies of a class go to its documents in salted cells, so one
-huge class is spread over many tasks.
+Their sums are of decimals, so no order of the rows changes them and reruns agree.
+
+Rates become copies of size classes: running sums of copies, from long to short, are rounded, which misses a source's
+tokens by half of its longest document at most. One class in each power of two of lengths, from long to short, then
+takes or gives copies to make up for it, down to about half of the shortest document. Copies of a class go to its
+documents in salted cells, so one huge class is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from tidemark.llm._common import Scratch, n_words, table
 
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
-STEPS = 40
+STEPS = 80
 TOLERANCE = 1e-7
 #: A class's documents are dealt to cells of about this many rows.
 CELL_ROWS = 200_000
@@ -28,9 +31,13 @@ LEAST_CELLS = 16
 _RATE = f"exp(least(lam * size / scale, {math.log(MOST_COPIES)!r}D))"
 
 
+#: Sums of this type don't depend on their order.
+_EXACT = "decimal(28,9)"
+
+
 def _targets(hist: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     """A row for each source: source_size, scale and target. One task sorts the sources, not their documents."""
-    per = hist.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.col("n").cast("double") * F.col("size") * F.col("size")).alias("squares"))
+    per = hist.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.col("n").cast("decimal(20,0)") * F.col("size") * F.col("size")).cast("double").alias("squares"))
     order = Window.orderBy("key")
     nth = F.array(*[F.lit(float(w)) for w in weights])
     per = per.withColumn("w", nth[F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))])
@@ -54,7 +61,8 @@ def _balance(hist: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame
     for _ in range(STEPS):
         open_ = state.filter("not done").select("key", "lam", "scale")
         rated = hist.join(open_, "key").withColumn("x", F.col("size") / F.col("scale")).withColumn("tokens", F.expr(f"n * size * {_RATE}"))
-        sums = rated.groupBy("key").agg(F.sum("tokens").alias("got"), F.sum(F.when(F.expr(f"lam * x < {math.log(MOST_COPIES)!r}D"), F.col("tokens") * F.col("x")).otherwise(0.0)).alias("slope"))
+        slope = F.when(F.expr(f"lam * x < {math.log(MOST_COPIES)!r}D"), F.col("tokens") * F.col("x")).otherwise(0.0)
+        sums = rated.groupBy("key").agg(F.sum(F.col("tokens").cast(_EXACT)).cast("double").alias("got"), F.sum(slope.cast(_EXACT)).cast("double").alias("slope"))
         new = state.join(sums, "key", "left")
         gap = F.log("got") - F.log("target")
         new = new.withColumn("lo", F.when(F.col("got") < F.col("target"), F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("got") > F.col("target"), F.col("lam")).otherwise(F.col("hi")))
@@ -62,15 +70,35 @@ def _balance(hist: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame
         wide = (F.col("hi") - F.col("lo")) > 1e5
         halved = F.when(wide & (F.col("got") < F.col("target")), F.col("lam") * 2 + 1).when(wide, F.col("lam") - F.abs("lam") - 1).otherwise((F.col("lo") + F.col("hi")) / 2)
         good = (F.col("slope") > 0) & (step > F.col("lo")) & (step < F.col("hi")) & (F.abs(step - F.col("lam")) <= 50 + F.abs("lam"))
-        close = F.abs(F.col("got") - F.col("target")) <= TOLERANCE * F.col("target")
+        # doubles end a bracket before the tolerance only where a target is as good as met
+        close = (F.abs(F.col("got") - F.col("target")) <= TOLERANCE * F.col("target")) | (F.col("hi") - F.col("lo") <= 1e-12 * F.greatest(F.abs("lo"), F.abs("hi")))
         held = F.col("done") | F.coalesce(close, F.lit(True))
         new = new.withColumn("lam", F.when(held, F.col("lam")).when(good, step).otherwise(halved)).withColumn("done", held)
         before, state = state, scratch.write(new.drop("got", "slope"), "state")
         scratch.drop(before)
         if state.filter("not done").isEmpty():
-            break
-    # sums of doubles depend on their order in the last places; reruns have to agree
-    return state.select("key", "source_size", "target", "scale", F.round("lam", 6).alias("lam"))
+            return state.select("key", "source_size", "target", "scale", "lam")
+    raise RuntimeError(f"rates don't meet their targets after {STEPS} steps")
+
+
+def _copies(classes: DataFrame) -> DataFrame:
+    """copies of each class (key, source_size, target, size, n, want tokens): near want, and together near the target."""
+    longest_first = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
+    exact = F.when(F.col("size") > 0, F.col("want") / F.col("size")).otherwise(0.0).cast(_EXACT)
+    upto = classes.withColumn("exact", exact).withColumn("sum", F.sum("exact").over(longest_first))
+    first = (F.round("sum") - F.round(F.col("sum") - F.col("exact"))).cast("long")
+    made = upto.withColumn("first", F.least(F.greatest(first, F.lit(0).cast("long")), MOST_COPIES * F.col("n")))
+    # of each power of two, the shortest class; a source has as many as a length has bits
+    power = F.floor(F.log2("size")).cast("int")
+    some = made.filter("size > 0").groupBy("key", power.alias("power")).agg(F.max(F.struct(-F.col("size"), "n", "first")).alias("c"))
+    some = some.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("power"), F.col("c.col1").alias("short"), F.col("c.n"), F.col("c.first"))), asc=False).alias("some"))
+    missed = made.groupBy("key").agg((F.max("target").cast(_EXACT) - F.sum(F.col("first") * F.col("size"))).alias("missed"))
+    fold = f"""aggregate(some, named_struct('missed', cast(missed as double), 'moved', cast(array() as array<struct<size: bigint, more: bigint>>)), (s, c) ->
+      transform(array(greatest(-c.first, least({MOST_COPIES}L * c.n - c.first, cast(round(s.missed / -c.short) as bigint)))), k ->
+        named_struct('missed', s.missed + k * c.short, 'moved', concat(s.moved, array(named_struct('size', -c.short, 'more', k)))))[0], s -> s.moved)"""
+    moved = some.join(missed, "key").select("key", F.expr(f"inline({fold})"))
+    out = made.join(moved, ["key", "size"], "left")
+    return out.select("key", "source_size", "target", "size", "n", (F.col("first") + F.coalesce("more", F.lit(0).cast("long"))).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -88,21 +116,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_
     hist = scratch.write(base.groupBy("key", "size").agg(F.count("*").alias("n")), "counts")
     rates = _balance(hist, _targets(hist, weights), scratch)
     classes = hist.join(rates, "key").withColumn("want", F.expr(f"n * size * {_RATE}"))
-    fold = """aggregate(slices, named_struct('over', 0D, 'copies', cast(array() as array<bigint>)), (s, c) ->
-      transform(array(if(-c.short = 0, 0L, least(3L * c.n, greatest(0L, cast(round((s.over + c.want) / -c.short) as bigint))))), k ->
-        named_struct('over', s.over + c.want + k * c.short, 'copies', concat(s.copies, array(k))))[0], s -> s.copies)""".replace("3L", f"{MOST_COPIES}L")
-    # at most a row for each length that the source's documents have, not for each document
-    folded = classes.withColumn("short", -F.col("size")).groupBy("key", "source_size", "target").agg(F.sort_array(F.collect_list(F.struct("short", "n", "want"))).alias("slices"))
-    folded = folded.withColumn("copies", F.expr(fold)).select("key", "source_size", "target", F.explode(F.arrays_zip("slices", "copies")).alias("c"))
-    given = scratch.write(folded.select("key", "source_size", "target", (-F.col("c.slices.short")).alias("size"), F.col("c.slices.n").alias("n"), F.col("c.copies").alias("copies")), "copies")
+    given = scratch.write(_copies(classes), "copies")
 
     cells = max(LEAST_CELLS, -(-base.count() // CELL_ROWS))
     dealt = base.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int"))
-    own = dealt.groupBy("key", "size", "cell").agg(F.count("*").cast("decimal(20,0)").alias("m")).join(given, ["key", "size"])
+    own = dealt.groupBy("key", "size", "cell").agg(F.count("*").cast("decimal(20,0)").alias("m")).join(given.hint("merge"), ["key", "size"])
     before = F.sum("m").over(Window.partitionBy("key", "size").orderBy("cell")) - F.col("m")
     own = own.withColumn("before", before).selectExpr("key", "size", "cell", "source_size", "target", "copies div n as each", "floor((before + m) * (copies % n) / n) - floor(before * (copies % n) / n) as more")
     ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("key", "size", "cell").orderBy("doc_id")))
-    return ranked.join(own, ["key", "size", "cell"]).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("each") + (F.col("nth") <= F.col("more")).cast("long"))).alias("taken"))
+    return ranked.join(own.hint("merge"), ["key", "size", "cell"]).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("each") + (F.col("nth") <= F.col("more")).cast("long"))).alias("taken"))
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:

@@ -328,10 +328,11 @@ def train(texts: list[str], y: np.ndarray) -> Network:
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 4, held: int = 2, most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    sample = labelled_sample(docs, labels, label, remainder(F.col("doc_id"), fold) != held, most, id_col, text_col)
-    sample = sample.filter(F.octet_length("text") <= LONGEST_LABELLED)
-    rows = sorted((r["doc_id"], r["y"], r["text"]) for r in sample.select("doc_id", "y", "text").collect())  # at most `most` texts of at most LONGEST_LABELLED
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 4, held: int = 2, most: int = MOST_LABELLED, longest: int = LONGEST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Network:
+    short = docs.filter(F.coalesce(F.octet_length(text_col), F.lit(0)) <= longest)
+    labels = labels.join(short.select(F.col(id_col)), id_col, "left_semi")
+    sample = labelled_sample(short, labels, label, remainder(F.col("doc_id"), fold) != held, most, id_col, text_col)
+    rows = sorted((r["doc_id"], r["y"], r["text"]) for r in sample.select("doc_id", "y", "text").collect())  # at most `most` texts of at most `longest` bytes
     return train([r[2] for r in rows], np.array([float(r[1] > 0) for r in rows]))
 
 
@@ -344,14 +345,14 @@ def _score(network):
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", fold: int = 4, held: int = 2, most: int = MOST_LABELLED) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", fold: int = 4, held: int = 2, most: int = MOST_LABELLED, longest: int = LONGEST_LABELLED) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted (1 if score >= THRESHOLD).
 
-    Learns from at most `most` labelled rows of labels whose fold isn't the held one; text alone is scored. Null and
+    Learns from at most `most` labelled documents of at most `longest` bytes whose fold isn't the held one; text alone is scored, of whatever length. Null and
     empty texts get the score of a text without words. Repeated rows get equal scores. Other columns are ignored. An
     empty table gives an empty result; without labels every score is 0.5.
     """
-    network = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label, fold, held, most, id_col, text_col))
+    network = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label, fold, held, most, longest, id_col, text_col))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scored = plain.mapInArrow(_score(network), f"doc_id {dict(plain.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id"), fold) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
