@@ -1,5 +1,6 @@
 """Operators computed again in plain Python, on small inputs."""
 
+import itertools
 import math
 import random
 import re
@@ -28,8 +29,9 @@ def chunked(lines):
     """(first line, end) of every chunk."""
     h, n = [hashed(x) for x in lines], len(lines)
     ends = [i for i in range(n + 1) if i in (0, n) or (i >= 2 and hashed(h[i - 1], hashed(h[i - 2])) % line_dedup.JOINED)]
-    for a in ends:
-        found = next((e for e in ends if e >= a + 2 and sum(map(len, lines[a:e])) >= line_dedup.LEAST_CHARS), None)
+    upto = [0, *itertools.accumulate(map(len, lines))]
+    for k, a in enumerate(ends):
+        found = next((e for e in ends[k + 1 : k + 200] if e >= a + 2 and upto[e] - upto[a] >= line_dedup.LEAST_CHARS), None)
         if found is not None and a < n - 1:
             yield a, found
 

@@ -21,8 +21,14 @@ THRESHOLD = 0.5
 #: (verdict, host and path); a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
+#: Words of hosts that are to be blocked and of hosts that aren't, and the forms that either come in.
+_BLOCKED = ("casino", "slots", "bets", "adult", "xxx", "dating", "spam", "farm-links", "pills", "loans", "warez", "crack", "torrent", "ads", "click-track", "prize")
+_LEFT = ("garden", "history", "science", "weather", "music", "poetry", "chess", "travel", "kitchen", "school", "city", "museum", "river", "north", "letters", "tools")
+_FORMS = ("www.{}-online.example.com/en/21", "free-{}.example.net/fr/40/", "{}-club.example.org/de/6.html", "m.my-{}.example.com/es/9")
+
 #: The labelled table: 1 is to be blocked.
 LABELLED = (
+    *((f.format(w), y) for y, words in ((1, _BLOCKED), (0, _LEFT)) for f in _FORMS for w in words),
     *((u, 1) for u in (
         "casino-bonus.example.com/en/win", "www.online-casino.example.net/fr/31", "free-slots.example.org/de/7.html", "m.free-bets.example.com/en/10", "sports-bets.example.net/es/bet/2",
         "best-bets.example.org/en/812/", "adult-video.example.com/fr/18", "adult-x.example.org/en/501", "www.xxx-adult.example.net/es/9", "hot-singles.example.com/de/44",
