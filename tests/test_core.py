@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from tidemark.functions import env, text, urls
-from tidemark.operators import content, gates, install, lifecycle, temporal
+from tidemark.operators import content, gates, install, lifecycle, states, temporal
 from tidemark.sources import files, hooks
 
 DAY = dt.datetime(2024, 1, 1)
@@ -45,7 +45,7 @@ def test_titles_and_blanks(spark):
     assert one(spark, text.normal_path(F.lit("/a//b/./c/"))) == "/a/b/c" and one(spark, text.folder_name(F.lit("/"))) == "workspace"
     assert one(spark, text.name_mode(F.lit(" Label "))) == "label" and one(spark, text.name_mode(F.lit("x"))) == "prefix"
     assert one(spark, text.answer_line(F.lit("q"), F.lit("a"), F.lit(""))) == "- **q** → a"
-    assert one(spark, text.sync_text(F.lit("t"), F.lit(False), F.lit("s"), F.lit("simulated sync error"))) == "failed (simulated sync error)"
+    assert one(spark, text.sync_text(F.lit("t"), F.lit(False), F.lit("s"), F.lit("no answer"))) == "failed (no answer)"
 
 
 def test_env_lines(spark, tmp_path):
@@ -104,10 +104,75 @@ def test_sweep_takes_stale_sessions_alone(spark):
     assert [(r["session_id"], r["swept_by"]) for r in rows] == [("1-1", 3)]
 
 
-def test_resume_needs_an_open_recent_session(spark):
-    df = log(spark, [(0, 1, "SessionStart", 1, False), (100, 1, "SessionStart", 2, True), (200, 1, "SessionEnd", 2, False), (300, 1, "SessionStart", 3, True), (9000, 1, "SessionStart", 4, True)])
-    assert [(r["session_id"], r["resumes"]) for r in lifecycle.resume_match(df).collect()] == [("1-2", "1-1")]
-    assert {r["session_id"]: r["issue_session"] for r in lifecycle.issue_chain(df).collect()} == {"1-1": "1-1", "1-2": "1-1", "1-3": "1-3", "1-4": "1-4"}
+def audit_of(spark, rows):
+    """rows: (seconds, status, marked)."""
+    made = [(i, at(t), status, gates.MARKER if marked else "by hand") for i, (t, status, marked) in enumerate(rows)]
+    return spark.createDataFrame(made, "update_id long, created_at timestamp_ntz, status string, body string")
+
+
+def test_states_in_order_of_events(spark):
+    """Starts, ends, timers, sweeps, pauses, gates and resumed sessions, each in a workspace of its own."""
+    start, prompt, stop, end = "SessionStart", "UserPromptSubmit", "Stop", "SessionEnd"
+    rows = [
+        (0, 1, start, 1, False), (100, 1, start, 2, False), (200, 1, end, 2, False), (300, 1, start, 3, True),  # the newest that is open, not the newest
+        (1, 2, start, 1, False), (10, 2, stop, 1, False), (900, 2, start, 2, True),  # a resumed session's timer is cancelled
+        (5000, 3, start, 1, False), (5010, 3, end, 1, False), (5020, 3, end, 1, False), (5030, 3, prompt, 1, False), (5040, 3, end, 1, False),
+        (6000, 4, start, 1, False), (6010, 4, prompt, 1, False), (6020, 4, stop, 1, False), (6030, 4, end, 1, False), (6050, 4, end, 1, False),
+        (7000, 5, start, 1, False), (7010, 5, stop, 1, False),  # at its deadline the board is inactive
+        (10610, 6, start, 1, False), (7100, 7, start, 1, False), (8850, 7, prompt, 1, False),
+        (20000, 8, start, 1, False), (20010, 8, stop, 1, False), (21810, 8, end, 1, False),  # a write at the deadline comes too late
+        (6100, 11, start, 1, False), (6110, 11, prompt, 1, False), (6200, 12, start, 1, False), (8860, 9, start, 1, False), (8870, 9, prompt, 1, False),
+    ]
+    events = log(spark, rows).withColumn("k", F.lit(1))
+    audit = audit_of(spark, [(8800, "INACTIVE", True), (9000, "ON_TRACK", True)])
+    seen = spark.createDataFrame([(i, "public" if i == 11 else "private") for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 11)], "cwd long, visibility string")
+    controls = spark.createDataFrame([(4, "pause", at(6005), True), (4, "resume", at(6035), False), (4, "resume", at(6040), True), (9, "pause", at(8865), True)], "cwd long, action string, ts timestamp_ntz, ok boolean")
+    s = states.States(events, audit, seen, controls)
+    assert {(r["session_id"], r["resumes"]) for r in s.resumed.collect()} == {("1-3", "1-1"), ("2-2", "2-1")}
+    closed = {(r["session_id"], r["cause"], int((r["at_ts"] - DAY).total_seconds())) for r in s.closings().collect()}
+    assert closed == {(x, "sweep", 5000) for x in ("1-1", "1-3", "2-1", "2-2")} | {("5-1", "sweep", 10610), ("6-1", "sweep", 20000), ("7-1", "sweep", 20000), ("8-1", "timer", 21810)}
+    history = s.history().collect()
+    assert {r["session_id"] for r in history} == {"1-1", "1-2", "1-3", "2-1", "2-2", "3-1", "4-1", "5-1", "6-1", "7-1", "8-1"}
+    own = [(r["hook"], r["status"]) for r in sorted(history, key=lambda r: r["at_ts"]) if r["session_id"] == "4-1"]
+    assert own == [(start, "registered"), ("pause", "registered"), (stop, "registered"), (end, "registered"), ("resume", "registered"), ("resume", "registered"), (end, "closed")]
+    assert [r["status"] for r in sorted(history, key=lambda r: r["at_ts"]) if r["session_id"] == "7-1"] == ["registered", "registered", "closed"]
+    sent = lifecycle.effects(s).collect()
+    closes = sorted((r["session_id"], int((r["at_ts"] - DAY).total_seconds())) for r in sent if r["kind"] == "close")
+    assert closes == sorted([(x, t) for x, _, t in closed] + [("1-2", 200), ("3-1", 5010), ("3-1", 5040), ("4-1", 6050)])
+    assert {r["session_id"] for r in sent if r["kind"] == "resumed"} == {"1-3", "2-2"} and not [r for r in sent if r["kind"] == "issue" and r["session_id"] in ("1-3", "2-2")]
+    chain = {r["session_id"]: (r["issue_session"], r["depth"], r["shared_item"]) for r in lifecycle.issue_chain(s).collect()}
+    assert chain["1-3"] == ("1-1", 1, True) and chain["1-1"] == ("1-1", 0, True) and chain["1-2"] == ("1-2", 0, False)
+    assert {r["status"]: r["sessions"] for r in lifecycle.board_snapshot(s).collect()} == {"closed": 11}
+
+
+def test_a_chain_of_resumptions(spark):
+    rows = [(100 * i, 1, "SessionStart", i, i > 1) for i in range(1, 8)] + [(250, 1, "UserPromptSubmit", 2, False)]
+    seen = spark.createDataFrame([(1, "private")], "cwd long, visibility string")
+    none = spark.createDataFrame([], "cwd long, action string, ts timestamp_ntz, ok boolean")
+    s = states.States(log(spark, rows).withColumn("k", F.lit(1)), audit_of(spark, [(0, "ON_TRACK", False)]), seen, none)
+    chain = {r["session_id"]: (r["issue_session"], r["depth"]) for r in lifecycle.issue_chain(s).collect()}
+    assert chain == {f"1-{i}": ("1-1", i - 1) for i in range(1, 8)}
+    assert [r["session_id"] for r in lifecycle.first_prompt_notice(s).collect()] == ["1-2"]
+    told = {r["session_id"]: r["notified"] for r in lifecycle.inherited(s).collect()}
+    assert told == {f"1-{i}": i > 2 for i in range(1, 8)}
+
+
+def test_board_gate_as_of_counts_unmarked_updates(spark):
+    audit = audit_of(spark, [(0, "INACTIVE", True)] + [(100 * i, "ON_TRACK", False) for i in range(1, 26)])
+    seen = [r["board_status"] for r in gates.board_history(audit).orderBy("update_id").collect()]
+    assert seen == ["INACTIVE"] * 20 + [None] * 6
+    assert not gates.board_inactive(audit).first()["inactive"]
+
+
+def test_many_deadlines_in_one_day(spark):
+    import time
+
+    n = 80_000
+    left = spark.range(n).select(F.col("id").alias("i"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)").alias("t"))
+    right = spark.range(5).select(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 20000)").alias("u"), F.col("id").alias("v"))
+    began = time.time()
+    got = temporal.next_at_or_after(left, right, "t", "u", ["v"], unit="DAY").groupBy("v").agg(F.count("*").alias("n")).collect()
+    assert {r["v"]: r["n"] for r in got} == {0: 1, 1: 20000, 2: 20000, 3: 20000, 4: 19999} and time.time() - began < 30
 
 
 def test_board_gate_limits_before_it_filters(spark):

@@ -77,6 +77,11 @@ def issue_title(stamp: Column, folder: Column) -> Column:
     return F.concat(F.lit("["), stamp, F.lit("] … — "), folder)
 
 
+def issue_body(fields: dict[str, Column]) -> Column:
+    """A line for each field, in order; a missing value shows as empty."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"**{k}:** `"), F.coalesce(v, F.lit("")), F.lit("`  ")) for k, v in fields.items()])
+
+
 def sync_text(at: Column, ok: Column, status: Column, error: Column) -> Column:
     """Of the last try to publish a status: none yet, done, failed or unclear."""
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.temporal import asof_join
+from tidemark.operators.temporal import asof_join, numbered
 
 #: Reasons, and the number of updates that the gate looks at.
 PUBLIC, UNCHECKED, INACTIVE = "notes_repo_public", "notes_repo_check_failed", "project_inactive"
@@ -26,29 +26,47 @@ def board_inactive(audit: DataFrame, marker: str = MARKER, newest: int = NEWEST)
     return top.agg(F.coalesce(F.max_by("status", F.struct("created_at", "update_id")) == "INACTIVE", F.lit(False)).alias("inactive"))
 
 
-def board_asof(log: DataFrame, audit: DataFrame, marker: str = MARKER) -> DataFrame:
-    """The log with board_status: the last marked update's at or before each event."""
-    marked = audit.filter(F.contains(F.coalesce("body", F.lit("")), F.lit(marker))).select("created_at", "update_id", F.col("status").alias("board_status"))
-    return asof_join(log, marked, "ts", "created_at", ["board_status"], right_order="update_id")
+def board_history(audit: DataFrame, marker: str = MARKER, newest: int = NEWEST) -> DataFrame:
+    """created_at, update_id and board_status after each update: the newest marked one's status, null where that isn't
+    among the newest `newest` updates of whatever kind."""
+    rows = numbered(audit, "created_at", "update_id").select("created_at", "update_id", "status", "rank", F.contains(F.coalesce("body", F.lit("")), F.lit(marker)).alias("marked"))
+    marked = rows.filter("marked").select(F.col("created_at").alias("marked_at"), F.col("update_id").alias("marked_id"), F.col("status").alias("marked_status"), F.col("rank").alias("marked_rank"))
+    both = asof_join(rows.select("created_at", "update_id", "rank"), marked, "created_at", "marked_at", ["marked_status", "marked_rank"], right_order="marked_id")
+    return both.select("created_at", "update_id", F.when(F.col("rank") - F.col("marked_rank") < newest, F.col("marked_status")).alias("board_status"))
 
 
-def visibility_of(cwd: Column) -> Column:
-    """Stands for a lookup of the workspace's repository."""
-    return F.when(cwd % 11 == 0, "PUBLIC").when(cwd % 13 == 0, "error").otherwise(" private ")
+def board_asof(log: DataFrame, board: DataFrame, ts: str = "ts") -> DataFrame:
+    """The log with board_status, as the gate would see it at each row's time; board is what board_history gives."""
+    return asof_join(log, board, ts, "created_at", ["board_status"], right_order="update_id")
 
 
-def decisions(log: DataFrame, audit: DataFrame) -> DataFrame:
-    """What each event meets first: no state, the privacy gate (starts alone), the board gate (not the end), or nothing."""
-    g = board_asof(log, audit)
-    private = privacy(visibility_of(F.col("cwd")))
+def is_inactive(board_status: Column) -> Column:
+    return F.coalesce(board_status == "INACTIVE", F.lit(False))
+
+
+def visibility_of(key: Column) -> Column:
+    """The fixture's answers about repositories."""
+    return F.when(key % 11 == 0, "PUBLIC").when(key % 13 == 0, "error").otherwise(" private ")
+
+
+def visibilities(customer: DataFrame) -> DataFrame:
+    """A lookup of workspaces' repositories: cwd and visibility, one row each."""
+    return customer.select(F.col("c_custkey").alias("cwd"), visibility_of(F.col("c_custkey")).alias("visibility"))
+
+
+def decisions(log: DataFrame, board: DataFrame, seen: DataFrame) -> DataFrame:
+    """The log with board_status and what each event meets first: no state, the privacy gate (starts alone), the board
+    gate (not the end), or nothing. A workspace that the lookup `seen` doesn't have fails the privacy check."""
+    g = board_asof(log, board).join(seen, "cwd", "left")
+    private = privacy(F.col("visibility"))
     start = F.col("hook") == "SessionStart"
     decision = (
         F.when(start & (private != "ok"), private)
         .when(~start & (F.col("n") == 0), "no_state")
-        .when((F.col("hook") != "SessionEnd") & F.coalesce(F.col("board_status") == "INACTIVE", F.lit(False)), INACTIVE)
+        .when((F.col("hook") != "SessionEnd") & is_inactive(F.col("board_status")), INACTIVE)
         .otherwise("ok")
     )
-    return g.select("event_id", "ts", "cwd", "session_id", "hook", "board_status", decision.alias("decision"))
+    return g.withColumn("decision", decision).drop("visibility")
 
 
 def blocked_text(reason: Column) -> Column:
@@ -60,9 +78,9 @@ def blocked_text(reason: Column) -> Column:
     )
 
 
-def runtime_status(log: DataFrame, audit: DataFrame) -> DataFrame:
+def runtime_status(log: DataFrame, board: DataFrame, seen: DataFrame) -> DataFrame:
     """The last gated event of each workspace and what its decision says."""
-    d = decisions(log, audit).filter("decision <> 'no_state'")
+    d = decisions(log, board, seen).filter("decision <> 'no_state'")
     last = d.groupBy("cwd").agg(F.max_by(F.struct("event_id", "decision"), F.struct("ts", "event_id")).alias("last"))
     return last.select("cwd", "last.event_id", "last.decision", blocked_text(F.col("last.decision")).alias("text"))
 

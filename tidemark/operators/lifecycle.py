@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
+from tidemark.operators.states import IDLE, States
 from tidemark.operators.temporal import latest_by, next_at_or_after
 from tidemark.sources.hooks import STATUS, tracked
-
-IDLE = "interval 1800 seconds"
+from tidemark.sources.store import written
 
 
 def _session():
@@ -24,20 +25,8 @@ def writes(log: DataFrame) -> DataFrame:
     return tracked(log).filter("hook <> 'PostToolUse'")
 
 
-def current_status(log: DataFrame) -> DataFrame:
-    last = latest_by(writes(log), ["session_id"], ["ts", "event_id"], ["hook"])
-    return last.select("session_id", status_of(F.col("hook")).alias("status"))
-
-
-def board_snapshot(log: DataFrame) -> DataFrame:
-    return current_status(log).groupBy("status").agg(F.count("*").alias("sessions"))
-
-
-def status_history(log: DataFrame) -> DataFrame:
-    """Every event with its session's status after it, and whether it is the last one."""
-    so_far = _session().rowsBetween(Window.unboundedPreceding, 0)
-    out = tracked(log).withColumn("status", F.last(status_of(F.col("hook")), ignorenulls=True).over(so_far))
-    return out.select("event_id", "session_id", "hook", "status", F.lead("event_id").over(_session()).isNull().alias("is_current"))
+def board_snapshot(states: States) -> DataFrame:
+    return states.current().groupBy("status").agg(F.count("*").alias("sessions"))
 
 
 def idle_close(log: DataFrame) -> DataFrame:
@@ -55,14 +44,16 @@ def duplicate_start(log: DataFrame) -> DataFrame:
     return starts.withColumn("nth", nth.cast("long")).select("event_id", "start_key", "nth", (F.col("nth") > 1).alias("skipped"))
 
 
-def first_prompt_notice(log: DataFrame) -> DataFrame:
-    prompts = tracked(log).filter("hook = 'UserPromptSubmit'")
-    first = latest_first(prompts)
-    return first.select("session_id", "event_id", F.concat(F.lit("Session "), F.col("session_id"), F.lit(" is tracked")).alias("notice"))
+def _first_prompts(states: States) -> DataFrame:
+    prompts = states.rows.filter("hook = 'UserPromptSubmit' and acts")
+    return prompts.groupBy("session_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.min("ts").alias("prompt_ts"))
 
 
-def latest_first(df: DataFrame) -> DataFrame:
-    return df.groupBy("session_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+def first_prompt_notice(states: States) -> DataFrame:
+    """The first prompt of each session that passed the gates, unless a session that it goes on had one before."""
+    told = inherited(states).filter("notified").select("session_id")
+    first = _first_prompts(states).join(told, "session_id", "left_anti")
+    return first.select("session_id", "event_id", F.concat(F.lit("Session "), F.col("session_id"), F.lit(" is tracked")).alias("notice"))
 
 
 def stale_sweep(log: DataFrame) -> DataFrame:
@@ -78,21 +69,29 @@ def sweep_count(log: DataFrame) -> DataFrame:
     return stale_sweep(log).groupBy("swept_by").agg(F.count("*").alias("sessions"))
 
 
-def resume_match(log: DataFrame) -> DataFrame:
-    """Resuming starts with the workspace's newest session, if that is open and was written less than the idle time ago (an older one has been swept before)."""
-    by_cwd = Window.partitionBy("cwd").orderBy("ts", "event_id")
-    w = writes(log).withColumns({"before": F.lag("session_id").over(by_cwd), "before_hook": F.lag("hook").over(by_cwd), "before_ts": F.lag("ts").over(by_cwd)})
-    hit = w.filter("is_resume").filter(f"before_hook <> 'SessionEnd' and before_ts + {IDLE} > ts")
-    return hit.select("event_id", "session_id", "cwd", "n", F.col("before").alias("resumes"))
+def inherited(states: States) -> DataFrame:
+    """For every session with a state: issue_session, from which its issue comes down by resumptions, their number
+    (depth), and notified, whether a session before it had its first prompt when it was resumed.
 
+    Each round joins the chains with themselves, so there are as many as the logarithm of the longest.
+    """
+    prompts = _first_prompts(states).select(F.col("session_id").alias("resumes"), "prompt_ts")
+    edges = states.resumed.join(prompts, "resumes", "left").select("session_id", "resumes", F.coalesce(F.col("prompt_ts") < F.col("ts"), F.lit(False)).alias("told"))
+    made = states.rows.filter("starts").select("session_id").join(edges, "session_id", "left")
+    chain = written(made.select("session_id", F.coalesce("resumes", "session_id").alias("issue_session"), F.col("resumes").isNotNull().cast("long").alias("depth"), F.coalesce("told", F.lit(False)).alias("notified")), "chain")
+    while True:
+        up = chain.filter("depth > 0").select(F.col("session_id").alias("issue_session"), F.col("issue_session").alias("further"), F.col("depth").alias("more"), F.col("notified").alias("before"))
+        if chain.join(up, "issue_session", "left_semi").isEmpty():
+            return chain
+        chain = written(chain.join(up, "issue_session", "left").select("session_id", F.coalesce("further", "issue_session").alias("issue_session"), (F.col("depth") + F.coalesce("more", F.lit(0).cast("long"))).alias("depth"), (F.col("notified") | F.coalesce("before", F.lit(False))).alias("notified")), "chain")
 
-def issue_chain(log: DataFrame) -> DataFrame:
-    """The issue of every session: that of the session it resumes, else its own; and how many resumptions led there."""
-    starts = tracked(log).filter("hook = 'SessionStart'").select("session_id", "cwd", "n")
-    known = starts.join(resume_match(log).select("session_id", F.lit(1).alias("again")), "session_id", "left")
-    chain = Window.partitionBy("cwd").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    out = known.withColumn("issue", F.max(F.when(F.col("again").isNull(), F.col("n"))).over(chain))
-    return out.select("session_id", F.concat_ws("-", F.col("cwd").cast("string"), F.col("issue").cast("string")).alias("issue_session"), (F.col("n") - F.col("issue")).alias("depth"))
+
+def issue_chain(states: States) -> DataFrame:
+    """The issue of every session: that of the session it resumes, else its own; how many resumptions led there, and
+    whether others share it."""
+    chain = inherited(states)
+    shared = chain.groupBy("issue_session").agg((F.count("*") > 1).alias("shared_item"))
+    return chain.select("session_id", "issue_session", "depth").join(shared, "issue_session").select("session_id", "issue_session", "depth", "shared_item")
 
 
 def latest_session(log: DataFrame) -> DataFrame:
@@ -111,16 +110,31 @@ def last_state(states: DataFrame, key: str = "session_id", order: tuple[str, ...
     return latest_by(states, [key], list(order), [c for c in states.columns if c != key])
 
 
-def effects(log: DataFrame) -> DataFrame:
-    """What the tracker would send out, a row each: kind, target and value, in event order."""
-    t = tracked(log)
+def effects(states: States) -> DataFrame:
+    """What the tracker would send out, a row each: session, time, event (none for a timer), kind and value.
+
+    A new session opens an issue, with title, body and label; one that resumes another takes over its item. A session
+    closes once, by its end, its timer or a sweep, until a prompt or stop opens it again.
+    """
+    rows = states.rows.filter("acts").join(states.resumed.select("session_id", "resumes"), "session_id", "left")
+    order = Window.partitionBy("session_id").orderBy("ts", "nth", "event_id")
+    closed = states.writes.withColumns({"was": F.lag("status").over(order), "gone": F.lag("closed_at").over(order)})
+    closed = closed.filter("hook = 'SessionEnd' and sets = 'closed' and was <> 'closed' and gone is null")
+    stamp, cwd = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("cwd").cast("string")
+    new, label = "hook = 'SessionStart' and resumes is null", F.concat(F.lit("area"), (F.col("cwd") % 7).cast("string"))
     made = {
-        "issue": ("hook = 'SessionStart'", F.concat(F.lit("opened "), F.col("session_id"))),
-        "created_date": ("hook = 'SessionStart'", F.to_date("ts").cast("string")),
+        "issue": (new, T.issue_title(stamp, F.concat(F.lit("p"), cwd))),
+        "body": (new, T.issue_body({"session": F.col("session_id"), "time": stamp, "folder": F.concat(F.lit("/home/u/p"), cwd)})),
+        "label": (f"{new} and cwd % 2 = 0", label),
+        "created_date": (new, F.to_date("ts").cast("string")),
+        "resumed": ("hook = 'SessionStart' and resumes is not null", F.concat(F.lit("goes on from "), F.col("resumes"))),
+        "status": ("sets <> 'closed'", F.col("sets")),
         "active_date": ("hook in ('UserPromptSubmit', 'Stop')", F.to_date("ts").cast("string")),
-        "status": ("hook <> 'PostToolUse'", status_of(F.col("hook"))),
+        "title": ("hook = 'UserPromptSubmit'", F.concat(F.lit("prompt "), F.col("event_id").cast("string"))),
         "comment": ("hook in ('UserPromptSubmit', 'Stop', 'PostToolUse')", F.col("hook")),
-        "close": ("hook = 'SessionEnd'", F.concat(F.lit("closed "), F.col("session_id"))),
     }
-    rows = F.array_compact(F.array(*[F.when(F.expr(on), F.struct(F.lit(kind).alias("kind"), value.alias("value"))) for kind, (on, value) in made.items()]))
-    return t.select("event_id", "session_id", F.inline(rows))
+    each = F.array_compact(F.array(*[F.when(F.expr(on), F.struct(F.lit(kind).alias("kind"), value.alias("value"))) for kind, (on, value) in made.items()]))
+    out = rows.select("session_id", F.col("ts").alias("at_ts"), "event_id", F.inline(each))
+    ends = closed.select("session_id", F.col("ts").alias("at_ts"), "event_id", F.lit("close").alias("kind"), F.lit("end").alias("value"))
+    own = states.closings().select("session_id", "at_ts", F.col("swept_by").alias("event_id"), F.lit("close").alias("kind"), F.col("cause").alias("value"))
+    return out.unionByName(ends).unionByName(own)

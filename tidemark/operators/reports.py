@@ -1,4 +1,4 @@
-"""The status report of each workspace's current session."""
+"""The status report of each workspace."""
 
 from __future__ import annotations
 
@@ -9,21 +9,38 @@ from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import audit as A
 from tidemark.operators import gates as G
-from tidemark.operators import lifecycle as L
+from tidemark.operators import install as I
+from tidemark.operators import states as S
 
 
-def status_report(log: DataFrame, audit: DataFrame) -> DataFrame:
-    """Lines of label and value, in order, for each workspace."""
-    latest = L.latest_session(log).join(L.current_status(log), "session_id")
+def _scope(invalid, exists, installed):
+    return F.when(invalid & exists, "invalid settings").when(installed & exists, "installed").when(exists, "present but hooks missing").otherwise("not present")
+
+
+def status_report(log: DataFrame, audit: DataFrame, seen: DataFrame, states: S.States, machines: DataFrame) -> DataFrame:
+    """Lines of label and value, in order, for each workspace: its installation (machines; c_custkey is the workspace), its
+    open session that was written last, what the board was told last, and why tracking is blocked, if it is."""
+    current = states.writes.join(states.history().filter("is_current and status <> 'closed'").select("session_id", F.col("status").alias("now")), "session_id")
+    paused = F.max_by(F.col("hook") == "pause", F.when(F.col("hook").isin("pause", "resume"), F.struct("ts", "nth")))
+    per = current.groupBy("cwd", "session_id").agg(F.max("ts").alias("last_ts"), F.first("now").alias("status"), F.coalesce(paused, F.lit(False)).alias("paused"))
+    active = per.groupBy("cwd").agg(F.max_by(F.struct("session_id", "status", "paused"), F.struct("last_ts", "session_id")).alias("a")).select("cwd", "a.*")
     sync = A.cache(A.tries(audit)).groupBy(F.col("project").alias("cwd")).agg(F.max_by(F.struct("last_status", "last_synced_at", "last_error"), "update_id").alias("s"))
-    run = G.runtime_status(log, audit).select("cwd", "decision", "text")
-    all_ = latest.join(sync, "cwd", "left").join(run, "cwd", "left")
+    run = G.runtime_status(log, states.board, seen).select("cwd", "decision", "text")
+    m = I.install_states(machines).join(machines, "c_custkey").withColumnRenamed("c_custkey", "cwd")
+    all_ = log.select("cwd").distinct().join(active, "cwd", "left").join(sync, "cwd", "left").join(run, "cwd", "left").join(m, "cwd", "left")
     synced = F.date_format("s.last_synced_at", "yyyy-MM-dd HH:mm:ss")
+    none = lambda c: F.coalesce(c, F.lit("none"))
     lines = {
-        "session": T.short_id(F.col("session_id")),
-        "status": F.col("status"),
-        "issue": F.coalesce(U.issue_url(F.lit("team/notes"), F.col("cwd")), F.lit("none")),
+        "install": none(F.col("state")),
+        "files": T.yes_no(F.coalesce(F.col("file_a") & F.col("file_b"), F.lit(False))),
+        "user settings": none(_scope(F.lit(False), F.col("user_exists"), F.col("user_hooked"))),
+        "local settings": none(_scope(F.col("local_invalid"), F.col("local_exists"), F.col("local_hooked"))),
+        "config": T.yes_no(F.coalesce("config", F.lit(False))),
         "timeout": F.concat(T.minutes(F.lit(T.IDLE_SECONDS)).cast("string"), F.lit(" min")),
+        "session": none(T.short_id(F.col("session_id"))),
+        "status": none(F.col("status")),
+        "paused": T.yes_no(F.coalesce("paused", F.lit(False))),
+        "issue": none(F.when(F.col("session_id").isNotNull(), U.issue_url(F.lit("team/notes"), F.col("cwd")))),
         "sync": T.sync_text(F.coalesce(synced, F.nullif(F.coalesce("s.last_error", F.lit("")), F.lit(""))), F.col("s.last_error").isNull(), F.col("s.last_status"), F.col("s.last_error")),
         "blocked": T.yes_no(F.coalesce(F.col("decision") != "ok", F.lit(False))),
         "note": F.coalesce("text", F.lit("no event was gated")),

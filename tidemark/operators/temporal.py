@@ -1,7 +1,8 @@
 """Latest row, as-of and next-at-or-after joins without range joins.
 
-Rows of both sides meet in one sort within (keys, time bucket). What a bucket doesn't decide comes from a table of
-one row for each bucket, so neither a single task nor a single key has to hold all rows.
+Rows of both sides meet in one sort within (keys, time bucket), and every window grows from its first row, so a bucket is
+read once. What a bucket doesn't decide comes from a table of one row for each bucket, so neither a single task nor a
+single key has to hold all rows.
 """
 
 from __future__ import annotations
@@ -19,40 +20,58 @@ def _bucket(ts: Column, unit: str) -> Column:
     return F.date_trunc(unit, ts.cast("timestamp")).cast("timestamp_ntz")
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, take: list[str], keys: list[str] | None = None, unit: str = "DAY", right_order: str | None = None) -> DataFrame:
-    """left with the columns `take` of the last right row at or before its time (null if none), within keys.
+def _order(right_order: str | None) -> Column:
+    return (F.col(right_order) if right_order else F.lit(0)).cast("decimal(38,0)")
 
-    Columns of left and take mustn't share names. Of right rows at the same time, the greatest right_order counts.
-    """
-    keys = keys or []
-    cols = left.columns
-    tie = F.col(right_order) if right_order else F.lit(0)
-    r = right.select(*keys, _bucket(F.col(right_ts), unit).alias("_b"), F.col(right_ts).alias("_t"), tie.cast("string").alias("_o"), F.struct(*take).alias("_r"), F.lit(0).alias("_side"))
+
+def _nearest(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, take: list[str], keys: list[str] | None, unit: str, right_order: str | None, back: bool) -> DataFrame:
+    """The last right row at or before each left one (back), or the first at or after it."""
+    keys, cols = keys or [], left.columns
+    r = right.select(*keys, _bucket(F.col(right_ts), unit).alias("_b"), F.col(right_ts).alias("_t"), _order(right_order).alias("_o"), F.struct(*take).alias("_r"), F.lit(0).alias("_side"))
     l = left.withColumns({"_b": _bucket(F.col(left_ts), unit), "_t": F.col(left_ts), "_side": F.lit(1)})  # noqa: E741
     both = l.unionByName(r, allowMissingColumns=True)
-    within = Window.partitionBy(*keys, "_b").orderBy("_t", "_side", F.col("_o").cast("decimal(38,0)") if right_order else "_o").rowsBetween(Window.unboundedPreceding, 0)
+    turn = F.asc if back else F.desc
+    # at the same time the right row comes before the left one, whichever way
+    within = Window.partitionBy(*keys, "_b").orderBy(turn("_t"), "_side", turn("_o")).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_own", F.last("_r", ignorenulls=True).over(within)).filter("_side = 1")
-    ends = r.groupBy(*keys, "_b").agg(F.max_by("_r", F.struct("_t", F.col("_o").cast("decimal(38,0)") if right_order else F.col("_o"))).alias("_end"))
-    days = l.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "full")
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).select(*keys, "_b", "_before")
-    out = both.join(days, [*keys, "_b"], "left").withColumn("_hit", F.coalesce("_own", "_before"))
+    pick = F.max_by if back else F.min_by
+    ends = r.groupBy(*keys, "_b").agg(pick("_r", F.struct("_t", "_o")).alias("_end"))
+    buckets = l.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "full")
+    beyond = Window.partitionBy(*keys).orderBy(turn("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("_beyond", F.last("_end", ignorenulls=True).over(beyond)).select(*keys, "_b", "_beyond")
+    out = both.join(buckets, [*keys, "_b"], "left").withColumn("_hit", F.coalesce("_own", "_beyond"))
     return out.select(*cols, *[F.col("_hit")[c].alias(c) for c in take])
 
 
-def next_at_or_after(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, take: list[str], keys: list[str] | None = None, unit: str = "DAY", right_order: str | None = None) -> DataFrame:
-    """left with the columns `take` of the first right row at or after its time (null if none), within keys; of right rows at the same time, the least right_order."""
-    keys = keys or []
-    cols = left.columns
-    tie = F.col(right_order).cast("decimal(38,0)") if right_order else F.lit(0).cast("decimal(38,0)")
-    r = right.select(*keys, _bucket(F.col(right_ts), unit).alias("_b"), F.col(right_ts).alias("_t"), tie.alias("_o"), F.struct(*take).alias("_r"), F.lit(1).alias("_side"))
-    l = left.withColumns({"_b": _bucket(F.col(left_ts), unit), "_t": F.col(left_ts), "_side": F.lit(0)})  # noqa: E741
-    both = l.unionByName(r, allowMissingColumns=True)
-    within = Window.partitionBy(*keys, "_b").orderBy("_t", "_side", "_o").rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("_own", F.first("_r", ignorenulls=True).over(within)).filter("_side = 0")
-    starts = r.groupBy(*keys, "_b").agg(F.min_by("_r", F.struct("_t", "_o")).alias("_start"))
-    days = l.select(*keys, "_b").distinct().join(starts, [*keys, "_b"], "full")
-    after = Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    days = days.withColumn("_after", F.first("_start", ignorenulls=True).over(after)).select(*keys, "_b", "_after")
-    out = both.join(days, [*keys, "_b"], "left").withColumn("_hit", F.coalesce("_own", "_after"))
-    return out.select(*cols, *[F.col("_hit")[c].alias(c) for c in take])
+def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, take: list[str], keys: list[str] | None = None, unit: str = "HOUR", right_order: str | None = None) -> DataFrame:
+    """left with the columns `take` of the last right row at or before its time (null if none), within keys.
+
+    Columns of left and take mustn't share names. Of right rows at the same time, the greatest right_order counts. A left
+    row without a time gets nulls.
+    """
+    return _nearest(left, right.filter(F.col(right_ts).isNotNull()), left_ts, right_ts, take, keys, unit, right_order, True)
+
+
+def next_at_or_after(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, take: list[str], keys: list[str] | None = None, unit: str = "HOUR", right_order: str | None = None) -> DataFrame:
+    """left with the columns `take` of the first right row at or after its time (null if none), within keys; of right rows
+    at the same time, the least right_order. A left row without a time gets nulls."""
+    return _nearest(left, right.filter(F.col(right_ts).isNotNull()), left_ts, right_ts, take, keys, unit, right_order, False)
+
+
+def numbered(df: DataFrame, ts: str, order: str, unit: str = "HOUR") -> DataFrame:
+    """df with `rank`, a row's place among all in (ts, order), from 1. Buckets are counted and numbered each by itself."""
+    own = df.withColumn("_b", _bucket(F.col(ts), unit))
+    before = own.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).select("_b", "_before")  # a row for each bucket
+    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_b").orderBy(ts, order)))
+    return own.join(before, "_b").withColumn("rank", F.col("_before") + F.col("_nth")).drop("_b", "_before", "_nth")
+
+
+def running_count(df: DataFrame, keys: list[str], flag: Column, ts: str, order: str, name: str, unit: str = "DAY") -> DataFrame:
+    """df with `name`: how many of its key's rows up to this one have the flag. Each of a key's buckets is sorted by itself."""
+    own = df.withColumns({"_b": _bucket(F.col(ts), unit), "_f": F.coalesce(flag, F.lit(False)).cast("long")})
+    per = own.groupBy(*keys, "_b").agg(F.sum("_f").alias("_n"))
+    per = per.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")).drop("_n")
+    upto = Window.partitionBy(*keys, "_b").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("_own", F.sum("_f").over(upto))
+    return own.join(per, [*keys, "_b"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_b", "_f", "_own", "_before")

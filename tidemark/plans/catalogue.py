@@ -13,9 +13,11 @@ from tidemark.operators import install as I
 from tidemark.operators import lifecycle as L
 from tidemark.operators import remote as B
 from tidemark.operators import reports as R
+from tidemark.operators import states as S
 from tidemark.plans.sql import ORACLES  # noqa: F401
 from tidemark.sources import files
 from tidemark.sources import hooks as H
+from tidemark.sources.store import written
 
 
 def _log(f):
@@ -30,6 +32,29 @@ def _both(f):
     return lambda spark, d: f(H.hook_log(spark, d), H.board_audit(spark, d, G.MARKER))
 
 
+def _seen(spark, d):
+    return G.visibilities(H.table(spark, d, "customer"))
+
+
+def _from(f):
+    """Over states that follow from a log that is written once."""
+
+    def run(spark, d):
+        log, audit = written(H.hook_log(spark, d), "log"), written(H.board_audit(spark, d, G.MARKER), "audit")
+        return f(S.States(log, audit, _seen(spark, d), G.controls(audit)))
+
+    return run
+
+
+def _report(spark, d):
+    log, audit, seen = written(H.hook_log(spark, d), "log"), written(H.board_audit(spark, d, G.MARKER), "audit"), _seen(spark, d)
+    return R.status_report(log, audit, seen, S.States(log, audit, seen, G.controls(audit)), I.machines(H.table(spark, d, "customer")))
+
+
+def _gated(f):
+    return lambda spark, d: f(H.hook_log(spark, d), G.board_history(H.board_audit(spark, d, G.MARKER)), _seen(spark, d))
+
+
 def _of(name, f):
     return lambda spark, d: f(H.table(spark, d, name))
 
@@ -115,30 +140,31 @@ def _open_sessions(log):
 
 
 def _sync(audit):
-    a = A.tries(audit).withColumn("s", B.sync_record(F.col("status"), F.col("created_at"), F.col("ok"), F.col("update_id"), F.lit("simulated sync error")))
+    a = A.tries(audit).withColumn("s", B.sync_record(F.col("status"), F.col("created_at"), F.col("ok"), F.col("update_id"), F.lit("the board did not answer")))
     return a.select("update_id", "s.status", "s.success", "s.synced_at", "s.status_update_id", "s.error")
 
 
 QUERIES = {
     "hook_log": _log(_events_wide),
     "orphan_events": _log(lambda log: log.filter("n = 0").select("event_id", "cwd", "hook")),
-    "board_snapshot": _log(L.board_snapshot),
-    "status_history": _log(L.status_history),
+    "board_snapshot": _from(L.board_snapshot),
+    "status_history": _from(lambda s: s.history()),
     "idle_close": _log(L.idle_close),
     "duplicate_start": _log(L.duplicate_start),
-    "first_prompt_notice": _log(L.first_prompt_notice),
+    "first_prompt_notice": _from(L.first_prompt_notice),
     "stale_sweep": _log(L.stale_sweep),
     "sweep_count": _log(L.sweep_count),
-    "resume_match": _log(lambda log: L.resume_match(log).select("event_id", "session_id", "resumes")),
-    "issue_chain": _log(L.issue_chain),
+    "resume_match": _from(lambda s: s.resumed.select("event_id", "session_id", "resumes")),
+    "issue_chain": _from(L.issue_chain),
     "latest_session_by_cwd": _log(L.latest_session),
     "active_dates": _log(L.active_dates),
-    "effects": _log(L.effects),
+    "effects": _from(L.effects),
     "last_state": _log(lambda log: L.last_state(L.writes(log).select("session_id", "ts", "event_id", "cwd", "hook", L.status_of(F.col("hook")).alias("status")))),
-    "board_gate": _both(lambda log, audit: G.board_asof(log, audit).select("event_id", "board_status", F.coalesce(F.col("board_status") == "INACTIVE", F.lit(False)).alias("gated"))),
+    "board_gate": _both(lambda log, audit: G.board_asof(log, G.board_history(audit)).select("event_id", "board_status", F.coalesce(F.col("board_status") == "INACTIVE", F.lit(False)).alias("gated"))),
     "board_status_now": _audit(G.board_inactive),
-    "gated_status": _both(lambda log, audit: G.decisions(log, audit).select("event_id", "hook", "decision")),
-    "runtime_status": _both(G.runtime_status),
+    "closings": _from(lambda s: s.closings().select("session_id", "at_ts", "cause", "swept_by")),
+    "gated_status": _gated(lambda log, board, seen: G.decisions(log, board, seen).select("event_id", "hook", "decision")),
+    "runtime_status": _gated(G.runtime_status),
     "audit_cache": _audit(lambda a: A.cache(A.tries(a))),
     "audit_body": _audit(A.bodies),
     "privacy_gate": _of("pages", _privacy),
@@ -162,7 +188,7 @@ QUERIES = {
     "doctor_verdict": _machines(I.verdicts),
     "setup_next_step": _of("customer", I.setup_next_step),
     "meta_complete": _of("customer", I.meta_complete),
-    "status_report": _both(R.status_report),
+    "status_report": _report,
     "pause_spans": _audit(lambda a: G.pause_spans(G.controls(a))),
     "sync_record": _audit(_sync),
     "open_sessions": _log(_open_sessions),

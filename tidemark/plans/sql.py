@@ -18,22 +18,71 @@ audit AS (
   SELECT event_id AS update_id, ts AS created_at, user_id AS project, CASE WHEN k < 5 THEN 'INACTIVE' ELSE 'ON_TRACK' END AS status, event_id % 3 <> 0 AS marked
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE k < 10)"""
 _IDLE = "INTERVAL 1800 SECOND"
-_DECIDED = f"""WITH {_LOG}, gated AS (
-  SELECT log.*, a.status AS board_status FROM log ASOF LEFT JOIN (SELECT * FROM audit WHERE marked) a ON log.ts >= a.created_at),
+# the newest twenty updates as each event finds them, and among them the newest marked one
+_GATES = """ranked AS (SELECT *, row_number() OVER (ORDER BY created_at, update_id) AS place FROM audit),
+board AS (SELECT r.created_at, arg_max(m.status, m.place) AS board_status FROM ranked r LEFT JOIN ranked m ON m.marked AND m.place BETWEEN r.place - 19 AND r.place GROUP BY r.place, r.created_at),
+gated AS (
+  SELECT log.*, board.board_status, c.c_custkey AS seen FROM log ASOF LEFT JOIN board ON log.ts >= board.created_at LEFT JOIN customer c ON c.c_custkey = log.cwd),
 d AS (SELECT *, CASE
-    WHEN hook = 'SessionStart' AND cwd % 11 = 0 THEN 'notes_repo_public'
-    WHEN hook = 'SessionStart' AND cwd % 13 = 0 THEN 'notes_repo_check_failed'
+    WHEN hook = 'SessionStart' AND seen % 11 = 0 THEN 'notes_repo_public'
+    WHEN hook = 'SessionStart' AND (seen IS NULL OR seen % 13 = 0) THEN 'notes_repo_check_failed'
     WHEN hook <> 'SessionStart' AND n = 0 THEN 'no_state'
     WHEN hook <> 'SessionEnd' AND coalesce(board_status = 'INACTIVE', false) THEN 'project_inactive'
     ELSE 'ok' END AS decision FROM gated)"""
+_DECIDED = f"WITH {_LOG}, {_GATES}"
+_CONTROL = "CASE WHEN hook = 'pause' THEN true WHEN hook = 'resume' AND went THEN false END"
+
+
+def _machine(name: str, cancel: str) -> str:
+    """A session's writes one after the other: each takes the status that the one before left, or closed if that interval's timer or a sweep closed it."""
+    carried = "w.session_id, w.cwd, w.j, w.ts, w.nth, w.event_id, w.hook, w.due, w.next_ts"
+    settle = f"""w.timer AND coalesce(w.due <= w.next_ts, true) AND NOT coalesce({cancel} < w.due, false) AS fires_,
+      CASE WHEN state_ = 'closed' THEN NULL WHEN fires_ AND NOT w.blocked THEN w.due WHEN fires_ THEN CASE WHEN coalesce(w.late_ts <= w.next_ts, true) THEN w.late_ts END
+        WHEN coalesce(w.sweep_ts <= w.next_ts, true) THEN w.sweep_ts END AS closed_,
+      CASE WHEN closed_ IS NULL THEN NULL WHEN fires_ AND NOT w.blocked THEN 'timer' ELSE 'sweep' END AS cause_,
+      CASE WHEN closed_ IS NULL OR cause_ = 'timer' THEN NULL WHEN fires_ THEN w.late_id ELSE w.sweep_id END AS swept_"""
+    joined = "LEFT JOIN cancels x ON x.session_id = w.session_id AND x.j = w.j" if "x." in cancel else ""
+    return f"""{name}(session_id, cwd, j, ts, nth, event_id, hook, due, next_ts, state, fired, closed_at, cause, swept_by, before) AS (
+    SELECT {carried}, w.sets AS state_, {settle}, 'closed' FROM w1 w {joined} WHERE w.j = 1
+    UNION ALL
+    SELECT {carried}, coalesce(w.sets, CASE WHEN m.closed_at IS NOT NULL THEN 'closed' ELSE m.state END) AS state_, {settle}, CASE WHEN m.closed_at IS NOT NULL THEN 'closed' ELSE m.state END
+    FROM {name} m JOIN w1 w ON w.session_id = m.session_id AND w.j = m.j + 1 {joined})"""
+
+
+_STATES = f"""WITH RECURSIVE {_LOG}, {_GATES},
+begun AS (SELECT cwd, session_id, ts AS start_ts FROM log WHERE hook = 'SessionStart'),
+passed AS (SELECT session_id, ts AS start_ts, event_id AS start_id FROM d WHERE hook = 'SessionStart' AND decision = 'ok'),
+ctl AS (SELECT b.session_id, a.project AS cwd, a.created_at AS ts, CASE WHEN a.status = 'INACTIVE' THEN 'pause' ELSE 'resume' END AS hook, a.update_id % 5 <> 0 AS went
+  FROM audit a ASOF JOIN begun b ON a.project = b.cwd AND a.created_at >= b.start_ts),
+every AS (
+  SELECT session_id, cwd, ts, 0 AS nth, event_id, hook, true AS went, coalesce(board_status = 'INACTIVE', false) AS inactive, is_resume FROM d WHERE n > 0
+  UNION ALL SELECT session_id, cwd, ts, 1, NULL, hook, went, false, false FROM ctl),
+live AS (SELECT every.* FROM every JOIN passed USING (session_id) WHERE every.ts >= passed.start_ts),
+p AS (SELECT *, coalesce(last_value({_CONTROL} IGNORE NULLS) OVER (o ROWS UNBOUNDED PRECEDING), false) AS paused,
+  coalesce(last_value({_CONTROL} IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS was_paused FROM live WINDOW o AS (PARTITION BY session_id ORDER BY ts, nth)),
+a AS (SELECT *, CASE WHEN hook = 'SessionStart' THEN true WHEN hook = 'SessionEnd' THEN NOT paused WHEN hook IN ('pause', 'resume') THEN false ELSE NOT paused AND NOT inactive END AS acts FROM p),
+w0 AS (SELECT *, CASE WHEN NOT acts THEN NULL WHEN hook = 'SessionStart' THEN 'registered' WHEN hook = 'UserPromptSubmit' THEN 'responding' WHEN hook = 'Stop' THEN 'waiting' WHEN hook = 'SessionEnd' THEN 'closed' END AS sets,
+  acts AND hook = 'Stop' AS timer, row_number() OVER (PARTITION BY session_id ORDER BY ts, nth) AS j, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, nth) AS next_ts, ts + {_IDLE} AS due, ts + {_IDLE} + {_IDLE} AS late
+  FROM a WHERE hook IN ('SessionStart', 'Stop', 'SessionEnd', 'pause') OR (hook = 'UserPromptSubmit' AND NOT paused) OR (hook = 'resume' AND was_paused)),
+w1 AS (SELECT w0.*, coalesce(b.board_status = 'INACTIVE', false) AS blocked, s.start_ts AS sweep_ts, s.start_id AS sweep_id, l.start_ts AS late_ts, l.start_id AS late_id
+  FROM w0 ASOF LEFT JOIN board b ON w0.due >= b.created_at ASOF LEFT JOIN passed s ON w0.due <= s.start_ts ASOF LEFT JOIN passed l ON w0.late <= l.start_ts),
+{_machine("m0", "NULL::TIMESTAMP")},
+res AS (SELECT q.event_id, q.session_id, q.ts, arg_max({{'s': c.session_id, 'j': c.j}}, (c.ts, c.session_id, c.j)) AS hit
+  FROM (SELECT * FROM w1 WHERE hook = 'SessionStart' AND is_resume) q JOIN m0 c ON c.cwd = q.cwd AND c.ts < q.ts AND q.ts < c.due AND (c.next_ts IS NULL OR q.ts < c.next_ts) AND c.state <> 'closed' GROUP BY 1, 2, 3),
+cancels AS (SELECT hit.s AS session_id, hit.j AS j, min(ts) AS at_ts FROM res GROUP BY 1, 2),
+{_machine("m", "x.at_ts")},
+closings AS (SELECT session_id, cwd, closed_at AS at_ts, cause, swept_by FROM m WHERE closed_at IS NOT NULL),
+h AS (SELECT session_id, ts AS at_ts, CASE WHEN nth = 0 THEN 'event' ELSE 'control' END AS cause, event_id, hook, state AS status, nth + 1 AS step FROM m
+  UNION ALL SELECT session_id, at_ts, cause, swept_by, NULL, 'closed', 0 FROM closings),
+history AS (SELECT *, lead(at_ts) OVER (PARTITION BY session_id ORDER BY at_ts, step) IS NULL AS is_current FROM h),
+told AS (SELECT session_id, min(ts) AS prompt_ts, arg_min(event_id, ts) AS event_id FROM a WHERE hook = 'UserPromptSubmit' AND acts GROUP BY 1),
+chain AS (SELECT session_id, session_id AS issue_session, 0::BIGINT AS depth, false AS notified FROM passed WHERE session_id NOT IN (SELECT session_id FROM res)
+  UNION ALL SELECT r.session_id, c.issue_session, c.depth + 1, c.notified OR coalesce(t.prompt_ts < r.ts, false) FROM chain c JOIN res r ON r.hit.s = c.session_id LEFT JOIN told t ON t.session_id = c.session_id)"""
 _SWEEP = f"""WITH {_LOG},
 x AS (SELECT event_id, session_id, hook, ts + {_IDLE} AS due, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS next_ts FROM w),
 s AS (SELECT ts AS start_ts, event_id AS start_id FROM log WHERE hook = 'SessionStart'),
 sweep AS (SELECT x.event_id, x.session_id, x.due, s.start_id AS swept_by, s.start_ts AS swept_at
   FROM x ASOF JOIN s ON x.due <= s.start_ts WHERE x.hook <> 'SessionEnd' AND (x.next_ts IS NULL OR s.start_ts <= x.next_ts))"""
-_RESUME = f"""res AS (SELECT event_id, session_id, cwd, n, prev AS resumes FROM (
-    SELECT *, lag(session_id) OVER o AS prev, lag(hook) OVER o AS prev_hook, lag(ts) OVER o AS prev_ts FROM w WINDOW o AS (PARTITION BY cwd ORDER BY ts, event_id))
-  WHERE is_resume AND prev_hook <> 'SessionEnd' AND prev_ts + {_IDLE} > ts)"""
 _TEXTS = "CASE decision WHEN 'notes_repo_public' THEN 'tracking is off: the notes repository is public' WHEN 'notes_repo_check_failed' THEN 'tracking is off: the notes repository could not be checked' WHEN 'project_inactive' THEN 'tracking is off: the board is inactive' ELSE 'tracking is on' END"
 _CACHE = """SELECT update_id, project, status AS last_status,
   last_value(CASE WHEN update_id % 4 <> 0 THEN created_at END IGNORE NULLS) OVER o AS last_synced_at,
@@ -93,33 +142,33 @@ _SETTINGS = """WITH s AS (SELECT n_regionkey, ['SessionStart', 'UserPromptSubmit
 ORACLES = {
     "hook_log": f"WITH {_LOG} SELECT event_id, ts, cwd, hook, n, session_id, k, is_resume FROM log",
     "orphan_events": f"WITH {_LOG} SELECT event_id, cwd, hook FROM log WHERE n = 0",
-    "board_snapshot": f"WITH {_LOG} SELECT status, count(*) AS sessions FROM (SELECT session_id, arg_max(status, (ts, event_id)) AS status FROM w GROUP BY 1) GROUP BY 1",
-    "status_history": f"""WITH {_LOG} SELECT event_id, session_id, hook,
-      last_value(CASE hook WHEN 'SessionStart' THEN 'registered' WHEN 'UserPromptSubmit' THEN 'responding' WHEN 'Stop' THEN 'waiting' WHEN 'SessionEnd' THEN 'closed' END IGNORE NULLS) OVER (o ROWS UNBOUNDED PRECEDING) AS status,
-      lead(event_id) OVER o IS NULL AS is_current FROM log WHERE n > 0 WINDOW o AS (PARTITION BY session_id ORDER BY ts, event_id)""",
+    "board_snapshot": _STATES + " SELECT status, count(*) AS sessions FROM history WHERE is_current GROUP BY 1",
+    "status_history": _STATES + " SELECT session_id, at_ts, cause, event_id, hook, status, is_current FROM history",
     "idle_close": f"""WITH {_LOG}, x AS (SELECT *, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS next_ts FROM w)
       SELECT event_id, session_id, ts AS stop_ts, ts + {_IDLE} AS deadline, next_ts IS NULL OR next_ts >= ts + {_IDLE} AS closes FROM x WHERE hook = 'Stop'""",
     "duplicate_start": f"""WITH {_LOG}, x AS (SELECT event_id, concat(cwd, '-', k % 10) AS start_key, ts FROM log WHERE hook = 'SessionStart'),
       y AS (SELECT *, row_number() OVER (PARTITION BY start_key ORDER BY ts, event_id) AS nth FROM x) SELECT event_id, start_key, nth, nth > 1 AS skipped FROM y""",
-    "first_prompt_notice": f"""WITH {_LOG} SELECT session_id, arg_min(event_id, (ts, event_id)) AS event_id, concat('Session ', session_id, ' is tracked') AS notice
-      FROM log WHERE n > 0 AND hook = 'UserPromptSubmit' GROUP BY session_id""",
+    "first_prompt_notice": _STATES + " SELECT told.session_id, told.event_id, concat('Session ', told.session_id, ' is tracked') AS notice FROM told JOIN chain ON chain.session_id = told.session_id WHERE NOT chain.notified",
     "stale_sweep": _SWEEP + " SELECT * FROM sweep",
     "sweep_count": _SWEEP + " SELECT swept_by, count(*) AS sessions FROM sweep GROUP BY 1",
-    "resume_match": f"WITH {_LOG}, {_RESUME} SELECT event_id, session_id, resumes FROM res",
-    "issue_chain": f"""WITH RECURSIVE {_LOG}, {_RESUME}, st AS (SELECT log.session_id, log.cwd, log.n, res.session_id IS NOT NULL AS again FROM log LEFT JOIN res ON res.session_id = log.session_id WHERE log.hook = 'SessionStart'),
-      chain AS (SELECT session_id, cwd, n, n AS issue, 0::BIGINT AS depth FROM st WHERE NOT again
-        UNION ALL SELECT st.session_id, st.cwd, st.n, chain.issue, chain.depth + 1 FROM chain JOIN st ON st.cwd = chain.cwd AND st.n = chain.n + 1 AND st.again)
-      SELECT session_id, concat(cwd, '-', issue) AS issue_session, depth FROM chain""",
+    "resume_match": _STATES + " SELECT event_id, session_id, hit.s AS resumes FROM res",
+    "issue_chain": _STATES + " SELECT session_id, issue_session, depth, count(*) OVER (PARTITION BY issue_session) > 1 AS shared_item FROM chain",
     "latest_session_by_cwd": f"WITH {_LOG} SELECT cwd, arg_max(session_id, (ts, session_id, event_id)) AS session_id, max(ts) AS last_write_ts FROM w GROUP BY 1",
     "active_dates": f"""WITH {_LOG} SELECT session_id, min(CASE WHEN hook = 'SessionStart' THEN CAST(ts AS DATE) END) AS created_on, max(CASE WHEN hook IN ('UserPromptSubmit', 'Stop') THEN CAST(ts AS DATE) END) AS last_active FROM log WHERE n > 0 GROUP BY 1""",
-    "effects": f"""WITH {_LOG}, t AS (SELECT * FROM log WHERE n > 0)
-      SELECT event_id, session_id, 'issue' AS kind, concat('opened ', session_id) AS value FROM t WHERE hook = 'SessionStart'
-      UNION ALL SELECT event_id, session_id, 'created_date', CAST(CAST(ts AS DATE) AS VARCHAR) FROM t WHERE hook = 'SessionStart'
-      UNION ALL SELECT event_id, session_id, 'active_date', CAST(CAST(ts AS DATE) AS VARCHAR) FROM t WHERE hook IN ('UserPromptSubmit', 'Stop')
-      UNION ALL SELECT event_id, session_id, 'status', status FROM w
-      UNION ALL SELECT event_id, session_id, 'comment', hook FROM t WHERE hook IN ('UserPromptSubmit', 'Stop', 'PostToolUse')
-      UNION ALL SELECT event_id, session_id, 'close', concat('closed ', session_id) FROM t WHERE hook = 'SessionEnd'""",
+    "effects": _STATES + """, e AS (SELECT a.*, r.hit.s AS resumes, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM a LEFT JOIN res r ON r.session_id = a.session_id WHERE a.acts)
+      SELECT session_id, ts AS at_ts, event_id, 'issue' AS kind, concat('[', stamp, '] … — p', cwd) AS value FROM e WHERE hook = 'SessionStart' AND resumes IS NULL
+      UNION ALL SELECT session_id, ts, event_id, 'body', concat('**session:** `', session_id, '`  ', chr(10), '**time:** `', stamp, '`  ', chr(10), '**folder:** `/home/u/p', cwd, '`  ') FROM e WHERE hook = 'SessionStart' AND resumes IS NULL
+      UNION ALL SELECT session_id, ts, event_id, 'label', concat('area', cwd % 7) FROM e WHERE hook = 'SessionStart' AND resumes IS NULL AND cwd % 2 = 0
+      UNION ALL SELECT session_id, ts, event_id, 'created_date', CAST(CAST(ts AS DATE) AS VARCHAR) FROM e WHERE hook = 'SessionStart' AND resumes IS NULL
+      UNION ALL SELECT session_id, ts, event_id, 'resumed', concat('goes on from ', resumes) FROM e WHERE hook = 'SessionStart' AND resumes IS NOT NULL
+      UNION ALL SELECT session_id, ts, event_id, 'status', CASE hook WHEN 'SessionStart' THEN 'registered' WHEN 'UserPromptSubmit' THEN 'responding' ELSE 'waiting' END FROM e WHERE hook IN ('SessionStart', 'UserPromptSubmit', 'Stop')
+      UNION ALL SELECT session_id, ts, event_id, 'active_date', CAST(CAST(ts AS DATE) AS VARCHAR) FROM e WHERE hook IN ('UserPromptSubmit', 'Stop')
+      UNION ALL SELECT session_id, ts, event_id, 'title', concat('prompt ', event_id) FROM e WHERE hook = 'UserPromptSubmit'
+      UNION ALL SELECT session_id, ts, event_id, 'comment', hook FROM e WHERE hook IN ('UserPromptSubmit', 'Stop', 'PostToolUse')
+      UNION ALL SELECT session_id, ts, event_id, 'close', 'end' FROM m WHERE hook = 'SessionEnd' AND state = 'closed' AND before <> 'closed'
+      UNION ALL SELECT session_id, at_ts, swept_by, 'close', cause FROM closings""",
     "last_state": f"WITH {_LOG} SELECT session_id, ts, event_id, cwd, hook, status FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS r FROM w) WHERE r = 1",
+    "closings": _STATES + " SELECT session_id, at_ts, cause, swept_by FROM closings",
     "board_gate": _DECIDED + " SELECT event_id, board_status, coalesce(board_status = 'INACTIVE', false) AS gated FROM d",
     "board_status_now": f"WITH {_LOG} SELECT coalesce(arg_max(status, (created_at, update_id)) = 'INACTIVE', false) AS inactive FROM (SELECT * FROM audit ORDER BY created_at DESC, update_id DESC LIMIT 20) WHERE marked",
     "gated_status": _DECIDED + " SELECT event_id, hook, decision FROM d",
@@ -160,23 +209,30 @@ ORACLES = {
       SELECT c_custkey, array_to_string(list_sort(done), ',') AS done, todo[1] AS next_step, CASE WHEN len(todo) = 0 THEN 'restore' WHEN len(todo) = 5 THEN 'start' ELSE 'resume' END AS action FROM x""",
     "meta_complete": """WITH x AS (SELECT c_custkey, CAST(c_custkey % 5 = 0 AS BIGINT) + CAST(c_custkey % 6 = 0 AS BIGINT) + CAST(c_custkey % 7 = 0 AS BIGINT) + CAST(c_custkey % 8 = 0 AS BIGINT) + CAST(c_custkey % 9 = 0 AS BIGINT) + CAST(c_custkey % 10 = 0 AS BIGINT) AS missing FROM customer)
       SELECT c_custkey, CASE WHEN missing = 0 THEN 'reuse' ELSE 'rebuild' END AS plan, missing FROM x""",
-    "status_report": _DECIDED + f""", c AS ({_CACHE}), s AS (SELECT project, arg_max({{'st': last_status, 'at': last_synced_at, 'err': last_error}}, update_id) AS s FROM c GROUP BY 1),
+    "status_report": _STATES.replace("WITH RECURSIVE ", _MACHINES.replace("WITH m AS", "WITH RECURSIVE box AS") + ", ", 1) + f""", c AS ({_CACHE}), s AS (SELECT project, arg_max({{'st': last_status, 'at': last_synced_at, 'err': last_error}}, update_id) AS s FROM c GROUP BY 1),
       run AS (SELECT cwd, arg_max(decision, (ts, event_id)) AS decision FROM d WHERE decision <> 'no_state' GROUP BY 1),
-      latest AS (SELECT cwd, arg_max(session_id, (ts, session_id, event_id)) AS session_id FROM w GROUP BY 1),
-      st AS (SELECT session_id, arg_max(status, (ts, event_id)) AS status FROM w GROUP BY 1),
-      a AS (SELECT latest.cwd, latest.session_id, st.status, s.s.st AS last_status, s.s.err AS err, coalesce(strftime(s.s."at", '%Y-%m-%d %H:%M:%S'), s.s.err) AS synced, run.decision
-        FROM latest JOIN st USING (session_id) LEFT JOIN s ON s.project = latest.cwd LEFT JOIN run ON run.cwd = latest.cwd)
-      SELECT cwd, 0 AS nth, 'session' AS label, concat(substring(session_id, 1, 8), '…') AS value FROM a
-      UNION ALL SELECT cwd, 1, 'status', status FROM a
-      UNION ALL SELECT cwd, 2, 'issue', CASE WHEN cwd <> 0 THEN concat('https://github.com/team/notes/issues/', cwd) ELSE 'none' END FROM a
-      UNION ALL SELECT cwd, 3, 'timeout', '30 min' FROM a
-      UNION ALL SELECT cwd, 4, 'sync', CASE WHEN synced IS NULL THEN 'never' WHEN err IS NULL THEN concat(last_status, ' at ', synced) ELSE concat('failed (', err, ')') END FROM a
-      UNION ALL SELECT cwd, 5, 'blocked', CASE WHEN coalesce(decision <> 'ok', false) THEN 'yes' ELSE 'no' END FROM a
-      UNION ALL SELECT cwd, 6, 'note', CASE WHEN decision IS NULL THEN 'no event was gated' ELSE {_TEXTS} END FROM a""",
+      o AS (SELECT m.cwd, m.session_id, any_value(h.status) AS status, max(m.ts) AS last_ts, coalesce(arg_max(m.hook = 'pause', (m.ts, m.nth)) FILTER (WHERE m.hook IN ('pause', 'resume')), false) AS paused
+        FROM m JOIN history h ON h.session_id = m.session_id AND h.is_current AND h.status <> 'closed' GROUP BY 1, 2),
+      act AS (SELECT cwd, arg_max({{'id': session_id, 'st': status, 'paused': paused}}, (last_ts, session_id)) AS o FROM o GROUP BY 1),
+      r AS (SELECT w.cwd, act.o.id AS session_id, act.o.st AS status, coalesce(act.o.paused, false) AS paused, s.s.st AS last_status, s.s.err AS err, coalesce(strftime(s.s."at", '%Y-%m-%d %H:%M:%S'), s.s.err) AS synced, run.decision, box.*
+        FROM (SELECT DISTINCT cwd FROM log) w LEFT JOIN act ON act.cwd = w.cwd LEFT JOIN s ON s.project = w.cwd LEFT JOIN run ON run.cwd = w.cwd LEFT JOIN box ON box.c_custkey = w.cwd)
+      SELECT cwd, 0 AS nth, 'install' AS label, CASE WHEN c_custkey IS NULL THEN 'none' WHEN config AND files AND ((ue AND uh) OR (le AND lh)) THEN 'installed' WHEN config OR files OR ue OR le THEN 'partial' ELSE 'not-installed' END AS value FROM r
+      UNION ALL SELECT cwd, 1, 'files', CASE WHEN coalesce(files, false) THEN 'yes' ELSE 'no' END FROM r
+      UNION ALL SELECT cwd, 2, 'user settings', CASE WHEN c_custkey IS NULL THEN 'none' WHEN ue AND uh THEN 'installed' WHEN ue THEN 'present but hooks missing' ELSE 'not present' END FROM r
+      UNION ALL SELECT cwd, 3, 'local settings', CASE WHEN c_custkey IS NULL THEN 'none' WHEN li AND le THEN 'invalid settings' WHEN le AND lh THEN 'installed' WHEN le THEN 'present but hooks missing' ELSE 'not present' END FROM r
+      UNION ALL SELECT cwd, 4, 'config', CASE WHEN coalesce(config, false) THEN 'yes' ELSE 'no' END FROM r
+      UNION ALL SELECT cwd, 5, 'timeout', '30 min' FROM r
+      UNION ALL SELECT cwd, 6, 'session', coalesce(substring(session_id, 1, 8) || '…', 'none') FROM r
+      UNION ALL SELECT cwd, 7, 'status', coalesce(status, 'none') FROM r
+      UNION ALL SELECT cwd, 8, 'paused', CASE WHEN paused THEN 'yes' ELSE 'no' END FROM r
+      UNION ALL SELECT cwd, 9, 'issue', CASE WHEN session_id IS NOT NULL AND cwd <> 0 THEN concat('https://github.com/team/notes/issues/', cwd) ELSE 'none' END FROM r
+      UNION ALL SELECT cwd, 10, 'sync', CASE WHEN synced IS NULL THEN 'never' WHEN err IS NULL THEN concat(last_status, ' at ', synced) ELSE concat('failed (', err, ')') END FROM r
+      UNION ALL SELECT cwd, 11, 'blocked', CASE WHEN coalesce(decision <> 'ok', false) THEN 'yes' ELSE 'no' END FROM r
+      UNION ALL SELECT cwd, 12, 'note', CASE WHEN decision IS NULL THEN 'no event was gated' ELSE {_TEXTS} END FROM r""",
     "pause_spans": f"""WITH {_LOG}, c AS (SELECT project AS cwd, status = 'INACTIVE' AS pause, created_at AS ts FROM audit WHERE status = 'INACTIVE' OR update_id % 5 <> 0),
       x AS (SELECT *, lead(ts) OVER (PARTITION BY cwd ORDER BY ts) AS until FROM c) SELECT cwd, ts AS paused_at, until FROM x WHERE pause""",
     "sync_record": f"""WITH {_LOG} SELECT update_id, status, update_id % 4 <> 0 AS success, CASE WHEN update_id % 4 <> 0 THEN created_at END AS synced_at,
-      CASE WHEN update_id % 4 <> 0 THEN update_id END AS status_update_id, CASE WHEN update_id % 4 = 0 THEN 'simulated sync error' END AS error FROM audit""",
+      CASE WHEN update_id % 4 <> 0 THEN update_id END AS status_update_id, CASE WHEN update_id % 4 = 0 THEN 'the board did not answer' END AS error FROM audit""",
     "open_sessions": f"""WITH {_LOG}, x AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS r FROM w)
       SELECT session_id, ts AS last_write_ts, status FROM x WHERE r = 1 AND status <> 'closed' AND k % 3 = 0""",
     "board_projects": """SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN concat('u', o_orderkey) END, CASE WHEN o_orderkey % 2 = 0 THEN concat('g', o_orderkey) END) AS project,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.temporal import running_count
+
 #: Event names, and the status that each state-writing event sets.
 HOOKS = {"signup": "SessionStart", "click": "UserPromptSubmit", "view": "PostToolUse", "purchase": "Stop", "error": "SessionEnd"}
 STATUS = {"SessionStart": "registered", "UserPromptSubmit": "responding", "Stop": "waiting", "SessionEnd": "closed"}
@@ -39,10 +41,9 @@ def hook_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as hook events: a user is a workspace, each signup begins its next session."""
     events = table(spark, sf_dir, "events")
     name = F.create_map(*[F.lit(x) for kv in HOOKS.items() for x in kv])[F.col("event_type")]
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum((F.col("event_type") == "signup").cast("long")).over(order)
+    events = running_count(events, ["user_id"], F.col("event_type") == "signup", "ts", "event_id", "n")
     k = F.get_json_object("props", "$.k").cast("int")
-    log = events.select("event_id", "ts", F.col("user_id").alias("cwd"), name.alias("hook"), n.alias("n"), k.alias("k"))
+    log = events.select("event_id", "ts", F.col("user_id").alias("cwd"), name.alias("hook"), "n", k.alias("k"))
     return log.withColumns({"session_id": F.concat_ws("-", F.col("cwd").cast("string"), F.col("n").cast("string")), "is_resume": (F.col("hook") == "SessionStart") & (F.col("k") % 2 == 0)})
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.sources.hooks import HOOKS, STATUS
+from tidemark.sources.store import shared_folder
 
 IDLE_US = 1800 * 1_000_000
 DELAY = "12 seconds"
@@ -91,13 +92,7 @@ def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     Deadlines after the last watermark are still pending. State and output lie in the folder that spark.checkpoint.dir
     names, so a run that is cut short goes on where it was.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    root = f"{folder}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
