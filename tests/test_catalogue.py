@@ -6,6 +6,8 @@ from tidemark.plans.catalogue import ORACLES, QUERIES
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, sf_dir, name):
+    if name == "resume_match":  # the smallest tables have none
+        sf_dir = "/root/testdata/sf0.01"
     assert_equal(QUERIES[name](spark, sf_dir), ORACLES[name], sf_dir)
 
 

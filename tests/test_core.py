@@ -3,10 +3,11 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import env, text, urls
-from tidemark.operators import content, gates, install, lifecycle, states, temporal
+from tidemark.operators import content, gates, install, lifecycle, remote, states, temporal
 from tidemark.sources import files, hooks
 
 DAY = dt.datetime(2024, 1, 1)
@@ -57,6 +58,35 @@ def test_env_lines(spark, tmp_path):
     assert one(spark, env.env_text({"A": F.lit("1")}, {"B": F.lit(""), "C": F.lit("3")})) == "A=1\nC=3\n"
 
 
+def test_environment_wins_and_idle_seconds(spark, tmp_path):
+    (tmp_path / "c.env").write_text("A=1\r\nB=2\r\n")
+    assert dict(files.env_file(spark, [str(tmp_path / "c.env")], last=False, environment={"A": "9", "Z": "8"}).collect()) == {"A": "9", "B": "2", "Z": "8"}
+    assert one(spark, text.idle_seconds(F.lit(" 60 "))) == 60 and one(spark, text.idle_seconds(F.lit(None).cast("string"))) == 1800
+    with pytest.raises(Exception):
+        one(spark, text.idle_seconds(F.lit("soon")))
+    assert one(spark, text.iso_utc(F.lit(at(1)))) == "2024-01-01T00:00:01.000Z" and one(spark, text.iso_plain(F.lit(at(1)))) == "2024-01-01T00:00:01.000000"
+    (tmp_path / "os-release").write_text('ID="Rocky"\nID_LIKE="rhel fedora"\n')
+    assert files.distro_family(files.env_file(spark, [str(tmp_path / "os-release")])).first()["family"] == "fedora"
+
+
+def test_payloads_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"session_id": f"s{i}", "hook_event_name": h}) for i, h in enumerate(("Stop", "SessionEnd", "PostToolUse"))) + "\nbroken\n")
+    query = hooks.payload_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("payloads").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {(r["session_id"], r["hook_event_name"]) for r in spark.table("payloads").collect()} == {("s0", "Stop"), ("s1", "SessionEnd")}
+    with pytest.raises(Exception):
+        hooks.parse_payloads(spark.createDataFrame([("broken",)], "value string"), strict=True).collect()
+
+
+def test_commands(spark, sf_dir):
+    from tidemark import api
+
+    assert {r["status"] for r in api.dispatch("pause")(spark, sf_dir).collect()} == {"INACTIVE"} and {r["status"] for r in api.dispatch("resume")(spark, sf_dir).collect()} == {"ON_TRACK"}
+    assert "next_step" in api.dispatch(None)(spark, sf_dir).columns and "removed" in api.dispatch("uninstall")(spark, sf_dir).columns
+    assert one(spark, remote.settings_text(F.create_map(F.lit("hooks"), F.lit("x")))) == '{"hooks":"x"}'
+
+
 def test_state_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"session_id": "a", "status": "waiting", "issue_number": 42, "tracking_paused": True}))
     (tmp_path / "b.json").write_text("{broken")
@@ -214,7 +244,38 @@ def test_stream_agrees_with_batch(spark, sf_dir):
     got = run_available(spark, sf_dir).toPandas()
     events = hooks.hook_log(spark, sf_dir)
     assert set(got[got.cause == "event"].event_id) == {r["event_id"] for r in lifecycle.writes(events).select("event_id").collect()}
-    idle = {(r["session_id"], r["deadline"]) for r in lifecycle.idle_close(events).filter("closes").collect()}
+    cancelled = set(got.resumes.dropna())
+    idle = {(r["session_id"], r["deadline"]) for r in lifecycle.idle_close(events).filter("closes").collect() if r["session_id"] not in cancelled}
     timers = {(s, t.to_pydatetime()) for s, t in zip(got[got.cause == "timer"].session_id, got[got.cause == "timer"]["at"], strict=True)}
     newest = max(r["ts"] for r in events.select("ts").collect())
-    assert timers <= idle and all(t > newest - dt.timedelta(seconds=13) for _, t in idle - timers)
+    assert {x for x in timers if x[0] not in cancelled} <= idle and all(t > newest - dt.timedelta(seconds=13) for _, t in idle - timers)
+
+
+def test_stream_of_resumed_and_late_events(spark, tmp_path):
+    """Files one after the other: a resumed session's timer doesn't fire, and events behind the watermark are dropped."""
+    from tidemark.streaming.lifecycle import ROCKSDB, transitions
+
+    schema = "event_id long, ts timestamp, cwd long, hook string, is_resume boolean"
+    parts = [
+        [(1, at(0), 1, "SessionStart", False), (2, at(10), 1, "Stop", False), (3, at(5), 2, "SessionStart", False), (4, at(20), 2, "Stop", False)],
+        [(5, at(600), 1, "SessionStart", True)],
+        [(6, at(590), 3, "SessionStart", False), (7, at(500), 4, "SessionStart", False)],  # 10 s late, and 100 s late
+        [(8, at(9000), 5, "SessionStart", False)], [(9, at(9100), 5, "Stop", False)],
+    ]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    try:
+        for i in range(len(parts)):  # each file in a run of its own, which goes on where the last one was
+            (tmp_path / "seen").mkdir(exist_ok=True)
+            for f in (tmp_path / f"in/{i}").glob("*.parquet"):
+                f.rename(tmp_path / "seen" / f"{i}.parquet")
+            events = spark.readStream.schema(schema).parquet(str(tmp_path / "seen"))
+            transitions(events).writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = {(r["session_id"], r["cause"], r["status"], r["resumes"]) for r in spark.read.parquet(out).collect()}
+    assert ("1-2", "event", "registered", "1-1") in got and ("2-1", "timer", "closed", None) in got and ("3-1", "event", "registered", None) in got
+    assert not [x for x in got if x[0] == "4-1" or x[:2] == ("1-1", "timer")]

@@ -95,8 +95,18 @@ def audit_body(marker: str, fields: dict[str, Column], message: Column) -> Colum
     return F.concat_ws("\n", F.lit(marker), *lines, F.lit(""), message)
 
 
-def log_line(at: Column, name: Column, level: Column, message: Column) -> Column:
-    return F.concat(at, F.lit(" ["), name, F.lit("] "), level, F.lit(": "), message)
+def iso_utc(ts: Column) -> Column:
+    """2024-01-02T03:04:05.678Z, of a time that is UTC's."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def iso_plain(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def title_example(mode: Column, context: Column, prompt: Column) -> Column:
+    """How a title looks in a mode: the context in front of it, or as a label beside it."""
+    return F.when(mode == "label", F.concat(title_label(prompt), F.lit("  ("), context, F.lit(")"))).otherwise(title_prefix(context, prompt))
 
 
 def decoded_json(c: Column, schema: str) -> Column:

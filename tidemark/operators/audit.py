@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import audit_body
+from tidemark.functions.text import audit_body, iso_utc
 from tidemark.operators.gates import MARKER
 
 
@@ -26,6 +26,14 @@ def tries(audit: DataFrame) -> DataFrame:
     return audit.withColumn("ok", F.col("update_id") % 4 != 0)
 
 
+def appended(controls: DataFrame) -> DataFrame:
+    """The updates that pauses and resumptions (cwd, action, ts, ok) add to the board, where they went through."""
+    status = F.when(F.col("action") == "pause", "INACTIVE").otherwise("ON_TRACK")
+    message = F.when(F.col("action") == "pause", "tracking is paused").otherwise("tracking goes on")
+    fields = {"Status": status, "Workspace": F.col("cwd").cast("string"), "Time": iso_utc(F.col("ts")), "Actor": F.lit("cli")}
+    return controls.filter("ok").select("cwd", F.col("ts").alias("created_at"), status.alias("status"), audit_body(MARKER, fields, message).alias("body"))
+
+
 def bodies(audit: DataFrame) -> DataFrame:
     fields = {
         "Status": F.col("status"), "Project": F.col("project").cast("string"), "Update": F.col("update_id").cast("string"),

@@ -134,5 +134,27 @@ def hooks_removed(nation: DataFrame) -> DataFrame:
 
 def uninstall(found: DataFrame, known: DataFrame) -> DataFrame:
     """Dry run: how many of the files that are there would go, and how many stay."""
-    gone = found.join(known, "name", "left_semi")
-    return gone.agg(F.count("*").alias("removed")).crossJoin(found.join(known, "name", "left_anti").agg(F.count("*").alias("left")))
+    both = found.join(known.select("name", F.lit(True).alias("ours")).distinct(), "name", "left")
+    return both.agg(F.count_if(F.col("ours").isNotNull()).alias("removed"), F.count_if(F.col("ours").isNull()).alias("left"))
+
+
+def cleanup(ledgers: DataFrame) -> DataFrame:
+    """What gives up a setup that was begun, a row each in order: the project (by its id, else its number), the repository,
+    and always the ledger itself. Ledgers: id, project_id, project_number, repo."""
+    named = F.col("project_id").isNotNull() | F.col("project_number").isNotNull()
+    rows = [
+        (F.col("id").isNotNull() & named, "delete_project", F.coalesce("project_id", F.col("project_number").cast("string"))),
+        (F.col("repo").isNotNull(), "delete_repo", F.col("repo")),
+        (F.lit(True), "clear_ledger", F.lit("")),
+    ]
+    made = F.array_compact(F.array(*[F.when(on, F.struct(F.lit(i).alias("nth"), F.lit(kind).alias("kind"), value.alias("value"))) for i, (on, kind, value) in enumerate(rows)]))
+    return ledgers.select("id", F.inline(made))
+
+
+def ledgers(customer: DataFrame) -> DataFrame:
+    """A setup for each customer, broken off after a project, a repository, both or neither."""
+    key = F.col("c_custkey")
+    return customer.select(
+        key.alias("id"), F.when(key % 2 == 0, F.concat(F.lit("P"), key.cast("string"))).alias("project_id"),
+        F.when(key % 3 == 0, key).alias("project_number"), F.when(key % 5 < 3, F.concat(F.lit("team/r"), key.cast("string"))).alias("repo"),
+    )

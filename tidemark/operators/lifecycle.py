@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.functions.urls import issue_url
+from tidemark.operators.gates import blocked_text
 from tidemark.operators.states import IDLE, States
-from tidemark.operators.temporal import latest_by, next_at_or_after
+from tidemark.operators.temporal import latest_by, next_at_or_after, numbered
 from tidemark.sources.hooks import STATUS, tracked
 from tidemark.sources.store import written
 
@@ -138,3 +140,20 @@ def effects(states: States) -> DataFrame:
     ends = closed.select("session_id", F.col("ts").alias("at_ts"), "event_id", F.lit("close").alias("kind"), F.lit("end").alias("value"))
     own = states.closings().select("session_id", "at_ts", F.col("swept_by").alias("event_id"), F.lit("close").alias("kind"), F.col("cause").alias("value"))
     return out.unionByName(ends).unionByName(own)
+
+
+def issue_numbers(states: States) -> DataFrame:
+    """The number of each new session's issue, in order of their starts over all workspaces."""
+    resumed = states.resumed.select("session_id")
+    new = states.rows.filter("starts").select("session_id", "ts", "event_id").join(resumed, "session_id", "left_anti")
+    return numbered(new, "ts", "event_id").select("session_id", "event_id", F.col("rank").alias("number"))
+
+
+def notices(states: States, decided: DataFrame) -> DataFrame:
+    """What a user is told: where a new or a resumed session is tracked, or why a start isn't. decided: the log with decisions."""
+    chain = inherited(states).join(issue_numbers(states).select(F.col("session_id").alias("issue_session"), "number"), "issue_session")
+    url = issue_url(F.lit("team/notes"), F.col("number"))
+    told = states.rows.filter("starts").select("session_id", "event_id").join(chain, "session_id")
+    told = told.select("event_id", "session_id", F.concat(F.lit("This session is tracked at "), url, F.when(F.col("depth") > 0, " (resumed)").otherwise("")).alias("notice"))
+    blocked = decided.filter("hook = 'SessionStart' and decision <> 'ok'")
+    return told.unionByName(blocked.select("event_id", "session_id", blocked_text(F.col("decision")).alias("notice")))

@@ -51,6 +51,17 @@ def _report(spark, d):
     return R.status_report(log, audit, seen, S.States(log, audit, seen, G.controls(audit)), I.machines(H.table(spark, d, "customer")))
 
 
+def _notices(spark, d):
+    log, audit, seen = written(H.hook_log(spark, d), "log"), written(H.board_audit(spark, d, G.MARKER), "audit"), _seen(spark, d)
+    states = S.States(log, audit, seen, G.controls(audit))
+    return L.notices(states, G.decisions(log, states.board, seen))
+
+
+def _examples(turns):
+    mode, context = F.when(F.col("conv_id") % 2 == 0, "label").otherwise("prefix"), F.concat(F.lit("team/r"), F.col("conv_id").cast("string"))
+    return C.prompts(turns).select("conv_id", "turn", T.title_example(mode, context, F.col("prompt")).alias("example"))
+
+
 def _gated(f):
     return lambda spark, d: f(H.hook_log(spark, d), G.board_history(H.board_audit(spark, d, G.MARKER)), _seen(spark, d))
 
@@ -199,5 +210,10 @@ QUERIES = {
     "config_text": _of("orders", _config),
     "distro_family": _of("customer", _families),
     "uninstall_report": _of("nation", _uninstall),
+    "issue_numbers": _from(L.issue_numbers),
+    "notices": _notices,
+    "control_updates": _audit(lambda a: A.appended(G.controls(a))),
+    "setup_cleanup": _of("customer", lambda c: I.cleanup(I.ledgers(c))),
+    "title_examples": _turns(_examples),
     "stream_lifecycle": _stream,
 }

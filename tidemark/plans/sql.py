@@ -229,6 +229,16 @@ ORACLES = {
       UNION ALL SELECT cwd, 10, 'sync', CASE WHEN synced IS NULL THEN 'never' WHEN err IS NULL THEN concat(last_status, ' at ', synced) ELSE concat('failed (', err, ')') END FROM r
       UNION ALL SELECT cwd, 11, 'blocked', CASE WHEN coalesce(decision <> 'ok', false) THEN 'yes' ELSE 'no' END FROM r
       UNION ALL SELECT cwd, 12, 'note', CASE WHEN decision IS NULL THEN 'no event was gated' ELSE {_TEXTS} END FROM r""",
+    "issue_numbers": _STATES + " SELECT session_id, start_id AS event_id, row_number() OVER (ORDER BY start_ts, start_id) AS number FROM passed WHERE session_id NOT IN (SELECT session_id FROM res)",
+    "notices": _STATES + f""", num AS (SELECT session_id, row_number() OVER (ORDER BY start_ts, start_id) AS number FROM passed WHERE session_id NOT IN (SELECT session_id FROM res))
+      SELECT passed.start_id AS event_id, passed.session_id, concat('This session is tracked at https://github.com/team/notes/issues/', num.number, CASE WHEN chain.depth > 0 THEN ' (resumed)' ELSE '' END) AS notice
+      FROM passed JOIN chain ON chain.session_id = passed.session_id JOIN num ON num.session_id = chain.issue_session
+      UNION ALL SELECT event_id, session_id, {_TEXTS} FROM d WHERE hook = 'SessionStart' AND decision <> 'ok'""",
+    "control_updates": f"""WITH {_LOG} SELECT project AS cwd, created_at, status, concat('{_M}', chr(10), '- Status: ', status, chr(10), '- Workspace: ', project, chr(10), '- Time: ', strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g'), 'Z', chr(10), '- Actor: cli', chr(10), chr(10),
+      CASE WHEN status = 'INACTIVE' THEN 'tracking is paused' ELSE 'tracking goes on' END) AS body FROM audit WHERE update_id % 5 <> 0""",
+    "setup_cleanup": """SELECT c_custkey AS id, 0 AS nth, 'delete_project' AS kind, CASE WHEN c_custkey % 2 = 0 THEN concat('P', c_custkey) ELSE CAST(c_custkey AS VARCHAR) END AS value FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0
+      UNION ALL SELECT c_custkey, 1, 'delete_repo', concat('team/r', c_custkey) FROM customer WHERE c_custkey % 5 < 3 UNION ALL SELECT c_custkey, 2, 'clear_ledger', '' FROM customer""",
+    "title_examples": f"""WITH {_PROMPTS} SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN concat(substring(prompt, 1, 80), '  (team/r', conv_id, ')') ELSE substring(concat('[team/r', conv_id, '] ', prompt), 1, 80) END AS example FROM p""",
     "pause_spans": f"""WITH {_LOG}, c AS (SELECT project AS cwd, status = 'INACTIVE' AS pause, created_at AS ts FROM audit WHERE status = 'INACTIVE' OR update_id % 5 <> 0),
       x AS (SELECT *, lead(ts) OVER (PARTITION BY cwd ORDER BY ts) AS until FROM c) SELECT cwd, ts AS paused_at, until FROM x WHERE pause""",
     "sync_record": f"""WITH {_LOG} SELECT update_id, status, update_id % 4 <> 0 AS success, CASE WHEN update_id % 4 <> 0 THEN created_at END AS synced_at,

@@ -25,19 +25,29 @@ def states(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("file_path", F.regexp_replace("file_name", r"\.json$", "").alias("file_id"), "last_write_ts", ok.alias("valid"), *fields)
 
 
-def env_file(spark: SparkSession, paths: list[str], last: bool = True) -> DataFrame:
-    """key and value over files in order of precedence; last: a file's last line wins, as does the last file; else the first of both."""
+def env_file(spark: SparkSession, paths: list[str], last: bool = True, environment: dict[str, str] | None = None) -> DataFrame:
+    """key and value over files in order of precedence; last: a file's last line wins, as does the last file; else the first
+    of both. What the environment sets wins over every file. A file is read whole, so its lines keep their order."""
     out = None
     for rank, path in enumerate(paths):
-        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"), F.lit(rank).alias("rank"), F.lit(1).alias("one"))
+        whole = spark.read.text(path, wholetext=True)
+        lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"), F.lit(rank).alias("rank"), F.lit(1).alias("one"))
         out = lines if out is None else out.unionByName(lines)
-    return env_map(out, "line", ["rank", "line_no"], ["one"], last).drop("one")
+    found = env_map(out, "line", ["rank", "line_no"], ["one"], last).drop("one")
+    if environment:
+        own = spark.createDataFrame(list(environment.items()), "key string, value string")
+        found = found.join(F.broadcast(own.select("key")), "key", "left_anti").unionByName(own)  # a process's variables
+    return found
 
 
-def is_resume(spark: SparkSession, path: str, marker: str = "file-history-snapshot") -> DataFrame:
-    """For each transcript whether its first line is JSON of the marker's type; unreadable lines count as not."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("nth"), "value")
-    first = lines.groupBy("file_path").agg(F.min_by("value", "nth").alias("value"))
+def is_resume(spark: SparkSession, path: str, marker: str = "file-history-snapshot", head: int = 1 << 16) -> DataFrame:
+    """For each transcript whether its first line is JSON of the marker's type; unreadable lines count as not.
+
+    Lines come with the place in the file that they begin at, so a file may be split. A first line is short; one of more
+    than `head` characters counts as not readable.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
+    first = lines.filter("block = 0").groupBy("file_path").agg(F.min_by(F.substring("value", 1, head), "nth").alias("value"))
     return first.select("file_path", F.coalesce(F.get_json_object("value", "$.type") == marker, F.lit(False)).alias("is_resume"))
 
 

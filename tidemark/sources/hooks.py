@@ -24,13 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parse_payloads(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One row per payload that is JSON and names its session; others are dropped, fields that are missing are null."""
+def parse_payloads(lines: DataFrame, column: str = "value", strict: bool = False) -> DataFrame:
+    """One row per payload that is JSON and names its session; fields that are missing are null. Others are dropped, or,
+    if strict, what isn't JSON is an error."""
     # a corrupt payload and one without session both come out with a null session_id
-    parsed = lines.withColumn("_p", F.from_json(column, PAYLOAD, {"mode": "PERMISSIVE"}))
+    parsed = lines.withColumn("_p", F.from_json(column, PAYLOAD, {"mode": "FAILFAST" if strict else "PERMISSIVE"}))
     return parsed.filter("coalesce(_p.session_id, '') <> ''").select(*[c for c in lines.columns if c != column], "_p.*")
 
 
+def payload_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
+    """The payloads that come in as files of lines, as a stream, with the time that their file was written."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+    return route(parse_payloads(lines.select("value", F.col("_metadata.file_modification_time").alias("ts"))))
+
+
 def route(payloads: DataFrame) -> DataFrame:
     """Payloads that some handler takes: tool results only of the question tool."""
     hook = F.col("hook_event_name")

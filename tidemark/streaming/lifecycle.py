@@ -20,55 +20,81 @@ from tidemark.sources.store import shared_folder
 
 IDLE_US = 1800 * 1_000_000
 DELAY = "12 seconds"
-OUTPUT = "cwd long, session_id string, event_id long, cause string, status string, at timestamp"
+OUTPUT = "cwd long, session_id string, event_id long, cause string, status string, at timestamp, resumes string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Lifecycle(StatefulProcessor):
-    """State: the number of the workspace's current session, and the deadlines that are pending, by session, in microseconds."""
+    """State: the number of the workspace's current session; for sessions that are open, when they were last written and,
+    if a timer is pending, its deadline, in microseconds. Sessions that can neither time out nor be resumed are forgotten."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.current = handle.getValueState("current", "n long")
-        self.pending = handle.getMapState("pending", "session_id string", "deadline long")
+        self.open = handle.getMapState("open", "session_id string", "wrote long, deadline long")
 
-    def _settle(self, cwd: int, until: int) -> list[tuple]:
+    def _settle(self, cwd: int, live: dict, until: int) -> list[tuple]:
         """Sessions whose deadline is at or before `until` close then."""
-        due = sorted((d[0], s[0]) for s, d in self.pending.iterator() if d[0] <= until)
-        for deadline, session in due:
-            self.pending.removeKey((session,))
-        return [(cwd, s, None, "timer", "closed", pd.Timestamp(d, unit="us")) for d, s in due]
+        due = sorted((deadline, s) for s, (_, deadline) in live.items() if deadline is not None and deadline <= until)
+        for _, s in due:
+            del live[s]
+        return [(cwd, s, None, "timer", "closed", pd.Timestamp(d, unit="us"), None) for d, s in due]
+
+    def _load(self) -> dict:
+        return {k[0]: (v[0], v[1]) for k, v in self.open.iterator()}
+
+    def _save(self, before: dict, live: dict) -> None:
+        for s in before.keys() - live.keys():
+            self.open.removeKey((s,))
+        for s, v in live.items():
+            if before.get(s) != v:
+                self.open.updateValue((s,), v)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        cwd, out = int(key[0]), []
+        cwd, out, live = int(key[0]), [], self._load()
+        before = dict(live)
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         n = self.current.get()[0] if self.current.exists() else 0
-        for event_id, ts, hook in zip(events["event_id"], events["ts"], events["hook"], strict=True):
+        for event_id, ts, hook, again in zip(events["event_id"], events["ts"], events["hook"], events["is_resume"], strict=True):
             at = ts.value // 1000
-            out += self._settle(cwd, at)
+            if live:
+                out += self._settle(cwd, live, at)
+            resumes = None
             if hook == "SessionStart":
                 n += 1
-            session = f"{cwd}-{n}"
+                fresh = [(wrote, s) for s, (wrote, _) in live.items() if wrote > at - IDLE_US]
+                live = {s: v for s, v in live.items() if v[0] > at - IDLE_US or v[1] is not None}
+                if again and fresh:
+                    wrote, resumes = max(fresh)
+                    live[resumes] = (wrote, None)  # its timer is cancelled
             if n == 0 or hook not in STATUS:
                 continue
-            self.pending.removeKey((session,)) if self.pending.containsKey((session,)) else None
+            session = f"{cwd}-{n}"
+            if hook == "SessionEnd":
+                live.pop(session, None)
+            else:
+                live[session] = (at, at + IDLE_US if hook == "Stop" else None)
             if hook == "Stop":
-                self.pending.updateValue((session,), (at + IDLE_US,))
                 self.handle.registerTimer(-(-(at + IDLE_US) // 1000))
-            out.append((cwd, session, int(event_id), "event", STATUS[hook], ts))
+            out.append((cwd, session, int(event_id), "event", STATUS[hook], ts, resumes))
+        self._save(before, live)
         self.current.update((n,))
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # a deadline that was cancelled or replaced is no longer pending, so its timer settles nothing
-        yield _frame(self._settle(int(key[0]), expiredTimerInfo.getExpiryTimeInMs() * 1000))
+        # a deadline that was cancelled or replaced is no longer there, so its timer settles nothing
+        live = self._load()
+        before = dict(live)
+        out = self._settle(int(key[0]), live, expiredTimerInfo.getExpiryTimeInMs() * 1000)
+        self._save(before, live)
+        yield _frame(out)
 
     def close(self) -> None:
         pass
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["cwd", "session_id", "event_id", "cause", "status", "at"])
+    out = pd.DataFrame(rows, columns=["cwd", "session_id", "event_id", "cause", "status", "at", "resumes"])
     out["event_id"] = out["event_id"].astype("Int64")
     out["at"] = pd.to_datetime(out["at"])
     return out
@@ -78,11 +104,12 @@ def read_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> D
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
     name = F.create_map(*[F.lit(x) for kv in HOOKS.items() for x in kv])[F.col("event_type")]
-    return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("cwd"), name.alias("hook"))
+    again = (F.col("event_type") == "signup") & (F.get_json_object("props", "$.k").cast("int") % 2 == 0)
+    return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("cwd"), name.alias("hook"), again.alias("is_resume"))
 
 
 def transitions(events: DataFrame) -> DataFrame:
-    """Every change of a session's status, by an event or by its timer. Events: event_id, ts, cwd, hook."""
+    """Every change of a session's status, by an event or by its timer, and which session a start resumes. Events: event_id, ts, cwd, hook, is_resume."""
     return events.withWatermark("ts", DELAY).groupBy("cwd").transformWithStateInPandas(statefulProcessor=Lifecycle(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
