@@ -47,6 +47,7 @@ def test_toxicity(messy, empty, labels):
 
 def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/x?q#f"), (2, "http://example.net?x"), (3, None), (4, "no scheme"), (5, "x://sub.org/fr/1://2"), (6, ""), (None, "http://b.net/"), (7, "http://example.com/de"), (8, "http://" + "a" * 50_000)]
+    rows.append(rows[0])
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in rows], "page_id long, url string, verdict string, host string")
     r = {x["page_id"]: x for x in url_filter.filter_urls(pages).collect()}
     assert (r[1]["host"], r[1]["path"], r[1]["rule"], r[1]["verdict"]) == ("a.example.net", "/en/x", "example.net/en/", "allow")
@@ -122,7 +123,7 @@ def test_stages_take_messy_documents(spark, messy, sf_dir):
         assert out.count() <= docs.count()
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup", "op6_near_dedup"])
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op6_near_dedup", "mix_targets", "url_rules", "token_bytes", "secret_counts"])
 def test_sql(spark, sf_dir, name):
     from tests.compare import assert_equal
     from tidemark.llm.registry import ORACLES, QUERIES

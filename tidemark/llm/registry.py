@@ -7,11 +7,13 @@ from tidemark.llm.line_dedup import op10_line_dedup
 from tidemark.llm.mixing import op5_mix
 from tidemark.llm.near_dedup import ORACLE as OP6_SQL
 from tidemark.llm.near_dedup import op6_near_dedup
+from tidemark.llm.parts import ORACLES as PART_SQL
+from tidemark.llm.parts import QUERIES as PARTS
 from tidemark.llm.quality import op2_quality
 from tidemark.llm.secrets import op9_secrets
 from tidemark.llm.token_counts import op8_token_counts
 from tidemark.llm.toxicity import op1_toxicity
 from tidemark.llm.url_filter import op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_url_filter, op5_mix, op6_near_dedup, op7_decontaminate, op8_token_counts, op9_secrets, op10_line_dedup)}
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op6_near_dedup": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_url_filter, op5_mix, op6_near_dedup, op7_decontaminate, op8_token_counts, op9_secrets, op10_line_dedup)} | PARTS
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op6_near_dedup": OP6_SQL} | PART_SQL
