@@ -6,8 +6,8 @@ gradient; Newton steps for all sources run together, each one aggregation over (
 Their sums are of decimals, so no order of the rows changes them and reruns agree.
 
 Rates become copies of size classes: running sums of copies, from long to short, are rounded, which misses a source's
-tokens by half of its longest document at most. One class in each power of two of lengths, from long to short, then
-takes or gives copies to make up for it, down to about half of the shortest document. Copies of a class go to its
+tokens by half of its longest document at most. A few classes in each power of two of lengths, from long to short, then
+take or give copies to make up for it, down to about half of the shortest document. Copies of a class go to its
 documents in salted cells, so one huge class is spread over many tasks.
 """
 
@@ -27,6 +27,8 @@ TOLERANCE = 1e-7
 #: A class's documents are dealt to cells of about this many rows.
 CELL_ROWS = 200_000
 LEAST_CELLS = 16
+#: Size classes in each power of two of lengths that make up for what rounding missed.
+EACH = 16
 
 _RATE = f"exp(least(lam * size / scale, {math.log(MOST_COPIES)!r}D))"
 
@@ -88,10 +90,10 @@ def _copies(classes: DataFrame) -> DataFrame:
     upto = classes.withColumn("exact", exact).withColumn("sum", F.sum("exact").over(longest_first))
     first = (F.round("sum") - F.round(F.col("sum") - F.col("exact"))).cast("long")
     made = upto.withColumn("first", F.least(F.greatest(first, F.lit(0).cast("long")), MOST_COPIES * F.col("n")))
-    # of each power of two, the shortest class; a source has as many as a length has bits
-    power = F.floor(F.log2("size")).cast("int")
-    some = made.filter("size > 0").groupBy("key", power.alias("power")).agg(F.max(F.struct(-F.col("size"), "n", "first")).alias("c"))
-    some = some.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("power"), F.col("c.col1").alias("short"), F.col("c.n"), F.col("c.first"))), asc=False).alias("some"))
+    # of each power of two the EACH shortest classes; a source has as many powers as a length has bits
+    shortest = Window.partitionBy("key", F.floor(F.log2("size"))).orderBy("size")
+    some = made.filter("size > 0").withColumn("nth", F.row_number().over(shortest)).filter(F.col("nth") <= EACH)
+    some = some.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("short"), "n", "first"))).alias("some"))
     missed = made.groupBy("key").agg((F.max("target").cast(_EXACT) - F.sum(F.col("first") * F.col("size"))).alias("missed"))
     fold = f"""aggregate(some, named_struct('missed', cast(missed as double), 'moved', cast(array() as array<struct<size: bigint, more: bigint>>)), (s, c) ->
       transform(array(greatest(-c.first, least({MOST_COPIES}L * c.n - c.first, cast(round(s.missed / -c.short) as bigint)))), k ->
