@@ -9,6 +9,8 @@ from tidemark.llm.line_dedup import op10_line_dedup
 from tidemark.llm.mixing import op5_mix
 from tidemark.llm.near_dedup import ORACLE as OP6_SQL
 from tidemark.llm.near_dedup import op6_near_dedup
+from tidemark.llm.ngram_join import ORACLE as OP11_SQL
+from tidemark.llm.ngram_join import op11_ngram_join
 from tidemark.llm.parts import ORACLES as PART_SQL
 from tidemark.llm.parts import QUERIES as PARTS
 from tidemark.llm.quality import op2_quality
@@ -19,5 +21,5 @@ from tidemark.llm.url_filter import op4_url_filter
 from tidemark.llm.vector_codes import ORACLE as OP12_SQL
 from tidemark.llm.vector_codes import op12_vector_codes
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_url_filter, op5_mix, op6_near_dedup, op7_decontaminate, op8_token_counts, op9_secrets, op10_line_dedup, op12_vector_codes, op13_filter_audit)} | PARTS
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op6_near_dedup": OP6_SQL, "op12_vector_codes": OP12_SQL, "op13_filter_audit": OP13_SQL} | PART_SQL
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_url_filter, op5_mix, op6_near_dedup, op7_decontaminate, op8_token_counts, op9_secrets, op10_line_dedup, op11_ngram_join, op12_vector_codes, op13_filter_audit)} | PARTS
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op6_near_dedup": OP6_SQL, "op11_ngram_join": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_filter_audit": OP13_SQL} | PART_SQL
