@@ -65,6 +65,7 @@ def test_short_texts_and_other_thresholds(spark):
 def test_crowded_tiles_meet_in_blocks(spark, monkeypatch):
     """Hundreds of documents around one text, in blocks of a few."""
     monkeypatch.setattr(J, "MOST", 16)
+    monkeypatch.setattr(J, "HEAVY", 2000)
     rows = documents(np.random.default_rng(5), 2, 150, (60, 70), 4)
     expected = brute(rows)
     assert len(set(expected.values())) > 5

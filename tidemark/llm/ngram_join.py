@@ -8,14 +8,16 @@ in common of their slices must then include a tile of both (prefix filtering ove
 shingle, which unrelated documents could share, are hardly ever among them.
 
 A tile whose documents all have the same set is done. Of the others, each document is first compared with the least of its
-tile; tiles that still hold several components then compare the documents of different components with each other. Every
-comparison goes by sizes and bitmaps first: a bit of a signature is the parity of the shingles that fall on it, so two
-signatures differ in no more bits than the sets in shingles, and that bounds the intersection from above. Pairs that pass are
-decided by intersecting the sorted arrays. Components are found over all links.
+tile. In tiles that still hold several components, documents of different components are compared: in blocks of MOST by
+MOST, by their signatures, and what hangs together by pairs that may link makes a group; then each group, once, by its
+sets. Every comparison goes by sizes and bitmaps first: a bit of a signature is the parity of the shingles that fall on it,
+so two signatures differ in no more bits than the sets in shingles, and that bounds the intersection from above. What passes
+is decided by intersecting the sorted arrays. Components are found over all links.
 
 Tiles are counted before they are joined, so that only rows of tiles with different sets go on, in a plain join, of which
-Spark splits what a very common tile makes large. Within a tile, documents meet in blocks of MOST by MOST; only what
-the bitmaps can't decide leaves the task.
+Spark splits what a very common tile makes large. No task gives pairs of documents: blocks give documents with their
+group, and groups fewer links than they have documents. Texts are read again for documents that are compared; a bitmap of at
+most WANTED bits keeps most others from being shuffled.
 """
 
 from __future__ import annotations
@@ -31,14 +33,17 @@ from pyspark.sql import functions as F
 from tidemark.llm import _words as W
 from tidemark.llm._common import Scratch, table
 from tidemark.llm.components import components
+from tidemark.llm.near_dedup import _links as links_of_group
 
 WORDS, PERCENT = 5, 80
 #: Slices for each difference that a pair may have; more make smaller tiles' names, fewer make larger ones.
 SPREAD = 1.6
 #: Bits of a signature for each slice.
 BITS = 4
-#: Documents of a tile that meet in one block.
-MOST = 4096
+#: Documents, and shingles, of a side of a block.
+MOST, HEAVY = 2048, 1 << 22
+#: Bits of the bitmap of documents whose texts are wanted.
+WANTED = 1 << 26
 
 _U = np.uint64
 
@@ -197,36 +202,73 @@ def _likely(percent: int):
     return run
 
 
+def _hang_together(block: list[tuple], percent: int) -> list[list[int]]:
+    """Documents of a block (rep, component, size, mark, side) that hang together by pairs of a row and a column, of
+    different components, that may link."""
+    name, groups = np.arange(len(block)), {}
+    component, size = np.array([x[1] for x in block]), np.array([x[2] for x in block])
+    column = np.array([x[4] != "row" for x in block])
+    width = np.array([len(x[3]) for x in block])
+    packed = [(at, _marks([block[i][3] for i in at])) for w in np.unique(width) for at in [np.flatnonzero(column & (width == w))] if len(at)]
+    for i, x in enumerate(block):
+        if x[4] == "column":
+            continue
+        one = np.frombuffer(x[3], np.uint64)[None]
+        for at, marks in packed:
+            fit = (component[at] != x[1]) & (name[at] != name[i]) & (100 * np.minimum(size[at], x[2]) >= percent * np.maximum(size[at], x[2]))
+            if fit.any():
+                own = at[fit]
+                own = own[may_link(marks[fit], one, size[own], size[i], percent)]
+                if len(own):
+                    name[np.isin(name, name[own])] = name[i]
+    for i, n in enumerate(name.tolist()):
+        groups.setdefault(n, []).append(block[i][0])
+    return [g for g in groups.values() if len(g) > 1]
+
+
 def _between(percent: int):
-    """Pairs of a block's rows and columns, of different components, that may link. Rows come sorted by block."""
-
-    def pairs(block: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows = [x for x in block if x[5] in ("row", "both")]
-        columns = [x for x in block if x[5] in ("column", "both")]
-        out_a, out_b = [], []
-        by_width = {}
-        for x in columns:
-            by_width.setdefault(len(x[3]), []).append(x)
-        packed = [(np.array([x[0] for x in own]), np.array([x[1] for x in own]), np.array([x[2] for x in own]), _marks([x[3] for x in own])) for own in by_width.values()]
-        for rep, component, size, mark, _, _ in rows:
-            one = np.frombuffer(mark, np.uint64)[None]
-            for reps, components_, sizes, marks in packed:
-                fit = np.flatnonzero((components_ != component) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)))
-                fit = fit[may_link(marks[fit], one, sizes[fit], np.int64(size), percent)] if len(fit) else fit
-                out_a += [rep] * len(fit)
-                out_b += reps[fit].tolist()
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+    """Groups of a block's documents that hang together. Rows come sorted by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, name = [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for k, reps in enumerate(_hang_together(block, percent) if block else []):
+                yield pa.RecordBatch.from_arrays([pa.array([f"{name}-{k}"] * len(reps)), pa.array(reps, pa.int64())], ["part", "rep"])
+
+        for batch in batches:
+            for *x, own in zip(*(batch.column(c).to_pylist() for c in ("rep", "component", "n_shingles", "mark", "side", "block")), strict=True):
+                if own != name:
+                    yield from done()
+                    block, name = [], own
+                block.append(tuple(x))
+        yield from done()
+
+    return run
+
+
+def _compare(words: int, percent: int):
+    """Links (a, b) among rows (group, rep, text), sorted by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, reps, sets = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found = list(links_of_group(reps, [True] * len(reps), sets, percent)) if len(reps) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
         for batch in batches:
-            for x in zip(*(batch.column(c).to_pylist() for c in ("rep", "component", "n_shingles", "mark", "block", "side")), strict=True):
-                if x[4] != name:
-                    yield from pairs(block)
-                    block, name = [], x[4]
-                block.append(x)
-        yield from pairs(block)
+            groups, own_reps = (batch.column(c).to_pylist() for c in ("group", "rep"))
+            for i, found, at in _sets(batch.column("text"), words):
+                for r, own in enumerate(np.split(found, at[1:-1]), i):
+                    if groups[r] != group:
+                        yield from done()
+                        group, reps, sets = groups[r], [], []
+                    if len(own):
+                        reps.append(own_reps[r])
+                        sets.append(own)
+        yield from done()
 
     return run
 
@@ -264,28 +306,54 @@ class _Join:
         both = both.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "mark_a", "mark_b")
         return both.mapInArrow(_likely(self.percent), "a bigint, b bigint")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def texts(self, asked: DataFrame) -> DataFrame:
+        """asked (written, with rep) with the texts of its documents."""
+        bit = F.pmod(F.xxhash64("rep"), F.lit(WANTED))
+        held = asked.select((bit / 32768).cast("long").alias("bucket"), (bit % 32768).alias("bit")).distinct()
+        held = held.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))  # WANTED bits in all
+        mine = self.docs.select(F.col("doc_id").alias("rep"), "text").withColumns({"bucket": (bit / 32768).cast("long"), "bit": bit % 32768})
+        byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        mine = mine.join(F.broadcast(held), "bucket").filter(F.get(F.array(*[byte.bitwiseAND(1 << k) for k in range(8)]), (F.col("bit") % 8).cast("int")) != 0)
+        return mine.select("rep", "text").join(asked, "rep")
+
+    def stars(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b), once each, that do link, written. A hub's pairs come in groups of MOST at most on average."""
         pairs = self.scratch.write(pairs, "pairs")
         sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MOST).cast("int").alias("parts"))
         asked = pairs.join(sizes, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("rep"))
         hubs = sizes.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("rep"))
-        asked = asked.unionByName(hubs).select(F.xxhash64("hub", "part").alias("group"), "hub", "rep")
-        texts = self.docs.select(F.col("doc_id").alias("rep"), "text").join(asked, "rep").select("group", "hub", "rep", "text")
+        asked = self.scratch.write(asked.unionByName(hubs).select(F.xxhash64("hub", "part").alias("group"), "hub", "rep"), "asked")
+        texts = self.texts(asked).select("group", "hub", "rep", "text")
         texts = texts.repartition("group").sortWithinPartitions("group", "hub", F.col("hub") != F.col("rep"))
         found = self.scratch.write(texts.mapInArrow(_verify(self.words, self.percent), "a bigint, b bigint").distinct(), "links")
-        self.scratch.drop(pairs)
+        self.scratch.drop(pairs, asked)
+        return found
+
+    def groups(self, parts: DataFrame) -> DataFrame:
+        """Links of groups (part, rep), of which those of the same documents count once, written."""
+        parts = self.scratch.write(parts, "parts")
+        once = _distinct_sets(parts, "part").select("part", F.xxhash64("part").alias("group"))
+        asked = self.scratch.write(parts.join(once, "part").select("group", "rep"), "asked")
+        texts = self.texts(asked).select("group", "rep", "text").repartition("group").sortWithinPartitions("group", "rep")
+        found = self.scratch.write(texts.mapInArrow(_compare(self.words, self.percent), "a bigint, b bigint").distinct(), "links")
+        self.scratch.drop(parts, asked)
         return found
 
 
+def _distinct_sets(rows: DataFrame, key: str, *more) -> DataFrame:
+    """One key of each set of documents (rep), by its size and two sums of hashes."""
+    hashed = lambda salt: F.sum(F.xxhash64("rep", F.lit(salt)).cast("decimal(20,0)"))
+    sets = rows.groupBy(key).agg(F.count("*").alias("n"), hashed(3).alias("one"), hashed(7).alias("two"), *more)
+    return sets.groupBy("n", "one", "two").agg(F.min(F.struct(key, *[c for c in sets.columns if c not in (key, "n", "one", "two")])).alias("first")).select("n", "first.*")
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Documents of tiles with several components (tile, rep, component), by blocks: tiles of the same documents count once,
-    larger ones meet by parts."""
-    counts = rows.groupBy("tile").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("all"), F.sum(F.xxhash64("rep", F.lit(7)).cast("decimal(20,0)")).alias("again"))
-    once = counts.groupBy("n", "all", "again").agg(F.min("tile").alias("tile")).select("tile", F.ceil(F.col("n") / MOST).cast("int").alias("parts"))
+    """Documents of tiles with several components (tile, rep, component, n_shingles), by blocks: tiles of the same documents
+    count once, larger ones meet by parts."""
+    once = _distinct_sets(rows, "tile", F.sum("n_shingles").alias("w"))
+    once = once.select("tile", F.greatest(F.ceil(F.col("n") / MOST), F.ceil(F.col("w") / HEAVY)).cast("int").alias("parts"))
     own = rows.join(once, "tile").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    met = own.select("tile", "rep", "component", "part", other)
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(F.col("part") == F.col("other"), "both").when(F.col("part") < F.col("other"), "row").otherwise("column")
     return met.select(F.xxhash64("tile", low, high).alias("block"), "rep", "component", side.alias("side"))
@@ -314,20 +382,20 @@ def join_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     shared = scratch.write(shared, "shared")
     met = scratch.write(entries.join(shared, "tile").distinct(), "met")
     star = met.filter("short <> least").select(F.col("least").alias("a_short"), F.col("short").alias("b_short")).distinct()
-    links = join.links(join.likely(star).distinct())
+    links = join.stars(join.likely(star).distinct())
     # an id with several texts is one document: the classes of its texts are linked by the id
     repeated = known.groupBy("doc_id").agg(F.countDistinct("digest").alias("texts")).filter("texts > 1").select("doc_id")
     own = known.join(repeated, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "rep"), "digest")
     links = scratch.write(links.unionByName(own.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "links")
     found = components(links, scratch)
 
-    named = classes.select("short", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("short", "rep", F.coalesce("component", "rep").alias("component"))
-    named = met.select("tile", "short").join(scratch.write(named, "named"), "short").select("tile", "rep", "component")
+    named = classes.select("short", "rep", "n_shingles").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("short", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    named = met.select("tile", "short").join(scratch.write(named, "named"), "short").select("tile", "rep", "n_shingles", "component")
     several = named.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("tile")
-    still = scratch.write(named.join(scratch.write(several, "several"), "tile"), "open")
-    blocks = _blocks(still).join(classes.select("rep", "n_shingles", "mark"), "rep").repartition("block").sortWithinPartitions("block")
-    pairs = blocks.select("rep", "component", "n_shingles", "mark", "block", "side").mapInArrow(_between(percent), "a bigint, b bigint")
-    more = join.links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    still = scratch.write(named.join(scratch.write(several, "several"), "tile"), "still")
+    scratch.drop(met, shared)
+    blocks = _blocks(still).join(classes.select("rep", "n_shingles", "mark"), "rep").select("rep", "component", "n_shingles", "mark", "side", "block")
+    more = join.groups(blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_between(percent), "part string, rep bigint"))
     if not more.isEmpty():
         found = components(links.unionByName(more), scratch)
 
