@@ -238,44 +238,102 @@ def test_last_state_overwrites_whole_records(spark):
     assert lifecycle.last_state(rows).first()["repo"] is None
 
 
-def test_stream_agrees_with_batch(spark, sf_dir):
-    from tidemark.streaming.lifecycle import run_available
-
-    got = run_available(spark, sf_dir).toPandas()
-    events = hooks.hook_log(spark, sf_dir)
-    assert set(got[got.cause == "event"].event_id) == {r["event_id"] for r in lifecycle.writes(events).select("event_id").collect()}
-    cancelled = set(got.resumes.dropna())
-    idle = {(r["session_id"], r["deadline"]) for r in lifecycle.idle_close(events).filter("closes").collect() if r["session_id"] not in cancelled}
-    timers = {(s, t.to_pydatetime()) for s, t in zip(got[got.cause == "timer"].session_id, got[got.cause == "timer"]["at"], strict=True)}
-    newest = max(r["ts"] for r in events.select("ts").collect())
-    assert {x for x in timers if x[0] not in cancelled} <= idle and all(t > newest - dt.timedelta(seconds=13) for _, t in idle - timers)
-
-
-def test_stream_of_resumed_and_late_events(spark, tmp_path):
-    """Files one after the other: a resumed session's timer doesn't fire, and events behind the watermark are dropped."""
-    from tidemark.streaming.lifecycle import ROCKSDB, transitions
-
-    schema = "event_id long, ts timestamp, cwd long, hook string, is_resume boolean"
-    parts = [
-        [(1, at(0), 1, "SessionStart", False), (2, at(10), 1, "Stop", False), (3, at(5), 2, "SessionStart", False), (4, at(20), 2, "Stop", False)],
-        [(5, at(600), 1, "SessionStart", True)],
-        [(6, at(590), 3, "SessionStart", False), (7, at(500), 4, "SessionStart", False)],  # 10 s late, and 100 s late
-        [(8, at(9000), 5, "SessionStart", False)], [(9, at(9100), 5, "Stop", False)],
-    ]
-    for i, rows in enumerate(parts):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    try:
-        for i in range(len(parts)):  # each file in a run of its own, which goes on where the last one was
-            (tmp_path / "seen").mkdir(exist_ok=True)
-            for f in (tmp_path / f"in/{i}").glob("*.parquet"):
-                f.rename(tmp_path / "seen" / f"{i}.parquet")
-            events = spark.readStream.schema(schema).parquet(str(tmp_path / "seen"))
-            transitions(events).writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    got = {(r["session_id"], r["cause"], r["status"], r["resumes"]) for r in spark.read.parquet(out).collect()}
-    assert ("1-2", "event", "registered", "1-1") in got and ("2-1", "timer", "closed", None) in got and ("3-1", "event", "registered", None) in got
-    assert not [x for x in got if x[0] == "4-1" or x[:2] == ("1-1", "timer")]
+NO_CONTROLS = "cwd long, action string, ts timestamp_ntz, ok boolean"
+
+
+def states_of(spark, rows, audit=(), controls=(), public=(), **how):
+    events = log(spark, rows)
+    seen = spark.createDataFrame([(c, "public" if c in public else "private") for c in {r[1] for r in rows}], "cwd long, visibility string")
+    asked = spark.createDataFrame([(c, a, at(t), ok) for t, c, a, ok in controls], NO_CONTROLS)
+    return states.States(events, audit_of(spark, list(audit)), seen, asked, **how)
+
+
+def decided(s):
+    return {int((r["ts"] - DAY).total_seconds()): r["decision"] for r in s.decisions().collect()}
+
+
+def test_a_refused_session_stays_without_state(spark):
+    """The reason why nothing is tracked outlives the events of a session that was refused."""
+    rows = [(0, 1, "SessionStart", 1, False), (10, 1, "UserPromptSubmit", 1, False), (20, 1, "PostToolUse", 1, False), (30, 1, "Stop", 1, False), (40, 1, "SessionEnd", 1, False)]
+    s = states_of(spark, rows, public=(1,))
+    assert decided(s) == {0: gates.PUBLIC, 10: "no_state", 20: "no_state", 30: "no_state", 40: "no_state"}
+    assert [(r["at_ts"], r["decision"]) for r in s.runtime().collect()] == [(at(0), gates.PUBLIC)] and s.writes.isEmpty()
+
+
+def test_what_is_saved_and_cleared(spark):
+    """By a timer on an inactive board, a timer on an active one, and never by an end or in a pause."""
+    start, prompt, stop, end = "SessionStart", "UserPromptSubmit", "Stop", "SessionEnd"
+    rows = [(0, 1, start, 1, False), (10, 1, stop, 1, False), (0, 2, start, 1, False), (2500, 2, stop, 1, False), (2600, 2, end, 1, False)]
+    rows += [(1, 3, start, 1, False), (1500, 3, prompt, 1, False), (1600, 3, stop, 1, False), (5, 4, start, 1, False), (1800, 4, prompt, 1, False), (1801, 4, end, 1, False)]
+    s = states_of(spark, rows, [(1700, "INACTIVE", True), (2400, "ON_TRACK", True)], [(1750, 4, "pause", True)])
+    got = {r["cwd"]: (int((r["at_ts"] - DAY).total_seconds()), r["cause"], r["decision"]) for r in s.runtime().collect()}
+    assert got == {1: (1810, "timer", "project_inactive"), 2: (2500, "event", "ok"), 3: (3400, "timer", "ok"), 4: (5, "event", "ok")}
+    closed = {(r["session_id"], r["cause"]) for r in s.closings().collect()}
+    assert closed == {("3-1", "timer")}
+
+
+def test_a_pause_names_the_open_session_written_last(spark):
+    start, prompt = "SessionStart", "UserPromptSubmit"
+    rows = [(0, 1, start, 1, False), (10, 1, start, 2, False), (20, 1, "SessionEnd", 2, False), (40, 1, prompt, 1, False), (50, 1, prompt, 2, False), (70, 1, prompt, 1, False), (90, 1, prompt, 1, False), (110, 1, prompt, 1, False)]
+    # the newest session has ended, so the older one is paused; then that is resumed, though the other was written last, but not by an update that failed
+    s = states_of(spark, rows, controls=[(30, 1, "pause", True), (60, 1, "resume", False), (80, 1, "resume", True), (100, 1, "resume", True)])
+    assert decided(s) == {0: "ok", 10: "ok", 20: "ok", 40: "paused", 50: "ok", 70: "paused", 90: "ok", 110: "ok"}
+    named = [(r["hook"], r["session_id"]) for r in s.rows.filter("kind = 'control'").orderBy("ts").collect()]
+    assert named == [("pause", "1-1"), ("resume", "1-1"), ("resume", "1-1")]
+
+
+def test_a_pause_goes_on_in_a_resumed_session(spark):
+    rows = [(0, 1, "SessionStart", 1, False), (720, 1, "SessionStart", 2, True), (840, 1, "UserPromptSubmit", 2, False), (960, 1, "UserPromptSubmit", 2, False)]
+    s = states_of(spark, rows, controls=[(480, 1, "pause", True), (900, 1, "resume", True)])
+    assert decided(s) == {0: "ok", 720: "ok", 840: "paused", 960: "ok"}
+    told = {r["session_id"]: r["notified"] for r in lifecycle.inherited(s).collect()}
+    assert told == {"1-1": False, "1-2": False}
+
+
+def test_resumptions_that_hang_on_cancelled_timers(spark):
+    """Each resumption cancels a timer that would have closed what the next one resumes."""
+    start, stop, prompt = "SessionStart", "Stop", "UserPromptSubmit"
+    rows = [(0, 1, start, 1, False), (10, 1, stop, 1, False), (900, 1, start, 2, True), (910, 1, stop, 2, False), (1790, 1, prompt, 1, False), (2000, 1, start, 3, True), (2010, 1, stop, 3, False), (2700, 1, prompt, 2, False), (2900, 1, start, 4, True), (3000, 1, prompt, 3, False), (3500, 1, start, 5, True)]
+    s = states_of(spark, rows)
+    assert {r["session_id"]: r["resumes"] for r in s.resumed.collect()} == {"1-2": "1-1", "1-3": "1-1", "1-4": "1-2", "1-5": "1-3"}
+    assert {r["session_id"]: (r["issue_session"], r["depth"]) for r in lifecycle.inherited(s).collect()} == {"1-1": ("1-1", 0), "1-2": ("1-1", 1), "1-3": ("1-1", 1), "1-4": ("1-1", 2), "1-5": ("1-1", 2)}
+
+
+def test_a_stop_may_pass_an_inactive_board(spark):
+    rows = [(0, 1, "SessionStart", 1, False), (100, 1, "Stop", 1, False)]
+    gated, passed = (states_of(spark, rows, [(50, "INACTIVE", True), (1000, "ON_TRACK", True)], stop_gate=g) for g in (True, False))
+    assert [r["status"] for r in gated.current().collect()] == ["registered"] and [r["status"] for r in passed.current().collect()] == ["closed"]
+    assert gated.runtime().first()["decision"] == "project_inactive" and passed.runtime().first()["cause"] == "timer"
+
+
+@pytest.mark.parametrize("piece", [3, 40])
+def test_workspaces_in_pieces(spark, sf_dir, piece):
+    """A history that is cut into pieces gives what it gives whole, pauses of many pieces included."""
+    audit, events = hooks.board_audit(spark, sf_dir, gates.MARKER), hooks.hook_log(spark, sf_dir).filter("cwd % 3 = 0")
+    seen = gates.visibilities(hooks.table(spark, sf_dir, "customer"))
+    made = [states.States(events, audit, seen, gates.controls(audit), piece=p) for p in (1 << 20, piece)]
+    whole, cut = (sorted(map(str, s.rows.collect())) for s in made)
+    assert whole == cut and any("paused" in r for r in whole)
+
+
+def test_rows_without_a_time_are_spread(spark):
+    left = spark.range(20_000).select(F.col("id").alias("i"), F.when(F.col("id") % 20 == 0, F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)")).alias("t"))
+    right = spark.createDataFrame([(at(100), "a")], "u timestamp_ntz, v string")
+    for join, hits in ((temporal.asof_join, 995), (temporal.next_at_or_after, 6)):
+        out = join(left, right, "t", "u", ["v"])
+        assert out.count() == 20_000 and out.filter("v is not null").count() == hits
+    place = left.withColumn("b", F.coalesce(temporal.bucket(F.col("t"), "HOUR"), temporal._untimed(left, True))).filter("t is null")
+    most = place.groupBy("b").count().agg(F.max("count"), F.count("*")).first()
+    assert most[0] < 30 and most[1] > 3000
+
+
+def test_first_lines_of_any_length(spark, tmp_path):
+    (tmp_path / "long.jsonl").write_text(json.dumps({"pad": "x" * 1_000_000, "type": "file-history-snapshot"}) + "\n{}\n")
+    (tmp_path / "other.jsonl").write_text(json.dumps({"type": "x"}) + "\n" + json.dumps({"type": "file-history-snapshot"}) + "\n")
+    assert {r["file_path"][-10:]: r["is_resume"] for r in files.is_resume(spark, str(tmp_path)).collect()} == {"long.jsonl": True, "ther.jsonl": False}
+
+
+def test_states_are_built_once(spark, sf_dir):
+    from tidemark.plans import catalogue
+
+    assert catalogue.states(spark, sf_dir) is catalogue.states(spark, sf_dir)

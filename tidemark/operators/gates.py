@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.temporal import asof_join, numbered
+from tidemark.operators.machine import INACTIVE
+from tidemark.operators.temporal import asof_join, bucket
 
 #: Reasons, and the number of updates that the gate looks at.
-PUBLIC, UNCHECKED, INACTIVE = "notes_repo_public", "notes_repo_check_failed", "project_inactive"
+PUBLIC, UNCHECKED = "notes_repo_public", "notes_repo_check_failed"
 NEWEST = 20
 MARKER = "<!-- tidemark-status -->"
 
@@ -28,11 +29,18 @@ def board_inactive(audit: DataFrame, marker: str = MARKER, newest: int = NEWEST)
 
 def board_history(audit: DataFrame, marker: str = MARKER, newest: int = NEWEST) -> DataFrame:
     """created_at, update_id and board_status after each update: the newest marked one's status, null where that isn't
-    among the newest `newest` updates of whatever kind."""
-    rows = numbered(audit, "created_at", "update_id").select("created_at", "update_id", "status", "rank", F.contains(F.coalesce("body", F.lit("")), F.lit(marker)).alias("marked"))
-    marked = rows.filter("marked").select(F.col("created_at").alias("marked_at"), F.col("update_id").alias("marked_id"), F.col("status").alias("marked_status"), F.col("rank").alias("marked_rank"))
-    both = asof_join(rows.select("created_at", "update_id", "rank"), marked, "created_at", "marked_at", ["marked_status", "marked_rank"], right_order="marked_id")
-    return both.select("created_at", "update_id", F.when(F.col("rank") - F.col("marked_rank") < newest, F.col("marked_status")).alias("board_status"))
+    among the newest `newest` updates of whatever kind. Hours are ranked each by itself; a row for each hour adds them up."""
+    marked = F.contains(F.coalesce("body", F.lit("")), F.lit(marker))
+    own = audit.select("created_at", "update_id", "status", marked.alias("marked"), bucket(F.col("created_at"), "HOUR").alias("_b"))
+    order = Window.partitionBy("_b").orderBy("created_at", "update_id")
+    own = own.withColumn("nth", F.row_number().over(order).cast("long"))
+    own = own.withColumn("hit", F.last(F.when(F.col("marked"), F.struct(F.col("nth").alias("rank"), "status")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    hours = own.groupBy("_b").agg(F.max("nth").alias("n"), F.max_by("hit", "nth").alias("end"))
+    hours = hours.withColumn("before", F.sum("n").over(Window.orderBy("_b")) - F.col("n"))
+    ranked = lambda hit: F.when(F.col(hit).isNotNull(), F.struct((F.col("before") + F.col(hit)["rank"]).alias("rank"), F.col(hit)["status"].alias("status")))
+    hours = hours.withColumn("earlier", F.last(ranked("end"), ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select("_b", "before", "earlier")
+    both = own.join(hours, "_b").withColumn("last", F.coalesce(ranked("hit"), "earlier"))
+    return both.select("created_at", "update_id", F.when(F.col("before") + F.col("nth") - F.col("last.rank") < newest, F.col("last.status")).alias("board_status"))
 
 
 def board_asof(log: DataFrame, board: DataFrame, ts: str = "ts") -> DataFrame:
@@ -54,21 +62,6 @@ def visibilities(customer: DataFrame) -> DataFrame:
     return customer.select(F.col("c_custkey").alias("cwd"), visibility_of(F.col("c_custkey")).alias("visibility"))
 
 
-def decisions(log: DataFrame, board: DataFrame, seen: DataFrame) -> DataFrame:
-    """The log with board_status and what each event meets first: no state, the privacy gate (starts alone), the board
-    gate (not the end), or nothing. A workspace that the lookup `seen` doesn't have fails the privacy check."""
-    g = board_asof(log, board).join(seen, "cwd", "left")
-    private = privacy(F.col("visibility"))
-    start = F.col("hook") == "SessionStart"
-    decision = (
-        F.when(start & (private != "ok"), private)
-        .when(~start & (F.col("n") == 0), "no_state")
-        .when((F.col("hook") != "SessionEnd") & is_inactive(F.col("board_status")), INACTIVE)
-        .otherwise("ok")
-    )
-    return g.withColumn("decision", decision).drop("visibility")
-
-
 def blocked_text(reason: Column) -> Column:
     return (
         F.when(reason == PUBLIC, "tracking is off: the notes repository is public")
@@ -78,13 +71,6 @@ def blocked_text(reason: Column) -> Column:
     )
 
 
-def runtime_status(log: DataFrame, board: DataFrame, seen: DataFrame) -> DataFrame:
-    """The last gated event of each workspace and what its decision says."""
-    d = decisions(log, board, seen).filter("decision <> 'no_state'")
-    last = d.groupBy("cwd").agg(F.max_by(F.struct("event_id", "decision"), F.struct("ts", "event_id")).alias("last"))
-    return last.select("cwd", "last.event_id", "last.decision", blocked_text(F.col("last.decision")).alias("text"))
-
-
 def pause_spans(controls: DataFrame, key: str = "cwd") -> DataFrame:
     """Pauses and resumptions (action, ts, ok) as spans: a pause holds at once, a resumption only if its update went through."""
     order = Window.partitionBy(key).orderBy("ts")

@@ -11,7 +11,6 @@ from tidemark.operators.gates import blocked_text
 from tidemark.operators.states import IDLE, States
 from tidemark.operators.temporal import latest_by, next_at_or_after, numbered
 from tidemark.sources.hooks import STATUS, tracked
-from tidemark.sources.store import written
 
 
 def _session():
@@ -46,15 +45,9 @@ def duplicate_start(log: DataFrame) -> DataFrame:
     return starts.withColumn("nth", nth.cast("long")).select("event_id", "start_key", "nth", (F.col("nth") > 1).alias("skipped"))
 
 
-def _first_prompts(states: States) -> DataFrame:
-    prompts = states.rows.filter("hook = 'UserPromptSubmit' and acts")
-    return prompts.groupBy("session_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.min("ts").alias("prompt_ts"))
-
-
 def first_prompt_notice(states: States) -> DataFrame:
     """The first prompt of each session that passed the gates, unless a session that it goes on had one before."""
-    told = inherited(states).filter("notified").select("session_id")
-    first = _first_prompts(states).join(told, "session_id", "left_anti")
+    first = states.rows.filter("first_prompt")
     return first.select("session_id", "event_id", F.concat(F.lit("Session "), F.col("session_id"), F.lit(" is tracked")).alias("notice"))
 
 
@@ -73,19 +66,8 @@ def sweep_count(log: DataFrame) -> DataFrame:
 
 def inherited(states: States) -> DataFrame:
     """For every session with a state: issue_session, from which its issue comes down by resumptions, their number
-    (depth), and notified, whether a session before it had its first prompt when it was resumed.
-
-    Each round joins the chains with themselves, so there are as many as the logarithm of the longest.
-    """
-    prompts = _first_prompts(states).select(F.col("session_id").alias("resumes"), "prompt_ts")
-    edges = states.resumed.join(prompts, "resumes", "left").select("session_id", "resumes", F.coalesce(F.col("prompt_ts") < F.col("ts"), F.lit(False)).alias("told"))
-    made = states.rows.filter("starts").select("session_id").join(edges, "session_id", "left")
-    chain = written(made.select("session_id", F.coalesce("resumes", "session_id").alias("issue_session"), F.col("resumes").isNotNull().cast("long").alias("depth"), F.coalesce("told", F.lit(False)).alias("notified")), "chain")
-    while True:
-        up = chain.filter("depth > 0").select(F.col("session_id").alias("issue_session"), F.col("issue_session").alias("further"), F.col("depth").alias("more"), F.col("notified").alias("before"))
-        if chain.join(up, "issue_session", "left_semi").isEmpty():
-            return chain
-        chain = written(chain.join(up, "issue_session", "left").select("session_id", F.coalesce("further", "issue_session").alias("issue_session"), (F.col("depth") + F.coalesce("more", F.lit(0).cast("long"))).alias("depth"), (F.col("notified") | F.coalesce("before", F.lit(False))).alias("notified")), "chain")
+    (depth), and notified, whether a session before it had its first prompt when it was resumed."""
+    return states.rows.filter("acts and hook = 'SessionStart'").select("session_id", "issue_session", "depth", "notified")
 
 
 def issue_chain(states: States) -> DataFrame:
@@ -93,7 +75,7 @@ def issue_chain(states: States) -> DataFrame:
     whether others share it."""
     chain = inherited(states)
     shared = chain.groupBy("issue_session").agg((F.count("*") > 1).alias("shared_item"))
-    return chain.select("session_id", "issue_session", "depth").join(shared, "issue_session").select("session_id", "issue_session", "depth", "shared_item")
+    return chain.join(shared, "issue_session").select("session_id", "issue_session", "depth", "shared_item")
 
 
 def latest_session(log: DataFrame) -> DataFrame:
@@ -118,10 +100,7 @@ def effects(states: States) -> DataFrame:
     A new session opens an issue, with title, body and label; one that resumes another takes over its item. A session
     closes once, by its end, its timer or a sweep, until a prompt or stop opens it again.
     """
-    rows = states.rows.filter("acts").join(states.resumed.select("session_id", "resumes"), "session_id", "left")
-    order = Window.partitionBy("session_id").orderBy("ts", "nth", "event_id")
-    closed = states.writes.withColumns({"was": F.lag("status").over(order), "gone": F.lag("closed_at").over(order)})
-    closed = closed.filter("hook = 'SessionEnd' and sets = 'closed' and was <> 'closed' and gone is null")
+    rows = states.rows.filter("acts")
     stamp, cwd = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("cwd").cast("string")
     new, label = "hook = 'SessionStart' and resumes is null", F.concat(F.lit("area"), (F.col("cwd") % 7).cast("string"))
     made = {
@@ -131,29 +110,28 @@ def effects(states: States) -> DataFrame:
         "created_date": (new, F.to_date("ts").cast("string")),
         "resumed": ("hook = 'SessionStart' and resumes is not null", F.concat(F.lit("goes on from "), F.col("resumes"))),
         "status": ("sets <> 'closed'", F.col("sets")),
+        "close": ("sets = 'closed'", F.lit("end")),
         "active_date": ("hook in ('UserPromptSubmit', 'Stop')", F.to_date("ts").cast("string")),
         "title": ("hook = 'UserPromptSubmit'", F.concat(F.lit("prompt "), F.col("event_id").cast("string"))),
         "comment": ("hook in ('UserPromptSubmit', 'Stop', 'PostToolUse')", F.col("hook")),
     }
     each = F.array_compact(F.array(*[F.when(F.expr(on), F.struct(F.lit(kind).alias("kind"), value.alias("value"))) for kind, (on, value) in made.items()]))
     out = rows.select("session_id", F.col("ts").alias("at_ts"), "event_id", F.inline(each))
-    ends = closed.select("session_id", F.col("ts").alias("at_ts"), "event_id", F.lit("close").alias("kind"), F.lit("end").alias("value"))
     own = states.closings().select("session_id", "at_ts", F.col("swept_by").alias("event_id"), F.lit("close").alias("kind"), F.col("cause").alias("value"))
-    return out.unionByName(ends).unionByName(own)
+    return out.unionByName(own)
 
 
 def issue_numbers(states: States) -> DataFrame:
     """The number of each new session's issue, in order of their starts over all workspaces."""
-    resumed = states.resumed.select("session_id")
-    new = states.rows.filter("starts").select("session_id", "ts", "event_id").join(resumed, "session_id", "left_anti")
+    new = states.rows.filter("acts and hook = 'SessionStart' and resumes is null").select("session_id", "ts", "event_id")
     return numbered(new, "ts", "event_id").select("session_id", "event_id", F.col("rank").alias("number"))
 
 
-def notices(states: States, decided: DataFrame) -> DataFrame:
-    """What a user is told: where a new or a resumed session is tracked, or why a start isn't. decided: the log with decisions."""
+def notices(states: States) -> DataFrame:
+    """What a user is told: where a new or a resumed session is tracked, or why a start isn't."""
     chain = inherited(states).join(issue_numbers(states).select(F.col("session_id").alias("issue_session"), "number"), "issue_session")
     url = issue_url(F.lit("team/notes"), F.col("number"))
-    told = states.rows.filter("starts").select("session_id", "event_id").join(chain, "session_id")
+    told = states.rows.filter("acts and hook = 'SessionStart'").select("session_id", "event_id").join(chain, "session_id")
     told = told.select("event_id", "session_id", F.concat(F.lit("This session is tracked at "), url, F.when(F.col("depth") > 0, " (resumed)").otherwise("")).alias("notice"))
-    blocked = decided.filter("hook = 'SessionStart' and decision <> 'ok'")
+    blocked = states.decisions().filter("hook = 'SessionStart' and decision <> 'ok'")
     return told.unionByName(blocked.select("event_id", "session_id", blocked_text(F.col("decision")).alias("notice")))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import audit as A
-from tidemark.operators import gates as G
 from tidemark.operators import install as I
 from tidemark.operators import states as S
 
@@ -17,15 +16,15 @@ def _scope(invalid, exists, installed):
     return F.when(invalid & exists, "invalid settings").when(installed & exists, "installed").when(exists, "present but hooks missing").otherwise("not present")
 
 
-def status_report(log: DataFrame, audit: DataFrame, seen: DataFrame, states: S.States, machines: DataFrame) -> DataFrame:
+def status_report(log: DataFrame, audit: DataFrame, states: S.States, machines: DataFrame) -> DataFrame:
     """Lines of label and value, in order, for each workspace: its installation (machines; c_custkey is the workspace), its
     open session that was written last, what the board was told last, and why tracking is blocked, if it is."""
-    current = states.writes.join(states.history().filter("is_current and status <> 'closed'").select("session_id", F.col("status").alias("now")), "session_id")
-    paused = F.max_by(F.col("hook") == "pause", F.when(F.col("hook").isin("pause", "resume"), F.struct("ts", "nth")))
-    per = current.groupBy("cwd", "session_id").agg(F.max("ts").alias("last_ts"), F.first("now").alias("status"), F.coalesce(paused, F.lit(False)).alias("paused"))
+    last = F.max_by(F.struct("status", "paused"), F.struct("ts", "nth"))
+    per = states.rows.filter("writes").groupBy("cwd", "session_id").agg(F.max("ts").alias("last_ts"), last.alias("last"))
+    per = per.filter("last.status <> 'closed'").select("cwd", "session_id", "last_ts", "last.*")
     active = per.groupBy("cwd").agg(F.max_by(F.struct("session_id", "status", "paused"), F.struct("last_ts", "session_id")).alias("a")).select("cwd", "a.*")
     sync = A.cache(A.tries(audit)).groupBy(F.col("project").alias("cwd")).agg(F.max_by(F.struct("last_status", "last_synced_at", "last_error"), "update_id").alias("s"))
-    run = G.runtime_status(log, states.board, seen).select("cwd", "decision", "text")
+    run = states.runtime().select("cwd", "decision", "text")
     m = I.install_states(machines).join(machines, "c_custkey").withColumnRenamed("c_custkey", "cwd")
     all_ = log.select("cwd").distinct().join(active, "cwd", "left").join(sync, "cwd", "left").join(run, "cwd", "left").join(m, "cwd", "left")
     synced = F.date_format("s.last_synced_at", "yyyy-MM-dd HH:mm:ss")

@@ -1,144 +1,230 @@
 """Sessions' states in order of events: gates and pauses that act, timers, sweeps and resumed sessions.
 
-Every step is a window over a session, an as-of join, or a join by workspace and a few minutes; none follows a workspace's
-whole history in one task. What a step needs of the future of an interval between two writes (does its timer fire, does a
-start sweep it) is looked up once, so a timer that a resuming session cancels only changes which answer holds.
-
-The rules, in order of precedence:
-
-* A session has a state if its first start passes the privacy and the board gate; other events of it change nothing.
-* A pause holds from the control on that names the session until a resumption that went through. A paused prompt isn't
-  seen at all; a paused stop or end is written and stops the timer, but changes no status.
-* On an inactive board a prompt or stop is written and stops the timer, but changes no status. An end ignores the board.
-* A stop sets a timer. It closes the session IDLE after, unless a write of the session, or a session that resumes it,
-  comes before; a write at that very time comes too late. On a board that is inactive then, it only writes.
-* A start that passes its gates sweeps every open session unwritten for IDLE or longer, paused ones too.
-* A resuming start takes over the workspace's open session that was written last, if that is less than IDLE ago (older
-  ones have just been swept), and cancels its timer; it leaves its state as it is. A pause isn't handed on.
-
-Whether a cancelled timer changes what a later start resumes is followed one step, not further: that takes a session which
-is resumed, then written again on an inactive board after its timer would have fired, then resumed once more.
+What a row needs from other workspaces (what the board says at that time, which start sweeps next) is looked up by as-of
+joins. The rows of each workspace are then sorted and streamed through operators/machine.py, which has the rules. A
+workspace of more than PIECE rows is cut into pieces of time, which run at once as if each were the first; a piece
+whose sessions turn out to begin otherwise than it was run with runs again, until nothing changes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark.operators import gates as G
-from tidemark.operators.temporal import asof_join, next_at_or_after
-from tidemark.sources.store import written
+from tidemark.operators import machine as M
+from tidemark.operators.temporal import next_at_or_after
+from tidemark.sources.store import drop, written
 
-IDLE_SECONDS = 1800
+IDLE_SECONDS = M.IDLE_SECONDS
 IDLE = f"interval {IDLE_SECONDS} seconds"
-#: Resuming starts and the writes that they may resume meet by workspace and so many seconds.
-SLICE_SECONDS = 300
-_ORDER = ["ts", "nth", "event_id"]
-_KEPT = ["session_id", "cwd", "ts", "nth", "event_id", "hook"]
-
-
-def _upto():
-    return Window.partitionBy("session_id").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
-
-
-def _before():
-    return Window.partitionBy("session_id").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def acting(log: DataFrame, board: DataFrame, seen: DataFrame, controls: DataFrame) -> DataFrame:
-    """Events and controls of sessions with a state: paused, inactive, writes (changes the state's file), sets (the status
-    that it sets, if any), timer (sets one), acts (has effects) and starts (makes the state)."""
-    d = G.decisions(log, board, seen).withColumn("nth", F.lit(0))
-    named = asof_join(controls, log.filter("hook = 'SessionStart'").select("cwd", "session_id", F.col("ts").alias("start_ts"), F.col("event_id").alias("start_id")), "ts", "start_ts", ["session_id"], keys=["cwd"], unit="DAY", right_order="start_id")
-    both = d.unionByName(named.select("session_id", "cwd", "ts", F.lit(1).alias("nth"), F.col("action").alias("hook"), "ok"), allowMissingColumns=True)
-    hook, known = F.col("hook"), F.col("known")
-    passed = (hook == "SessionStart") & (F.col("decision") == "ok")
-    both = both.withColumns({
-        "known": F.coalesce(F.max(passed.cast("int")).over(_upto()), F.lit(0)) == 1,
-        "again": F.coalesce(F.max(passed.cast("int")).over(_before()), F.lit(0)) == 1,
-        "paused": F.coalesce(F.last(F.when(hook == "pause", True).when((hook == "resume") & F.col("ok"), False), ignorenulls=True).over(_upto()), F.lit(False)),
-        "was_paused": F.coalesce(F.last(F.when(hook == "pause", True).when((hook == "resume") & F.col("ok"), False), ignorenulls=True).over(_before()), F.lit(False)),
-        "inactive": G.is_inactive(F.col("board_status")),
-    }).filter(known)
-    free = ~F.col("paused")
-    acts = (
-        F.when(hook == "SessionStart", ~F.col("again")).when(hook.isin("UserPromptSubmit", "Stop", "PostToolUse"), free & ~F.col("inactive"))
-        .when(hook == "SessionEnd", free).otherwise(False)
-    )
-    writes = (
-        F.when(hook == "SessionStart", ~F.col("again")).when(hook == "UserPromptSubmit", free).when(hook.isin("Stop", "SessionEnd", "pause"), True)
-        .when(hook == "resume", F.col("was_paused")).otherwise(False)
-    )
-    status = F.when(hook == "SessionStart", "registered").when(hook == "UserPromptSubmit", "responding").when(hook == "Stop", "waiting").when(hook == "SessionEnd", "closed")
-    return both.select(*_KEPT, "is_resume", "k", "n", acts.alias("acts"), writes.alias("writes"), F.when(acts & (hook != "PostToolUse"), status).alias("sets"), (acts & (hook == "Stop")).alias("timer"), (acts & (hook == "SessionStart")).alias("starts"), passed.alias("passes"))
-
-
-def _looked_up(rows: DataFrame, board: DataFrame) -> DataFrame:
-    """Writes with next_ts, due (IDLE after), blocked (the board is inactive then), and the first start at or after due and, where blocked, at or after twice IDLE."""
-    starts = rows.filter("passes").select(F.col("ts").alias("start_ts"), F.col("event_id").alias("start_id"))
-    w = rows.filter("writes").withColumns({"next_ts": F.lead("ts").over(Window.partitionBy("session_id").orderBy(*_ORDER)), "due": F.expr(f"ts + {IDLE}")})
-    w = G.board_asof(w.withColumn("fires", F.when(F.col("timer"), F.col("due"))), board, ts="fires").withColumn("blocked", G.is_inactive(F.col("board_status"))).drop("board_status", "fires")
-    w = next_at_or_after(w, starts, "due", "start_ts", ["start_ts", "start_id"], right_order="start_id").withColumnsRenamed({"start_ts": "swept", "start_id": "sweeper"})
-    w = w.withColumn("late", F.when(F.col("blocked"), F.expr(f"due + {IDLE}")))
-    return next_at_or_after(w, starts, "late", "start_ts", ["start_ts", "start_id"], right_order="start_id").withColumnsRenamed({"start_ts": "late_swept", "start_id": "late_sweeper"}).drop("late")
-
-
-def _closed(w: DataFrame) -> DataFrame:
-    """w (with cancelled_at) with closed_at, closed_by (timer or sweep) and sweeper of the interval after each write, and the status right after the write."""
-    open_until = lambda t: F.col(t).isNotNull() & (F.col("next_ts").isNull() | (F.col(t) <= F.col("next_ts")))
-    runs = F.col("timer") & ~F.coalesce(F.col("cancelled_at") < F.col("due"), F.lit(False)) & open_until("due")
-    swept = lambda at, by: F.when(open_until(at), F.struct(F.col(at).alias("at"), F.lit("sweep").alias("by"), F.col(by).alias("sweeper")))
-    fired = F.struct(F.col("due").alias("at"), F.lit("timer").alias("by"), F.lit(None).cast("long").alias("sweeper"))
-    w = w.withColumn("may", F.when(runs & ~F.col("blocked"), fired).when(runs, swept("late_swept", "late_sweeper")).otherwise(swept("swept", "sweeper")))
-    # between two rows that set a status only the first closing counts, and none after an end
-    w = w.withColumn("nth_set", F.count("sets").over(_upto()))
-    group = Window.partitionBy("session_id", "nth_set").orderBy(*_ORDER)
-    last = F.first("sets").over(group.rowsBetween(Window.unboundedPreceding, 0))
-    earlier = F.coalesce(F.count("may").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
-    w = w.withColumns({"status": F.when(earlier, "closed").otherwise(last), "real": F.col("may").isNotNull() & ~earlier & (last != "closed")})
-    w = w.withColumns({"closed_at": F.when(F.col("real"), F.col("may.at")), "closed_by": F.when(F.col("real"), F.col("may.by")), "closer": F.when(F.col("real"), F.col("may.sweeper"))})
-    return w.drop("may", "real", "nth_set")
-
-
-def _matches(w: DataFrame) -> DataFrame:
-    """Resuming starts with the session that each resumes: event_id, session_id, cwd, ts, resumes and resumed_write (the event or control of its last write)."""
-    slice_ = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / (SLICE_SECONDS * 1_000_000))
-    asks = w.filter("starts and is_resume").select("event_id", "session_id", "cwd", "ts", slice_(F.col("ts")).alias("slice"))
-    ends = F.least(F.coalesce("next_ts", "due"), F.col("due"))
-    there = w.filter("status <> 'closed'").select(F.col("cwd").alias("own_cwd"), F.col("session_id").alias("own_session"), F.col("ts").alias("own_ts"), F.col("nth").alias("own_nth"), F.col("event_id").alias("own_event"), ends.alias("own_end"))
-    there = there.withColumn("own_slice", F.explode(F.sequence(slice_(F.col("own_ts")), slice_(F.col("own_end")))))
-    met = asks.join(there, (asks["cwd"] == there["own_cwd"]) & (asks["slice"] == there["own_slice"]) & (there["own_ts"] < asks["ts"]) & (asks["ts"] < there["own_end"]))
-    best = met.groupBy("event_id").agg(F.max_by(F.struct("session_id", "cwd", "ts", "own_session", "own_ts", "own_nth"), F.struct("own_ts", "own_session", "own_nth")).alias("m"))
-    return best.select("event_id", "m.session_id", "m.cwd", "m.ts", F.col("m.own_session").alias("resumes"), F.col("m.own_ts").alias("resumed_ts"), F.col("m.own_nth").alias("resumed_nth"))
+#: Rows of a workspace that are taken one after the other; a piece ends with the hour in which it has that many.
+PIECE = 200_000
+
+_CARRY = "carry"
+_TYPES = f"cwd bigint, piece int, {M.OUTPUT_TYPES}"
+
+
+def _time(us: str) -> Column:
+    return F.timestamp_micros(us).cast("timestamp_ntz")
+
+
+def _us(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+#: What gates and the machine need of a row.
+ROW = ["cwd", "ts", "nth", "event_id", "hook", "session_id", "is_resume", "went"]
+
+
+def event_rows(log: DataFrame) -> DataFrame:
+    """Events, and the deadline of each stop, which comes before an event at the same time."""
+    stop, due = F.col("hook") == "Stop", F.col("nth") == -1
+    events = log.withColumn("nth", F.explode(F.when(stop, F.array(F.lit(0), F.lit(-1))).otherwise(F.array(F.lit(0)))))
+    return events.select("cwd", F.when(due, F.expr(f"ts + {IDLE}")).otherwise(F.col("ts")).alias("ts"), "nth", "event_id", F.when(due, "deadline").otherwise(F.col("hook")).alias("hook"), "session_id", F.coalesce("is_resume", F.lit(False)).alias("is_resume"), F.lit(True).alias("went"))
+
+
+def control_rows(controls: DataFrame) -> DataFrame:
+    """Controls, which come after an event at the same time."""
+    return controls.select("cwd", "ts", F.lit(1).alias("nth"), F.lit(None).cast("long").alias("event_id"), F.col("action").alias("hook"), F.lit(None).cast("string").alias("session_id"), F.lit(False).alias("is_resume"), F.col("ok").alias("went"))
+
+
+def gate(rows: DataFrame, seen: DataFrame, board: DataFrame) -> DataFrame:
+    """Rows with whether the board is inactive then, and why their workspace's starts may not be tracked. A workspace
+    that the lookup `seen` doesn't have fails the privacy check."""
+    rows = G.board_asof(rows, board).withColumn("inactive", G.is_inactive(F.col("board_status"))).drop("board_status")
+    return rows.join(seen, "cwd", "left").withColumn("reason", G.privacy(F.col("visibility"))).drop("visibility")
+
+
+def passing(rows: DataFrame) -> DataFrame:
+    """Starts that pass their gates, and so sweep."""
+    return rows.filter("hook = 'SessionStart' and reason = 'ok' and not inactive").select(F.col("ts").alias("start_ts"), F.col("event_id").alias("start_id"))
+
+
+def machine_rows(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """cwd and the machine's input."""
+    rows = next_at_or_after(rows.withColumn("due", F.expr(f"ts + {IDLE}")), starts, "due", "start_ts", ["start_ts", "start_id"], right_order="start_id")
+    return rows.select("cwd", _us("ts").alias("at"), "nth", "event_id", "hook", "session_id", "is_resume", "reason", "inactive", "went", _us("start_ts").alias("next_at"), F.col("start_id").alias("next_id"))
+
+
+def _fold(stop_gate: bool, ends: bool):
+    """Rows (cwd, piece, last, the machine's input, and what is carried) sorted by workspace, piece and time. Sweeps after the
+    last row count where the piece is its workspace's last; else, or with ends, the sessions at its end are given."""
+    schema = to_arrow_schema(StructType.fromDDL(_TYPES))
+    columns = ("cwd", "piece", "last", "kind", *M.INPUT, *M.CARRIED)
+    a, b = 4, 4 + len(M.INPUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, key, last, done = M.Machine(stop_gate), None, False, []
+
+        def close() -> None:
+            if key is None:
+                return
+            if last:
+                state.settle(None)
+            if ends or not last:
+                state.ends()
+            done.extend((*key, *x) for x in state.out)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+                done.clear()
+
+        for batch in batches:
+            for x in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if x[:2] != key:
+                    close()
+                    state, key, last = M.Machine(stop_gate), x[:2], x[2]
+                if x[3] == _CARRY:
+                    state.carry(x[8], *x[b:])
+                elif x[3] is None:
+                    state.row(*x[a:b])
+            if key is not None:
+                done.extend((*key, *x) for x in state.out)
+                state.out.clear()
+            yield from flush()
+        close()
+        yield from flush()
+
+    return run
+
+
+def run_machine(rows: DataFrame, carried: DataFrame | None = None, stop_gate: bool = True, ends: bool = False) -> DataFrame:
+    """rows: cwd, piece, last and the machine's input. carried: cwd, piece, last, session_id and what is carried of it."""
+    rows = rows.withColumns({"kind": F.lit(None).cast("string"), **{c: F.lit(None) for c in M.CARRIED}})
+    if carried is not None:
+        rows = rows.unionByName(carried.select("cwd", "piece", "last", "session_id", *M.CARRIED).withColumn("kind", F.lit(_CARRY)), allowMissingColumns=True)
+    types = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(_TYPES)}
+    rows = rows.select("cwd", "piece", "last", "kind", *M.INPUT, *[F.col(c).cast(types[c]) for c in M.CARRIED])
+    dealt = rows.repartition("cwd", "piece").sortWithinPartitions("cwd", "piece", F.col("kind").isNull(), "wrote", "at", "nth", "event_id", "session_id")
+    return dealt.mapInArrow(_fold(stop_gate, ends), _TYPES)
+
+
+def _pieces(rows: DataFrame, piece: int) -> DataFrame:
+    """Rows with the piece of their workspace's history that they are in, and whether it is the last."""
+    hours = rows.withColumn("hour", F.floor(F.col("at") / 3_600_000_000))
+    per = hours.groupBy("cwd", "hour").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("cwd").orderBy("hour")
+    per = per.withColumn("nth_piece", F.floor((F.sum("n").over(order) - F.col("n")) / piece))
+    per = per.withColumn("piece", F.dense_rank().over(Window.partitionBy("cwd").orderBy("nth_piece")) - 1)
+    per = per.withColumn("last", F.col("piece") == F.max("piece").over(Window.partitionBy("cwd"))).select("cwd", "hour", "piece", "last")
+    return hours.join(per, ["cwd", "hour"]).drop("hour")
+
+
+def _in_pieces(rows: DataFrame, piece: int, stop_gate: bool) -> DataFrame:
+    """The machine over workspaces of many rows: all pieces at once, then again those that begin otherwise than they were run with."""
+    rows = written(_pieces(rows, piece), "pieces")
+    most = rows.agg(F.max("piece")).first()[0] or 0
+    until = rows.filter("session_id is not null").groupBy("session_id").agg(F.max("piece").alias("until"))
+    lasts = rows.select("cwd", "piece", "last").distinct()
+    out, given = written(run_machine(rows, None, stop_gate), "folded"), None
+    for _ in range(most + 1):
+        # sessions that are open, or of which more rows come
+        left = out.filter("kind = 'end'").drop("kind").join(until, "session_id").filter("status <> 'closed' or until > piece")
+        begins = left.withColumn("piece", F.col("piece") + 1).join(lasts, ["cwd", "piece"]).select("cwd", "piece", "last", "session_id", *M.CARRIED)
+        begins = written(begins, "begins")
+        other = begins if given is None else begins.exceptAll(given).unionByName(given.exceptAll(begins))
+        changed = written(other.select("cwd", "piece").distinct(), "changed")
+        if changed.isEmpty():
+            drop(rows, begins, changed, given)
+            return out
+        again = run_machine(rows.join(changed, ["cwd", "piece"], "left_semi"), begins.join(changed, ["cwd", "piece"], "left_semi"), stop_gate)
+        before, out = out, written(out.join(changed, ["cwd", "piece"], "left_anti").unionByName(again), "folded")
+        drop(before, changed, given)
+        given = begins
+    raise RuntimeError(f"states still change after {most + 1} rounds of {most + 1} pieces")
 
 
 class States:
     """All that follows from a log, the board's updates, the visibility of repositories and pause controls.
 
-    log: event_id, ts, cwd, hook, n, k, session_id, is_resume; audit: created_at, update_id, status, body; seen: cwd,
-    visibility; controls: cwd, action (pause or resume), ts, ok. Rows with a null session have no state.
+    log: event_id, ts, cwd, hook, session_id, is_resume; audit: created_at, update_id, status, body; seen: cwd, visibility;
+    controls: cwd, action (pause or resume), ts, ok. One table is written: every event, every control that names a session,
+    every timer that fires and every sweep, each with what it decides and changes and the state that it leaves.
     """
 
-    def __init__(self, log: DataFrame, audit: DataFrame, seen: DataFrame, controls: DataFrame):
-        # written, as all that follows reads them several times
-        self.board = written(G.board_history(audit), "board")
-        self.rows = written(acting(log, self.board, seen, controls), "rows")
-        w = written(_looked_up(self.rows, self.board), "writes")
-        self.resumed = written(_matches(_closed(w.withColumn("cancelled_at", F.lit(None).cast("timestamp_ntz")))), "resumed")
-        cancels = self.resumed.groupBy(F.col("resumes").alias("session_id"), F.col("resumed_ts").alias("ts"), F.col("resumed_nth").alias("nth")).agg(F.min("ts").alias("cancelled_at"))
-        self.writes = written(_closed(w.join(cancels, ["session_id", "ts", "nth"], "left")), "states")
+    def __init__(self, log: DataFrame, audit: DataFrame, seen: DataFrame, controls: DataFrame, stop_gate: bool = True, piece: int = PIECE):
+        board = written(G.board_history(audit), "board")
+        gated = written(gate(event_rows(log).unionByName(control_rows(controls)), seen, board), "gated")
+        rows = machine_rows(gated, passing(gated))
+        hot = written(gated.groupBy("cwd").agg(F.count("*").alias("n")).filter(F.col("n") > piece).select("cwd"), "hot")
+        if hot.isEmpty():
+            out = run_machine(rows.withColumns({"piece": F.lit(0), "last": F.lit(True)}), None, stop_gate)
+        else:
+            rest = rows.join(hot, "cwd", "left_anti").withColumns({"piece": F.lit(0), "last": F.lit(True)})
+            out = run_machine(rest, None, stop_gate).unionByName(_in_pieces(rows.join(hot, "cwd", "left_semi"), piece, stop_gate))
+        self.rows = written(shown(out), "states")
+        drop(board, gated, hot)
+
+    def drop(self) -> None:
+        drop(self.rows)
+
+    def decisions(self) -> DataFrame:
+        """Every event with what it meets first: no state, a pause, the privacy gate (starts alone), the board gate (not the end), or nothing."""
+        return self.rows.filter("kind = 'event'").select("event_id", "session_id", "cwd", "ts", "hook", "decision")
+
+    def runtime(self) -> DataFrame:
+        """Each workspace's last save or clear of the reason why nothing is tracked, by an event or a stop's timer."""
+        said = self.rows.filter("runtime is not null").groupBy("cwd").agg(F.max_by(F.struct("ts", "kind", "event_id", "runtime"), F.struct("ts", "nth", "event_id")).alias("last"))
+        return said.select("cwd", F.col("last.ts").alias("at_ts"), F.col("last.kind").alias("cause"), "last.event_id", F.col("last.runtime").alias("decision"), G.blocked_text(F.col("last.runtime")).alias("text"))
+
+    @property
+    def resumed(self) -> DataFrame:
+        """Resuming starts with the session that each resumes."""
+        return self.rows.filter("resumes is not null").select("event_id", "session_id", "cwd", "ts", "resumes")
+
+    @property
+    def writes(self) -> DataFrame:
+        """Events and controls that change a session's state file, with the status after them."""
+        return self.rows.filter("writes and kind in ('event', 'control')")
 
     def closings(self) -> DataFrame:
         """session_id, cwd, at_ts, cause (timer or sweep) and the start that swept: once for each time a session closes by itself."""
-        return self.writes.filter("closed_at is not null").select("session_id", "cwd", F.col("closed_at").alias("at_ts"), F.col("closed_by").alias("cause"), F.col("closer").alias("swept_by"))
+        ends = self.rows.filter("kind in ('timer', 'sweep') and sets = 'closed'")
+        return ends.select("session_id", "cwd", F.col("ts").alias("at_ts"), F.col("kind").alias("cause"), F.when(F.col("kind") == "sweep", F.col("event_id")).alias("swept_by"))
 
     def history(self) -> DataFrame:
         """session_id, at_ts, cause (event, control, timer or sweep), event_id, hook, status after it and whether that is the session's last row."""
-        events = self.writes.select("session_id", F.col("ts").alias("at_ts"), F.when(F.col("nth") == 0, "event").otherwise("control").alias("cause"), "event_id", "hook", "status")
-        ends = self.closings().select("session_id", "at_ts", "cause", F.col("swept_by").alias("event_id"), F.lit(None).cast("string").alias("hook"), F.lit("closed").alias("status"))
-        # a timer or sweep comes before a write at the same time
-        order = Window.partitionBy("session_id").orderBy("at_ts", F.col("cause").isin("event", "control").cast("int"), F.col("cause") == "control")
-        return events.unionByName(ends).withColumn("is_current", F.lead("at_ts").over(order).isNull())
+        return history(self.rows)
 
     def current(self) -> DataFrame:
         return self.history().filter("is_current").select("session_id", "status")
+
+
+def shown(out: DataFrame) -> DataFrame:
+    """The machine's output with its times as times."""
+    return out.filter("kind <> 'end'").withColumn("ts", _time("at")).drop("at", "piece", "wrote", "deadline", "sweep_at", "sweep_id")
+
+
+def history(rows: DataFrame) -> DataFrame:
+    rows = rows.filter("writes and (kind in ('event', 'control') or sets = 'closed')")
+    # at the same time a sweep comes before a timer, and both before a write
+    order = Window.partitionBy("session_id").orderBy("ts", "nth", "event_id")
+    event = F.when(F.col("kind").isin("event", "sweep"), F.col("event_id"))
+    return rows.select("session_id", F.col("ts").alias("at_ts"), F.col("kind").alias("cause"), event.alias("event_id"), "hook", "status", F.lead("ts").over(order).isNull().alias("is_current"))

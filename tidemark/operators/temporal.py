@@ -11,15 +11,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets of rows without a time.
+SPREAD = 4096
+
+
 def latest_by(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """The columns of each key's row that is last in order; combines before it shuffles."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("latest")).select(*keys, "latest.*")
 
 
-def _bucket(ts: Column, unit: str) -> Column:
+def bucket(ts: Column, unit: str) -> Column:
     return F.date_trunc(unit, ts.cast("timestamp")).cast("timestamp_ntz")
 
 
+def _untimed(rows: DataFrame, back: bool) -> Column:
+    """One of SPREAD hours before all times (or after them, looking ahead) for a row without a time: there it finds nothing,
+    and such rows don't share a bucket."""
+    hashed = F.xxhash64(*[f.name for f in rows.schema if not f.dataType.simpleString().startswith(("map", "variant"))])
+    first = "timestamp_ntz'0001-01-01 00:00:00'" if back else "timestamp_ntz'9999-01-01 00:00:00'"
+    return F.expr(first) + F.make_dt_interval(hours=F.pmod(hashed, F.lit(SPREAD)).cast("int"))
+
+
 def _order(right_order: str | None) -> Column:
     return (F.col(right_order) if right_order else F.lit(0)).cast("decimal(38,0)")
 
@@ -27,8 +39,8 @@ def _order(right_order: str | None) -> Column:
 def _nearest(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, take: list[str], keys: list[str] | None, unit: str, right_order: str | None, back: bool) -> DataFrame:
     """The last right row at or before each left one (back), or the first at or after it."""
     keys, cols = keys or [], left.columns
-    r = right.select(*keys, _bucket(F.col(right_ts), unit).alias("_b"), F.col(right_ts).alias("_t"), _order(right_order).alias("_o"), F.struct(*take).alias("_r"), F.lit(0).alias("_side"))
-    l = left.withColumns({"_b": _bucket(F.col(left_ts), unit), "_t": F.col(left_ts), "_side": F.lit(1)})  # noqa: E741
+    r = right.select(*keys, bucket(F.col(right_ts), unit).alias("_b"), F.col(right_ts).alias("_t"), _order(right_order).alias("_o"), F.struct(*take).alias("_r"), F.lit(0).alias("_side"))
+    l = left.withColumns({"_b": F.coalesce(bucket(F.col(left_ts), unit), _untimed(left, back)), "_t": F.col(left_ts), "_side": F.lit(1)})  # noqa: E741
     both = l.unionByName(r, allowMissingColumns=True)
     turn = F.asc if back else F.desc
     # at the same time the right row comes before the left one, whichever way
@@ -60,7 +72,7 @@ def next_at_or_after(left: DataFrame, right: DataFrame, left_ts: str, right_ts:
 
 def numbered(df: DataFrame, ts: str, order: str, unit: str = "HOUR") -> DataFrame:
     """df with `rank`, a row's place among all in (ts, order), from 1. Buckets are counted and numbered each by itself."""
-    own = df.withColumn("_b", _bucket(F.col(ts), unit))
+    own = df.withColumn("_b", bucket(F.col(ts), unit))
     before = own.groupBy("_b").agg(F.count("*").alias("_n"))
     before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).select("_b", "_before")  # a row for each bucket
     own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_b").orderBy(ts, order)))
@@ -69,7 +81,7 @@ def numbered(df: DataFrame, ts: str, order: str, unit: str = "HOUR") -> DataFram
 
 def running_count(df: DataFrame, keys: list[str], flag: Column, ts: str, order: str, name: str, unit: str = "DAY") -> DataFrame:
     """df with `name`: how many of its key's rows up to this one have the flag. Each of a key's buckets is sorted by itself."""
-    own = df.withColumns({"_b": _bucket(F.col(ts), unit), "_f": F.coalesce(flag, F.lit(False)).cast("long")})
+    own = df.withColumns({"_b": bucket(F.col(ts), unit), "_f": F.coalesce(flag, F.lit(False)).cast("long")})
     per = own.groupBy(*keys, "_b").agg(F.sum("_f").alias("_n"))
     per = per.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")).drop("_n")
     upto = Window.partitionBy(*keys, "_b").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)

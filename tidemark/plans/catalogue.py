@@ -15,9 +15,8 @@ from tidemark.operators import remote as B
 from tidemark.operators import reports as R
 from tidemark.operators import states as S
 from tidemark.plans.sql import ORACLES  # noqa: F401
-from tidemark.sources import files
+from tidemark.sources import files, store
 from tidemark.sources import hooks as H
-from tidemark.sources.store import written
 
 
 def _log(f):
@@ -36,25 +35,29 @@ def _seen(spark, d):
     return G.visibilities(H.table(spark, d, "customer"))
 
 
-def _from(f):
-    """Over states that follow from a log that is written once."""
+_STATES: dict[tuple, S.States] = {}
 
-    def run(spark, d):
-        log, audit = written(H.hook_log(spark, d), "log"), written(H.board_audit(spark, d, G.MARKER), "audit")
-        return f(S.States(log, audit, _seen(spark, d), G.controls(audit)))
 
-    return run
+def states(spark, d) -> S.States:
+    """The states of a folder's tables, built once in a session for as long as the files stay the same."""
+    own = (spark.sparkContext.applicationId, d)
+    key = (*own, store.stamp(spark, f"{d}/events.parquet"), store.stamp(spark, f"{d}/customer.parquet"))
+    if key not in _STATES:
+        for old in [k for k in _STATES if k[:2] == own or k[0] != own[0]]:
+            gone = _STATES.pop(old)
+            if old[0] == own[0]:
+                gone.drop()
+        audit = H.board_audit(spark, d, G.MARKER)
+        _STATES[key] = S.States(H.hook_log(spark, d), audit, _seen(spark, d), G.controls(audit))
+    return _STATES[key]
 
 
-def _report(spark, d):
-    log, audit, seen = written(H.hook_log(spark, d), "log"), written(H.board_audit(spark, d, G.MARKER), "audit"), _seen(spark, d)
-    return R.status_report(log, audit, seen, S.States(log, audit, seen, G.controls(audit)), I.machines(H.table(spark, d, "customer")))
+def _from(f):
+    return lambda spark, d: f(states(spark, d))
 
 
-def _notices(spark, d):
-    log, audit, seen = written(H.hook_log(spark, d), "log"), written(H.board_audit(spark, d, G.MARKER), "audit"), _seen(spark, d)
-    states = S.States(log, audit, seen, G.controls(audit))
-    return L.notices(states, G.decisions(log, states.board, seen))
+def _report(spark, d):
+    return R.status_report(H.hook_log(spark, d), H.board_audit(spark, d, G.MARKER), states(spark, d), I.machines(H.table(spark, d, "customer")))
 
 
 def _examples(turns):
@@ -62,10 +65,6 @@ def _examples(turns):
     return C.prompts(turns).select("conv_id", "turn", T.title_example(mode, context, F.col("prompt")).alias("example"))
 
 
-def _gated(f):
-    return lambda spark, d: f(H.hook_log(spark, d), G.board_history(H.board_audit(spark, d, G.MARKER)), _seen(spark, d))
-
-
 def _of(name, f):
     return lambda spark, d: f(H.table(spark, d, name))
 
@@ -174,8 +173,8 @@ QUERIES = {
     "board_gate": _both(lambda log, audit: G.board_asof(log, G.board_history(audit)).select("event_id", "board_status", F.coalesce(F.col("board_status") == "INACTIVE", F.lit(False)).alias("gated"))),
     "board_status_now": _audit(G.board_inactive),
     "closings": _from(lambda s: s.closings().select("session_id", "at_ts", "cause", "swept_by")),
-    "gated_status": _gated(lambda log, board, seen: G.decisions(log, board, seen).select("event_id", "hook", "decision")),
-    "runtime_status": _gated(G.runtime_status),
+    "gated_status": _from(lambda s: s.decisions().select("event_id", "hook", "decision")),
+    "runtime_status": _from(lambda s: s.runtime()),
     "audit_cache": _audit(lambda a: A.cache(A.tries(a))),
     "audit_body": _audit(A.bodies),
     "privacy_gate": _of("pages", _privacy),
@@ -211,7 +210,7 @@ QUERIES = {
     "distro_family": _of("customer", _families),
     "uninstall_report": _of("nation", _uninstall),
     "issue_numbers": _from(L.issue_numbers),
-    "notices": _notices,
+    "notices": _from(L.notices),
     "control_updates": _audit(lambda a: A.appended(G.controls(a))),
     "setup_cleanup": _of("customer", lambda c: I.cleanup(I.ledgers(c))),
     "title_examples": _turns(_examples),

@@ -19,65 +19,74 @@ audit AS (
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE k < 10)"""
 _IDLE = "INTERVAL 1800 SECOND"
 # the newest twenty updates as each event finds them, and among them the newest marked one
-_GATES = """ranked AS (SELECT *, row_number() OVER (ORDER BY created_at, update_id) AS place FROM audit),
-board AS (SELECT r.created_at, arg_max(m.status, m.place) AS board_status FROM ranked r LEFT JOIN ranked m ON m.marked AND m.place BETWEEN r.place - 19 AND r.place GROUP BY r.place, r.created_at),
-gated AS (
-  SELECT log.*, board.board_status, c.c_custkey AS seen FROM log ASOF LEFT JOIN board ON log.ts >= board.created_at LEFT JOIN customer c ON c.c_custkey = log.cwd),
-d AS (SELECT *, CASE
-    WHEN hook = 'SessionStart' AND seen % 11 = 0 THEN 'notes_repo_public'
-    WHEN hook = 'SessionStart' AND (seen IS NULL OR seen % 13 = 0) THEN 'notes_repo_check_failed'
-    WHEN hook <> 'SessionStart' AND n = 0 THEN 'no_state'
-    WHEN hook <> 'SessionEnd' AND coalesce(board_status = 'INACTIVE', false) THEN 'project_inactive'
-    ELSE 'ok' END AS decision FROM gated)"""
-_DECIDED = f"WITH {_LOG}, {_GATES}"
-_CONTROL = "CASE WHEN hook = 'pause' THEN true WHEN hook = 'resume' AND went THEN false END"
+_BOARD = """ranked AS (SELECT *, row_number() OVER (ORDER BY created_at, update_id) AS place FROM audit),
+board AS (SELECT r.created_at, arg_max(m.status, m.place) AS board_status FROM ranked r LEFT JOIN ranked m ON m.marked AND m.place BETWEEN r.place - 19 AND r.place GROUP BY r.place, r.created_at)"""
 
 
-def _machine(name: str, cancel: str) -> str:
-    """A session's writes one after the other: each takes the status that the one before left, or closed if that interval's timer or a sweep closed it."""
-    carried = "w.session_id, w.cwd, w.j, w.ts, w.nth, w.event_id, w.hook, w.due, w.next_ts"
-    settle = f"""w.timer AND coalesce(w.due <= w.next_ts, true) AND NOT coalesce({cancel} < w.due, false) AS fires_,
-      CASE WHEN state_ = 'closed' THEN NULL WHEN fires_ AND NOT w.blocked THEN w.due WHEN fires_ THEN CASE WHEN coalesce(w.late_ts <= w.next_ts, true) THEN w.late_ts END
-        WHEN coalesce(w.sweep_ts <= w.next_ts, true) THEN w.sweep_ts END AS closed_,
-      CASE WHEN closed_ IS NULL THEN NULL WHEN fires_ AND NOT w.blocked THEN 'timer' ELSE 'sweep' END AS cause_,
-      CASE WHEN closed_ IS NULL OR cause_ = 'timer' THEN NULL WHEN fires_ THEN w.late_id ELSE w.sweep_id END AS swept_"""
-    joined = "LEFT JOIN cancels x ON x.session_id = w.session_id AND x.j = w.j" if "x." in cancel else ""
-    return f"""{name}(session_id, cwd, j, ts, nth, event_id, hook, due, next_ts, state, fired, closed_at, cause, swept_by, before) AS (
-    SELECT {carried}, w.sets AS state_, {settle}, 'closed' FROM w1 w {joined} WHERE w.j = 1
-    UNION ALL
-    SELECT {carried}, coalesce(w.sets, CASE WHEN m.closed_at IS NOT NULL THEN 'closed' ELSE m.state END) AS state_, {settle}, CASE WHEN m.closed_at IS NOT NULL THEN 'closed' ELSE m.state END
-    FROM {name} m JOIN w1 w ON w.session_id = m.session_id AND w.j = m.j + 1 {joined})"""
+def _session(**changed: str) -> str:
+    """A session's record t with some fields changed: name, status, paused, last write, deadline, sweep and its start, told, issue, depth."""
+    return "{" + ", ".join(f"'{k}': {changed.get(k, 't.' + k)}" for k in ("s", "st", "p", "w", "d", "sw", "si", "nt", "iss", "dep")) + "}"
 
 
-_STATES = f"""WITH RECURSIVE {_LOG}, {_GATES},
-begun AS (SELECT cwd, session_id, ts AS start_ts FROM log WHERE hook = 'SessionStart'),
-passed AS (SELECT session_id, ts AS start_ts, event_id AS start_id FROM d WHERE hook = 'SessionStart' AND decision = 'ok'),
-ctl AS (SELECT b.session_id, a.project AS cwd, a.created_at AS ts, CASE WHEN a.status = 'INACTIVE' THEN 'pause' ELSE 'resume' END AS hook, a.update_id % 5 <> 0 AS went
-  FROM audit a ASOF JOIN begun b ON a.project = b.cwd AND a.created_at >= b.start_ts),
-every AS (
-  SELECT session_id, cwd, ts, 0 AS nth, event_id, hook, true AS went, coalesce(board_status = 'INACTIVE', false) AS inactive, is_resume FROM d WHERE n > 0
-  UNION ALL SELECT session_id, cwd, ts, 1, NULL, hook, went, false, false FROM ctl),
-live AS (SELECT every.* FROM every JOIN passed USING (session_id) WHERE every.ts >= passed.start_ts),
-p AS (SELECT *, coalesce(last_value({_CONTROL} IGNORE NULLS) OVER (o ROWS UNBOUNDED PRECEDING), false) AS paused,
-  coalesce(last_value({_CONTROL} IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS was_paused FROM live WINDOW o AS (PARTITION BY session_id ORDER BY ts, nth)),
-a AS (SELECT *, CASE WHEN hook = 'SessionStart' THEN true WHEN hook = 'SessionEnd' THEN NOT paused WHEN hook IN ('pause', 'resume') THEN false ELSE NOT paused AND NOT inactive END AS acts FROM p),
-w0 AS (SELECT *, CASE WHEN NOT acts THEN NULL WHEN hook = 'SessionStart' THEN 'registered' WHEN hook = 'UserPromptSubmit' THEN 'responding' WHEN hook = 'Stop' THEN 'waiting' WHEN hook = 'SessionEnd' THEN 'closed' END AS sets,
-  acts AND hook = 'Stop' AS timer, row_number() OVER (PARTITION BY session_id ORDER BY ts, nth) AS j, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, nth) AS next_ts, ts + {_IDLE} AS due, ts + {_IDLE} + {_IDLE} AS late
-  FROM a WHERE hook IN ('SessionStart', 'Stop', 'SessionEnd', 'pause') OR (hook = 'UserPromptSubmit' AND NOT paused) OR (hook = 'resume' AND was_paused)),
-w1 AS (SELECT w0.*, coalesce(b.board_status = 'INACTIVE', false) AS blocked, s.start_ts AS sweep_ts, s.start_id AS sweep_id, l.start_ts AS late_ts, l.start_id AS late_id
-  FROM w0 ASOF LEFT JOIN board b ON w0.due >= b.created_at ASOF LEFT JOIN passed s ON w0.due <= s.start_ts ASOF LEFT JOIN passed l ON w0.late <= l.start_ts),
-{_machine("m0", "NULL::TIMESTAMP")},
-res AS (SELECT q.event_id, q.session_id, q.ts, arg_max({{'s': c.session_id, 'j': c.j}}, (c.ts, c.session_id, c.j)) AS hit
-  FROM (SELECT * FROM w1 WHERE hook = 'SessionStart' AND is_resume) q JOIN m0 c ON c.cwd = q.cwd AND c.ts < q.ts AND q.ts < c.due AND (c.next_ts IS NULL OR q.ts < c.next_ts) AND c.state <> 'closed' GROUP BY 1, 2, 3),
-cancels AS (SELECT hit.s AS session_id, hit.j AS j, min(ts) AS at_ts FROM res GROUP BY 1, 2),
-{_machine("m", "x.at_ts")},
-closings AS (SELECT session_id, cwd, closed_at AS at_ts, cause, swept_by FROM m WHERE closed_at IS NOT NULL),
-h AS (SELECT session_id, ts AS at_ts, CASE WHEN nth = 0 THEN 'event' ELSE 'control' END AS cause, event_id, hook, state AS status, nth + 1 AS step FROM m
-  UNION ALL SELECT session_id, at_ts, cause, swept_by, NULL, 'closed', 0 FROM closings),
-history AS (SELECT *, lead(at_ts) OVER (PARTITION BY session_id ORDER BY at_ts, step) IS NULL AS is_current FROM h),
-told AS (SELECT session_id, min(ts) AS prompt_ts, arg_min(event_id, ts) AS event_id FROM a WHERE hook = 'UserPromptSubmit' AND acts GROUP BY 1),
-chain AS (SELECT session_id, session_id AS issue_session, 0::BIGINT AS depth, false AS notified FROM passed WHERE session_id NOT IN (SELECT session_id FROM res)
-  UNION ALL SELECT r.session_id, c.issue_session, c.depth + 1, c.notified OR coalesce(t.prompt_ts < r.ts, false) FROM chain c JOIN res r ON r.hit.s = c.session_id LEFT JOIN told t ON t.session_id = c.session_id)"""
+_STALE = "(t.st <> 'closed' AND t.d IS NULL AND coalesce(t.sw <= {at}, false))"
+# every row of a workspace changes the list of its sessions, as a hook reads and writes their files
+_STATES = f"""WITH RECURSIVE {_LOG}, {_BOARD},
+probe AS (
+  SELECT cwd, ts, 0 AS nth, event_id, hook, session_id, is_resume, true AS went FROM log
+  UNION ALL SELECT cwd, ts + {_IDLE}, -1, event_id, 'deadline', session_id, false, true FROM log WHERE hook = 'Stop'
+  UNION ALL SELECT project, created_at, 1, update_id, CASE WHEN status = 'INACTIVE' THEN 'pause' ELSE 'resume' END, NULL, false, update_id % 5 <> 0 FROM audit),
+gated AS (SELECT probe.*, coalesce(board.board_status = 'INACTIVE', false) AS inactive,
+    CASE WHEN c.c_custkey % 11 = 0 THEN 'notes_repo_public' WHEN c.c_custkey IS NULL OR c.c_custkey % 13 = 0 THEN 'notes_repo_check_failed' ELSE 'ok' END AS reason
+  FROM probe ASOF LEFT JOIN board ON probe.ts >= board.created_at LEFT JOIN customer c ON c.c_custkey = probe.cwd),
+passed AS (SELECT session_id, ts AS start_ts, event_id AS start_id FROM gated WHERE hook = 'SessionStart' AND reason = 'ok' AND NOT inactive),
+x AS (SELECT g.*, passed.start_ts AS next_ts, passed.start_id AS next_id, row_number() OVER (PARTITION BY g.cwd ORDER BY g.ts, g.nth, g.event_id) AS j
+  FROM (SELECT *, ts + {_IDLE} AS due FROM gated) g ASOF LEFT JOIN passed ON g.due <= passed.start_ts),
+m AS (
+  SELECT cwd, 0::BIGINT AS j, NULL::TIMESTAMP AS ts, NULL::INTEGER AS nth, NULL::BIGINT AS event_id, NULL::VARCHAR AS hook, NULL::VARCHAR AS session_id, NULL::VARCHAR AS decision, NULL::VARCHAR AS runtime, NULL::VARCHAR AS resumes, NULL::VARCHAR AS sets,
+    false AS acts, false AS writes, false AS first, [{{'s': '', 'st': '', 'p': false, 'w': NULL::TIMESTAMP, 'd': NULL::TIMESTAMP, 'sw': NULL::TIMESTAMP, 'si': NULL::BIGINT, 'nt': false, 'iss': '', 'dep': 0::BIGINT}}][1:0] AS sessions,
+    [{{'s': '', 'at': NULL::TIMESTAMP, 'si': NULL::BIGINT}}][1:0] AS swept FROM (SELECT DISTINCT cwd FROM x)
+  UNION ALL
+  SELECT cwd, j, ts, nth, event_id, hook, target, decision, runtime, resumes, sets, acts, writes, first,
+    CASE WHEN begins THEN list_append(list_transform(now, lambda t: CASE WHEN t.s = resumes THEN {_session(d="NULL::TIMESTAMP")} ELSE t END),
+        {{'s': session_id, 'st': 'registered', 'p': coalesce(old.p, false), 'w': ts, 'd': NULL::TIMESTAMP, 'sw': next_ts, 'si': next_id, 'nt': coalesce(old.nt, false), 'iss': coalesce(old.iss, session_id), 'dep': coalesce(old.dep + 1, 0)}})
+      WHEN hook = 'SessionStart' THEN now
+      ELSE list_transform(now, lambda t: CASE WHEN t.s <> coalesce(target, '') THEN t
+        WHEN writes THEN {_session(st="coalesce(sets, t.st)", p="CASE WHEN hook = 'pause' THEN true WHEN hook = 'resume' AND went THEN false ELSE t.p END", w="ts", d=f"CASE WHEN sets = 'waiting' THEN ts + {_IDLE} END", sw="next_ts", si="next_id", nt="t.nt OR first")}
+        ELSE t END) END,
+    swept
+  FROM (
+    SELECT *, own IS NOT NULL AND (CASE hook WHEN 'deadline' THEN own.d = ts WHEN 'SessionStart' THEN false WHEN 'PostToolUse' THEN false WHEN 'UserPromptSubmit' THEN NOT own.p ELSE true END) IS TRUE OR begins AS writes,
+      CASE hook WHEN 'SessionStart' THEN begins WHEN 'SessionEnd' THEN decision = 'ok' AND own.st <> 'closed' ELSE coalesce(decision = 'ok', false) END AS acts,
+      CASE WHEN begins THEN 'registered' WHEN hook = 'deadline' AND own.d = ts AND NOT inactive THEN 'closed' WHEN hook = 'SessionEnd' AND decision = 'ok' AND own.st <> 'closed' THEN 'closed'
+        WHEN hook = 'UserPromptSubmit' AND decision = 'ok' THEN 'responding' WHEN hook = 'Stop' AND decision = 'ok' THEN 'waiting' END AS sets,
+      coalesce(hook = 'UserPromptSubmit' AND decision = 'ok' AND NOT own.nt, false) AS first,
+      CASE WHEN hook = 'deadline' AND own.d = ts THEN CASE WHEN inactive THEN 'project_inactive' ELSE 'ok' END WHEN hook = 'SessionStart' AND decision <> 'ok' THEN decision WHEN begins THEN 'ok'
+        WHEN hook IN ('UserPromptSubmit', 'Stop', 'PostToolUse') AND decision IN ('ok', 'project_inactive') THEN decision END AS runtime,
+      list_filter(now, lambda t: t.s = resumes)[1] AS old
+    FROM (
+      SELECT *, hook = 'SessionStart' AND reason = 'ok' AND NOT inactive AND own IS NULL AS begins, CASE WHEN hook = 'SessionStart' AND reason = 'ok' AND NOT inactive AND own IS NULL AND is_resume THEN newest END AS resumes,
+        CASE WHEN hook IN ('deadline', 'pause', 'resume') THEN NULL WHEN hook = 'SessionStart' THEN CASE WHEN reason <> 'ok' THEN reason WHEN inactive THEN 'project_inactive' ELSE 'ok' END
+          WHEN own IS NULL THEN 'no_state' WHEN own.p THEN 'paused' WHEN inactive AND hook <> 'SessionEnd' THEN 'project_inactive' ELSE 'ok' END AS decision
+      FROM (
+        SELECT *, list_filter(now, lambda t: t.s = target)[1] AS own FROM (
+          SELECT *, CASE WHEN hook IN ('pause', 'resume') THEN newest ELSE session_id END AS target FROM (
+            SELECT *, list_sort(list_transform(list_filter(now, lambda t: t.st <> 'closed' AND (hook <> 'resume' OR t.p)), lambda t: {{'w': t.w, 's': t.s}}))[-1].s AS newest FROM (
+              SELECT x.*, list_transform(list_filter(m.sessions, lambda t: {_STALE.format(at="x.ts")}), lambda t: {{'s': t.s, 'at': t.sw, 'si': t.si}}) AS swept,
+                list_transform(m.sessions, lambda t: CASE WHEN {_STALE.format(at="x.ts")} THEN {_session(st="'closed'")} ELSE t END) AS now
+              FROM m JOIN x ON x.cwd = m.cwd AND x.j = m.j + 1))))))),
+sweeps AS (
+  SELECT cwd, unnest(swept) AS u FROM m
+  UNION ALL SELECT cwd, unnest(list_transform(list_filter(sessions, lambda t: {_STALE.format(at="'9999-01-01'::TIMESTAMP")}), lambda t: {{'s': t.s, 'at': t.sw, 'si': t.si}})) FROM m WHERE (cwd, j) IN (SELECT cwd, max(j) FROM x GROUP BY 1)),
+closings AS (SELECT u.s AS session_id, cwd, u."at" AS at_ts, 'sweep' AS cause, u.si AS swept_by FROM sweeps UNION ALL SELECT session_id, cwd, ts, 'timer', NULL FROM m WHERE hook = 'deadline' AND sets = 'closed'),
+own AS (SELECT *, list_filter(sessions, lambda t: t.s = session_id)[1] AS me FROM m WHERE hook IS NOT NULL AND hook <> 'deadline'),
+h AS (SELECT session_id, ts AS at_ts, CASE WHEN nth = 0 THEN 'event' ELSE 'control' END AS cause, CASE WHEN nth = 0 THEN event_id END AS event_id, hook, me.st AS status, nth FROM own WHERE writes
+  UNION ALL SELECT session_id, at_ts, cause, swept_by, NULL, 'closed', CASE cause WHEN 'sweep' THEN -2 ELSE -1 END FROM closings),
+history AS (SELECT *, lead(at_ts) OVER (PARTITION BY session_id ORDER BY at_ts, nth, event_id) IS NULL AS is_current FROM h),
+d AS (SELECT event_id, cwd, session_id, ts, hook, decision FROM m WHERE decision IS NOT NULL),
+res AS (SELECT event_id, session_id, cwd, ts, resumes FROM m WHERE resumes IS NOT NULL),
+chain AS (SELECT session_id, me.iss AS issue_session, me.dep AS depth, me.nt AS notified FROM own WHERE hook = 'SessionStart' AND acts),
+said AS (SELECT cwd, arg_max({{'at': ts, 'cause': CASE nth WHEN 0 THEN 'event' ELSE 'timer' END, 'id': event_id, 'why': runtime}}, (ts, nth, event_id)) AS l FROM m WHERE runtime IS NOT NULL GROUP BY 1),
+run AS (SELECT cwd, l."at" AS at_ts, l.cause AS cause, l.id AS event_id, l.why AS decision FROM said)"""
 _SWEEP = f"""WITH {_LOG},
 x AS (SELECT event_id, session_id, hook, ts + {_IDLE} AS due, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS next_ts FROM w),
 s AS (SELECT ts AS start_ts, event_id AS start_id FROM log WHERE hook = 'SessionStart'),
@@ -144,18 +153,19 @@ ORACLES = {
     "orphan_events": f"WITH {_LOG} SELECT event_id, cwd, hook FROM log WHERE n = 0",
     "board_snapshot": _STATES + " SELECT status, count(*) AS sessions FROM history WHERE is_current GROUP BY 1",
     "status_history": _STATES + " SELECT session_id, at_ts, cause, event_id, hook, status, is_current FROM history",
+    "stream_lifecycle": _STATES + " SELECT session_id, at_ts, cause, event_id, hook, status, is_current FROM history",
     "idle_close": f"""WITH {_LOG}, x AS (SELECT *, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS next_ts FROM w)
       SELECT event_id, session_id, ts AS stop_ts, ts + {_IDLE} AS deadline, next_ts IS NULL OR next_ts >= ts + {_IDLE} AS closes FROM x WHERE hook = 'Stop'""",
     "duplicate_start": f"""WITH {_LOG}, x AS (SELECT event_id, concat(cwd, '-', k % 10) AS start_key, ts FROM log WHERE hook = 'SessionStart'),
       y AS (SELECT *, row_number() OVER (PARTITION BY start_key ORDER BY ts, event_id) AS nth FROM x) SELECT event_id, start_key, nth, nth > 1 AS skipped FROM y""",
-    "first_prompt_notice": _STATES + " SELECT told.session_id, told.event_id, concat('Session ', told.session_id, ' is tracked') AS notice FROM told JOIN chain ON chain.session_id = told.session_id WHERE NOT chain.notified",
+    "first_prompt_notice": _STATES + " SELECT session_id, event_id, concat('Session ', session_id, ' is tracked') AS notice FROM m WHERE first",
     "stale_sweep": _SWEEP + " SELECT * FROM sweep",
     "sweep_count": _SWEEP + " SELECT swept_by, count(*) AS sessions FROM sweep GROUP BY 1",
-    "resume_match": _STATES + " SELECT event_id, session_id, hit.s AS resumes FROM res",
+    "resume_match": _STATES + " SELECT event_id, session_id, resumes FROM res",
     "issue_chain": _STATES + " SELECT session_id, issue_session, depth, count(*) OVER (PARTITION BY issue_session) > 1 AS shared_item FROM chain",
     "latest_session_by_cwd": f"WITH {_LOG} SELECT cwd, arg_max(session_id, (ts, session_id, event_id)) AS session_id, max(ts) AS last_write_ts FROM w GROUP BY 1",
     "active_dates": f"""WITH {_LOG} SELECT session_id, min(CASE WHEN hook = 'SessionStart' THEN CAST(ts AS DATE) END) AS created_on, max(CASE WHEN hook IN ('UserPromptSubmit', 'Stop') THEN CAST(ts AS DATE) END) AS last_active FROM log WHERE n > 0 GROUP BY 1""",
-    "effects": _STATES + """, e AS (SELECT a.*, r.hit.s AS resumes, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM a LEFT JOIN res r ON r.session_id = a.session_id WHERE a.acts)
+    "effects": _STATES + """, e AS (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM m WHERE acts)
       SELECT session_id, ts AS at_ts, event_id, 'issue' AS kind, concat('[', stamp, '] … — p', cwd) AS value FROM e WHERE hook = 'SessionStart' AND resumes IS NULL
       UNION ALL SELECT session_id, ts, event_id, 'body', concat('**session:** `', session_id, '`  ', chr(10), '**time:** `', stamp, '`  ', chr(10), '**folder:** `/home/u/p', cwd, '`  ') FROM e WHERE hook = 'SessionStart' AND resumes IS NULL
       UNION ALL SELECT session_id, ts, event_id, 'label', concat('area', cwd % 7) FROM e WHERE hook = 'SessionStart' AND resumes IS NULL AND cwd % 2 = 0
@@ -165,14 +175,14 @@ ORACLES = {
       UNION ALL SELECT session_id, ts, event_id, 'active_date', CAST(CAST(ts AS DATE) AS VARCHAR) FROM e WHERE hook IN ('UserPromptSubmit', 'Stop')
       UNION ALL SELECT session_id, ts, event_id, 'title', concat('prompt ', event_id) FROM e WHERE hook = 'UserPromptSubmit'
       UNION ALL SELECT session_id, ts, event_id, 'comment', hook FROM e WHERE hook IN ('UserPromptSubmit', 'Stop', 'PostToolUse')
-      UNION ALL SELECT session_id, ts, event_id, 'close', 'end' FROM m WHERE hook = 'SessionEnd' AND state = 'closed' AND before <> 'closed'
+      UNION ALL SELECT session_id, ts, event_id, 'close', 'end' FROM e WHERE hook = 'SessionEnd'
       UNION ALL SELECT session_id, at_ts, swept_by, 'close', cause FROM closings""",
     "last_state": f"WITH {_LOG} SELECT session_id, ts, event_id, cwd, hook, status FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS r FROM w) WHERE r = 1",
     "closings": _STATES + " SELECT session_id, at_ts, cause, swept_by FROM closings",
-    "board_gate": _DECIDED + " SELECT event_id, board_status, coalesce(board_status = 'INACTIVE', false) AS gated FROM d",
+    "board_gate": f"WITH {_LOG}, {_BOARD} SELECT log.event_id, board.board_status, coalesce(board.board_status = 'INACTIVE', false) AS gated FROM log ASOF LEFT JOIN board ON log.ts >= board.created_at",
     "board_status_now": f"WITH {_LOG} SELECT coalesce(arg_max(status, (created_at, update_id)) = 'INACTIVE', false) AS inactive FROM (SELECT * FROM audit ORDER BY created_at DESC, update_id DESC LIMIT 20) WHERE marked",
-    "gated_status": _DECIDED + " SELECT event_id, hook, decision FROM d",
-    "runtime_status": _DECIDED + f", l AS (SELECT cwd, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(decision, (ts, event_id)) AS decision FROM d WHERE decision <> 'no_state' GROUP BY 1) SELECT *, {_TEXTS} AS text FROM l",
+    "gated_status": _STATES + " SELECT event_id, hook, decision FROM d",
+    "runtime_status": _STATES + f" SELECT *, {_TEXTS} AS text FROM run",
     "audit_cache": f"WITH {_LOG} {_CACHE}",
     "audit_body": f"""WITH {_LOG} SELECT update_id, concat('{_M}', chr(10), '- Status: ', status, chr(10), '- Project: ', project, chr(10), '- Update: ', update_id, chr(10), '- Session: ',
       CASE WHEN update_id % 2 = 0 THEN concat('s', update_id) ELSE '_Unavailable_' END, chr(10), '- Workspace: _Unavailable_', chr(10), '- Actor: cli', chr(10), chr(10), lower(status)) AS text FROM audit""",
@@ -210,9 +220,8 @@ ORACLES = {
     "meta_complete": """WITH x AS (SELECT c_custkey, CAST(c_custkey % 5 = 0 AS BIGINT) + CAST(c_custkey % 6 = 0 AS BIGINT) + CAST(c_custkey % 7 = 0 AS BIGINT) + CAST(c_custkey % 8 = 0 AS BIGINT) + CAST(c_custkey % 9 = 0 AS BIGINT) + CAST(c_custkey % 10 = 0 AS BIGINT) AS missing FROM customer)
       SELECT c_custkey, CASE WHEN missing = 0 THEN 'reuse' ELSE 'rebuild' END AS plan, missing FROM x""",
     "status_report": _STATES.replace("WITH RECURSIVE ", _MACHINES.replace("WITH m AS", "WITH RECURSIVE box AS") + ", ", 1) + f""", c AS ({_CACHE}), s AS (SELECT project, arg_max({{'st': last_status, 'at': last_synced_at, 'err': last_error}}, update_id) AS s FROM c GROUP BY 1),
-      run AS (SELECT cwd, arg_max(decision, (ts, event_id)) AS decision FROM d WHERE decision <> 'no_state' GROUP BY 1),
-      o AS (SELECT m.cwd, m.session_id, any_value(h.status) AS status, max(m.ts) AS last_ts, coalesce(arg_max(m.hook = 'pause', (m.ts, m.nth)) FILTER (WHERE m.hook IN ('pause', 'resume')), false) AS paused
-        FROM m JOIN history h ON h.session_id = m.session_id AND h.is_current AND h.status <> 'closed' GROUP BY 1, 2),
+      ends AS (SELECT cwd, unnest(sessions) AS t FROM m WHERE (cwd, j) IN (SELECT cwd, max(j) FROM x GROUP BY 1)),
+      o AS (SELECT cwd, t.s AS session_id, t.st AS status, t.w AS last_ts, t.p AS paused FROM ends WHERE t.st <> 'closed' AND t.sw IS NULL),
       act AS (SELECT cwd, arg_max({{'id': session_id, 'st': status, 'paused': paused}}, (last_ts, session_id)) AS o FROM o GROUP BY 1),
       r AS (SELECT w.cwd, act.o.id AS session_id, act.o.st AS status, coalesce(act.o.paused, false) AS paused, s.s.st AS last_status, s.s.err AS err, coalesce(strftime(s.s."at", '%Y-%m-%d %H:%M:%S'), s.s.err) AS synced, run.decision, box.*
         FROM (SELECT DISTINCT cwd FROM log) w LEFT JOIN act ON act.cwd = w.cwd LEFT JOIN s ON s.project = w.cwd LEFT JOIN run ON run.cwd = w.cwd LEFT JOIN box ON box.c_custkey = w.cwd)
@@ -229,10 +238,10 @@ ORACLES = {
       UNION ALL SELECT cwd, 10, 'sync', CASE WHEN synced IS NULL THEN 'never' WHEN err IS NULL THEN concat(last_status, ' at ', synced) ELSE concat('failed (', err, ')') END FROM r
       UNION ALL SELECT cwd, 11, 'blocked', CASE WHEN coalesce(decision <> 'ok', false) THEN 'yes' ELSE 'no' END FROM r
       UNION ALL SELECT cwd, 12, 'note', CASE WHEN decision IS NULL THEN 'no event was gated' ELSE {_TEXTS} END FROM r""",
-    "issue_numbers": _STATES + " SELECT session_id, start_id AS event_id, row_number() OVER (ORDER BY start_ts, start_id) AS number FROM passed WHERE session_id NOT IN (SELECT session_id FROM res)",
-    "notices": _STATES + f""", num AS (SELECT session_id, row_number() OVER (ORDER BY start_ts, start_id) AS number FROM passed WHERE session_id NOT IN (SELECT session_id FROM res))
-      SELECT passed.start_id AS event_id, passed.session_id, concat('This session is tracked at https://github.com/team/notes/issues/', num.number, CASE WHEN chain.depth > 0 THEN ' (resumed)' ELSE '' END) AS notice
-      FROM passed JOIN chain ON chain.session_id = passed.session_id JOIN num ON num.session_id = chain.issue_session
+    "issue_numbers": _STATES + " SELECT session_id, event_id, row_number() OVER (ORDER BY ts, event_id) AS number FROM m WHERE hook = 'SessionStart' AND acts AND resumes IS NULL",
+    "notices": _STATES + f""", num AS (SELECT session_id, row_number() OVER (ORDER BY ts, event_id) AS number FROM m WHERE hook = 'SessionStart' AND acts AND resumes IS NULL)
+      SELECT m.event_id, m.session_id, concat('This session is tracked at https://github.com/team/notes/issues/', num.number, CASE WHEN chain.depth > 0 THEN ' (resumed)' ELSE '' END) AS notice
+      FROM m JOIN chain ON chain.session_id = m.session_id JOIN num ON num.session_id = chain.issue_session WHERE m.hook = 'SessionStart' AND m.acts
       UNION ALL SELECT event_id, session_id, {_TEXTS} FROM d WHERE hook = 'SessionStart' AND decision <> 'ok'""",
     "control_updates": f"""WITH {_LOG} SELECT project AS cwd, created_at, status, concat('{_M}', chr(10), '- Status: ', status, chr(10), '- Workspace: ', project, chr(10), '- Time: ', strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g'), 'Z', chr(10), '- Actor: cli', chr(10), chr(10),
       CASE WHEN status = 'INACTIVE' THEN 'tracking is paused' ELSE 'tracking goes on' END) AS body FROM audit WHERE update_id % 5 <> 0""",

@@ -40,14 +40,13 @@ def env_file(spark: SparkSession, paths: list[str], last: bool = True, environme
     return found
 
 
-def is_resume(spark: SparkSession, path: str, marker: str = "file-history-snapshot", head: int = 1 << 16) -> DataFrame:
+def is_resume(spark: SparkSession, path: str, marker: str = "file-history-snapshot") -> DataFrame:
     """For each transcript whether its first line is JSON of the marker's type; unreadable lines count as not.
 
-    Lines come with the place in the file that they begin at, so a file may be split. A first line is short; one of more
-    than `head` characters counts as not readable.
+    Lines come with the place in the file that they begin at, so a file may be split. A first line may have any length.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
-    first = lines.filter("block = 0").groupBy("file_path").agg(F.min_by(F.substring("value", 1, head), "nth").alias("value"))
+    first = lines.filter("block = 0").groupBy("file_path").agg(F.min_by("value", "nth").alias("value"))
     return first.select("file_path", F.coalesce(F.get_json_object("value", "$.type") == marker, F.lit(False)).alias("is_resume"))
 
 

@@ -44,14 +44,17 @@ def route(payloads: DataFrame) -> DataFrame:
     return payloads.filter(hook.isin("SessionStart", "UserPromptSubmit", "Stop", "SessionEnd") | ((hook == "PostToolUse") & (F.col("tool_name") == QUESTION_TOOL)))
 
 
-def hook_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hook_events(events: DataFrame) -> DataFrame:
     """The events table as hook events: a user is a workspace, each signup begins its next session."""
-    events = table(spark, sf_dir, "events")
     name = F.create_map(*[F.lit(x) for kv in HOOKS.items() for x in kv])[F.col("event_type")]
-    events = running_count(events, ["user_id"], F.col("event_type") == "signup", "ts", "event_id", "n")
     k = F.get_json_object("props", "$.k").cast("int")
-    log = events.select("event_id", "ts", F.col("user_id").alias("cwd"), name.alias("hook"), "n", k.alias("k"))
-    return log.withColumns({"session_id": F.concat_ws("-", F.col("cwd").cast("string"), F.col("n").cast("string")), "is_resume": (F.col("hook") == "SessionStart") & (F.col("k") % 2 == 0)})
+    return events.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("user_id").alias("cwd"), name.alias("hook"), k.alias("k"), ((name == "SessionStart") & (k % 2 == 0)).alias("is_resume"))
+
+
+def hook_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hook events with their workspace's sessions so far (n) and the session that they belong to."""
+    log = running_count(hook_events(table(spark, sf_dir, "events")), ["cwd"], F.col("hook") == "SessionStart", "ts", "event_id", "n")
+    return log.withColumn("session_id", F.concat_ws("-", F.col("cwd").cast("string"), F.col("n").cast("string")))
 
 
 def tracked(log: DataFrame) -> DataFrame:
@@ -59,12 +62,16 @@ def tracked(log: DataFrame) -> DataFrame:
     return log.filter("n > 0")
 
 
-def board_audit(spark: SparkSession, sf_dir: str, marker: str) -> DataFrame:
-    """Status updates of the board, newest last: a tenth of the events, a third of them without the marker."""
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).filter("k < 10")
+def audit_rows(events: DataFrame, marker: str) -> DataFrame:
+    """Status updates of the board: a tenth of the events, a third of them without the marker."""
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).filter("k < 10")
     status = F.when(F.col("k") < 5, "INACTIVE").otherwise("ON_TRACK")
     body = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit(marker + "\n"), F.col("event_type"))).otherwise(F.col("event_type"))
-    return e.select(F.col("event_id").alias("update_id"), F.col("ts").alias("created_at"), F.col("user_id").alias("project"), status.alias("status"), body.alias("body"))
+    return e.select(F.col("event_id").alias("update_id"), F.col("ts").cast("timestamp_ntz").alias("created_at"), F.col("user_id").alias("project"), status.alias("status"), body.alias("body"))
+
+
+def board_audit(spark: SparkSession, sf_dir: str, marker: str) -> DataFrame:
+    return audit_rows(table(spark, sf_dir, "events"), marker)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
