@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_core import at
-from tidemark.operators import gates, states
+from tidemark.operators import gates, lifecycle, states
 from tidemark.plans import catalogue
 from tidemark.sources import hooks
 from tidemark.sources.store import names
@@ -61,10 +61,11 @@ def test_early_late_and_repeated_rows(spark, tmp_path):
     first = shown(own.rows())
     own.batch(rows_of(spark, [(2000, 1, PROMPT, 1), (10, 2, STOP, 1), (None, 2, STOP, 1)]), 2)  # 10 s is settled by now
     assert ("1-1", "event", at(5), PROMPT, "ok", "responding") in first and [r["hook"] for r in own.late().collect()] == [STOP, STOP]
-    then = shown(own.rows())
+    then, sent = shown(own.rows()), sorted(map(str, lifecycle.effects(own.outcome()).collect()))
     assert ("1-1", "timer", at(1830), "", "", "closed") in then
     own.batch(rows_of(spark, [(2000, 1, PROMPT, 1), (10, 2, STOP, 1), (None, 2, STOP, 1)]), 2)  # the same batch again
     assert shown(own.rows()) == then and own.finished() == [0, 1, 2]
+    assert sorted(map(str, lifecycle.effects(own.outcome()).collect())) == sent and len(sent) == len(set(sent))
 
 
 def test_gates_controls_and_sweeps_act_between_batches(spark, tmp_path):

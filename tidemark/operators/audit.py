@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import audit_body, iso_utc
 from tidemark.operators.gates import MARKER
+from tidemark.operators.temporal import running_last
 
 
 def cache(audit: DataFrame) -> DataFrame:
@@ -14,10 +15,9 @@ def cache(audit: DataFrame) -> DataFrame:
 
     audit: project, update_id, created_at, status, ok.
     """
-    so_far = Window.partitionBy("project").orderBy("created_at", "update_id").rowsBetween(Window.unboundedPreceding, 0)
-    good = lambda c: F.last(F.when(F.col("ok"), F.col(c)), ignorenulls=True).over(so_far)
-    return audit.select(
-        "update_id", "project", F.col("status").alias("last_status"), good("created_at").alias("last_synced_at"), good("update_id").alias("status_update_id"),
+    good = F.when(F.col("ok"), F.struct("created_at", "update_id"))
+    return running_last(audit, ["project"], good, "created_at", "update_id", "good").select(
+        "update_id", "project", F.col("status").alias("last_status"), F.col("good.created_at").alias("last_synced_at"), F.col("good.update_id").alias("status_update_id"),
         F.when(~F.col("ok"), F.concat(F.lit("update "), F.col("update_id").cast("string"), F.lit(" failed"))).alias("last_error"),
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions.urls import issue_url
 from tidemark.operators.gates import blocked_text
-from tidemark.operators.states import IDLE, States
+from tidemark.operators.states import IDLE, Outcome
 from tidemark.operators.temporal import latest_by, next_at_or_after, numbered
 from tidemark.sources.hooks import STATUS, tracked
 
@@ -26,7 +26,7 @@ def writes(log: DataFrame) -> DataFrame:
     return tracked(log).filter("hook <> 'PostToolUse'")
 
 
-def board_snapshot(states: States) -> DataFrame:
+def board_snapshot(states: Outcome) -> DataFrame:
     return states.current().groupBy("status").agg(F.count("*").alias("sessions"))
 
 
@@ -45,7 +45,7 @@ def duplicate_start(log: DataFrame) -> DataFrame:
     return starts.withColumn("nth", nth.cast("long")).select("event_id", "start_key", "nth", (F.col("nth") > 1).alias("skipped"))
 
 
-def first_prompt_notice(states: States) -> DataFrame:
+def first_prompt_notice(states: Outcome) -> DataFrame:
     """The first prompt of each session that passed the gates, unless a session that it goes on had one before."""
     first = states.rows.filter("first_prompt")
     return first.select("session_id", "event_id", F.concat(F.lit("Session "), F.col("session_id"), F.lit(" is tracked")).alias("notice"))
@@ -64,13 +64,13 @@ def sweep_count(log: DataFrame) -> DataFrame:
     return stale_sweep(log).groupBy("swept_by").agg(F.count("*").alias("sessions"))
 
 
-def inherited(states: States) -> DataFrame:
+def inherited(states: Outcome) -> DataFrame:
     """For every session with a state: issue_session, from which its issue comes down by resumptions, their number
     (depth), and notified, whether a session before it had its first prompt when it was resumed."""
     return states.rows.filter("acts and hook = 'SessionStart'").select("session_id", "issue_session", "depth", "notified")
 
 
-def issue_chain(states: States) -> DataFrame:
+def issue_chain(states: Outcome) -> DataFrame:
     """The issue of every session: that of the session it resumes, else its own; how many resumptions led there, and
     whether others share it."""
     chain = inherited(states)
@@ -94,7 +94,7 @@ def last_state(states: DataFrame, key: str = "session_id", order: tuple[str, ...
     return latest_by(states, [key], list(order), [c for c in states.columns if c != key])
 
 
-def effects(states: States) -> DataFrame:
+def effects(states: Outcome) -> DataFrame:
     """What the tracker would send out, a row each: session, time, event (none for a timer), kind and value.
 
     A new session opens an issue, with title, body and label; one that resumes another takes over its item. A session
@@ -121,13 +121,13 @@ def effects(states: States) -> DataFrame:
     return out.unionByName(own)
 
 
-def issue_numbers(states: States) -> DataFrame:
+def issue_numbers(states: Outcome) -> DataFrame:
     """The number of each new session's issue, in order of their starts over all workspaces."""
     new = states.rows.filter("acts and hook = 'SessionStart' and resumes is null").select("session_id", "ts", "event_id")
     return numbered(new, "ts", "event_id").select("session_id", "event_id", F.col("rank").alias("number"))
 
 
-def notices(states: States) -> DataFrame:
+def notices(states: Outcome) -> DataFrame:
     """What a user is told: where a new or a resumed session is tracked, or why a start isn't."""
     chain = inherited(states).join(issue_numbers(states).select(F.col("session_id").alias("issue_session"), "number"), "issue_session")
     url = issue_url(F.lit("team/notes"), F.col("number"))

@@ -16,7 +16,7 @@ def _scope(invalid, exists, installed):
     return F.when(invalid & exists, "invalid settings").when(installed & exists, "installed").when(exists, "present but hooks missing").otherwise("not present")
 
 
-def status_report(log: DataFrame, audit: DataFrame, states: S.States, machines: DataFrame) -> DataFrame:
+def status_report(log: DataFrame, audit: DataFrame, states: S.Outcome, machines: DataFrame) -> DataFrame:
     """Lines of label and value, in order, for each workspace: its installation (machines; c_custkey is the workspace), its
     open session that was written last, what the board was told last, and why tracking is blocked, if it is."""
     last = F.max_by(F.struct("status", "paused"), F.struct("ts", "nth"))

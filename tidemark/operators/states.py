@@ -161,29 +161,12 @@ def _in_pieces(rows: DataFrame, piece: int, stop_gate: bool) -> DataFrame:
     raise RuntimeError(f"states still change after {most + 1} rounds of {most + 1} pieces")
 
 
-class States:
-    """All that follows from a log, the board's updates, the visibility of repositories and pause controls.
-
-    log: event_id, ts, cwd, hook, session_id, is_resume; audit: created_at, update_id, status, body; seen: cwd, visibility;
-    controls: cwd, action (pause or resume), ts, ok. One table is written: every event, every control that names a session,
-    every timer that fires and every sweep, each with what it decides and changes and the state that it leaves.
-    """
-
-    def __init__(self, log: DataFrame, audit: DataFrame, seen: DataFrame, controls: DataFrame, stop_gate: bool = True, piece: int = PIECE):
-        board = written(G.board_history(audit), "board")
-        gated = written(gate(event_rows(log).unionByName(control_rows(controls)), seen, board), "gated")
-        rows = machine_rows(gated, passing(gated))
-        hot = written(gated.groupBy("cwd").agg(F.count("*").alias("n")).filter(F.col("n") > piece).select("cwd"), "hot")
-        if hot.isEmpty():
-            out = run_machine(rows.withColumns({"piece": F.lit(0), "last": F.lit(True)}), None, stop_gate)
-        else:
-            rest = rows.join(hot, "cwd", "left_anti").withColumns({"piece": F.lit(0), "last": F.lit(True)})
-            out = run_machine(rest, None, stop_gate).unionByName(_in_pieces(rows.join(hot, "cwd", "left_semi"), piece, stop_gate))
-        self.rows = written(shown(out), "states")
-        drop(board, gated, hot)
+class Outcome:
+    """What follows from the machine's rows: every event, every control that names a session, every timer that fires and every
+    sweep, each with what it decides and changes and the state that it leaves."""
 
-    def drop(self) -> None:
-        drop(self.rows)
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
 
     def decisions(self) -> DataFrame:
         """Every event with what it meets first: no state, a pause, the privacy gate (starts alone), the board gate (not the end), or nothing."""
@@ -228,3 +211,27 @@ def history(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("session_id").orderBy("ts", "nth", "event_id")
     event = F.when(F.col("kind").isin("event", "sweep"), F.col("event_id"))
     return rows.select("session_id", F.col("ts").alias("at_ts"), F.col("kind").alias("cause"), event.alias("event_id"), "hook", "status", F.lead("ts").over(order).isNull().alias("is_current"))
+
+
+class States(Outcome):
+    """All that follows from a log, the board's updates, the visibility of repositories and pause controls.
+
+    log: event_id, ts, cwd, hook, session_id, is_resume; audit: created_at, update_id, status, body; seen: cwd, visibility;
+    controls: cwd, action (pause or resume), ts, ok. One table is written, of the rows of all.
+    """
+
+    def __init__(self, log: DataFrame, audit: DataFrame, seen: DataFrame, controls: DataFrame, stop_gate: bool = True, piece: int = PIECE):
+        board = written(G.board_history(audit), "board")
+        gated = written(gate(event_rows(log).unionByName(control_rows(controls)), seen, board), "gated")
+        rows = machine_rows(gated, passing(gated))
+        hot = written(gated.groupBy("cwd").agg(F.count("*").alias("n")).filter(F.col("n") > piece).select("cwd"), "hot")
+        if hot.isEmpty():
+            out = run_machine(rows.withColumns({"piece": F.lit(0), "last": F.lit(True)}), None, stop_gate)
+        else:
+            rest = rows.join(hot, "cwd", "left_anti").withColumns({"piece": F.lit(0), "last": F.lit(True)})
+            out = run_machine(rest, None, stop_gate).unionByName(_in_pieces(rows.join(hot, "cwd", "left_semi"), piece, stop_gate))
+        super().__init__(written(shown(out), "states"))
+        drop(board, gated, hot)
+
+    def drop(self) -> None:
+        drop(self.rows)

@@ -87,3 +87,14 @@ def running_count(df: DataFrame, keys: list[str], flag: Column, ts: str, order:
     upto = Window.partitionBy(*keys, "_b").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("_own", F.sum("_f").over(upto))
     return own.join(per, [*keys, "_b"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_b", "_f", "_own", "_before")
+
+
+def running_last(df: DataFrame, keys: list[str], value: Column, ts: str, order: str, name: str, unit: str = "DAY") -> DataFrame:
+    """df with `name`: the last value that isn't null of its key's rows up to this one. Each of a key's buckets is sorted by itself."""
+    own = df.withColumns({"_b": bucket(F.col(ts), unit), "_v": value})
+    upto = Window.partitionBy(*keys, "_b").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("_own", F.last("_v", ignorenulls=True).over(upto))
+    per = own.groupBy(*keys, "_b").agg(F.max_by("_own", F.struct(ts, order)).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    return own.join(per, [*keys, "_b"]).withColumn(name, F.coalesce("_own", "_before")).drop("_b", "_v", "_own", "_before")

@@ -76,6 +76,11 @@ class Tracker:
         self.batch(self.spark.createDataFrame([], ROWS), v, END_OF_TIME)
         return self.rows().unionByName(self._read("rows", v, self._row_type()))
 
+    def outcome(self) -> S.Outcome:
+        """The same as for a whole log: decisions, runtime status, history, and what operators/lifecycle.py makes of them. Its
+        effects are exactly once, as a batch that runs again replaces its rows."""
+        return S.Outcome(self.rows())
+
     def late(self) -> DataFrame:
         """Rows that came after their time had been settled, or have no time."""
         parts = [f"{self.root}/late/v={v}" for v in self.finished()]
