@@ -30,6 +30,22 @@ def test_exact_in_ranges_is_the_same(spark, sf_dir):
     assert one == sorted(map(tuple, exact_dedup.exact_dedup(docs, max_filter_bytes=64).collect()))
 
 
+def test_exact_holds_one_filter_at_a_time(spark, sf_dir, monkeypatch):
+    alive, most, made = [], [], type(spark.sparkContext).broadcast
+
+    def broadcast(context, value):
+        held = made(context, value)
+        gone = held.destroy
+        held.destroy = lambda *a: (alive.remove(held), gone(*a))
+        alive.append(held)
+        most.append(len(alive))
+        return held
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    out = exact_dedup.exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_filter_bytes=64)
+    assert len(most) >= 3 and set(most) == {1} and not alive and out.count() == 200
+
+
 def test_quality(messy, empty, labels):
     out = quality.quality_scores(messy, labels)
     assert out.count() == messy.count() and out.filter("score is null or score < 0 or score > 1").count() == 0
@@ -49,6 +65,7 @@ def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/x?q#f"), (2, "http://example.net?x"), (3, None), (4, "no scheme"), (5, "x://sub.org/fr/1://2"), (6, ""), (None, "http://b.net/"), (7, "http://example.com/de"), (8, "http://" + "a" * 50_000)]
     rows.append(rows[0])
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in rows], "page_id long, url string, verdict string, host string")
+    assert url_filter.filter_urls(pages).count() == len(rows)  # the repeated row counts twice
     r = {x["page_id"]: x for x in url_filter.filter_urls(pages).collect()}
     assert (r[1]["host"], r[1]["path"], r[1]["rule"], r[1]["verdict"]) == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert (r[2]["host"], r[2]["path"], r[2]["rule"]) == ("example.net", "", None)

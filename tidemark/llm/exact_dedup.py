@@ -6,7 +6,7 @@ shuffle, to be grouped by the whole SHA-256. All other rows are known to be sing
 
 The filter has BITS_PER_ROW bits for each row, split into blocks of 64 KB; a task sends the blocks that it touched
 and no fingerprints. One filter is at most MAX_FILTER_BYTES, whatever the input: beyond that the digests are
-written in ranges, and each range has a filter of its own.
+written in ranges, and each range has a filter of its own, that goes before the next one is made.
 """
 
 from __future__ import annotations
@@ -124,7 +124,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         made = made.repartition(min(blocks, 64), "block").mapInArrow(_join_blocks, _BLOCK_SCHEMA)
         # at most max_filter_bytes come to the driver, and go out again
         twice = {r["block"]: bytes(r["twice"]) for r in made.select("block", "twice").collect()}
-        flagged.append(own.mapInArrow(_ask(spark.sparkContext.broadcast(twice), blocks), "doc_id " + dict(own.dtypes)["doc_id"] + ", text_sha256 string, h bigint, suspect boolean"))
+        held = spark.sparkContext.broadcast(twice)
+        asked = own.mapInArrow(_ask(held, blocks), "doc_id " + dict(own.dtypes)["doc_id"] + ", text_sha256 string, h bigint, suspect boolean")
+        flagged.append(scratch.write(asked.drop("h"), "asked"))
+        held.destroy()  # one filter at a time, whatever the number of ranges
     every = functools.reduce(DataFrame.unionByName, flagged)
     single = every.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     # both sides written, so that the join is a plain one, of which Spark splits what a text with very many copies makes large
