@@ -230,3 +230,18 @@ def test_stages_as_in_plain_python(spark, sf_dir):
     groups = joined({i: runs(t, near_dedup.WORDS) for i, t in sorted(want.items()) if SPACE.search(t)})
     one = stages["near"](spark, cut, sf_dir)
     assert {r["doc_id"] for r in one.select("doc_id").collect()} == {i for i in want if groups.get(i, i) == i}
+
+
+def test_urls_of_words_that_the_model_has_not_seen(spark):
+    """A fourth of the table's words at a time, with every url that any of them stands in, is left out of training."""
+    words, right, asked_ = (*url_filter._BLOCKED, *url_filter._LEFT), 0, 0
+    for fold in range(4):
+        gone = words[fold::4]
+        learnt = [x for x in url_filter.LABELLED if not any(w in x[0] for w in gone)]
+        asked = [x for x in url_filter.LABELLED if any(w in x[0] for w in gone)]
+        pages = spark.createDataFrame([(k, "http://" + u) for k, (u, _) in enumerate(asked)], "page_id long, url string")
+        out = {r["page_id"]: r for r in url_filter.filter_urls(pages, rules=(), labelled=learnt).collect()}
+        right += sum((out[k]["verdict"] == "block") == bool(y) for k, (_, y) in enumerate(asked))
+        asked_ += len(asked)
+    print(f"{right} of {asked_} urls of unseen words right")
+    assert right > 0.5 * asked_  # letters tell little of a word that was never seen
