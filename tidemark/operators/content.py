@@ -69,8 +69,8 @@ def missing_labels(wanted: DataFrame, existing: DataFrame) -> DataFrame:
 def question_events(log: DataFrame, part: DataFrame) -> DataFrame:
     """Question events out of the log's tool results: each asks about three parts, two of them alike, and offers brands as options."""
     tools = log.filter("hook = 'PostToolUse'").select("event_id", "k")
-    options = part.filter("p_partkey <= 100").select(F.col("p_partkey").alias("k1"), "p_name", "p_brand", "p_type")
-    asked = tools.join(F.broadcast(options), tools["k"] + 1 == options["k1"])  # a hundred rows
+    options = part.select(F.col("p_partkey").alias("k1"), "p_name", "p_brand", "p_type")
+    asked = tools.join(options, tools["k"] + 1 == options["k1"])
     option = lambda l, d: F.struct(F.lit(l).alias("label") if isinstance(l, str) else l.alias("label"), d.alias("description"))
     q1 = F.struct(F.col("p_name").alias("question"), F.array(option("yes", F.lit("first")), option("yes", F.lit("second"))).alias("options"))
     q2 = F.struct(F.col("p_name").alias("question"), F.array(option(F.col("p_brand"), F.col("p_type")), option("yes", F.lit("last"))).alias("options"))

@@ -119,7 +119,7 @@ pairs AS (SELECT page_id, line_no, trim(string_split(t, '=')[1], {_B}) AS key, t
 plain AS (SELECT page_id, line_no, key, CASE WHEN raw[1] IN ('"', '''') THEN raw ELSE trim(string_split(raw, '#')[1], {_B}) END AS v FROM pairs)
 """
 _ASK = f"""WITH {_LOG}, t AS (
-  SELECT log.event_id, log.k, part.* FROM log JOIN part ON log.k + 1 = part.p_partkey WHERE log.hook = 'PostToolUse' AND part.p_partkey <= 100),
+  SELECT log.event_id, log.k, part.* FROM log JOIN part ON log.k + 1 = part.p_partkey WHERE log.hook = 'PostToolUse'),
 lines AS (
   SELECT event_id, 0 AS pos, concat('- **', p_name, '** → yes', ' _(last)_') AS line FROM t
   UNION ALL SELECT event_id, 1, concat('- **Which brand?** → ', p_brand, CASE WHEN k % 2 = 0 AND p_type <> '' THEN concat(' _(', p_type, ')_') ELSE '' END) FROM t
