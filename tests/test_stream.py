@@ -9,8 +9,9 @@ from tests.test_core import at
 from tidemark.operators import gates, lifecycle, states
 from tidemark.plans import catalogue
 from tidemark.sources import hooks
-from tidemark.sources.store import names
+from tidemark.sources.store import names, remove
 from tidemark.streaming import lifecycle as L
+from tidemark.streaming.outbox import Outbox
 
 SCHEMA = "cwd long, ts timestamp_ntz, event_id long, hook string, session_id string, is_resume boolean, went boolean, status string, body string"
 START, PROMPT, STOP, END = "SessionStart", "UserPromptSubmit", "Stop", "SessionEnd"
@@ -99,3 +100,21 @@ def test_nothing_yet(spark, tmp_path, empty):
     assert own.rows().isEmpty() and own.late().isEmpty()
     own.batch(rows_of(spark, empty), 0)
     assert own.rows().isEmpty() and own.rows_to_the_end().count() == len(empty)
+
+
+def test_effects_go_to_the_outbox_once(spark, tmp_path):
+    """Batches that run again, or stop after their effects were put and before they count as finished, add nothing."""
+    box = Outbox(spark, f"{tmp_path}/outbox")
+    own = tracker(spark, tmp_path / "state", outbox=box)
+    batches = [[(0, 1, START, 1), (5, 1, PROMPT, 1), (60, 2, START, 1)], [(100, 1, STOP, 1), (3000, 1, PROMPT, 1)], [(3010, 2, END, 1), (9000, 3, START, 1)]]
+    for v, rows in enumerate(batches):
+        own.batch(rows_of(spark, rows), v)
+        if v == 1:
+            remove(spark, f"{tmp_path}/state/done/v=1")  # cut short
+            own.batch(rows_of(spark, rows), v)
+    own.batch(rows_of(spark, batches[2]), 2)
+    kept = ["session_id", "at_ts", "event_id", "kind", "value"]
+    got = sorted(map(str, box.read().select(*kept).collect()))
+    assert got == sorted(map(str, lifecycle.effects(own.outcome()).select(*kept).collect())) and len(got) == len(set(got)) > 10
+    before = box.read().count()
+    assert not own.rest().isEmpty() and box.read().count() == before  # the look to the end puts nothing

@@ -112,3 +112,10 @@ def title_example(mode: Column, context: Column, prompt: Column) -> Column:
 def decoded_json(c: Column, schema: str) -> Column:
     """A struct out of base64-coded JSON; null where either fails."""
     return F.from_json(F.try_to_binary(c, F.lit("base64")).cast("string"), schema)
+
+
+def is_json(c: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; a parser alone stops at the end of the first value. Nothing but one value
+    is at its place both in an array and in an object. No text is none."""
+    alone = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), c, F.lit("}"))).isNotNull()
+    return F.coalesce(alone & (F.length(strip_ws(c)) > 0), F.lit(False))

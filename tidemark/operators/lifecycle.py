@@ -105,7 +105,7 @@ def effects(states: Outcome) -> DataFrame:
     new, label = "hook = 'SessionStart' and resumes is null", F.concat(F.lit("area"), (F.col("cwd") % 7).cast("string"))
     made = {
         "issue": (new, T.issue_title(stamp, F.concat(F.lit("p"), cwd))),
-        "body": (new, T.issue_body({"session": F.col("session_id"), "time": stamp, "folder": F.concat(F.lit("/home/u/p"), cwd)})),
+        "body": (new, T.issue_body({"session": F.col("session_id"), "time": stamp, "address": address(F.col("cwd")), "folder": F.concat(F.lit("/home/u/p"), cwd), "transcript": transcript(F.col("session_id"))})),
         "label": (f"{new} and cwd % 2 = 0", label),
         "created_date": (new, F.to_date("ts").cast("string")),
         "resumed": ("hook = 'SessionStart' and resumes is not null", F.concat(F.lit("goes on from "), F.col("resumes"))),
@@ -121,6 +121,41 @@ def effects(states: Outcome) -> DataFrame:
     return out.unionByName(own)
 
 
+def address(cwd: Column) -> Column:
+    """A workspace's machine, of which the tables have nothing: an address out of its number."""
+    return F.concat_ws(".", F.lit("10.0"), F.pmod(F.floor(cwd / 250), F.lit(250)).cast("string"), F.pmod(cwd, F.lit(250)).cast("string"))
+
+
+def transcript(session: Column) -> Column:
+    return F.concat(F.lit("/home/u/transcripts/"), session, F.lit(".jsonl"))
+
+
+def prompt_effects(states: Outcome, prompts: DataFrame) -> DataFrame:
+    """The title and the comment that each prompt which says something sends out, with its text (event_id, prompt): the
+    title with the workspace's context in front, or alone where the context is a label. A prompt without text sends neither."""
+    rows = states.rows.filter("acts and hook = 'UserPromptSubmit'").join(prompts, "event_id")
+    stamp, context = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit("team/context-of-workspace-area-"), (F.col("cwd") % 7).cast("string"))
+    title = F.when(F.col("cwd") % 2 == 0, T.title_label(F.col("prompt"))).otherwise(T.title_prefix(context, F.col("prompt")))
+    kinds = F.array(F.struct(F.lit("title").alias("kind"), title.alias("value")), F.struct(F.lit("comment").alias("kind"), T.comment(stamp, F.lit("Prompt"), F.col("prompt")).alias("value")))
+    return rows.select("session_id", F.col("ts").alias("at_ts"), "event_id", F.inline(kinds))
+
+
+def said_prompts(log: DataFrame, turns: DataFrame) -> DataFrame:
+    """event_id and prompt: the n-th prompt of a workspace says what the n-th user turn of the conversation of its number does."""
+    nth = F.row_number().over(Window.partitionBy("cwd").orderBy("ts", "event_id"))
+    asked = log.filter("hook = 'UserPromptSubmit'").select("event_id", "cwd", nth.alias("nth"))
+    turn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    said = turns.filter("role = 'user'").select(F.col("conv_id").alias("cwd"), turn.alias("nth"), T.strip_ws(F.col("text")).alias("prompt"))
+    return asked.join(said.filter("length(prompt) > 0"), ["cwd", "nth"]).select("event_id", "prompt")
+
+
+def state_records(states: Outcome) -> DataFrame:
+    """What lies in the state files: the JSON text of each session's last state; every eleventh workspace's were cut short by a crash."""
+    last = states.history().filter("is_current").withColumn("cwd", F.split_part("session_id", F.lit("-"), F.lit(1)))
+    text = F.to_json(F.struct("session_id", "cwd", "status", T.iso_plain(F.col("at_ts")).alias("created_at")))
+    return last.select("session_id", F.when(F.col("cwd").cast("long") % 11 == 0, F.substring(text, F.lit(1), F.length(text) - 5)).otherwise(text).alias("value"))
+
+
 def issue_numbers(states: Outcome) -> DataFrame:
     """The number of each new session's issue, in order of their starts over all workspaces."""
     new = states.rows.filter("acts and hook = 'SessionStart' and resumes is null").select("session_id", "ts", "event_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import env, urls
@@ -17,6 +19,8 @@ from tidemark.operators import states as S
 from tidemark.plans.sql import ORACLES  # noqa: F401
 from tidemark.sources import files, store
 from tidemark.sources import hooks as H
+from tidemark.sources.state_table import StateTable
+from tidemark.streaming.outbox import net
 
 
 def _log(f):
@@ -116,6 +120,34 @@ def _stream(spark, d):
     return run_available(spark, d)
 
 
+def _stream_effects(spark, d):
+    from tidemark.streaming.lifecycle import run_effects
+
+    return run_effects(spark, d)
+
+
+def _last_state_rows(log):
+    return L.writes(log).select("session_id", "ts", "event_id", "cwd", "hook", L.status_of(F.col("hook")).alias("status"))
+
+
+def _last_state_by_day(spark, d):
+    """The last states as a table that the log comes into day by day: all but the last two days first, then each of them."""
+    rows = store.written(_last_state_rows(H.hook_log(spark, d)).withColumn("day", F.to_date("ts")), "days")
+    last = [r["day"] for r in rows.filter("day is not null").select("day").distinct().orderBy(F.desc("day")).limit(2).collect()]
+    folder = f"{store.shared_folder(spark)}/last-state-{uuid.uuid4().hex}"
+    table = StateTable(spark, folder, "session_id string, ts timestamp_ntz, event_id bigint, cwd bigint, hook string, status string", "session_id", ["ts", "event_id"])
+    days = [F.coalesce(~F.col("day").isin(last), F.lit(True)) if last else F.lit(True), *[F.col("day") == x for x in reversed(last)]]
+    for i, on in enumerate(days):
+        table.upsert(rows.filter(on), i)
+    store.drop(rows)
+    store.gone_at_exit(spark, folder)
+    return table.read()
+
+
+def _prompt_effects(spark, d):
+    return L.prompt_effects(states(spark, d), L.said_prompts(H.hook_log(spark, d), H.turns(spark, d)))
+
+
 def _events_wide(log):
     return log.select("event_id", "ts", "cwd", "hook", "n", "session_id", "k", "is_resume")
 
@@ -169,7 +201,11 @@ QUERIES = {
     "latest_session_by_cwd": _log(L.latest_session),
     "active_dates": _log(L.active_dates),
     "effects": _from(L.effects),
-    "last_state": _log(lambda log: L.last_state(L.writes(log).select("session_id", "ts", "event_id", "cwd", "hook", L.status_of(F.col("hook")).alias("status")))),
+    "prompt_effects": _prompt_effects,
+    "net_effects": _from(lambda s: net(L.effects(s))),
+    "last_state": _log(lambda log: L.last_state(_last_state_rows(log))),
+    "last_state_by_day": _last_state_by_day,
+    "state_scan": _from(lambda s: files.scanned(files.parsed_states(L.state_records(s), []))),
     "board_gate": _both(lambda log, audit: G.board_asof(log, G.board_history(audit)).select("event_id", "board_status", F.coalesce(F.col("board_status") == "INACTIVE", F.lit(False)).alias("gated"))),
     "board_status_now": _audit(G.board_inactive),
     "closings": _from(lambda s: s.closings().select("session_id", "at_ts", "cause", "swept_by")),
@@ -215,4 +251,5 @@ QUERIES = {
     "setup_cleanup": _of("customer", lambda c: I.cleanup(I.ledgers(c))),
     "title_examples": _turns(_examples),
     "stream_lifecycle": _stream,
+    "stream_effects": _stream_effects,
 }

@@ -167,7 +167,7 @@ ORACLES = {
     "active_dates": f"""WITH {_LOG} SELECT session_id, min(CASE WHEN hook = 'SessionStart' THEN CAST(ts AS DATE) END) AS created_on, max(CASE WHEN hook IN ('UserPromptSubmit', 'Stop') THEN CAST(ts AS DATE) END) AS last_active FROM log WHERE n > 0 GROUP BY 1""",
     "effects": _STATES + """, e AS (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM m WHERE acts)
       SELECT session_id, ts AS at_ts, event_id, 'issue' AS kind, concat('[', stamp, '] … — p', cwd) AS value FROM e WHERE hook = 'SessionStart' AND resumes IS NULL
-      UNION ALL SELECT session_id, ts, event_id, 'body', concat('**session:** `', session_id, '`  ', chr(10), '**time:** `', stamp, '`  ', chr(10), '**folder:** `/home/u/p', cwd, '`  ') FROM e WHERE hook = 'SessionStart' AND resumes IS NULL
+      UNION ALL SELECT session_id, ts, event_id, 'body', concat('**session:** `', session_id, '`  ', chr(10), '**time:** `', stamp, '`  ', chr(10), '**address:** `10.0.', cwd // 250 % 250, '.', cwd % 250, '`  ', chr(10), '**folder:** `/home/u/p', cwd, '`  ', chr(10), '**transcript:** `/home/u/transcripts/', session_id, '.jsonl`  ') FROM e WHERE hook = 'SessionStart' AND resumes IS NULL
       UNION ALL SELECT session_id, ts, event_id, 'label', concat('area', cwd % 7) FROM e WHERE hook = 'SessionStart' AND resumes IS NULL AND cwd % 2 = 0
       UNION ALL SELECT session_id, ts, event_id, 'created_date', CAST(CAST(ts AS DATE) AS VARCHAR) FROM e WHERE hook = 'SessionStart' AND resumes IS NULL
       UNION ALL SELECT session_id, ts, event_id, 'resumed', concat('goes on from ', resumes) FROM e WHERE hook = 'SessionStart' AND resumes IS NOT NULL
@@ -265,3 +265,22 @@ ORACLES = {
     "distro_family": "SELECT c_custkey, ['debian', 'fedora', 'arch', 'opensuse', 'void', 'unknown'][c_custkey % 6 + 1] AS family FROM customer",
     "uninstall_report": "SELECT count(*) FILTER (WHERE n_nationkey % 3 = 0) AS removed, count(*) FILTER (WHERE n_nationkey % 3 <> 0) AS \"left\" FROM nation",
 }
+
+ORACLES |= {
+    "stream_effects": ORACLES["effects"],
+    "last_state_by_day": ORACLES["last_state"],
+    # of statuses, days and titles a session's last one
+    "net_effects": f"""WITH x AS ({ORACLES["effects"]}), y AS (SELECT *, kind IN ('status', 'active_date', 'title') AS setting, row_number() OVER (PARTITION BY session_id, kind ORDER BY at_ts DESC, event_id DESC, value DESC) AS r FROM x)
+      SELECT session_id, at_ts, event_id, kind, value FROM y WHERE NOT setting OR r = 1""",
+    "prompt_effects": _STATES + f""", asked AS (SELECT event_id, cwd, row_number() OVER (PARTITION BY cwd ORDER BY ts, event_id) AS nth FROM log WHERE hook = 'UserPromptSubmit'),
+      spoken AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS nth, trim(text, {_B}) AS prompt FROM conversations WHERE role = 'user'),
+      e AS (SELECT m.session_id, m.ts AS at_ts, m.event_id, m.cwd, prompt, concat('team/context-of-workspace-area-', m.cwd % 7) AS ctx, strftime(m.ts, '%Y-%m-%d %H:%M:%S') AS stamp
+        FROM m JOIN asked ON asked.event_id = m.event_id JOIN spoken ON spoken.conv_id = asked.cwd AND spoken.nth = asked.nth WHERE m.acts AND m.hook = 'UserPromptSubmit' AND length(prompt) > 0)
+      SELECT session_id, at_ts, event_id, 'title' AS kind, CASE WHEN cwd % 2 = 0 THEN substring(prompt, 1, 80)
+        ELSE substring(concat('[', CASE WHEN length(ctx) > 30 THEN concat(substring(ctx, 1, 30), '...') ELSE ctx END, '] ', prompt), 1, 80) END AS value FROM e
+      UNION ALL SELECT session_id, at_ts, event_id, 'comment', concat('**[', stamp, '] Prompt**', chr(10), chr(10), prompt) FROM e""",
+    # the text of each session's last state, cut short in every eleventh workspace, and read as JSON again
+    "state_scan": _STATES + """, t AS (SELECT CAST(split_part(session_id, '-', 1) AS BIGINT) AS cwd, concat('{"session_id":"', session_id, '","status":"', status, '","created_at":"', strftime(at_ts, '%Y-%m-%dT%H:%M:%S.%f'), '"}') AS whole FROM history WHERE is_current),
+      r AS (SELECT CASE WHEN cwd % 11 = 0 THEN substring(whole, 1, length(whole) - 5) ELSE whole END AS value FROM t)
+      SELECT json_valid(value) AS valid, CASE WHEN json_valid(value) THEN json_extract_string(value, '$.status') END AS status, count(*) AS records FROM r GROUP BY 1, 2""",
+}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.env import env_map
+from tidemark.functions.text import is_json
+from tidemark.sources.heads import FirstLines
 
 STATE = """
   session_id string, item_id string, cwd string, repo string, issue_number bigint, context_repo string, context_label string,
@@ -19,10 +21,20 @@ SETTINGS = "hooks map<string, array<struct<matcher: string, hooks: array<struct<
 def states(spark: SparkSession, folder: str) -> DataFrame:
     """Every state file: its path, name, time of last write, whether it is valid, and its fields (null where it isn't)."""
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select("value", "_metadata.file_path", "_metadata.file_name", F.col("_metadata.file_modification_time").alias("last_write_ts"))
-    parsed = raw.withColumn("_s", F.from_json("value", STATE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    ok = F.col("_s._bad").isNull() & F.col("value").rlike(r"(?s)^\s*\{")
+    return parsed_states(raw.withColumn("file_id", F.regexp_replace("file_name", r"\.json$", "")), ["file_path", "file_id", "last_write_ts"])
+
+
+def parsed_states(records: DataFrame, keep: list[str]) -> DataFrame:
+    """State records out of their text in `value`: the columns to keep, whether a record is valid, and its fields (null where it isn't)."""
+    parsed = records.withColumn("_s", F.from_json("value", STATE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    ok = F.coalesce(F.col("_s._bad").isNull() & F.col("value").rlike(r"(?s)^\s*\{"), F.lit(False)) & is_json(F.col("value"))
     fields = [F.when(ok, F.col("_s")[c]).alias(c) for c in parsed.schema["_s"].dataType.names if c != "_bad"]
-    return parsed.select("file_path", F.regexp_replace("file_name", r"\.json$", "").alias("file_id"), "last_write_ts", ok.alias("valid"), *fields)
+    return parsed.select(*keep, ok.alias("valid"), *fields)
+
+
+def scanned(parsed: DataFrame) -> DataFrame:
+    """How many records of a scan there are, by validity and status."""
+    return parsed.groupBy("valid", "status").agg(F.count("*").alias("records"))
 
 
 def env_file(spark: SparkSession, paths: list[str], last: bool = True, environment: dict[str, str] | None = None) -> DataFrame:
@@ -43,11 +55,12 @@ def env_file(spark: SparkSession, paths: list[str], last: bool = True, environme
 def is_resume(spark: SparkSession, path: str, marker: str = "file-history-snapshot") -> DataFrame:
     """For each transcript whether its first line is JSON of the marker's type; unreadable lines count as not.
 
-    Lines come with the place in the file that they begin at, so a file may be split. A first line may have any length.
+    Only first lines are read, of any length.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
-    first = lines.filter("block = 0").groupBy("file_path").agg(F.min_by("value", "nth").alias("value"))
-    return first.select("file_path", F.coalesce(F.get_json_object("value", "$.type") == marker, F.lit(False)).alias("is_resume"))
+    spark.dataSource.register(FirstLines)
+    first = spark.read.format("first_lines").load(path)
+    kind = F.try_variant_get(F.try_parse_json("value"), "$.type", "string")
+    return first.select("file_path", F.coalesce(is_json(F.col("value")) & (kind == marker), F.lit(False)).alias("is_resume"))
 
 
 def settings(spark: SparkSession, scopes: list[tuple[str, str]], commands: list[str]) -> DataFrame:

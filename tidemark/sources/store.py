@@ -24,12 +24,17 @@ def _at(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """A folder, there or to come, that goes when the driver's JVM ends."""
+    fs, at = _at(spark, path)
+    fs.deleteOnExit(at)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once and read from then on. The files go with drop(), or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, at = _at(spark, path)
-    fs.deleteOnExit(at)
+    gone_at_exit(spark, path)
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._written_at = path

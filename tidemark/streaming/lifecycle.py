@@ -25,9 +25,11 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.operators import gates as G
 from tidemark.operators import machine as M
 from tidemark.operators import states as S
+from tidemark.operators.lifecycle import effects
 from tidemark.operators.temporal import next_at_or_after, running_count
 from tidemark.sources import hooks as H
 from tidemark.sources.store import names, remove, shared_folder
+from tidemark.streaming.outbox import Outbox
 
 DELAY_SECONDS = 12
 BUCKETS = 16
@@ -52,11 +54,12 @@ def stream_rows(events: DataFrame) -> DataFrame:
 
 class Tracker:
     """A stream's state under the folder `root`. seen() gives the visibility of repositories (cwd, visibility), and is asked
-    for each batch. Events without a session id belong to their workspace's latest start; sessions are numbered."""
+    for each batch. Events without a session id belong to their workspace's latest start; sessions are numbered. Effects of
+    each batch go to the outbox, if there is one, before the batch counts as finished."""
 
-    def __init__(self, spark: SparkSession, root: str, seen: Callable[[], DataFrame], delay_seconds: int = DELAY_SECONDS, buckets: int = BUCKETS, stop_gate: bool = True):
+    def __init__(self, spark: SparkSession, root: str, seen: Callable[[], DataFrame], delay_seconds: int = DELAY_SECONDS, buckets: int = BUCKETS, stop_gate: bool = True, outbox: Outbox | None = None):
         self.spark, self.root, self.seen, self.buckets, self.stop_gate = spark, root.rstrip("/"), seen, buckets, stop_gate
-        self.delay = dt.timedelta(seconds=delay_seconds)
+        self.delay, self.outbox = dt.timedelta(seconds=delay_seconds), outbox
 
     def start(self, rows: DataFrame) -> StreamingQuery:
         """The stream of rows (ROWS, those that are missing are null) into this state, until all there is has been read."""
@@ -70,11 +73,14 @@ class Tracker:
         parts = [f"{self.root}/rows/v={v}" for v in self.finished()]
         return self.spark.read.schema(self._row_type()).parquet(*parts) if parts else self.spark.createDataFrame([], self._row_type())
 
-    def rows_to_the_end(self) -> DataFrame:
-        """The same with what comes of the rows that are held back and of pending deadlines, as if the stream had ended. Nothing of that is kept."""
+    def rest(self) -> DataFrame:
+        """What comes of the rows that are held back and of pending deadlines, as if the stream had ended. Nothing of that is kept."""
         v = max(self.finished(), default=-1) + 1
         self.batch(self.spark.createDataFrame([], ROWS), v, END_OF_TIME)
-        return self.rows().unionByName(self._read("rows", v, self._row_type()))
+        return self._read("rows", v, self._row_type())
+
+    def rows_to_the_end(self) -> DataFrame:
+        return self.rows().unionByName(self.rest())
 
     def outcome(self) -> S.Outcome:
         """The same as for a whole log: decisions, runtime status, history, and what operators/lifecycle.py makes of them. Its
@@ -164,6 +170,8 @@ class Tracker:
         closed.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/closed/v={v}")
         if final:
             return
+        if self.outbox:
+            self.outbox.put(effects(S.Outcome(self._read("rows", v, self._row_type()))), v)
         self._write(self.spark.createDataFrame([(upto,)], "upto timestamp_ntz"), "done", v)
         for part in ("new", "named", "counts", "pending", "board", "gated", "open", "there", "touched", "out"):
             for n in names(self.spark, f"{self.root}/{part}"):
@@ -185,3 +193,13 @@ def run_available(spark: SparkSession, sf_dir: str, root: str | None = None) ->
     tracker = Tracker(spark, root or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", seen)
     tracker.start(read_events(spark, sf_dir)).awaitTermination()
     return S.history(tracker.rows_to_the_end())
+
+
+def run_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effects of all events there are: what the stream's batches put into an outbox, and what comes after the last one."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    outbox = Outbox(spark, f"{root}/outbox")
+    tracker = Tracker(spark, root, lambda: G.visibilities(H.table(spark, sf_dir, "customer")), outbox=outbox)
+    tracker.start(read_events(spark, sf_dir)).awaitTermination()
+    rest = effects(S.Outcome(tracker.rest()))
+    return outbox.read().select(*rest.columns).unionByName(rest)
