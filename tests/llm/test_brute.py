@@ -130,6 +130,53 @@ def test_pairs_among_many_documents_apart(spark, monkeypatch, n, most, least):
     assert found >= least * len(pairs)
 
 
+def test_documents_still_apart_at_the_deepest_level(spark, monkeypatch):
+    """No level of branching is left: all pairs are found under the rarest shingles, and in blocks where many share one."""
+    monkeypatch.setattr(near_dedup, "MOST", 12)
+    monkeypatch.setattr(near_dedup, "DEEPEST", near_dedup.DEPTH + 1)
+    rows = list(apart(300, random.Random(23)))
+    asked, rarest = [], near_dedup._rarest
+
+    def seen(*args):
+        out = rarest(*args)
+        asked.append((args[0].select("rep").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "_rarest", seen)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == joined({i: runs(t, 2) for i, t in rows})
+    assert asked and all(n_rows <= 26 * n for n, n_rows in asked)  # of about 120 shingles a fifth and one
+
+
+def test_similar_sets_stay_together_in_deep_trees():
+    """Pairs of sets at 0.8 exactly, down the trees with the constants as they are: how many share a node of some tree."""
+    rng, pairs = np.random.default_rng(29), 1200
+    hashes = np.empty((2, pairs, near_dedup.COORDINATES), np.uint32)
+    for i in range(pairs):
+        own = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        for side, part in enumerate((own[:90], own[10:])):
+            hashes[side, i] = ((part[:, None] * near_dedup._FACTORS).min(axis=0) >> np.uint64(32)).astype(np.uint32)
+    schema = ["node", "rep", "weight", "hashes"]
+
+    def met(batches):
+        """node and pair of the nodes that both of a pair have."""
+        nodes = [{(n, r) for b in batches(side) for n, r in zip(b.column("node").to_pylist(), b.column("rep").to_pylist(), strict=True)} for side in (0, 1)]
+        return sorted(nodes[0] & nodes[1])
+
+    def batch(side, entries):
+        reps = [r for _, r in entries]
+        columns = [pa.array([n for n, _ in entries], pa.int64()), pa.array(reps, pa.int64()), pa.array([1] * len(reps), pa.int64()), pa.array([hashes[side, r].tobytes() for r in reps], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, schema)
+
+    entries = met(lambda side: near_dedup._roots([batch(side, [(0, r) for r in range(pairs)])]))
+    found = {near_dedup.DEPTH: len({r for _, r in entries}) / pairs}
+    for depth in range(near_dedup.DEPTH + 1, 17):
+        entries = met(lambda side, entries=entries: near_dedup._children([batch(side, entries)]))
+        found[depth] = len({r for _, r in entries}) / pairs
+    print({d: (round(found[d], 3), round(near_dedup.recall(d), 3)) for d in (3, 6, 9, 12, 16)})
+    assert found[3] >= 0.999 and found[near_dedup.DEEPEST] >= 0.97
+
+
 def test_heavy_documents_are_compared_in_parts(spark, monkeypatch):
     """Few documents with more shingles than a group may have."""
     monkeypatch.setattr(near_dedup, "HEAVY", 3000)

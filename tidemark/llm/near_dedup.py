@@ -9,12 +9,19 @@ node branches further if not, until nodes are small or have little apart. Every
 
 Two sets of similarity 0.8 share a node of depth 3 in one tree with probability 0.51, so in one of 16 trees with 0.9998.
 Below, a node picks a second coordinate in SECOND of 16 cases, so a pair has 0.8 * (1 + SECOND / 16) = 1.05 children in
-common on average, and its chance of being together in some tree falls slowly with depth: 0.99 at depth 9, 0.97 at 16, 0.93
-at 32 (recall() computes it). A node of documents at 0.75 to each other shrinks all the while.
+common on average, and its chance of being together in some tree falls slowly with depth. Paths and trees use coordinates
+again, so it falls faster than recall() computes, as though each agreed by itself: measured 0.993 at depth 6, 0.979 at 9 and
+0.919 at 16, against 0.999, 0.994 and 0.973. So branching ends at depth DEEPEST, 9, with an exact step for what is left.
+A node of documents at 0.75 to each other shrinks all the while.
 
 What a level writes is in proportion to the entries of its nodes: a small node's documents once, a larger node's FEW
 times at most, and its anchors, or the FEW * MOST documents apart at most, once for each MOST documents of it: as many
-rows again. Only nodes that still have more than that apart at depth DEEPEST cost more: blocks of MOST by MOST.
+rows again. Documents of nodes that still have more than that apart at depth DEEPEST meet under the rarest shingles of
+their sets instead, as many as a similar set must share one of (_rarest): a document's rows are at most that share of
+its shingles, and only where more than MOST documents have one of their rarest shingles in common are there blocks.
+
+Texts are read for the sketches and at depth DEPTH. The sets of documents in nodes that branch on are written once, and
+each level adds its links to the components that the one before has found.
 
 A comparison links a document with another one only where the group hasn't joined them by other links, so a group gives
 fewer links than it has documents. Components are found over all links and lose nothing by that.
@@ -35,7 +42,7 @@ from tidemark.llm._common import Scratch, table
 from tidemark.llm.components import components
 
 WORDS, PERCENT = 5, 80
-COORDINATES, TREES, DEPTH, DEEPEST = 64, 16, 3, 32
+COORDINATES, TREES, DEPTH, DEEPEST = 64, 16, 3, 9
 #: Below DEPTH, so many of 16 nodes pick two coordinates.
 SECOND = 5
 #: Documents and shingles of a group that is compared in one task, and anchors of a larger node.
@@ -164,6 +171,34 @@ def _links(reps: list, anchors: list[bool], sets: list[np.ndarray], percent: int
                     yield reps[i], reps[k]
 
 
+def _sets(words: int):
+    """rep and shingles, in order, of each text that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, h, bounds in W.documents(batch.column("text")):
+                shingles, at = W.shingles(h, bounds, words)
+                own = [np.unique(shingles[at[r] : at[r + 1]]) for r in range(j - i)]
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))
+                out = pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), made], ["rep", "shingles"])
+                yield out.filter(pa.array(np.diff(ends) > 0))
+
+    return run
+
+
+def _read(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row and set, out of the row's text or of its shingles as _sets gives them."""
+    if "shingles" in batch.schema.names:
+        column = batch.column("shingles")
+        flat, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        yield from ((r, flat[ends[r] : ends[r + 1]].copy()) for r in range(len(column)))
+        return
+    for i, j, h, bounds in W.documents(batch.column("text")):
+        shingles, at = W.shingles(h, bounds, words)
+        yield from ((r, np.unique(shingles[at[r - i] : at[r - i + 1]])) for r in range(i, j))
+
+
 def _compare(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reps, anchors, sets, group = [], [], [], None
@@ -175,18 +210,15 @@ def _compare(words: int, percent: int):
 
         for batch in batches:
             groups, own_reps, own_anchors = (batch.column(c).to_pylist() for c in ("group", "rep", "anchor"))
-            for i, j, h, bounds in W.documents(batch.column("text")):
-                shingles, at = W.shingles(h, bounds, words)
-                for r in range(i, j):
-                    if groups[r] != group:
-                        yield from done()
-                        reps, anchors, sets, group = [], [], [], groups[r]
-                    own = np.unique(shingles[at[r - i] : at[r - i + 1]])
-                    if not len(own) or (reps and reps[-1] == own_reps[r] and np.array_equal(sets[-1], own)):
-                        continue  # a repeated row
-                    reps.append(own_reps[r])
-                    anchors.append(own_anchors[r])
-                    sets.append(own)
+            for r, own in _read(batch, words):
+                if groups[r] != group:
+                    yield from done()
+                    reps, anchors, sets, group = [], [], [], groups[r]
+                if not len(own) or (reps and reps[-1] == own_reps[r] and np.array_equal(sets[-1], own)):
+                    continue  # a repeated row
+                reps.append(own_reps[r])
+                anchors.append(own_anchors[r])
+                sets.append(own)
         yield from done()
 
     return run
@@ -194,13 +226,19 @@ def _compare(words: int, percent: int):
 
 class _Join:
     def __init__(self, docs: DataFrame, scratch: Scratch, words: int, percent: int):
-        self.docs, self.scratch, self.words, self.percent = docs, scratch, words, percent
+        self.scratch, self.words, self.percent = scratch, words, percent
+        self.held, self.column = docs.select(F.col("doc_id").alias("rep"), "text"), "text"
+
+    def keep(self, reps: DataFrame) -> None:
+        """From here on, only these documents are compared: their sets are written and read instead of all texts."""
+        texts = self.held.join(reps.distinct(), "rep", "left_semi")
+        self.held, self.column = self.scratch.write(texts.mapInArrow(_sets(self.words), "rep bigint, shingles array<bigint>"), "sets"), "shingles"
 
     def links(self, groups: DataFrame) -> DataFrame:
         """groups: group, rep, anchor. The links found, written."""
-        texts = self.docs.select(F.col("doc_id").alias("rep"), "text").join(groups, "rep").select("group", "rep", "anchor", "text")
-        texts = texts.repartition("group").sortWithinPartitions("group", "rep")
-        return self.scratch.write(texts.mapInArrow(_compare(self.words, self.percent), "a bigint, b bigint").distinct(), "links")
+        held = self.held.join(groups, "rep").select("group", "rep", "anchor", self.column)
+        held = held.repartition("group").sortWithinPartitions("group", "rep")
+        return self.scratch.write(held.mapInArrow(_compare(self.words, self.percent), "a bigint, b bigint").distinct(), "links")
 
 
 def _crowds(entries: DataFrame, scratch: Scratch) -> DataFrame:
@@ -274,6 +312,32 @@ def _blocks(apart: DataFrame) -> DataFrame:
     return both.groupBy("group", "rep").agg(F.max("anchor").alias("anchor"))
 
 
+def _cheap(percent: int) -> F.Column:
+    """Whether blocks of a node write fewer rows than _rarest would: a row for each shingle that a document meets others under."""
+    return _parts(F.col("n_away"), F.col("w_away")) <= F.greatest(F.lit(float(FEW)), F.col("w") / F.col("n") * (100 - percent) / 100)
+
+
+def _rarest(far: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """far's documents as _blocks takes them, with shingles as nodes.
+
+    Two sets of size s and t with 100 * common >= percent * united share one of the first s - ceil(percent * s / 100) + 1
+    of the one and as many of the other, by t, in any order that is the same for all; here the rarest come first.
+    """
+    own = far.groupBy("rep").agg(F.max("away").alias("away"))
+    held = sets.join(own, "rep").select("rep", "away", F.xxhash64("shingles").alias("set"), F.size("shingles").cast("long").alias("weight"), F.explode("shingles").alias("node"))
+    held = scratch.write(held, "held")
+    often = scratch.write(held.groupBy("node").agg(F.count("*").alias("often")), "often")
+    ranked = held.join(often, "node").groupBy("rep", "away", "set", "weight").agg(F.sort_array(F.collect_list(F.struct("often", "node"))).alias("all"))
+    first = F.slice("all", F.lit(1), F.expr(f"cast(weight - ({percent} * weight + 99) div 100 + 1 as int)"))
+    rare = ranked.select("rep", "away", "weight", F.explode(first).alias("x")).filter("x.often > 1")
+    rare = scratch.write(rare.groupBy("x.node", "rep").agg(F.max("away").alias("away"), F.max("weight").alias("weight")), "rare")
+    alone = F.when(F.col("away"), F.col("weight")).otherwise(0)
+    counts = rare.groupBy("node").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.count_if("away").alias("n_away"), F.sum(alone).alias("w_away"))
+    counts = scratch.write(counts.filter("n > 1 and n_away > 0"), "counts")
+    scratch.drop(held, often)
+    return rare.join(counts, "node")
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -306,11 +370,16 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
         if not any_large:
             break
         apart = _apart(large, found.select(F.col("node").alias("node_rep"), "component"), scratch)
-        few = _parts(F.col("n_away"), F.col("w_away")) <= FEW if depth < DEEPEST else F.lit(True)
+        if depth == DEPTH + 1:
+            join.keep(apart.select("rep"))
+        few = _parts(F.col("n_away"), F.col("w_away")) <= FEW if depth < DEEPEST else _cheap(percent)
         near, far, groups = apart.filter(few), apart.filter(~few), []
         if not near.isEmpty():
             groups.append(_blocks(near))
         any_large = not far.isEmpty()
+        if any_large and depth == DEEPEST:
+            groups.append(_blocks(_rarest(far, join.held, percent, scratch)))
+            any_large = False
         if any_large:
             deeper = far.select("node", "rep").join(classes.select("rep", "weight", "hashes"), "rep").select("node", "rep", "weight", "hashes")
             crowds = _crowds(deeper.mapInArrow(_children, "node bigint, rep bigint, weight bigint"), scratch)
@@ -320,7 +389,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
         if groups:
             for g in groups[1:]:
                 groups[0] = groups[0].unionByName(g)
-            links = links.unionByName(join.links(groups[0]))
+            links = join.links(groups[0]).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
             found = components(links, scratch)
     named = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = scratch.write(named.select("digest", F.coalesce("component", "rep").alias("component")), "named")
