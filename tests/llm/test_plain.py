@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_brute import ascii_lower, joined, prose, runs
-from tidemark.llm import exact_dedup, line_dedup, mixing, near_dedup, quality, secrets, toxicity, url_filter
+from tidemark.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, secrets, toxicity, url_filter
 from tidemark.llm import _words as W
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,12 +93,8 @@ def rates(sizes, target):
     return [math.exp(min(lo * s / scale, math.log(top))) for s in sizes]
 
 
-def test_rates_and_copies_as_in_plain_python(spark, sf_dir):
-    rng = random.Random(43)
-    docs = [(r["doc_id"], len(SPACE.findall(r["text"] or "")), r["source"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    docs += [(10_000 + i, rng.randint(1, 400), rng.choice(["tiny", None, "zz"])) for i in range(400)] + [(20_000, 3, "a")]
-    df = spark.createDataFrame([(i, "w " * n, s) for i, n, s in docs], "doc_id long, text string, source string")
-    got = mixing.mix(df).toPandas()
+def held_against_rates(docs, got):
+    """got, what the mix gives for docs (id, size, source): targets, each source's sum, and the copies of each size."""
     sources = sorted({s for *_, s in docs}, key=lambda s: (s is None, s or ""))
     weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(sources)}
     size = {s: sum(n for _, n, x in docs if x == s) for s in sources}
@@ -112,6 +108,7 @@ def test_rates_and_copies_as_in_plain_python(spark, sf_dir):
         full |= over
     of = {i: s for i, _, s in docs}
     taken = dict(zip(got.doc_id, got.taken, strict=True))
+    assert set(taken) == set(of) and len(got) == len(docs)
     assert all(abs(t - target[of[i]]) < 1e-6 * target[of[i]] for i, t in zip(got.doc_id, got.target, strict=True))
     for s in sources:
         own = [(i, n) for i, n, x in docs if x == s]
@@ -119,9 +116,18 @@ def test_rates_and_copies_as_in_plain_python(spark, sf_dir):
         assert abs(sum(taken[i] for i, _ in own) - target[s]) <= max(n for _, n in own) / 2
         copies, many = Counter(), Counter(n for _, n in own)
         for i, n in own:
-            copies[n] += taken[i] // n
-        odd = [n for n in many if abs(copies[n] - many[n] * exact[n]) > 1 + 1e-3]
+            copies[n] += taken[i] // n if n else 0
+        odd = [n for n in many if n and abs(copies[n] - many[n] * exact[n]) > 1 + 1e-3]
         assert len(odd) <= mixing.EACH * max(n for _, n in own).bit_length()  # a few classes in each power of two make up for rounding
+    return taken
+
+
+def test_rates_and_copies_as_in_plain_python(spark, sf_dir):
+    rng = random.Random(43)
+    docs = [(r["doc_id"], len(SPACE.findall(r["text"] or "")), r["source"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    docs += [(10_000 + i, rng.randint(1, 400), rng.choice(["tiny", None, "zz"])) for i in range(400)] + [(20_000, 3, "a")]
+    df = spark.createDataFrame([(i, "w " * n, s) for i, n, s in docs], "doc_id long, text string, source string")
+    taken = held_against_rates(docs, mixing.mix(df).toPandas())
     again = mixing.mix(df.repartition(7)).toPandas()
     assert dict(zip(again.doc_id, again.taken, strict=True)) == taken
 
@@ -232,6 +238,74 @@ def test_stages_as_in_plain_python(spark, sf_dir):
     assert {r["doc_id"] for r in one.select("doc_id").collect()} == {i for i in want if groups.get(i, i) == i}
 
 
+def leaked(texts, items):
+    """{(text, item): (score, question overlap, answer overlap)} over every passage, from the words themselves.
+
+    texts: id -> text, items: id -> (question, answer).
+    """
+    words, size = lambda t: SPACE.findall(ascii_lower(t)), decontaminate.PIECE
+    pieces = []
+    for item, parts in items.items():
+        w = [x for p in parts for x in words(p)]
+        pieces += [(item, w[max(0, min(k, len(w) - size)) : k + size]) for k in range(0, len(w), size)]
+    among, mean = Counter(x for _, p in pieces for x in set(p)), sum(len(p) for _, p in pieces) / len(pieces)
+    postings = defaultdict(list)
+    for at, (_, p) in enumerate(pieces):
+        k1, b = decontaminate.K1, decontaminate.B
+        own = {x: math.log1p((len(pieces) - among[x] + 0.5) / (among[x] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * len(p) / mean)) for x, n in Counter(p).items()}
+        for x, v in own.items():
+            postings[x].append((at, v / sum(own.values())))
+    found = {}
+    for i, text in texts.items():
+        w, best, has = words(text), {}, runs(text, decontaminate.RUN)
+        for k in range(max(1, -(-len(w) // size) - 1)):
+            score = Counter()
+            for x in set(w[k * size : (k + 2) * size]):
+                for at, v in postings.get(x, ()):
+                    score[at] += v
+            for at, v in score.items():
+                if v >= decontaminate.THRESHOLD:
+                    best[pieces[at][0]] = max(v, best.get(pieces[at][0], 0))
+        for item, v in best.items():
+            each = [runs(p, decontaminate.RUN) for p in items[item]]
+            q, a = (len(x & has) / len(x) if x else 1.0 for x in each)
+            if q >= decontaminate.OVERLAP and a >= decontaminate.OVERLAP:
+                found[i, item] = (v, q, a)
+    return found
+
+
+def test_leaks_and_mix_as_in_plain_python(spark, sf_dir):
+    """op7's whole result, with whole items, questions alone, answers alone and parts of both pasted into texts; then the
+    pipeline's last two stages on the same documents."""
+    rng = random.Random(37)
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = {r["item_id"]: decontaminate.split_item(r["text"] or "") for r in bench.collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [r.asDict() for r in docs.collect()]
+    clean = [r for r in rows if r["text"] and len(r["text"]) > 600]
+    ways = [lambda q, a: (q, a), lambda q, a: (q,), lambda q, a: (a,), lambda q, a: (q[: len(q) * 2 // 3], a), lambda q, a: (q, a[: len(a) // 3]), lambda q, a: (q, "x y z " * 40, a)]
+    for k in range(120):
+        own, item = dict(rng.choice(clean)), rng.choice(list(items))
+        w = own["text"].split(" ")
+        at = rng.randrange(len(w))
+        own["doc_id"], own["text"] = 100_000 + k, " ".join([*w[:at], *ways[k % len(ways)](*items[item]), *w[at:]])
+        rows.append(own)
+    df = spark.createDataFrame(rows, docs.schema)
+    texts = {r["doc_id"]: r["text"] or "" for r in rows}
+    assert len(texts) == len(rows)
+    want = leaked(texts, items)
+    got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontaminate.find_leaks(df, bench).collect()}
+    assert set(got) == set(want)
+    assert all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
+    planted = {i for i, _ in want if i >= 100_000}
+    assert 20 <= len(planted) < 120  # some of the ways leak, others don't
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["leaks"](spark, df, sf_dir)
+    assert Counter(map(tuple, left.collect())) == Counter(tuple(r[c] for c in docs.columns) for r in rows if r["doc_id"] not in {i for i, _ in want})
+    kept = [(r["doc_id"], len(SPACE.findall(r["text"] or "")), r["source"]) for r in left.collect()]
+    held_against_rates(kept, stages["mix"](spark, left, sf_dir).toPandas())
+
+
 def test_urls_of_words_that_the_model_has_not_seen(spark):
     """A fourth of the table's words at a time, with every url that any of them stands in, is left out of training."""
     words, right, asked_ = (*url_filter._BLOCKED, *url_filter._LEFT), 0, 0
