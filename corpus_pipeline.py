@@ -51,8 +51,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mix", mixing),
 ]
 
-#: A fitted model, minwise trees and Newton steps aren't SQL; tests hold the first three stages against brute force, and the
-#: operators of the last two, not these two as stages.
+#: A fitted model, minwise trees and Newton steps aren't SQL; tests hold each stage against plain Python,
+#: the first with the operator's own features and fitted model.
 ORACLE_SQL = None
 
 
