@@ -20,7 +20,8 @@ rows again. Documents of nodes that still have more than that apart at depth DEE
 their sets instead, as many as a similar set must share one of (_rarest): a document's rows are at most that share of
 its shingles, and only where more than MOST documents have one of their rarest shingles in common are there blocks.
 
-Texts are read for the sketches and at depth DEPTH. The sets of documents in nodes that branch on are written once, and
+Texts are read for the sketches, at depth DEPTH, and once more to write the sets of documents in large nodes that still
+have some apart, which is all that deeper levels read;
 each level adds its links to the components that the one before has found.
 
 A comparison links a document with another one only where the group hasn't joined them by other links, so a group gives
