@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_brute import ascii_lower, joined, prose, runs
+from tests.llm.test_brute import ascii_lower, docs, joined, prose, runs, texts  # noqa: F401
 from tidemark.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, secrets, toxicity, url_filter
 from tidemark.llm import _words as W
 
@@ -319,3 +319,35 @@ def test_urls_of_words_that_the_model_has_not_seen(spark):
         asked_ += len(asked)
     print(f"{right} of {asked_} urls of unseen words right")
     assert right > 0.5 * asked_  # letters tell little of a word that was never seen
+
+
+def test_quality_features_as_in_plain_python(texts):
+    """All features of every text, and of some odd ones, from the characters themselves."""
+    symbols, size = set(b"#$%&*+/<=>@[\\]^_`{|}~!"), 64
+    odd = ["", " \n\t", "é" * 40, "A a A\nb, B. !x x! 1 22 # #", "same Same SAME " * 90, "a" * 200_000, " ".join(f"W{i % 700}é" for i in range(5000))]
+    own = [t or "" for t in texts.values()] + odd
+    got = quality.features(pa.array(own))
+    assert got.shape == (len(own), len(quality.FEATURES))
+    for text, row in zip(own, got, strict=True):
+        data = text.encode()
+        w = SPACE.findall(ascii_lower(text))
+        n, length = max(1, len(w)), max(1, len(data))
+        count = lambda f, data=data: sum(map(f, data))
+        upper = count(lambda b: 65 <= b <= 90)
+        windows = [w[k : k + size] for k in range(max(1, len(w) - size + 1)) if w]
+        want = {
+            "words": math.log1p(len(w)),
+            "word_bytes": sum(len(x.encode()) for x in w) / n,
+            "upper": upper / max(1, upper + count(lambda b: 97 <= b <= 122)),
+            "symbols": count(lambda b: b in symbols) / length,
+            "symbol_ends": sum(x.encode()[-1] in symbols for x in w) / n,
+            "digits": count(lambda b: 48 <= b <= 57) / length,
+            "beyond_ascii": count(lambda b: b >= 128) / length,
+            "stops": count(lambda b: b in b".,;:?!") / n,
+            "line_ends": text.count("\n") / n,
+            "repeats": sum(a == b for a, b in itertools.pairwise(w)) / n,
+            "distinct": len(set(w)) / n,
+            "distinct_64": sum(len(set(x)) / len(x) for x in windows) / max(1, len(windows)),
+            "single": sum(len(x.encode()) == 1 for x in w) / n,
+        }
+        assert all(abs(want[f] - x) < 1e-9 for f, x in zip(quality.FEATURES, row, strict=True)), text[:80]
