@@ -337,3 +337,23 @@ def test_states_are_built_once(spark, sf_dir):
     from tidemark.plans import catalogue
 
     assert catalogue.states(spark, sf_dir) is catalogue.states(spark, sf_dir)
+
+
+def test_states_and_their_report_read_the_events_once(spark, sf_dir, monkeypatch):
+    from tidemark.plans import catalogue
+
+    read, table = [], hooks.table
+    monkeypatch.setattr(hooks, "table", lambda s, d, name: read.append(name) or table(s, d, name))
+    monkeypatch.setattr(catalogue, "_STATES", {})
+    catalogue.QUERIES["status_report"](spark, sf_dir).count()
+    assert read.count("events") == 1
+    for built in catalogue._STATES.values():
+        built.drop()
+
+
+def test_values_are_what_arrow_gives():
+    import pyarrow as pa
+
+    for column in (pa.array([2**60 + 1, None, -5]), pa.array([1, 2], "int32"), pa.array(["a", None, "é"]), pa.array([True, None]), pa.array([None, None], "int64"), pa.array([], "string"), pa.array([7, None, 2**60 + 1])[1:]):
+        got = states._values(column)
+        assert got == column.to_pylist() and [type(x) for x in got] == [type(x) for x in column.to_pylist()]

@@ -24,6 +24,7 @@ tracked (or ok), and the first start anywhere, from IDLE later on, that passes i
 from __future__ import annotations
 
 import heapq
+from operator import attrgetter
 
 IDLE_SECONDS = 1800
 IDLE_US = IDLE_SECONDS * 1_000_000
@@ -41,6 +42,9 @@ OUTPUT_TYPES = (
 STATUS = {"SessionStart": "registered", "UserPromptSubmit": "responding", "Stop": "waiting", "SessionEnd": "closed"}
 
 
+_NOTHING = (None,) * len(CARRIED)
+
+
 class _Session:
     __slots__ = CARRIED
 
@@ -48,8 +52,8 @@ class _Session:
         for name, value in zip(CARRIED, values, strict=True):
             setattr(self, name, value)
 
-    def values(self) -> tuple:
-        return tuple(getattr(self, name) for name in CARRIED)
+    #: All that is carried of a session, as a tuple.
+    values = property(attrgetter(*CARRIED))
 
 
 class Machine:
@@ -82,7 +86,7 @@ class Machine:
         self._file(name, own)
 
     def _emit(self, kind, name, at, nth, event_id, hook, own, decision=None, runtime=None, sets=None, writes=False, acts=False, resumes=None, first=False) -> None:
-        self.out.append((kind, name, at, nth, event_id, hook, decision, runtime, sets, writes, acts, resumes, first, *(own.values() if own else (None,) * len(CARRIED))))
+        self.out.append((kind, name, at, nth, event_id, hook, decision, runtime, sets, writes, acts, resumes, first, *(own.values if own else _NOTHING)))
 
     def settle(self, until: int | None) -> None:
         """Sessions that a start at or before `until` (any, if None) has swept."""

@@ -33,7 +33,7 @@ def _untimed(rows: DataFrame, back: bool) -> Column:
 
 
 def _order(right_order: str | None) -> Column:
-    return (F.col(right_order) if right_order else F.lit(0)).cast("decimal(38,0)")
+    return F.col(right_order) if right_order else F.lit(0)
 
 
 def _nearest(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, take: list[str], keys: list[str] | None, unit: str, right_order: str | None, back: bool) -> DataFrame:

@@ -39,10 +39,23 @@ def _seen(spark, d):
     return G.visibilities(H.table(spark, d, "customer"))
 
 
-_STATES: dict[tuple, S.States] = {}
+class _Built(S.States):
+    """The states of a folder's tables, with its events as they are read for them: once, for all that follows."""
 
+    def __init__(self, spark, d):
+        self.events = store.written(H.parsed(H.table(spark, d, "events")), "events")
+        audit = H.audit_rows(self.events, G.MARKER)
+        super().__init__(H.log_of(self.events), audit, _seen(spark, d), G.controls(audit))
 
-def states(spark, d) -> S.States:
+    def drop(self):
+        super().drop()
+        store.drop(self.events)
+
+
+_STATES: dict[tuple, _Built] = {}
+
+
+def states(spark, d) -> _Built:
     """The states of a folder's tables, built once in a session for as long as the files stay the same."""
     own = (spark.sparkContext.applicationId, d)
     key = (*own, store.stamp(spark, f"{d}/events.parquet"), store.stamp(spark, f"{d}/customer.parquet"))
@@ -51,8 +64,7 @@ def states(spark, d) -> S.States:
             gone = _STATES.pop(old)
             if old[0] == own[0]:
                 gone.drop()
-        audit = H.board_audit(spark, d, G.MARKER)
-        _STATES[key] = S.States(H.hook_log(spark, d), audit, _seen(spark, d), G.controls(audit))
+        _STATES[key] = _Built(spark, d)
     return _STATES[key]
 
 
@@ -61,7 +73,10 @@ def _from(f):
 
 
 def _report(spark, d):
-    return R.status_report(H.hook_log(spark, d), H.board_audit(spark, d, G.MARKER), states(spark, d), I.machines(H.table(spark, d, "customer")))
+    built = states(spark, d)
+    # the log has all events of a workspace and a time; of its rows the report needs the workspaces alone
+    log = H.hook_events(built.events).filter("cwd is not null and ts is not null")
+    return R.status_report(log, H.audit_rows(built.events, G.MARKER), built, I.machines(H.table(spark, d, "customer")))
 
 
 def _examples(turns):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.temporal import running_count
@@ -44,16 +44,29 @@ def route(payloads: DataFrame) -> DataFrame:
     return payloads.filter(hook.isin("SessionStart", "UserPromptSubmit", "Stop", "SessionEnd") | ((hook == "PostToolUse") & (F.col("tool_name") == QUESTION_TOOL)))
 
 
+def parsed(events: DataFrame) -> DataFrame:
+    """What hook events and the board's updates need of the events table, with k out of its JSON."""
+    return events.select("event_id", "ts", "user_id", "event_type", _k(events).alias("k"))
+
+
+def _k(events: DataFrame) -> Column:
+    return F.col("k") if "k" in events.columns else F.get_json_object("props", "$.k").cast("int")
+
+
 def hook_events(events: DataFrame) -> DataFrame:
     """The events table as hook events: a user is a workspace, each signup begins its next session."""
     name = F.create_map(*[F.lit(x) for kv in HOOKS.items() for x in kv])[F.col("event_type")]
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = _k(events)
     return events.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("user_id").alias("cwd"), name.alias("hook"), k.alias("k"), ((name == "SessionStart") & (k % 2 == 0)).alias("is_resume"))
 
 
 def hook_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_of(table(spark, sf_dir, "events"))
+
+
+def log_of(events: DataFrame) -> DataFrame:
     """Hook events with their workspace's sessions so far (n) and the session that they belong to."""
-    log = running_count(hook_events(table(spark, sf_dir, "events")), ["cwd"], F.col("hook") == "SessionStart", "ts", "event_id", "n")
+    log = running_count(hook_events(events), ["cwd"], F.col("hook") == "SessionStart", "ts", "event_id", "n")
     return log.withColumn("session_id", F.concat_ws("-", F.col("cwd").cast("string"), F.col("n").cast("string")))
 
 
@@ -64,7 +77,7 @@ def tracked(log: DataFrame) -> DataFrame:
 
 def audit_rows(events: DataFrame, marker: str) -> DataFrame:
     """Status updates of the board: a tenth of the events, a third of them without the marker."""
-    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).filter("k < 10")
+    e = events.withColumn("k", _k(events)).filter("k < 10")
     status = F.when(F.col("k") < 5, "INACTIVE").otherwise("ON_TRACK")
     body = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit(marker + "\n"), F.col("event_type"))).otherwise(F.col("event_type"))
     return e.select(F.col("event_id").alias("update_id"), F.col("ts").cast("timestamp_ntz").alias("created_at"), F.col("user_id").alias("project"), status.alias("status"), body.alias("body"))
