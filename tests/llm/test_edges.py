@@ -153,3 +153,21 @@ def test_pipeline_runs(spark, sf_dir):
     assert 0 < out.count() <= spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     gap = out.groupBy("source_size", "target").agg(F.sum("taken").alias("got")).filter("abs(got - target) > 0.05 * target + 50")
     assert gap.count() == 0
+
+
+def test_chunks_of_two_lines_take_the_hash_of_their_boundary(spark):
+    """Each pair of lines is hashed once; boundaries and chunks are those of the definition."""
+    from tidemark.llm import line_dedup as D
+
+    lines = [f"line {i} " + "x" * (i * 7 % 90) + "\n" for i in range(200)]
+    df = spark.createDataFrame([("".join(lines),)], "row_text string").selectExpr(f"{D._lines('row_text')} as lines")
+    df = df.selectExpr("transform(lines, x -> xxhash64(x)) as hashes", "transform(lines, x -> length(x)) as lengths")
+    df = df.selectExpr("*", f"{D._TWOS} as twos", f"{D._PAIRS} as pairs").selectExpr("*", f"{D._BOUND} as bound")
+    got = df.selectExpr("*", f"{D._CHUNKS} as chunks", "transform(sequence(0, 198), i -> xxhash64(hashes[i], hashes[i + 1])) as wanted").first()
+    bound = [i in (0, 200) or i >= 2 and got["wanted"][i - 2] & (D.JOINED - 1) != 0 for i in range(201)]
+    assert got["bound"] == bound and D._CHUNKS.count("xxhash64") == 9
+    for a, c in enumerate(got["chunks"]):
+        ends = [n for n in range(2, 201 - a) if bound[a + n] and sum(map(len, lines[a : a + n])) >= D.LEAST_CHARS] if bound[a] else []
+        assert (c and c["hash"] is not None and c["span"]) == ((a << 32) + ends[0] if ends else c and None)
+        if ends and ends[0] == 2:
+            assert c["hash"] == got["wanted"][a]

@@ -39,24 +39,26 @@ def _sum(n: int) -> str:
 
 
 def _chunk(n: str, hashed: str) -> str:
-    return f"named_struct('span', shiftleft(cast(a as bigint), 32) + {n}, 'hash', xxhash64({hashed}))"
+    return f"named_struct('span', shiftleft(cast(a as bigint), 32) + {n}, 'hash', {hashed})"
 
 
-_BOUND = f"""transform(sequence(0, size(hashes)), i -> i = 0 or i = size(hashes) or
-  (i >= 2 and (xxhash64(get(hashes, i - 2), get(hashes, i - 1)) & {JOINED - 1}) <> 0))"""
+#: The hash of each line and the next one, which decides on the boundary after them and is that of a chunk of two lines.
+_TWOS = "transform(sequence(0, size(hashes) - 2), i -> xxhash64(get(hashes, i), get(hashes, i + 1)))"
+#: For each line, and for the end, whether a chunk may begin or end before it.
+_BOUND = f"concat(array(true, false), transform(twos, (t, i) -> (t & {JOINED - 1}) <> 0 or i = size(twos) - 1))"
 #: Most chunks have two to a few lines. For others lines are counted first; one has a character at least, so that LEAST_CHARS
 #: lines always suffice. The last boundary is the end of the text.
 _COUNTED = f"""aggregate(slice(lengths, a + 1, {LEAST_CHARS}), named_struct('lines', 0, 'chars', 0),
   (s, n) -> if(s.chars >= {LEAST_CHARS}, s, named_struct('lines', s.lines + 1, 'chars', s.chars + n)), s -> if(s.chars >= {LEAST_CHARS}, greatest(s.lines, 2), null))"""
 _NEXT = "coalesce(nullif(array_position(slice(bound, a + n + 1, 64), true), 0), array_position(slice(bound, a + n + 1, size(bound)), true))"
-_LONGER = f"get(transform(transform(array({_COUNTED}), n -> if(n is null or a + n >= size(bound), null, n + cast({_NEXT} as int) - 1)), m -> if(m is null, null, {_chunk('m', 'slice(hashes, a + 1, m)')})), 0)"
+_LONGER = f"get(transform(transform(array({_COUNTED}), n -> if(n is null or a + n >= size(bound), null, n + cast({_NEXT} as int) - 1)), m -> if(m is null, null, {_chunk('m', 'xxhash64(slice(hashes, a + 1, m))')})), 0)"
 _PAIRS = "transform(sequence(0, size(lengths) - 2), i -> get(lengths, i) + get(lengths, i + 1))"
 _CASES = " ".join(
-    f"when {_sum(n)} >= {LEAST_CHARS} and get(bound, a + {n}) then {_chunk(str(n), ', '.join(f'get(hashes, a + {i})' for i in range(n)))}" + f" when a + {n} >= size(hashes) then null" * (n in (2, 4, 7))
+    f"when {_sum(n)} >= {LEAST_CHARS} and get(bound, a + {n}) then {_chunk(str(n), 't' if n == 2 else 'xxhash64(' + ', '.join(f'get(hashes, a + {i})' for i in range(n)) + ')')}" + f" when a + {n} >= size(hashes) then null" * (n in (2, 4, 7))
     for n in range(2, 11)
 )
 #: An element for each line but the last; null where none begins.
-_CHUNKS = f"transform(sequence(0, size(hashes) - 2), a -> case when not get(bound, a) then null {_CASES} else {_LONGER} end)"
+_CHUNKS = f"transform(twos, (t, a) -> case when not get(bound, a) then null {_CASES} else {_LONGER} end)"
 #: A span's first line and its number of lines, in one number.
 _A, _N = "cast(shiftright({0}, 32) as int)", "cast({0} & 4294967295 as int)"
 
@@ -105,7 +107,8 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = [F.col("row_id").alias("own_id"), F.col("row_hash").alias("own_hash")]
     found = _once(keyed, key, lines=_lines("row_text"))
     found = _once(found, key, hashes="transform(lines, x -> xxhash64(x))", lengths="transform(lines, x -> length(x))")
-    found = _once(found.filter("size(hashes) > 1"), [*key, "hashes", "lengths"], bound=_BOUND, pairs=_PAIRS)
+    found = _once(found.filter("size(hashes) > 1"), [*key, "hashes", "lengths"], twos=_TWOS, pairs=_PAIRS)
+    found = _once(found, [*key, "hashes", "lengths", "twos", "pairs"], bound=_BOUND)
     chunks = scratch.write(_once(found, key, chunks=_CHUNKS), "chunks")
     found = chunks.selectExpr(*key, "inline(chunks)").filter("hash is not null")
     # an id that repeats may have several texts, or one text several times
