@@ -160,6 +160,7 @@ def test_chunks_of_two_lines_take_the_hash_of_their_boundary(spark):
     from tidemark.llm import line_dedup as D
 
     lines = [f"line {i} " + "x" * (i * 7 % 90) + "\n" for i in range(200)]
+    lines[-1] = lines[-1].rstrip("\n")  # else an empty line follows
     df = spark.createDataFrame([("".join(lines),)], "row_text string").selectExpr(f"{D._lines('row_text')} as lines")
     df = df.selectExpr("transform(lines, x -> xxhash64(x)) as hashes", "transform(lines, x -> length(x)) as lengths")
     df = df.selectExpr("*", f"{D._TWOS} as twos", f"{D._PAIRS} as pairs").selectExpr("*", f"{D._BOUND} as bound")
