@@ -118,3 +118,14 @@ def test_effects_go_to_the_outbox_once(spark, tmp_path):
     assert got == sorted(map(str, lifecycle.effects(own.outcome()).select(*kept).collect())) and len(got) == len(set(got)) > 10
     before = box.read().count()
     assert not own.rest().isEmpty() and box.read().count() == before  # the look to the end puts nothing
+
+
+def test_files_that_overlap_in_time_lose_nothing(spark, sf_dir, tmp_path):
+    """A table in files that each span the whole time gives the effects of the log: none of its rows counts as late."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for i in range(3):
+        events.filter(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    hooks.table(spark, sf_dir, "customer").write.parquet(f"{tmp_path}/customer.parquet")
+    kept = ["session_id", "at_ts", "event_id", "kind", "value"]
+    got = sorted(map(str, L.run_effects(spark, str(tmp_path)).select(*kept).collect()))
+    assert got == sorted(map(str, lifecycle.effects(catalogue.states(spark, sf_dir)).select(*kept).collect()))

@@ -179,9 +179,11 @@ class Tracker:
                     remove(self.spark, f"{self.root}/{part}/{n}")
 
 
-def read_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream. A batch takes all files that are there: a table's files may overlap in time, and what comes
+    later than DELAY_SECONDS after a batch before it is set aside."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return stream_rows(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet"))
+    return stream_rows(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet"))
 
 
 def run_available(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:

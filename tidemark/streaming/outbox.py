@@ -36,10 +36,12 @@ class Outbox:
         parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in IDENTITY]
         key = F.sha2(F.to_json(F.array(*parts, *[F.col(c).isNull().cast("string") for c in IDENTITY])), 256)
         one = keyed.groupBy(*IDENTITY).agg(F.min("value").alias("value")).select(*keyed.columns, key.alias("key"))
-        one = one.withColumn("day", F.coalesce(F.date_format("at_ts", "yyyy-MM-dd"), F.lit("none")))
-        days = [r["day"] for r in one.select("day").distinct().collect()]
-        sent = self.read(before=batch).filter(F.col("day").isin(days)).select("day", "key")
-        fresh = one.join(sent, ["day", "key"], "left_anti")
+        day = F.coalesce(F.date_format("at_ts", "yyyy-MM-dd"), F.lit("none")).alias("day")
+        fresh = one.select("*", day)
+        if any(v < batch for v in finished(self.spark, self.folder)):
+            days = [r["day"] for r in keyed.select(day).distinct().collect()]
+            sent = self.read(before=batch).filter(F.col("day").isin(days)).select("day", "key")
+            fresh = fresh.join(sent, ["day", "key"], "left_anti")
         fresh.hint("rebalance", F.col("day")).write.mode("overwrite").partitionBy("day").parquet(f"{self.folder}/v={batch}")
 
     def unsent(self, after: int) -> DataFrame:
