@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import audit_body, iso_utc
@@ -18,10 +18,24 @@ def cache(audit: DataFrame) -> DataFrame:
     good = F.when(F.col("ok"), F.struct("created_at", "update_id"))
     return running_last(audit, ["project"], good, "created_at", "update_id", "good").select(
         "update_id", "project", F.col("status").alias("last_status"), F.col("good.created_at").alias("last_synced_at"), F.col("good.update_id").alias("status_update_id"),
-        F.when(~F.col("ok"), F.concat(F.lit("update "), F.col("update_id").cast("string"), F.lit(" failed"))).alias("last_error"),
+        _error().alias("last_error"),
     )
 
 
+def last(audit: DataFrame) -> DataFrame:
+    """Of what cache gives, each project's row of the greatest id, without the history of all rows: project, last_status, last_synced_at, last_error."""
+    timed = audit.filter("project is not null and created_at is not null")
+    ends = timed.groupBy("project").agg(F.max_by(F.struct("created_at", "update_id", "status", "ok"), "update_id").alias("end")).filter("end is not null").select("project", "end.*")
+    good = timed.filter("ok").select("project", F.struct("created_at", "update_id").alias("good"))
+    upto = F.max(F.when(F.col("good") <= F.struct("created_at", "update_id"), F.col("good"))).alias("good")
+    ends = ends.join(good, "project", "left").groupBy("project", "created_at", "update_id", "status", "ok").agg(upto)
+    return ends.select("project", F.col("status").alias("last_status"), F.col("good.created_at").alias("last_synced_at"), _error().alias("last_error"))
+
+
+def _error() -> Column:
+    return F.when(~F.col("ok"), F.concat(F.lit("update "), F.col("update_id").cast("string"), F.lit(" failed")))
+
+
 def tries(audit: DataFrame) -> DataFrame:
     return audit.withColumn("ok", F.col("update_id") % 4 != 0)
 

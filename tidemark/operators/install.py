@@ -33,10 +33,14 @@ def machines(customer: DataFrame) -> DataFrame:
     return customer.select("c_custkey", *[c.alias(n) for n, c in cols.items()], (F.col("c_custkey") % 4).alias("bad_states"), (F.col("c_custkey") % 5).alias("visibility"))
 
 
-def install_states(m: DataFrame) -> DataFrame:
+def with_state(m: DataFrame) -> DataFrame:
     c = F.col
     state = install_state(c("config"), [c("file_a"), c("file_b")], [c("user_exists") & c("user_hooked"), c("local_exists") & c("local_hooked")], [c("user_exists"), c("local_exists")])
-    return m.select("c_custkey", state.alias("state"))
+    return m.withColumn("state", state)
+
+
+def install_states(m: DataFrame) -> DataFrame:
+    return with_state(m).select("c_custkey", "state")
 
 
 def doctor(m: DataFrame) -> DataFrame:

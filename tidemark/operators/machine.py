@@ -181,7 +181,32 @@ class Machine:
             self._write(name, own, at, next_at, next_id)
         self._emit("event", name, at, nth, event_id, hook, own, decision, runtime, sets, writes, acts, None, first)
 
+    def taken(self) -> list[tuple]:
+        """What has been given since it was last taken."""
+        out, self.out = self.out, []
+        return out
+
     def ends(self) -> None:
         """All sessions, for the next piece of the history."""
         for name, own in sorted(self.sessions.items(), key=lambda x: (x[1].wrote, x[0])):
             self._emit("end", name, None, None, None, None, own)
+
+
+class Lasts(Machine):
+    """Gives only the last row that writes of each session and the last that says whether anything is tracked."""
+
+    def __init__(self, stop_gate: bool = True):
+        super().__init__(stop_gate)
+        self.lasts: dict[str | None, tuple] = {}
+
+    def _emit(self, kind, name, at, nth, event_id, hook, own, decision=None, runtime=None, sets=None, writes=False, acts=False, resumes=None, first=False) -> None:
+        if writes or runtime is not None:
+            x = (kind, name, at, nth, event_id, hook, decision, runtime, sets, writes, acts, resumes, first, own.status if own else None, own.paused if own else None)
+            if writes:
+                self.lasts[name] = x
+            if runtime is not None:
+                self.lasts[None] = x
+
+    def taken(self) -> list[tuple]:
+        out, self.lasts = [(*x, *_NOTHING[2:]) for x in self.lasts.values()], {}
+        return out

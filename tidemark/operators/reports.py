@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import audit as A
+from tidemark.operators import gates as G
 from tidemark.operators import install as I
 from tidemark.operators import states as S
 
@@ -16,18 +17,17 @@ def _scope(invalid, exists, installed):
     return F.when(invalid & exists, "invalid settings").when(installed & exists, "installed").when(exists, "present but hooks missing").otherwise("not present")
 
 
-def status_report(log: DataFrame, audit: DataFrame, states: S.Outcome, machines: DataFrame) -> DataFrame:
-    """Lines of label and value, in order, for each workspace: its installation (machines; c_custkey is the workspace), its
-    open session that was written last, what the board was told last, and why tracking is blocked, if it is."""
-    last = F.max_by(F.struct("status", "paused"), F.struct("ts", "nth"))
-    per = states.rows.filter("writes").groupBy("cwd", "session_id").agg(F.max("ts").alias("last_ts"), last.alias("last"))
-    per = per.filter("last.status <> 'closed'").select("cwd", "session_id", "last_ts", "last.*")
-    active = per.groupBy("cwd").agg(F.max_by(F.struct("session_id", "status", "paused"), F.struct("last_ts", "session_id")).alias("a")).select("cwd", "a.*")
-    sync = A.cache(A.tries(audit)).groupBy(F.col("project").alias("cwd")).agg(F.max_by(F.struct("last_status", "last_synced_at", "last_error"), "update_id").alias("s"))
-    run = states.runtime().select("cwd", "decision", "text")
-    m = I.install_states(machines).join(machines, "c_custkey").withColumnRenamed("c_custkey", "cwd")
-    all_ = log.select("cwd").distinct().join(active, "cwd", "left").join(sync, "cwd", "left").join(run, "cwd", "left").join(m, "cwd", "left")
-    synced = F.date_format("s.last_synced_at", "yyyy-MM-dd HH:mm:ss")
+def workspaces(log: DataFrame, audit: DataFrame, rows: DataFrame, machines: DataFrame) -> DataFrame:
+    """A row for each workspace of the log with what its report tells: its installation (machines; c_custkey is the workspace), its
+    open session that was written last, what the board was told last, and why tracking is blocked, if it is. rows: the machine's."""
+    sync = A.last(A.tries(audit)).withColumnRenamed("project", "cwd")
+    m = I.with_state(machines).withColumnRenamed("c_custkey", "cwd")
+    return log.select("cwd").distinct().join(S.last_of(rows), "cwd", "left").join(sync, "cwd", "left").join(m, "cwd", "left")
+
+
+def status_report(found: DataFrame) -> DataFrame:
+    """Lines of label and value, in order, for each workspace (a row of workspaces)."""
+    synced = F.date_format("last_synced_at", "yyyy-MM-dd HH:mm:ss")
     none = lambda c: F.coalesce(c, F.lit("none"))
     lines = {
         "install": none(F.col("state")),
@@ -40,9 +40,9 @@ def status_report(log: DataFrame, audit: DataFrame, states: S.Outcome, machines:
         "status": none(F.col("status")),
         "paused": T.yes_no(F.coalesce("paused", F.lit(False))),
         "issue": none(F.when(F.col("session_id").isNotNull(), U.issue_url(F.lit("team/notes"), F.col("cwd")))),
-        "sync": T.sync_text(F.coalesce(synced, F.nullif(F.coalesce("s.last_error", F.lit("")), F.lit(""))), F.col("s.last_error").isNull(), F.col("s.last_status"), F.col("s.last_error")),
+        "sync": T.sync_text(F.coalesce(synced, F.nullif(F.coalesce("last_error", F.lit("")), F.lit(""))), F.col("last_error").isNull(), F.col("last_status"), F.col("last_error")),
         "blocked": T.yes_no(F.coalesce(F.col("decision") != "ok", F.lit(False))),
-        "note": F.coalesce("text", F.lit("no event was gated")),
+        "note": F.coalesce(F.when(F.col("decision").isNotNull(), G.blocked_text(F.col("decision"))), F.lit("no event was gated")),
     }
     rows = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(k).alias("label"), v.alias("value")) for i, (k, v) in enumerate(lines.items())])
-    return all_.select("cwd", F.inline(rows))
+    return found.select("cwd", F.inline(rows))

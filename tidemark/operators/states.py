@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators import gates as G
 from tidemark.operators import machine as M
-from tidemark.operators.temporal import next_at_or_after
+from tidemark.operators.temporal import around, next_at_or_after
 from tidemark.sources.store import drop, written
 
 IDLE_SECONDS = M.IDLE_SECONDS
@@ -27,9 +27,12 @@ IDLE = f"interval {IDLE_SECONDS} seconds"
 PIECE = 200_000
 
 _CARRY = "carry"
+_ORDER = ("at", "nth", "event_id", "session_id")
 _TYPES = f"cwd bigint, piece int, {M.OUTPUT_TYPES}"
 #: What only a next piece or batch needs.
 _INNER = ("piece", "wrote", "deadline", "sweep_at", "sweep_id")
+#: What tells the last state of each session and the last word on each workspace.
+_BRIEF = ("cwd", "kind", "session_id", "at", "nth", "event_id", "runtime", "writes", "status", "paused")
 
 
 def _time(us: str) -> Column:
@@ -59,7 +62,10 @@ def control_rows(controls: DataFrame) -> DataFrame:
 def gate(rows: DataFrame, seen: DataFrame, board: DataFrame) -> DataFrame:
     """Rows with whether the board is inactive then, and why their workspace's starts may not be tracked. A workspace
     that the lookup `seen` doesn't have fails the privacy check."""
-    rows = G.board_asof(rows, board).withColumn("inactive", G.is_inactive(F.col("board_status"))).drop("board_status")
+    return _with_reason(G.board_asof(rows, board).withColumn("inactive", G.is_inactive(F.col("board_status"))).drop("board_status"), seen)
+
+
+def _with_reason(rows: DataFrame, seen: DataFrame) -> DataFrame:
     return rows.join(seen, "cwd", "left").withColumn("reason", G.privacy(F.col("visibility"))).drop("visibility")
 
 
@@ -86,16 +92,18 @@ def _values(column: pa.Array) -> list:
     return [x if there else None for x, there in zip(found, column.is_valid().to_numpy(zero_copy_only=False).tolist(), strict=True)]
 
 
-def _fold(schema: pa.Schema, carried: bool, stop_gate: bool, ends: bool):
+def _fold(schema: pa.Schema, carried: bool, stop_gate: bool, ends: bool, whole: bool = False, brief: bool = False):
     """Rows (cwd, piece, last, the machine's input, and kind and what is carried, if anything is) sorted by workspace, piece
     and time. Sweeps after the last row count where the piece is its workspace's last; else, or with ends, the sessions at its
-    end are given."""
-    columns = ("cwd", "piece", "last", *M.INPUT, *(("kind", *M.CARRIED) if carried else ()))
-    a, b = 3, 3 + len(M.INPUT)
-    given = [(i, schema.field(c).type) for i, c in enumerate(("cwd", "piece", *M.OUTPUT)) if c in schema.names]
+    end are given. whole: workspaces come in one piece each, without piece and last. brief: of what a workspace gives within a batch only the last rows (M.Lasts)."""
+    lead, parts = (("cwd",), 1) if whole else (("cwd", "piece", "last"), 2)
+    columns = (*lead, *M.INPUT, *(("kind", *M.CARRIED) if carried else ()))
+    a, b = len(lead), len(lead) + len(M.INPUT)
+    given = [(i, schema.field(c).type) for i, c in enumerate((*lead[:parts], *M.OUTPUT)) if c in schema.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, key, last, done = M.Machine(stop_gate), None, False, []
+        begin = M.Lasts if brief else M.Machine
+        state, key, last, done = begin(stop_gate), None, False, []
 
         def close() -> None:
             if key is None:
@@ -104,7 +112,10 @@ def _fold(schema: pa.Schema, carried: bool, stop_gate: bool, ends: bool):
                 state.settle(None)
             if ends or not last:
                 state.ends()
-            done.extend((*key, *x) for x in state.out)
+            take()
+
+        def take() -> None:
+            done.extend((*key, *x) for x in state.taken())
 
         def flush() -> Iterator[pa.RecordBatch]:
             if done:
@@ -114,16 +125,15 @@ def _fold(schema: pa.Schema, carried: bool, stop_gate: bool, ends: bool):
 
         for batch in batches:
             for x in zip(*(_values(batch.column(c)) for c in columns), strict=True):
-                if x[:2] != key:
+                if x[:parts] != key:
                     close()
-                    state, key, last = M.Machine(stop_gate), x[:2], x[2]
+                    state, key, last = begin(stop_gate), x[:parts], whole or x[2]
                 if carried and x[b] == _CARRY:
                     state.carry(x[a + M.INPUT.index("session_id")], *x[b + 1 :])
                 else:
                     state.row(*x[a:b])
             if key is not None:
-                done.extend((*key, *x) for x in state.out)
-                state.out.clear()
+                take()
             yield from flush()
         close()
         yield from flush()
@@ -141,10 +151,19 @@ def run_machine(rows: DataFrame, carried: DataFrame | None = None, stop_gate: bo
         types = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(_TYPES)}
         rows = rows.select("cwd", "piece", "last", *M.INPUT, "kind", *[F.col(c).cast(types[c]) for c in M.CARRIED])
         first = [F.col("kind").isNull(), "wrote"]
-    dealt = rows.repartition("cwd", "piece").sortWithinPartitions("cwd", "piece", *first, "at", "nth", "event_id", "session_id")
+    dealt = rows.repartition("cwd", "piece").sortWithinPartitions("cwd", "piece", *first, *_ORDER)
     return dealt.mapInArrow(_fold(to_arrow_schema(out), carried is not None, stop_gate, ends), out)
 
 
+def _run_whole(rows: DataFrame, seen: DataFrame, stop_gate: bool, brief: bool) -> DataFrame:
+    """The machine over workspaces in one piece each: rows without their reason, which `seen` gives them where they are dealt."""
+    dealt = _with_reason(rows.repartition("cwd"), seen.hint("shuffle_hash")).withColumn("reason", F.when(F.col("hook") == "SessionStart", F.col("reason")))
+    dealt = dealt.select("cwd", *M.INPUT).sortWithinPartitions("cwd", *_ORDER)
+    types = StructType.fromDDL(_TYPES)
+    out = StructType([f for f in types if (f.name in _BRIEF if brief else f.name not in _INNER)])
+    return dealt.mapInArrow(_fold(to_arrow_schema(out), False, stop_gate, False, True, brief), out)
+
+
 def _pieces(rows: DataFrame, piece: int) -> DataFrame:
     """Rows with the piece of their workspace's history that they are in, and whether it is the last."""
     hours = rows.withColumn("hour", F.floor(F.col("at") / 3_600_000_000))
@@ -232,6 +251,47 @@ def history(rows: DataFrame) -> DataFrame:
     return rows.select("session_id", F.col("ts").alias("at_ts"), F.col("kind").alias("cause"), event.alias("event_id"), "hook", "status", F.lead("ts").over(order).isNull().alias("is_current"))
 
 
+def large_workspaces(plain: DataFrame, controls: DataFrame, piece: int = PIECE) -> DataFrame:
+    """A written table of the workspaces (cwd) that have more than `piece` rows: events, stops' deadlines and controls."""
+    each = plain.select("cwd", F.when(F.col("hook") == "Stop", 2).otherwise(1).alias("n")).unionByName(controls.select("cwd", F.lit(1).alias("n")))
+    return written(each.groupBy("cwd").agg(F.sum("n").alias("n")).filter(F.col("n") > piece).select("cwd"), "hot")
+
+
+def looked_up(log: DataFrame, audit: DataFrame, seen: DataFrame, controls: DataFrame, stop_gate: bool = True, piece: int = PIECE, plain: DataFrame | None = None, hot: DataFrame | None = None, brief: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """The machine's rows (see States), or with brief at least the last ones of each session and workspace, which are enough for
+    last_of; and the written tables that they read, to be dropped after that. plain: the log's event_id, ts, cwd and hook, where
+    they come at a lesser cost than with its sessions. hot: what large_workspaces gives of these."""
+    plain = log if plain is None else plain
+    hot = large_workspaces(plain, controls, piece) if hot is None else hot
+    board = written(G.board_history(audit), "board")
+    starts = plain.filter("hook = 'SessionStart'").select("cwd", "ts", "event_id", "hook")
+    starts = written(passing(gate(starts, seen.hint("shuffle_hash"), board)).withColumn("from_ts", F.expr(f"start_ts - {IDLE}")), "starts")
+    times = plain.select(F.explode(F.array("ts", F.expr(f"ts + {IDLE}"))).alias("ts")).unionByName(controls.select("ts"))
+    acting = event_rows(log).unionByName(control_rows(controls))
+    rows = around(acting, "ts", (board, "created_at", ["board_status"], "update_id"), (starts, "from_ts", ["start_ts", "start_id"], "start_id"), times)
+    rows = rows.select("cwd", _us("ts").alias("at"), "nth", "event_id", "hook", "session_id", "is_resume", G.is_inactive(F.col("board_status")).alias("inactive"), "went", _us("start_ts").alias("next_at"), F.col("start_id").alias("next_id"))
+    if hot.isEmpty():
+        drop(hot)
+        return shown(_run_whole(rows, seen, stop_gate, brief)), [board, starts]
+    rows = written(rows, "gated")
+    drop(board, starts)
+    cut = shown(_in_pieces(_with_reason(rows.join(hot, "cwd", "left_semi"), seen), piece, stop_gate))
+    whole = shown(_run_whole(rows.join(hot, "cwd", "left_anti"), seen, stop_gate, brief))
+    return whole.unionByName(cut.select(whole.columns)), [hot, rows]
+
+
+def last_of(rows: DataFrame) -> DataFrame:
+    """cwd, its open session that was written last (session_id, status, paused; null if there is none), and what its last save or
+    clear of the reason why nothing is tracked said (decision), of the machine's rows."""
+    at = F.struct("ts", "nth", "event_id")
+    wrote = F.max_by(F.struct("status", "paused", "ts"), F.when(F.col("writes"), at)).alias("last")
+    said = F.max_by(F.struct(at.alias("at"), "runtime"), F.when(F.col("runtime").isNotNull(), at)).alias("said")
+    per = rows.groupBy("cwd", "session_id").agg(wrote, said)
+    newest = F.max_by(F.struct("session_id", "last.status", "last.paused"), F.when(F.col("last.status") != "closed", F.struct("last.ts", "session_id")))
+    per = per.groupBy("cwd").agg(newest.alias("a"), F.max_by("said.runtime", "said.at").alias("decision"))
+    return per.select("cwd", "a.*", "decision")
+
+
 class States(Outcome):
     """All that follows from a log, the board's updates, the visibility of repositories and pause controls.
 
@@ -239,20 +299,10 @@ class States(Outcome):
     controls: cwd, action (pause or resume), ts, ok. One table is written, of the rows of all.
     """
 
-    def __init__(self, log: DataFrame, audit: DataFrame, seen: DataFrame, controls: DataFrame, stop_gate: bool = True, piece: int = PIECE):
-        board = written(G.board_history(audit), "board")
-        # written, as the as-of join reads them twice, the second time for their hours alone
-        acting = written(event_rows(log).unionByName(control_rows(controls)), "acting")
-        gated = written(gate(acting, seen, board), "gated")
-        rows = machine_rows(gated, passing(gated))
-        hot = written(gated.groupBy("cwd").agg(F.count("*").alias("n")).filter(F.col("n") > piece).select("cwd"), "hot")
-        if hot.isEmpty():
-            out = shown(run_machine(rows.withColumns({"piece": F.lit(0), "last": F.lit(True)}), None, stop_gate, inner=False))
-        else:
-            rest = rows.join(hot, "cwd", "left_anti").withColumns({"piece": F.lit(0), "last": F.lit(True)})
-            out = shown(run_machine(rest, None, stop_gate, inner=False)).unionByName(shown(_in_pieces(rows.join(hot, "cwd", "left_semi"), piece, stop_gate)))
+    def __init__(self, log: DataFrame, audit: DataFrame, seen: DataFrame, controls: DataFrame, stop_gate: bool = True, piece: int = PIECE, plain: DataFrame | None = None, hot: DataFrame | None = None):
+        out, read = looked_up(log, audit, seen, controls, stop_gate, piece, plain, hot)
         super().__init__(written(out, "states"))
-        drop(board, acting, gated, hot)
+        drop(*read)
 
     def drop(self) -> None:
         drop(self.rows)

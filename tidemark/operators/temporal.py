@@ -70,6 +70,32 @@ def next_at_or_after(left: DataFrame, right: DataFrame, left_ts: str, right_ts:
     return _nearest(left, right.filter(F.col(right_ts).isNotNull()), left_ts, right_ts, take, keys, unit, right_order, False)
 
 
+def around(left: DataFrame, left_ts: str, before: tuple, after: tuple, times: DataFrame | None = None, unit: str = "HOUR") -> DataFrame:
+    """What asof_join with `before` and then next_at_or_after with `after` give without keys, in one shuffle of left's rows.
+
+    before and after: the right rows, their time, what to take of them and their order at the same time (right, right_ts,
+    take, right_order). times: rows that have, under left_ts, all of left's times and maybe others, where they cost less than left.
+    """
+    times, cols = left if times is None else times, left.columns
+    l = left.withColumns({"_b": F.coalesce(bucket(F.col(left_ts), unit), _untimed(left, True)), "_t": F.col(left_ts), "_side": F.lit(1)})  # noqa: E741
+    both, buckets = l, times.filter(F.col(left_ts).isNotNull()).select(bucket(F.col(left_ts), unit).alias("_b")).distinct()
+    for r, (right, right_ts, take, order) in (("_back", before), ("_ahead", after)):
+        right = right.filter(F.col(right_ts).isNotNull()).select(bucket(F.col(right_ts), unit).alias("_b"), F.col(right_ts).alias("_t"), F.col(order).alias("_o"), F.struct(*take).alias(r))
+        both = both.unionByName(right.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+        pick = F.max_by if r == "_back" else F.min_by
+        buckets = buckets.join(right.groupBy("_b").agg(pick(r, F.struct("_t", "_o")).alias(f"_end{r}")), "_b", "full")
+    # in order of time first: the windows' own sorts, which begin with the bucket, then find their rows in runs
+    both = both.repartition("_b").sortWithinPartitions("_t", "_side", "_o")
+    for r, turn in (("_back", F.asc), ("_ahead", F.desc)):
+        within = Window.partitionBy("_b").orderBy(turn("_t"), "_side", turn("_o")).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn(f"_own{r}", F.last(r, ignorenulls=True).over(within))
+        beyond = Window.orderBy(turn("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+        buckets = buckets.withColumn(f"_beyond{r}", F.last(f"_end{r}", ignorenulls=True).over(beyond))
+    out = both.filter("_side = 1").join(buckets.select("_b", "_beyond_back", "_beyond_ahead"), "_b", "left")
+    hits = [F.coalesce(f"_own{r}", f"_beyond{r}")[c].alias(c) for r, (_, _, take, _) in (("_back", before), ("_ahead", after)) for c in take]
+    return out.select(*cols, *hits)
+
+
 def numbered(df: DataFrame, ts: str, order: str, unit: str = "HOUR") -> DataFrame:
     """df with `rank`, a row's place among all in (ts, order), from 1. Buckets are counted and numbered each by itself."""
     own = df.withColumn("_b", bucket(F.col(ts), unit))
@@ -79,8 +105,15 @@ def numbered(df: DataFrame, ts: str, order: str, unit: str = "HOUR") -> DataFram
     return own.join(before, "_b").withColumn("rank", F.col("_before") + F.col("_nth")).drop("_b", "_before", "_nth")
 
 
-def running_count(df: DataFrame, keys: list[str], flag: Column, ts: str, order: str, name: str, unit: str = "DAY") -> DataFrame:
-    """df with `name`: how many of its key's rows up to this one have the flag. Each of a key's buckets is sorted by itself."""
+def running_count(df: DataFrame, keys: list[str], flag: Column, ts: str, order: str, name: str, unit: str = "DAY", large: DataFrame | None = None) -> DataFrame:
+    """df with `name`: how many of its key's rows up to this one have the flag. Each of a key's buckets is sorted by itself; if
+    `large` gives the keys that have many rows, only theirs are, and the rows of any other key at once. Rows without a key or time go."""
+    if large is not None:
+        few, some = df.dropna(subset=[*keys, ts]), not large.isEmpty()
+        upto = Window.partitionBy(*keys).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0)
+        counted = F.sum(F.coalesce(flag, F.lit(False)).cast("long")).over(upto)
+        whole = (few.join(large, keys, "left_anti") if some else few).withColumn(name, counted)
+        return whole.unionByName(running_count(df.join(large, keys, "left_semi"), keys, flag, ts, order, name, unit)) if some else whole
     own = df.withColumns({"_b": bucket(F.col(ts), unit), "_f": F.coalesce(flag, F.lit(False)).cast("long")})
     per = own.groupBy(*keys, "_b").agg(F.sum("_f").alias("_n"))
     per = per.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")).drop("_n")

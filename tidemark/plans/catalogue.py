@@ -39,13 +39,30 @@ def _seen(spark, d):
     return G.visibilities(H.table(spark, d, "customer"))
 
 
+def _events(spark, d):
+    """A folder's events as they are read for states: once, for all that follows."""
+    return store.written(H.parsed(H.table(spark, d, "events")), "events")
+
+
+def _plain(events):
+    """The log's rows without their sessions."""
+    return H.hook_events(events).filter("cwd is not null and ts is not null")
+
+
+def _inputs(spark, d, events):
+    """What a folder's states are made of."""
+    audit, plain = H.audit_rows(events, G.MARKER), _plain(events)
+    controls = G.controls(audit)
+    hot = S.large_workspaces(plain, controls)
+    return {"log": H.log_of(events, hot), "audit": audit, "seen": _seen(spark, d), "controls": controls, "plain": plain, "hot": hot}
+
+
 class _Built(S.States):
-    """The states of a folder's tables, with its events as they are read for them: once, for all that follows."""
+    """The states of a folder's tables, with its events."""
 
     def __init__(self, spark, d):
-        self.events = store.written(H.parsed(H.table(spark, d, "events")), "events")
-        audit = H.audit_rows(self.events, G.MARKER)
-        super().__init__(H.log_of(self.events), audit, _seen(spark, d), G.controls(audit))
+        self.events = _events(spark, d)
+        super().__init__(**_inputs(spark, d, self.events))
 
     def drop(self):
         super().drop()
@@ -55,10 +72,14 @@ class _Built(S.States):
 _STATES: dict[tuple, _Built] = {}
 
 
+def _key(spark, d) -> tuple:
+    return (spark.sparkContext.applicationId, d, store.stamp(spark, f"{d}/events.parquet"), store.stamp(spark, f"{d}/customer.parquet"))
+
+
 def states(spark, d) -> _Built:
     """The states of a folder's tables, built once in a session for as long as the files stay the same."""
-    own = (spark.sparkContext.applicationId, d)
-    key = (*own, store.stamp(spark, f"{d}/events.parquet"), store.stamp(spark, f"{d}/customer.parquet"))
+    key = _key(spark, d)
+    own = key[:2]
     if key not in _STATES:
         for old in [k for k in _STATES if k[:2] == own or k[0] != own[0]]:
             gone = _STATES.pop(old)
@@ -73,10 +94,18 @@ def _from(f):
 
 
 def _report(spark, d):
-    built = states(spark, d)
-    # the log has all events of a workspace and a time; of its rows the report needs the workspaces alone
-    log = H.hook_events(built.events).filter("cwd is not null and ts is not null")
-    return R.status_report(log, H.audit_rows(built.events, G.MARKER), built, I.machines(H.table(spark, d, "customer")))
+    """From the states if the session has them; else from the machine's last rows alone, and no states are written."""
+    built, machines, read = _STATES.get(_key(spark, d)), I.machines(H.table(spark, d, "customer")), []
+    events = built.events if built else _events(spark, d)
+    if built:
+        rows = built.rows
+    else:
+        rows, read = S.looked_up(**_inputs(spark, d, events), brief=True)
+    found = R.workspaces(_plain(events), H.audit_rows(events, G.MARKER), rows, machines)
+    if not built:
+        found = store.written(found, "workspaces")
+        store.drop(events, *read)
+    return R.status_report(found)
 
 
 def _examples(turns):

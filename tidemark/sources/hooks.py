@@ -50,7 +50,11 @@ def parsed(events: DataFrame) -> DataFrame:
 
 
 def _k(events: DataFrame) -> Column:
-    return F.col("k") if "k" in events.columns else F.get_json_object("props", "$.k").cast("int")
+    if "k" in events.columns:
+        return F.col("k")
+    # an object of k and a number alone, as most are, needs no parser
+    plain = F.nullif(F.regexp_extract("props", r'^\{"k": (0|[1-9][0-9]{0,8})\}$', 1), F.lit(""))
+    return F.coalesce(plain, F.get_json_object("props", "$.k")).cast("int")
 
 
 def hook_events(events: DataFrame) -> DataFrame:
@@ -64,9 +68,10 @@ def hook_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_of(table(spark, sf_dir, "events"))
 
 
-def log_of(events: DataFrame) -> DataFrame:
-    """Hook events with their workspace's sessions so far (n) and the session that they belong to."""
-    log = running_count(hook_events(events), ["cwd"], F.col("hook") == "SessionStart", "ts", "event_id", "n")
+def log_of(events: DataFrame, large: DataFrame | None = None) -> DataFrame:
+    """Hook events with their workspace's sessions so far (n) and the session that they belong to. large: the workspaces (cwd) of
+    many events, if they are known."""
+    log = running_count(hook_events(events), ["cwd"], F.col("hook") == "SessionStart", "ts", "event_id", "n", large=large)
     return log.withColumn("session_id", F.concat_ws("-", F.col("cwd").cast("string"), F.col("n").cast("string")))
 
 
